@@ -35,7 +35,16 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/blockwright-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.durable_path = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what durable() wrote, once nothing reads it any more."""
+    jvm, path = df.sparkSession.sparkContext._jvm, df.durable_path
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drop_shuffles(spark: SparkSession) -> None:
@@ -44,6 +53,20 @@ def drop_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def groups(batches, key: int = 0):
+    """Runs of equal keys in Arrow batches that are sorted by the key column: (key, list of rows as tuples)."""
+    now, rows = None, []
+    for b in batches:
+        for row in zip(*[c.to_pylist() for c in b.columns]):
+            if row[key] != now:
+                if rows:
+                    yield now, rows
+                now, rows = row[key], []
+            rows.append(row)
+    if rows:
+        yield now, rows
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

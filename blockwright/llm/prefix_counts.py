@@ -22,6 +22,7 @@ from tokenizers import Tokenizer
 
 #: Entries that a worker remembers; beyond it pieces are computed each time.
 MOST_REMEMBERED = 400_000
+MOST_STATES = 1_200_000
 FOREVER = 1 << 60
 # The piece pattern of this vocabulary file and two white spaces that touch.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -58,7 +59,7 @@ class PrefixCounter:
         self.fits: dict[tuple[bytes, bytes], bool] = {}
         self.chains: tuple[dict, dict] = ({}, {})
         self.known: dict[str, int] = {}
-        self.pieces: dict[str, int] = {}
+        self.states: dict[bytes, tuple[int, bytes]] = {}
 
     def edges(self, token: bytes, right: bool) -> list[tuple[bytes, int]]:
         """Parts that stand at one edge of a token while it is built, last part first, each with the rank of the merge that uses it up."""
@@ -103,29 +104,45 @@ class PrefixCounter:
             self.fits[key] = ok
         return ok
 
-    def inside(self, piece: bytes) -> list[int]:
-        """Counts at the bytes 1..n of one piece."""
-        last, counts = [b""], [0]
+    def state(self, piece: bytes) -> tuple[int, bytes]:
+        """Count and last token of the encoding of one piece.
+
+        Both belong to the bytes so far and not to what follows, so pieces share the
+        states of their common beginnings.
+        """
+        states = self.states
+        known = states.get(piece)
+        if known is not None:
+            return known
+        n = len(piece)
+        have = min(n - 1, 23)
+        while have and piece[:have] not in states:
+            have -= 1
+        known = states[piece[:have]] if have else (0, b"")
+        row = {have: known}
         tokens, longest = self.tokens, self.longest
-        for end in range(1, len(piece) + 1):
+        for end in range(have + 1, n + 1):
             for start in range(end - longest if end > longest else 0, end):
                 token = piece[start:end]
-                if token in tokens and (not start or self.may_follow(last[start], token)):
-                    last.append(token)
-                    counts.append(counts[start] + 1)
+                if token not in tokens:
+                    continue
+                before = row.get(start) or (states[piece[:start]] if start and piece[:start] in states else self.state(piece[:start]) if start else (0, b""))
+                if not start or self.may_follow(before[1], token):
+                    known = row[end] = before[0] + 1, token
                     break
             else:
                 raise ValueError("a byte is missing from the vocabulary")
-        return counts[1:]
+            if end < 24 and len(states) < MOST_STATES:
+                states[piece[:end]] = known
+        return known
+
+    def inside(self, piece: bytes) -> list[int]:
+        """Counts at the bytes 1..n of one piece."""
+        return [self.state(piece[:end])[0] for end in range(1, len(piece) + 1)]
 
     def piece(self, text: str) -> int:
-        """Tokens of one piece; remembered."""
-        n = self.pieces.get(text)
-        if n is None:
-            n = self.inside(text.encode())[-1]
-            if len(self.pieces) < MOST_REMEMBERED:
-                self.pieces[text] = n
-        return n
+        """Tokens of one piece."""
+        return self.state(text.encode())[0]
 
     def cut(self, text: str) -> list[str]:
         """Pieces of a text without special strings. Beyond Latin letters the library itself cuts: it knows its own Unicode version."""

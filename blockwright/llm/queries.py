@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from blockwright.llm import forced_bpe, prefix_counts
+from blockwright.llm import decontaminate, forced_bpe, prefix_counts, sharding, shingle_join, toxicity
 from blockwright.llm.common import table
 
 
@@ -20,6 +21,31 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 512)
 
 
+#: Bytes of a shard in the sharding query.
+SHARD_BYTES = 1 << 20
+
+
+def fold(id_col: str, k: int):
+    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(k))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda c: fold(c, 3) != 1)
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.shingle_components(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forced_bpe.digests(forced_bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
@@ -27,5 +53,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op5_bpe": op5_bpe,
+    "op6_toxicity": op6_toxicity,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_shards": op8_shards,
+    "op9_shingle_join": op9_shingle_join,
+}
+ORACLES: dict[str, str] = {
+    "op7_decontaminate": decontaminate.SQL,
+    "op8_shards": sharding.sql(SHARD_BYTES),
 }
-ORACLES: dict[str, str] = {}
