@@ -15,9 +15,9 @@ from pyspark.sql.window import Window
 
 from blockwright.llm.common import LOWER, UPPER, durable
 
-# Fixed value: what stands between words.
-NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# What stands between words, and words, in texts whose A-Z are not in lower case yet.
+NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Rows of a table of words or windows that is small enough to send to every task (some 100 bytes each).
 SENT_ROWS = 200_000
 
