@@ -3,9 +3,9 @@
 Sets of hashed word n-grams are joined at a Jaccard similarity of t in four steps, none
 of which brings all pairs of a group together:
 
-1. Texts with equal words are one node. A pair at t shares at least one of the first
-   n - ceil(t n) + 1 n-grams of each set in any common order; by hash order, this leaves
-   only nodes that share such an n-gram with another node.
+1. Texts with equal words are one node. In hash order, a pair at t >= 0.75 shares nearly
+   a quarter of n n-grams inside the first halves of both sets (see least_shared); nodes
+   that have fewer n-grams of their half in common with all others are done.
 2. For those nodes n-grams are ordered from rare to frequent over all of them, and the
    same prefix rule gives the n-grams on which nodes can meet. Nodes that meet, directly
    or over others, form a candidate group.
@@ -21,19 +21,22 @@ together with a chance of some 2**-64.
 
 from __future__ import annotations
 
+import struct
 from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from blockwright.llm.common import ASCII_LOWER, connected_components, discard, drop_shuffles, durable, groups
+from blockwright.llm.common import ASCII_LOWER, connected_components, drop_shuffles, durable, groups
 
 #: N-grams of the sets that one task holds at a time; larger candidate groups are dealt as pairs of blocks.
 GROUP_TOKENS = 3_000_000
+#: Rows of some 60 bytes that are few enough to send to every task.
+SENT_ROWS = 200_000
 
 
 def shingles(text: str | None, size: int) -> tuple[bytes, np.ndarray]:
@@ -51,6 +54,11 @@ def shingles(text: str | None, size: int) -> tuple[bytes, np.ndarray]:
     return key, np.unique(np.array([h(line[a:b]) for a, b in zip(start.tolist(), end[size - 1 :].tolist())], np.uint64))
 
 
+def word_key(text: str | None) -> bytes | None:
+    words = (text or "").encode().translate(ASCII_LOWER).split()
+    return xxhash.xxh3_128_digest(b" ".join(words)) if words else None
+
+
 def prefix_size(n: int, num: int, den: int) -> int:
     """How many of n n-grams, in any common order, can't all be missing from a set that is similar enough."""
     return n - -(-num * n // den) + 1
@@ -151,6 +159,131 @@ def tree_links(sets: list[np.ndarray], num: int, den: int) -> list[int]:
     return [find(i) for i in range(len(sets))]
 
 
+def half(n: int) -> int:
+    """N-grams, in hash order, by which nodes are first compared."""
+    return max(prefix_size(n, 75, 100), (n + 1) // 2)
+
+
+def least_shared(n: str = "n") -> Column:
+    """How many of half(n) n-grams another node's half has too, if the node is in any pair at 0.75 or more.
+
+    At most n - o n-grams of a set are missing from the other, with o >= 3 (n + m) / 7 of
+    both in common. Up to the smaller of the two ends, the set that ends there has
+    half - (n - o) common ones; over all m in [3n/4, 4n/3] that is half - n + ceil(3n/4) - 1
+    or more for each n (the tests count it out).
+    """
+    p = f"({n} - ceil(75 * {n} / 100) + 1)"
+    return F.expr(f"greatest(1, greatest({p}, ({n} + 1) div 2) - {p})")
+
+
+def meeting(texts: DataFrame, nodes_of, num: int, den: int) -> DataFrame:
+    """(lo, hi, n, maybe): the nodes of texts (t), and whether they can be in a pair.
+
+    nodes_of: gives (key of 16 bytes, sorted distinct n-gram hashes) for each node of a text.
+    lo and hi are the key's halves. N-grams that several nodes of a batch have are counted
+    there and go on as one row, so a frequent n-gram makes a row for each batch, not for
+    each node. Rows are (hash, lo, 1) for an n-gram of one node, (hash, 0, 0) for one of
+    several, and (lo, hi, c < 0) for a node with its size and local count in c.
+    """
+    if 100 * num < 75 * den:
+        raise ValueError("the first comparison is made for similarities of 0.75 or more")
+
+    def emit(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                seen: set[bytes] = set()
+                keys, n, head, size = [], [], [], []
+                for t in batch.column(0).slice(at, 4096).to_pylist():
+                    for key, s in nodes_of(t):
+                        if len(s) and key not in seen:
+                            seen.add(key)
+                            keys.append(key)
+                            n.append(len(s))
+                            q = half(len(s))
+                            head.append(np.asarray(s[:q], np.uint64))
+                            size.append(q)
+                if not keys:
+                    continue
+                lo, hi = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2).T
+                h, own = np.concatenate(head), np.repeat(np.arange(len(keys)), size)
+                order = np.argsort(h)
+                h, own = h[order], own[order]
+                same = np.r_[False, h[1:] == h[:-1]]
+                many = same | np.r_[same[1:], False]
+                local = np.bincount(own[many], minlength=len(keys))
+                stands = many & ~same
+                size_and_local = -1 - (np.array(n, np.int64) * (1 << 31) + local)
+                columns = (
+                    np.r_[h[~many].view(np.int64), h[stands].view(np.int64), lo],
+                    np.r_[lo[own[~many]], np.zeros(stands.sum(), np.int64), hi],
+                    np.r_[np.ones((~many).sum(), np.int64), np.zeros(stands.sum(), np.int64), size_and_local],
+                )
+                for k in range(0, len(columns[0]), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], ["h", "a", "c"])
+
+    def counted(h, a, c):
+        """Nodes of n-grams that more than one node has, with how many of these."""
+        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        one = c == 1
+        big = np.iinfo(np.int64)
+        low, high = np.minimum.reduceat(np.where(one, a, big.max), start), np.maximum.reduceat(np.where(one, a, big.min), start)
+        shared = (low < high) | (np.minimum.reduceat(c, start) == 0)
+        lo, n = np.unique(a[one & np.repeat(shared, np.diff(np.r_[start, len(h)]))], return_counts=True)
+        none = pa.nulls(len(lo), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(lo), none, none, pa.array(n.astype(np.int64))], ["lo", "hi", "n", "held"])
+
+    def count(batches):
+        rest = [np.zeros(0, np.int64)] * 3
+        for b in batches:
+            h, a, c = (x.to_numpy() for x in b.columns)
+            node = c < 0
+            if node.any():
+                packed = -1 - c[node]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[node], a[node], packed >> 31, packed & ((1 << 31) - 1))], ["lo", "hi", "n", "held"])
+            h, a, c = (np.concatenate([r, x[~node]]) for r, x in zip(rest, (h, a, c)))
+            if not len(h):
+                continue
+            last = int(np.searchsorted(h, h[-1]))
+            if last:
+                yield counted(h[:last], a[:last], c[:last])
+            rest = [h[last:], a[last:], c[last:]]
+        if len(rest[0]):
+            yield counted(*rest)
+
+    rows = texts.select("t").mapInArrow(emit, "h long, a long, c long").repartition("h").sortWithinPartitions("h")
+    found = rows.mapInArrow(count, "lo long, hi long, n long, held long")
+    found = found.groupBy("lo").agg(F.sum("held").alias("held"), F.collect_set(F.when(F.col("n").isNotNull(), F.struct("hi", "n"))).alias("nodes"))
+    found = found.select("lo", "held", F.explode("nodes").alias("x")).select("lo", "x.hi", "x.n", "held")
+    return durable(found.select("lo", "hi", "n", (F.col("held") >= least_shared()).alias("maybe")))
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """Broadcast what has been counted and is small; otherwise leave the join to shuffles."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
+def meeting_groups(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, component): nodes of sets (node, n, s) that meet on n-grams of their prefixes, rare n-grams first, directly or over others."""
+    grams = sets.select("node", "n", F.explode("s").alias("h"))
+    often = grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    per_node = Window.partitionBy("node")
+    ranked = grams.join(often, "h").select("node", "n", "h", F.row_number().over(per_node.orderBy("df", "h")).alias("r"), F.count("*").over(per_node).alias("m"))
+    # n-grams of one node only come first in the order, so the prefix has that many fewer of the others
+    head = durable(ranked.where(F.expr(f"r <= n - ceil({num} * n / {den}) + 1 - (n - m)")).select("node", "h"))
+    hub = head.groupBy("h").agg(F.min("node").alias("hub"))
+    return connected_components(head.join(hub, "h").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+
+
+def deal_groups(sets: DataFrame, group: DataFrame) -> DataFrame:
+    """sets with a column task: one for each group, or one for each pair of blocks of a group with many n-grams. Sorted by task inside partitions."""
+    members = sets.join(group.withColumnRenamed("component", "group"), "node")
+    wide = members.groupBy("group").agg(F.ceil(2 * F.sum("n") / GROUP_TOKENS).cast("int").alias("blocks")).where("blocks > 2")
+    dealt = members.join(wide, "group", "left").withColumn("own", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).otherwise(0))
+    pairs = F.when(F.col("blocks").isNull(), F.array(F.lit("-"))).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda x: F.concat_ws("-", F.least(x, "own"), F.greatest(x, "own"))))
+    dealt = dealt.select("group", F.explode(pairs).alias("pair"), *sets.columns).select(F.concat_ws(":", "group", "pair").alias("task"), *sets.columns)
+    return dealt.repartition("task").sortWithinPartitions("task")
+
+
 def shingle_components(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Number of n-grams and component of each row of docs: id, n_shingles, component_id.
 
@@ -164,27 +297,24 @@ def shingle_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def sets_of(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                b = batch.slice(at, 1024)
-                keys, short, n, first = [], [], [], []
-                for t in b.column(1).to_pylist():
-                    key, s = shingles(t, size)
-                    keys.append(key or None)
-                    short.append(int.from_bytes(key[:8], "little", signed=True))
-                    n.append(len(s))
-                    first.append(s[: prefix_size(len(s), num, den)].view(np.int64) if len(s) else s.view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate(first) if first else [], pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(short, pa.int64()), pa.array(n, pa.int64()), lists], ["id", "key", "short", "n", "first"])
-
-    nodes = durable(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(sets_of, f"id {kind}, key binary, short long, n long, first array<long>"))
-    met = nodes.where("n > 0 AND id IS NOT NULL").select("short", F.explode("first").alias("h"))
-    shared = met.groupBy("h").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).where("lo < hi").select("h")
-    maybe = durable(met.join(shared, "h", "left_semi").select("short").distinct())
-    named = nodes.where("n > 0 AND id IS NOT NULL").select("id", "key", "short", "n")
-    reps = named.join(maybe, "short", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
-    reps = durable(reps.withColumn("node", F.monotonically_increasing_id()))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    nodes = meeting(texts.where("id IS NOT NULL"), lambda t: [shingles(t, size)], num, den)
+
+    def sizes_of(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(shingles(t, size)[1]) for t in b.column(1).to_pylist()], pa.int64())], ["id", "n"])
+
+    def keys_of(batches):
+        for b in batches:
+            keys = [word_key(t) for t in b.column(1).to_pylist()]
+            lo, hi = np.frombuffer(b"".join(k or b"\0" * 16 for k in keys), "<i8").reshape(-1, 2).T
+            none = np.array([k is None for k in keys], bool)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lo, mask=none), pa.array(hi, mask=none)], ["id", "lo", "hi"])
+
+    keyed = durable(texts.mapInArrow(keys_of, f"id {kind}, lo long, hi long"))
+    first = durable(keyed.where("id IS NOT NULL AND lo IS NOT NULL").groupBy("lo", "hi").agg(F.min("id").alias("first")))
+    reps = nodes.where("maybe").select("lo", "hi").join(first, ["lo", "hi"]).select(F.monotonically_increasing_id().alias("node"), "lo", "hi", F.col("first").alias("id"))
+    reps = durable(reps)
     drop_shuffles(spark)
 
     def full_sets(batches):
@@ -192,33 +322,19 @@ def shingle_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
             for at in range(0, batch.num_rows, 1024):
                 b = batch.slice(at, 1024)
                 out = []
-                for node, key, t in zip(*[c.to_pylist() for c in b.columns]):
-                    own, s = shingles(t, size)
-                    if own == key:  # else another row of a repeated id
+                for node, lo, hi, t in zip(*[c.to_pylist() for c in b.columns]):
+                    key, s = shingles(t, size)
+                    if key == struct.pack("<qq", lo, hi):  # else another row of a repeated id
                         out.append((node, s.view(np.int64)))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(s) for _, s in out]]), pa.int32()), pa.array(np.concatenate([s for _, s in out]) if out else [], pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), lists], ["node", "s"])
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("id IS NOT NULL")
-    sets = texts.join(reps, "id").select("node", "key", "t").mapInArrow(full_sets, "node long, s array<long>").dropDuplicates(["node"])
+    sets = texts.where("id IS NOT NULL").join(sent(reps), "id").select("node", "lo", "hi", "t").mapInArrow(full_sets, "node long, s array<long>").dropDuplicates(["node"])
     sets = durable(sets.withColumn("n", F.size("s")))
     drop_shuffles(spark)
-    grams = sets.select("node", "n", F.explode("s").alias("h"))
-    often = grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    per_node = Window.partitionBy("node")
-    ranked = grams.join(often, "h").select("node", "n", "h", F.row_number().over(per_node.orderBy("df", "h")).alias("r"), F.count("*").over(per_node).alias("m"))
-    # n-grams of one node only come first in the order, so the prefix has that many fewer of the others
-    head = durable(ranked.where(F.expr(f"r <= n - ceil({num} * n / {den}) + 1 - (n - m)")).select("node", "h"))
-    hub = head.groupBy("h").agg(F.min("node").alias("hub"))
-    group = connected_components(head.join(hub, "h").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    group = meeting_groups(sets, num, den)
     drop_shuffles(spark)
 
-    members = sets.join(group.withColumnRenamed("component", "group"), "node")
-    wide = members.groupBy("group").agg(F.ceil(2 * F.sum("n") / GROUP_TOKENS).cast("int").alias("blocks")).where(f"blocks > 2")
-    dealt = members.join(wide, "group", "left").withColumn("own", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).otherwise(0))
-    pairs = F.when(F.col("blocks").isNull(), F.array(F.lit("-"))).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda x: F.concat_ws("-", F.least(x, "own"), F.greatest(x, "own"))))
-    dealt = dealt.select("group", F.explode(pairs).alias("pair"), "node", "s").select(F.concat_ws(":", "group", "pair").alias("task"), "node", "s")
-
     def join_groups(batches):
         for _, rows in groups(batches):
             found = tree_links([np.array(r[2], np.int64).view(np.uint64) for r in rows], num, den) if len(rows) > 1 else []
@@ -226,13 +342,15 @@ def shingle_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
-    links = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(join_groups, "a long, b long")
+    links = deal_groups(sets.select("node", "s", "n"), group).mapInArrow(join_groups, "a long, b long")
     component = connected_components(links)
 
-    first = named.groupBy("key").agg(F.min("id").alias("first"))
-    joined = reps.select("key", "node").join(component, "node").select("key", "component")
-    of_component = first.join(joined, "key").groupBy("component").agg(F.min("first").alias("least"))
-    moved = joined.join(of_component, "component").select("key", "least")
-    place = durable(first.join(moved, "key", "left").select("key", F.coalesce("least", "first").alias("least")))
-    out = nodes.select("id", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("key")).alias("key"), "n").join(place, "key", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    joined = reps.select("lo", "hi", "node", "id").join(component, "node")
+    least = joined.groupBy("component").agg(F.min("id").alias("least"))
+    moved = joined.join(least, "component").select("lo", "hi", "least")
+    place = nodes.select("lo", "hi", "n").join(first, ["lo", "hi"]).join(moved, ["lo", "hi"], "left").select("lo", "hi", "n", F.coalesce("least", "first").alias("least"))
+    out = keyed.join(durable(place), ["lo", "hi"], "left")
+    if docs.where(F.col(id_col).isNull()).limit(1).count():  # they link with nothing and were left out above
+        lone = texts.where("id IS NULL").mapInArrow(sizes_of, f"id {kind}, n long").select("id", "n", F.lit(None).cast(kind).alias("least"))
+        out = out.where("id IS NOT NULL").select("id", "n", "least").unionByName(lone)
+    return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0).cast("long")).alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
