@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwright.llm import decontaminate, forced_bpe, prefix_counts, sharding, shingle_join, toxicity
+from blockwright.llm import decontaminate, forced_bpe, line_dedup, prefix_counts, sharding, shingle_join, toxicity
 from blockwright.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.shingle_components(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forced_bpe.digests(forced_bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_shards": op8_shards,
     "op9_shingle_join": op9_shingle_join,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {
     "op7_decontaminate": decontaminate.SQL,
