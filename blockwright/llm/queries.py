@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwright.llm import decontaminate, forced_bpe, line_dedup, prefix_counts, sharding, shingle_join, toxicity
+from blockwright.llm import decontaminate, forced_bpe, line_dedup, prefix_counts, sharding, shingle_join, suffix_dedup, toxicity
 from blockwright.llm.common import table
 
 
@@ -50,12 +50,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forced_bpe.digests(forced_bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op5_bpe": op5_bpe,
     "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
