@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwright.llm import decontaminate, forced_bpe, line_dedup, prefix_counts, sharding, shingle_join, suffix_dedup, toxicity
+from blockwright.llm import decontaminate, forced_bpe, hmm_score, line_dedup, prefix_counts, sharding, shingle_join, suffix_dedup, toxicity
 from blockwright.llm.common import table
 
 
@@ -54,6 +54,12 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op4_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = hmm_score.score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 5) != 1)
+    held_out = F.coalesce(fold("doc_id", 5) == 1, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forced_bpe.digests(forced_bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
@@ -61,6 +67,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_hmm_score": op4_hmm_score,
     "op5_bpe": op5_bpe,
     "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
