@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwright.llm import decontaminate, forced_bpe, hmm_score, line_dedup, prefix_counts, sharding, shingle_join, suffix_dedup, toxicity
+from blockwright.llm import decontaminate, forced_bpe, hmm_score, line_dedup, prefix_counts, sharding, shingle_join, suffix_dedup, toxicity, vector_dedup
 from blockwright.llm.common import table
 
 
@@ -17,6 +17,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.vector_components(table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 512)
 
@@ -65,6 +69,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_vector_dedup": op1_vector_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_hmm_score": op4_hmm_score,
