@@ -44,13 +44,13 @@ def windows_of(items: DataFrame, size: int, id_col: str, text_col: str) -> DataF
     return w.select("item", "words", at.alias("at")).select("item", F.transform(F.slice("words", F.col("at"), size), lowered).alias("words")).select("item", "words", F.concat_ws(" ", "words").alias("window"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = 13, per: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, size: int = 13, per: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Words of each row of docs that stand in a window of items: id, n_words, n_hit, n_items, items, contaminated.
 
     items (array of strings, sorted) are the items with a window in the text. contaminated:
     n_hit > 0 and per * n_hit >= n_words. One row comes out for each row that goes in: null
     ids and repeated rows stay, a null text has no words. Items with a null id, a null text
-    or no words have no windows; rows of one item id add up. Other columns are left out.
+    or no words have no windows; rows of one item id add up. Columns named in keep are passed on.
     """
     wins = durable(windows_of(items, size, item_col, item_text_col).distinct())
     in_use = wins.select(F.explode("words").alias("w")).select(F.lower("w").alias("w")).distinct()
@@ -76,10 +76,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13, per: int =
     whose = wins.select("window", F.col("item").cast("string").alias("item"))
     named = found.select("id", "mark", "window").distinct().join(whose, "window").groupBy("id", "mark").agg(F.array_sort(F.collect_set("item")).alias("items"))
     one = hit.withColumnsRenamed({"id": "hid", "mark": "hmark"}).join(named, F.col("hid").eqNullSafe(F.col("id")) & (F.col("hmark") == F.col("mark"))).select("hid", "hmark", "n_hit", "items")
-    base = texts.select("id", F.xxhash64("t").alias("mark"), F.coalesce(F.regexp_count("t", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
-    out = base.join(one, F.col("hid").eqNullSafe(F.col("id")) & (F.col("hmark") == F.col("mark")), "left")
+    one = durable(one)
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), *[F.col(c).alias(f"__{c}") for c in keep], F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    out = base.join(send(one, one.count()), F.col("hid").eqNullSafe(F.col("id")) & (F.col("hmark") == F.col("mark")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (per * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (per * n_hit >= F.col("n_words"))).alias("contaminated"), *[F.col(f"__{c}").alias(c) for c in keep])
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
