@@ -13,8 +13,6 @@ groups are joined in tasks of bounded size.
 
 from __future__ import annotations
 
-from itertools import accumulate, chain
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,19 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockwright.llm.common import ASCII_LOWER, drop_shuffles, durable, groups
-from blockwright.llm.shingle_join import deal_groups, meeting, meeting_groups, prefix_size, sent
+from blockwright.llm.shingle_join import as_lists, deal_groups, gram_sets, meeting, meeting_groups, prefix_size, sent
 
 
-def line_tokens(line: bytes, size: int) -> tuple[bytes, list[int]]:
-    """The line's words with single spaces between, and its distinct tokens as sorted 64-bit hashes."""
-    words = line.split()
-    if not words:
-        return b"", []
-    plain = b" ".join(words)
-    if len(words) <= size:
-        return plain, [xxhash.xxh3_64_intdigest(plain)]
-    ends, h = list(accumulate([len(w) + 1 for w in words])), xxhash.xxh3_64_intdigest
-    return plain, sorted({h(plain[a : b - 1]) for a, b in zip(chain((0,), ends), ends[size - 1 :])})
+def lines_in(text: str | None) -> list[bytes]:
+    return (text or "").encode().split(b"\n")
 
 
 def later_matches(sets: list[list[int]], num: int, den: int) -> list[int]:
@@ -84,20 +74,14 @@ def dedup_lines(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, i
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("t"))
 
-    def tokens_of(text):
-        for line in set((text or "").encode().translate(ASCII_LOWER).split(b"\n")):
-            plain, s = line_tokens(line, size)
-            if s:
-                yield xxhash.xxh3_128_digest(plain), s
-
     def lines_of(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 b = batch.slice(at, 2048)
                 row, no, keys = [], [], []
                 for r, t in enumerate(b.column(2).to_pylist()):
-                    for k, line in enumerate((t or "").encode().translate(ASCII_LOWER).split(b"\n")):
-                        words = line.split()
+                    for k, line in enumerate(lines_in(t)):
+                        words = line.translate(ASCII_LOWER).split()
                         if words:
                             row.append(r)
                             no.append(k)
@@ -106,7 +90,7 @@ def dedup_lines(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, i
                 take = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(no, pa.int32()), pa.array(lo), pa.array(hi)], ["id", "mark", "line", "lo", "hi"])
 
-    maybe = meeting(texts, tokens_of, num, den).where("maybe")
+    maybe = meeting(texts, lines_in, size, num, den).where("maybe")
     drop_shuffles(spark)
     lines = durable(texts.mapInArrow(lines_of, f"id {kind}, mark long, line int, lo long, hi long"))
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("mark"), F.col("line"))
@@ -118,12 +102,14 @@ def dedup_lines(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, i
     def sets_of(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                out: list[tuple[int, list[int]]] = []
+                node, units = [], []
                 for t, wanted in zip(*[c.to_pylist() for c in batch.slice(at, 512).columns]):
-                    split = t.encode().translate(ASCII_LOWER).split(b"\n")
-                    out += [(w["node"], line_tokens(split[w["line"]], size)[1]) for w in wanted]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(s) for _, s in out]]), pa.int32()), pa.array(np.array([x for _, s in out for x in s], np.uint64).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), lists], ["node", "s"])
+                    split = lines_in(t)
+                    node += [w["node"] for w in wanted]
+                    units += [split[w["line"]] for w in wanted]
+                for k in range(0, len(units), 1 << 16):
+                    _, n, h = gram_sets(units[k : k + (1 << 16)], size)
+                    yield pa.RecordBatch.from_arrays([pa.array(node[k : k + (1 << 16)], pa.int64()), as_lists(n, h)], ["node", "s"])
 
     per_text = nodes.groupBy("id", "mark").agg(F.collect_list(F.struct("node", "line")).alias("wanted")).withColumnsRenamed({"id": "wid", "mark": "wmark"})
     same = F.col("id").eqNullSafe(F.col("wid")) & (F.col("mark") == F.col("wmark"))

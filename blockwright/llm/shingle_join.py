@@ -3,9 +3,9 @@
 Sets of hashed word n-grams are joined at a Jaccard similarity of t in four steps, none
 of which brings all pairs of a group together:
 
-1. Texts with equal words are one node. In hash order, a pair at t >= 0.75 shares nearly
-   a quarter of n n-grams inside the first halves of both sets (see least_shared); nodes
-   that have fewer n-grams of their half in common with all others are done.
+1. Texts with equal words are one node. A pair at t >= 0.75 has n-grams in common among
+   the first of both sets in any order (see first_part, least_shared); here long ones come
+   first. Nodes that have too few of their first n-grams in common with others are done.
 2. For those nodes n-grams are ordered from rare to frequent over all of them, and the
    same prefix rule gives the n-grams on which nodes can meet. Nodes that meet, directly
    or over others, form a candidate group.
@@ -15,14 +15,15 @@ of which brings all pairs of a group together:
    Groups with many n-grams are dealt as pairs of blocks of bounded size.
 4. The links found join nodes into components.
 
-N-grams are compared by 64-bit hashes: two different ones of one pair of texts fall
-together with a chance of some 2**-64.
+N-grams are compared by their length and 56 bits of hash: two different ones of one length
+and one pair of texts fall together with a chance of some 2**-56.
 """
 
 from __future__ import annotations
 
 import struct
 from bisect import bisect_right
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,23 +36,75 @@ from blockwright.llm.common import ASCII_LOWER, connected_components, drop_shuff
 
 #: N-grams of the sets that one task holds at a time; larger candidate groups are dealt as pairs of blocks.
 GROUP_TOKENS = 3_000_000
+#: Rows whose texts are in memory at a time.
+SLICE = 1_024
 #: Rows of some 60 bytes that are few enough to send to every task.
 SENT_ROWS = 200_000
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, remembered up to a number of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 400_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+HASHES = WordHashes()
+#: Odd numbers that tell the places of an n-gram apart.
+PLACES = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(1, 65)]
+
+
+def gram_sets(units: list[bytes], size: int) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
+    """Key of each unit's word sequence, number of its distinct n-grams, and these, unit by unit, in ascending order.
+
+    A-Z count as lower case. A unit without words has no key and no n-grams; one with fewer
+    words than size has the whole sequence as one. An n-gram is 8 bits that fall with its
+    length in bytes and 56 bits of hash: in this order long n-grams come first, which are
+    rarely frequent ones.
+    """
+    if len(units) > 1 << 16:
+        raise ValueError("units are numbered by 16 bits")
+    split = [u.translate(ASCII_LOWER).split() for u in units]
+    keys = [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in split]
+    count = np.fromiter(map(len, split), np.int64, len(split))
+    flat = list(chain.from_iterable(split))
+    word = np.fromiter(map(HASHES.__getitem__, flat), np.uint64, len(flat))
+    end = np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)) + 1)
+    first = np.cumsum(count) - count
+    grams = np.maximum(count - size + 1, np.minimum(count, 1))
+    own = np.repeat(np.arange(len(units)), grams)
+    at = np.arange(len(own)) - np.repeat(np.cumsum(grams) - grams, grams) + first[own]
+    h = np.zeros(len(own), np.uint64)
+    for k in range(size):
+        inside = at + k < (first + count)[own]
+        h[inside] += word[at[inside] + k] * PLACES[k]
+    last = np.minimum(at + size, (first + count)[own]) - 1
+    long = end[last] - np.where(at > 0, end[at - 1], 0) - 1 if len(at) else at
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h = (np.uint64(255) - np.minimum(long, 255).astype(np.uint64)) << np.uint64(56) | h >> np.uint64(8)
+    order = np.argsort(h)
+    order = order[np.argsort(own[order].astype(np.uint16), kind="stable")]
+    h, own = h[order], own[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])][: len(h)]
+    return keys, np.bincount(own[new], minlength=len(units)), h[new]
+
+
 def shingles(text: str | None, size: int) -> tuple[bytes, np.ndarray]:
-    """Key of the word sequence and its distinct n-grams as sorted 64-bit hashes; none without words."""
-    words = (text or "").encode().translate(ASCII_LOWER).split()
-    if not words:
-        return b"", np.zeros(0, np.uint64)
-    line = b" ".join(words)
-    key = xxhash.xxh3_128_digest(line)
-    if len(words) <= size:
-        return key, np.array([xxhash.xxh3_64_intdigest(line)], np.uint64)
-    end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    start = np.r_[0, end[: -size] + 1]
-    h = xxhash.xxh3_64_intdigest
-    return key, np.unique(np.array([h(line[a:b]) for a, b in zip(start.tolist(), end[size - 1 :].tolist())], np.uint64))
+    """Key and distinct n-grams of one text; none without words."""
+    keys, _, h = gram_sets([(text or "").encode()], size)
+    return keys[0] or b"", h
+
+
+def head_of(n: np.ndarray, h: np.ndarray, most) -> np.ndarray:
+    """For each entry of h, whether it is one of its unit's first most(n)."""
+    place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    return place < np.repeat(most(n), n)
 
 
 def word_key(text: str | None) -> bytes | None:
@@ -64,6 +117,10 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def as_lists(n: np.ndarray, h: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(h.view(np.int64)))
+
+
 class PrefixTree:
     """Sorted integer sets as a compressed tree in preorder."""
 
@@ -159,28 +216,27 @@ def tree_links(sets: list[np.ndarray], num: int, den: int) -> list[int]:
     return [find(i) for i in range(len(sets))]
 
 
-def half(n: int) -> int:
-    """N-grams, in hash order, by which nodes are first compared."""
-    return max(prefix_size(n, 75, 100), (n + 1) // 2)
+def first_part(n):
+    """N-grams, in their order, by which nodes are first compared: a prefix and a twelfth."""
+    return np.minimum(n, prefix_size(n, 75, 100) + n // 12)
 
 
-def least_shared(n: str = "n") -> Column:
-    """How many of half(n) n-grams another node's half has too, if the node is in any pair at 0.75 or more.
+def least_shared() -> Column:
+    """How many n-grams of its first part another node's first part has too, if a node is in any pair at 0.75 or more.
 
     At most n - o n-grams of a set are missing from the other, with o >= 3 (n + m) / 7 of
-    both in common. Up to the smaller of the two ends, the set that ends there has
-    half - (n - o) common ones; over all m in [3n/4, 4n/3] that is half - n + ceil(3n/4) - 1
-    or more for each n (the tests count it out).
+    both in common. Up to the smaller of the two ends, the set that ends there has its
+    part less (n - o) common ones; the tests count out that over all m in [3n/4, 4n/3] this
+    is at least the part less a prefix.
     """
-    p = f"({n} - ceil(75 * {n} / 100) + 1)"
-    return F.expr(f"greatest(1, greatest({p}, ({n} + 1) div 2) - {p})")
+    p = "(n - ceil(75 * n / 100) + 1)"
+    return F.expr(f"greatest(1, least(n, {p} + n div 12) - {p})")
 
 
-def meeting(texts: DataFrame, nodes_of, num: int, den: int) -> DataFrame:
+def meeting(texts: DataFrame, units_of, size: int, num: int, den: int) -> DataFrame:
     """(lo, hi, n, maybe): the nodes of texts (t), and whether they can be in a pair.
 
-    nodes_of: gives (key of 16 bytes, sorted distinct n-gram hashes) for each node of a text.
-    lo and hi are the key's halves. N-grams that several nodes of a batch have are counted
+    units_of: gives the byte strings of a text that are nodes. lo and hi are the key's halves. N-grams that several nodes of a batch have are counted
     there and go on as one row, so a frequent n-gram makes a row for each batch, not for
     each node. Rows are (hash, lo, 1) for an n-gram of one node, (hash, 0, 0) for one of
     several, and (lo, hi, c < 0) for a node with its size and local count in c.
@@ -190,36 +246,35 @@ def meeting(texts: DataFrame, nodes_of, num: int, den: int) -> DataFrame:
 
     def emit(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                seen: set[bytes] = set()
-                keys, n, head, size = [], [], [], []
-                for t in batch.column(0).slice(at, 4096).to_pylist():
-                    for key, s in nodes_of(t):
-                        if len(s) and key not in seen:
-                            seen.add(key)
-                            keys.append(key)
-                            n.append(len(s))
-                            q = half(len(s))
-                            head.append(np.asarray(s[:q], np.uint64))
-                            size.append(q)
-                if not keys:
-                    continue
-                lo, hi = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2).T
-                h, own = np.concatenate(head), np.repeat(np.arange(len(keys)), size)
-                order = np.argsort(h)
-                h, own = h[order], own[order]
-                same = np.r_[False, h[1:] == h[:-1]]
-                many = same | np.r_[same[1:], False]
-                local = np.bincount(own[many], minlength=len(keys))
-                stands = many & ~same
-                size_and_local = -1 - (np.array(n, np.int64) * (1 << 31) + local)
-                columns = (
-                    np.r_[h[~many].view(np.int64), h[stands].view(np.int64), lo],
-                    np.r_[lo[own[~many]], np.zeros(stands.sum(), np.int64), hi],
-                    np.r_[np.ones((~many).sum(), np.int64), np.zeros(stands.sum(), np.int64), size_and_local],
-                )
-                for k in range(0, len(columns[0]), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], ["h", "a", "c"])
+            for at in range(0, batch.num_rows, SLICE):
+                units = list({u for t in batch.column(0).slice(at, SLICE).to_pylist() for u in units_of(t)})
+                for part in range(0, len(units), 1 << 16):
+                    yield from emit_units(units[part : part + (1 << 16)])
+
+    def emit_units(units):
+        keys, n, h = gram_sets(units, size)
+        seen: set[bytes | None] = {None}
+        new = np.array([not (k in seen or seen.add(k)) for k in keys], bool)  # units that differ in white space or case only are one node
+        if not new.any():
+            return
+        take = np.repeat(new, n) & head_of(n, h, first_part)
+        own = np.repeat(np.cumsum(new) - 1, n)[take]
+        h, n, keys = h[take], n[new], [k for k, x in zip(keys, new) if x]
+        lo, hi = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2).T
+        order = np.argsort(h)
+        h, own = h[order], own[order]
+        same = np.r_[False, h[1:] == h[:-1]]
+        many = same | np.r_[same[1:], False]
+        local = np.bincount(own[many], minlength=len(keys))
+        stands = many & ~same
+        size_and_local = -1 - (n.astype(np.int64) * (1 << 31) + local)
+        columns = (
+            np.r_[h[~many].view(np.int64), h[stands].view(np.int64), lo],
+            np.r_[lo[own[~many]], np.zeros(stands.sum(), np.int64), hi],
+            np.r_[np.ones((~many).sum(), np.int64), np.zeros(stands.sum(), np.int64), size_and_local],
+        )
+        for k in range(0, len(columns[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], ["h", "a", "c"])
 
     def counted(h, a, c):
         """Nodes of n-grams that more than one node has, with how many of these."""
@@ -298,7 +353,7 @@ def shingle_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
     kind = docs.schema[id_col].dataType.simpleString()
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    nodes = meeting(texts.where("id IS NOT NULL"), lambda t: [shingles(t, size)], num, den)
+    nodes = meeting(texts.where("id IS NOT NULL"), lambda t: [(t or "").encode()], size, num, den)
 
     def sizes_of(batches):
         for b in batches:
@@ -319,15 +374,11 @@ def shingle_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
 
     def full_sets(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                b = batch.slice(at, 1024)
-                out = []
-                for node, lo, hi, t in zip(*[c.to_pylist() for c in b.columns]):
-                    key, s = shingles(t, size)
-                    if key == struct.pack("<qq", lo, hi):  # else another row of a repeated id
-                        out.append((node, s.view(np.int64)))
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(s) for _, s in out]]), pa.int32()), pa.array(np.concatenate([s for _, s in out]) if out else [], pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), lists], ["node", "s"])
+            for at in range(0, batch.num_rows, SLICE):
+                node, lo, hi, t = (c.to_pylist() for c in batch.slice(at, SLICE).columns)
+                keys, n, h = gram_sets([x.encode() for x in t], size)
+                own = np.array([k == struct.pack("<qq", a, b) for k, a, b in zip(keys, lo, hi)], bool)  # else another row of a repeated id
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(node)[own], pa.int64()), as_lists(n[own], h[np.repeat(own, n)])], ["node", "s"])
 
     sets = texts.where("id IS NOT NULL").join(sent(reps), "id").select("node", "lo", "hi", "t").mapInArrow(full_sets, "node long, s array<long>").dropDuplicates(["node"])
     sets = durable(sets.withColumn("n", F.size("s")))
