@@ -16,6 +16,8 @@ sorted again across shards. The least document of an interval keeps its string.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,7 +29,7 @@ from blockwright.llm.common import drop_shuffles, durable, groups
 #: Bytes of an anchor.
 GRAM = 24
 #: Bytes of pieces that are merged at a time.
-MERGE_BYTES = 1 << 20
+MERGE_BYTES = 1 << 18
 #: Rows of one anchor beyond which its pieces meet by 37 and 38 bytes instead of 24.
 HOT_ROWS = 4_000
 MULTIPLIER = 6364136223846793005
@@ -79,69 +81,250 @@ def transform(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a shard's Burrows-Wheeler transform: character before each suffix, and its place in the shard's text.
 
     Each piece ends in a mark of its own, less than all bytes and in the order of the
-    pieces. Marks come as 0, bytes as 1 to 256.
+    pieces. Marks come as 0, bytes one higher (255 stands in no UTF-8 text).
     """
-    text = np.concatenate([np.r_[np.frombuffer(p, np.uint8).astype(np.int64) + 1, 0] for p in pieces])
+    text = (np.frombuffer(b"\xff".join([*pieces, b""]), np.uint8) + np.uint8(1)).copy()
     n, mark = len(text), text == 0
-    rank = text + len(pieces)
-    rank[mark] = np.arange(mark.sum())
-    longest, span = max(map(len, pieces)) + 1, 1
+    number = np.cumsum(mark) - mark + 1  # of the piece a place is in
+    until = np.flatnonzero(mark)[number - 1] - np.arange(n)
+    key = np.zeros(n, np.int64)
+    wide = np.r_[text, np.zeros(5, np.uint8)].astype(np.int64)
+    for k in range(5):
+        key = key * 256 + np.where(until > k, wide[k : k + n], 0)
+    key = key * (len(pieces) + 1) + np.where(until < 5, number, 0)
+    longest, span = max(map(len, pieces)) + 1, 5
+    rank = np.empty(n, np.int64)
     while True:
-        order = np.argsort(rank, kind="stable")
-        sorted_rank = rank[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[False, sorted_rank[1:] != sorted_rank[:-1]])
+        order = np.argsort(key)
+        key = key[order]
+        rank[order] = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
         if span >= longest or rank[order[-1]] == n - 1:
-            break
-        behind = np.r_[rank[span:], np.zeros(min(span, n), np.int64)][:n] + 1
-        rank, span = rank * (n + 1) + behind, 2 * span
-    return text[order - 1], order
+            return text[order - 1], order
+        behind = np.zeros(n, np.int64)
+        behind[: n - span] = rank[span:] + 1
+        key, span = rank * (n + 1) + behind, 2 * span
 
 
 def merge(one: np.ndarray, two: np.ndarray, marks_one: int, marks_two: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave of two transforms (False: a row of one), and for each row whether a new interval of common length-prefixes starts there."""
     n = len(one) + len(two)
     marks = marks_one + marks_two
-    from_two = np.r_[np.zeros(len(one), bool), np.ones(len(two), bool)]
-    fixed = np.r_[np.zeros(marks_one, bool), np.ones(marks_two, bool)]  # rows of the marks themselves
-    block, starts, rounds = np.zeros(n, np.int64), None, 0
-    chars = np.empty(n, np.int16)
+    from_two = np.zeros(n, bool)
+    from_two[len(one) :] = True
+    fixed = from_two[:0].tolist() + [False] * marks_one + [True] * marks_two  # rows of the marks themselves
+    block, new, rounds = np.zeros(n, np.int32), np.ones(n, bool), 0
+    chars, turned = np.empty(n, np.uint8), np.empty(n, bool)
+    turned[:marks] = fixed
     while True:
         chars[~from_two], chars[from_two] = one, two
         order = np.argsort(chars, kind="stable")[marks:]
-        turned = np.r_[fixed, from_two[order]]
+        turned[marks:] = from_two[order]
         if rounds < length:
             c, b = chars[order], block[order]
-            new = np.r_[np.ones(marks + 1, bool), (c[1:] != c[:-1]) | (b[1:] != b[:-1])][:n]
-            block, starts = np.cumsum(new), new
+            new[marks + 1 :] = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
+            np.cumsum(new, out=block)
         rounds += 1
         settled = np.array_equal(turned, from_two)
-        from_two = turned
+        from_two[:] = turned
         if settled and rounds >= length:
-            return from_two, starts
+            return from_two, new
 
 
-def repeated(pieces: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each window of each piece: the least document among all pieces that hold the same string."""
+def repeated(pieces: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of the pieces, one after the other: the least document among all pieces that hold the same string; and each piece's first entry."""
     middle = (len(pieces) + 1) // 2
-    shards = [pieces[:middle], pieces[middle:]]
-    docs_of = np.concatenate([np.full(len(p) + 1, d) for p, d in zip(pieces, docs)])
-    (one, at_one), (two, at_two) = transform(shards[0]), transform(shards[1])
-    from_two, starts = merge(one.astype(np.int16), two.astype(np.int16), middle, len(pieces) - middle, length)
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
+    docs_of = np.repeat(docs, size)
+    (one, at_one), (two, at_two) = transform(pieces[:middle]), transform(pieces[middle:])
+    from_two, starts = merge(one, two, middle, len(pieces) - middle, length)
     place = np.empty(len(from_two), np.int64)
     place[~from_two], place[from_two] = at_one, at_two + len(one)
     first = np.flatnonzero(starts)
-    least = np.minimum.reduceat(docs_of[place], first)
     out = np.empty(len(place), np.int64)
-    out[place] = np.repeat(least, np.diff(np.r_[first, len(place)]))
-    ends = np.cumsum([len(p) + 1 for p in pieces])
-    return [out[e - len(p) - 1 : e - length] for p, e in zip(pieces, ends)]
-
+    out[place] = np.repeat(np.minimum.reduceat(docs_of[place], first), np.diff(np.append(first, len(place))))
+    return out, np.cumsum(size) - size
+
+
+def find(batches, length: int):
+    """(h, lo, c) of anchors: c = 1 for one of one text of the batch; for one of several, one row with c = 0 and one with c = -1 for each text."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 4096):
+            part = batch.slice(start, 4096)
+            h, own, seen = [], [], set()
+            for t, lo in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                if lo not in seen:
+                    seen.add(lo)
+                    found = np.unique(anchors(np.frombuffer(t.encode(), np.uint8), length)[0])
+                    h.append(found)
+                    own.append(np.full(len(found), lo))
+            if not h:
+                continue
+            h, own = np.concatenate(h), np.concatenate(own)
+            order = np.argsort(h, kind="stable")
+            h, own = h[order], own[order]
+            same = np.r_[False, h[1:] == h[:-1]]
+            many = same | np.r_[same[1:], False]
+            stands = many & ~same
+            columns = (np.r_[h[~many], h[stands], h[many]], np.r_[own[~many], np.zeros(stands.sum(), np.int64), own[many]], np.r_[np.ones((~many).sum(), np.int32), np.zeros(stands.sum(), np.int32), np.full(many.sum(), -1, np.int32)])
+            for k in range(0, len(columns[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], ["h", "lo", "c"])
+
+
+def shared(h, lo, c):
+    start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    size = np.diff(np.r_[start, len(h)])
+    one, big = c == 1, np.iinfo(np.int64)
+    low, high = np.minimum.reduceat(np.where(one, lo, big.max), start), np.maximum.reduceat(np.where(one, lo, big.min), start)
+    both = (low < high) | (np.minimum.reduceat(c, start) <= 0)
+    take = (c != 0) & np.repeat(both, size)
+    hot = np.repeat(size > HOT_ROWS, size)
+    return pa.RecordBatch.from_arrays([pa.array(lo[take]), pa.array(h[take]), pa.array(hot[take])], ["lo", "h", "hot"])
+
+
+def keep_shared(batches):
+    rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+    for b in batches:
+        h, lo, c = (np.concatenate([r, x.to_numpy()]) for r, x in zip(rest, b.columns))
+        if not len(h):
+            continue
+        last = int(np.searchsorted(h, h[-1]))
+        if last:
+            yield shared(h[:last], lo[:last], c[:last])
+        rest = [h[last:], lo[last:], c[last:]]
+    if len(rest[0]):
+        yield shared(*rest)
+
+
+def cut(batches, length: int):
+    """Pieces around shared anchors. Of equal pieces of a batch the least document's goes on; later documents lose theirs here."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 2048):
+            rows = sorted(zip(*[c.to_pylist() for c in batch.slice(start, 2048).columns]), key=lambda r: r[0])
+            out: dict[tuple[int, bytes, int], tuple[int, int, list[int]]] = {}
+            covered: list[tuple[int, int, int]] = []
+            others: list[tuple] = []
+            for doc, lo, t, met, hot in rows:
+                raw = t.encode()
+                h, at, a, z = anchors(np.frombuffer(raw, np.uint8), length)
+                hot_here = np.isin(h, np.array(hot, np.int64))
+                use = np.isin(h, np.array(met, np.int64)) | hot_here
+                for v, p, s, e, wide in zip(h[use].tolist(), at[use].tolist(), a[use].tolist(), z[use].tolist(), hot_here[use].tolist()):
+                    parts = [(v, s, e)]
+                    if wide:  # windows that reach 13 bytes behind the anchor, and the others, meet by what they have in common
+                        edge = p + GRAM + 13 - length
+                        left, right = raw[max(0, p - 14) : p + GRAM], raw[p : p + GRAM + 13]
+                        parts = [(xxhash.xxh3_64_intdigest(b"<" + left) - (1 << 63), s, min(e, edge - 1)), (xxhash.xxh3_64_intdigest(b">" + right) - (1 << 63), max(s, edge), e)]
+                    for key, s1, e1 in parts:
+                        if s1 <= e1:
+                            piece = raw[s1 : e1 + length]
+                            known_at = out.setdefault((key, piece, p - s1), (doc, lo, []))
+                            if known_at[:2] == (doc, lo):
+                                known_at[2].append(s1)
+                            elif known_at[0] < doc:
+                                covered.append((lo, s1, e1))
+                            else:
+                                others.append((key, piece, p - s1, doc, lo, [s1]))
+            items = [(k, piece, rel, doc, lo, at) for (k, piece, rel), (doc, lo, at) in out.items()] + others
+            items += [(lo, None, None, None, lo, [s, e]) for lo, s, e in covered]
+            for k in range(0, len(items), 20_000):
+                part = items[k : k + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in part], t) for j, t in enumerate((pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["key", "piece", "rel", "doc", "lo", "at"])
+
+
+def lose(batches, length: int):
+    """(lo, first, last): runs of windows that a smaller document has."""
+    waiting: list[tuple] = []
+    size = 0
+    done: list[tuple[int, int, int]] = []
+
+    def flush():
+        nonlocal size
+        kinds: dict[bytes, int] = {}
+        for r in waiting:
+            kinds[r[1]] = min(kinds.get(r[1], r[3]), r[3])
+        if len(kinds) > 1:
+            least, first = repeated(list(kinds), np.array(list(kinds.values())), length)
+            first = dict(zip(kinds, first.tolist()))
+        elif kinds:
+            (piece, doc), = kinds.items()
+            least, first = np.full(len(piece), doc), {piece: 0}
+        if kinds:
+            windows = np.array([len(r[1]) - length + 1 for r in waiting])
+            row = np.repeat(np.arange(len(waiting)), windows)
+            inner = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+            lost = np.flatnonzero(least[np.array([first[r[1]] for r in waiting])[row] + inner] < np.array([r[3] for r in waiting])[row])
+            if len(lost):
+                r, w = row[lost], inner[lost]
+                new = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (w[1:] != w[:-1] + 1)))
+                for k, a, z in zip(r[new].tolist(), w[new].tolist(), w[np.append(new[1:], len(w)) - 1].tolist()):
+                    done.extend((waiting[k][4], s + a, s + z) for s in waiting[k][5])
+        waiting.clear()
+        size = 0
 
-def runs(covered: np.ndarray) -> list[tuple[int, int]]:
-    """(first, last) of the runs of True."""
-    edge = np.flatnonzero(np.diff(np.r_[False, covered, False]))
-    return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist()))
+    def taken():
+        out = pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["lo", "first", "last"])
+        done.clear()
+        return out
+
+    for _, rows in groups(batches):
+        done.extend((r[4], *r[5]) for r in rows if r[1] is None)
+        rows = [r for r in rows if r[1] is not None]
+        if len(rows) > 1:
+            kinds = {r[1:3] for r in rows}
+            if len(kinds) == 1:
+                least = min(r[3] for r in rows)
+                done.extend((r[4], s, s + len(r[1]) - length) for r in rows if r[3] > least for s in r[5])
+            else:  # a common window reaches 13 bytes behind the anchor or 13 before it
+                sides: dict[tuple[bool, bytes], int] = {}
+                for piece, rel in kinds:
+                    for side in ((True, piece[rel + GRAM : rel + GRAM + 13]), (False, piece[max(0, rel - 13) : rel])):
+                        if len(side[1]) == 13:
+                            sides[side] = sides.get(side, 0) + 1
+                kept_by: dict[tuple[bytes, int], list[tuple]] = {}
+                for r in rows:
+                    kept_by.setdefault(r[1:3], []).append(r)
+                for (piece, rel), same in kept_by.items():
+                    if sides.get((True, piece[rel + GRAM : rel + GRAM + 13]), 0) > 1 or sides.get((False, piece[max(0, rel - 13) : rel]), 0) > 1:
+                        waiting.extend(same)
+                        size += len(piece) + 1
+                    elif len(same) > 1:  # nothing but its copies can hold its windows
+                        least = min(r[3] for r in same)
+                        done.extend((r[4], s, s + len(piece) - length) for r in same if r[3] > least for s in r[5])
+                if size > MERGE_BYTES:
+                    flush()
+        if len(done) > 20_000:
+            yield taken()
+    flush()
+    if done:
+        yield taken()
+
+
+def strip(batches, length: int):
+    for batch in batches:
+        for start in range(0, batch.num_rows, 512):
+            part = batch.slice(start, 512)
+            ids, sizes, gone, spans, kept = part.column(0), [], [], [], []
+            for i, t, source, found in zip(*[c.to_pylist() for c in part.columns]):
+                raw = t.encode()
+                n = len(raw)
+                cover: list[tuple[int, int]] = []
+                if i is not None and n >= length and source is not None and i > source:
+                    cover = [(0, n)]
+                elif i is not None and found:
+                    for a, z in sorted((r["first"], r["last"] + length) for r in found):
+                        if cover and a <= cover[-1][1]:
+                            cover[-1] = (cover[-1][0], max(z, cover[-1][1]))
+                        else:
+                            cover.append((a, z))
+                left, at = [], 0
+                for a, z in cover:
+                    left.append(raw[at:a])
+                    at = z
+                sizes.append(n)
+                gone.append(sum(z - a for a, z in cover))
+                spans.append([{"start": a, "end": z} for a, z in cover])
+                kept.append(b"".join([*left, raw[at:]]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["id", "n_bytes", "n_removed", "spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,188 +345,25 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     known = marked.where(f"id IS NOT NULL AND octet_length(t) >= {length}")
     first = durable(known.groupBy("lo", "hi").agg(F.min("id").alias("first")))
 
-    def find(batches):
-        """(h, lo, c) of anchors: c = 1 for one of one text of the batch; for one of several, one row with c = 0 and one with c = -1 for each text."""
-        for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
-                h, own, seen = [], [], set()
-                for t, lo in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    if lo not in seen:
-                        seen.add(lo)
-                        found = np.unique(anchors(np.frombuffer(t.encode(), np.uint8), length)[0])
-                        h.append(found)
-                        own.append(np.full(len(found), lo))
-                if not h:
-                    continue
-                h, own = np.concatenate(h), np.concatenate(own)
-                order = np.argsort(h, kind="stable")
-                h, own = h[order], own[order]
-                same = np.r_[False, h[1:] == h[:-1]]
-                many = same | np.r_[same[1:], False]
-                stands = many & ~same
-                columns = (np.r_[h[~many], h[stands], h[many]], np.r_[own[~many], np.zeros(stands.sum(), np.int64), own[many]], np.r_[np.ones((~many).sum(), np.int32), np.zeros(stands.sum(), np.int32), np.full(many.sum(), -1, np.int32)])
-                for k in range(0, len(columns[0]), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], ["h", "lo", "c"])
-
-    def shared(h, lo, c):
-        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        size = np.diff(np.r_[start, len(h)])
-        one, big = c == 1, np.iinfo(np.int64)
-        low, high = np.minimum.reduceat(np.where(one, lo, big.max), start), np.maximum.reduceat(np.where(one, lo, big.min), start)
-        both = (low < high) | (np.minimum.reduceat(c, start) <= 0)
-        take = (c != 0) & np.repeat(both, size)
-        hot = np.repeat(size > HOT_ROWS, size)
-        return pa.RecordBatch.from_arrays([pa.array(lo[take]), pa.array(h[take]), pa.array(hot[take])], ["lo", "h", "hot"])
-
-    def keep_shared(batches):
-        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-        for b in batches:
-            h, lo, c = (np.concatenate([r, x.to_numpy()]) for r, x in zip(rest, b.columns))
-            if not len(h):
-                continue
-            last = int(np.searchsorted(h, h[-1]))
-            if last:
-                yield shared(h[:last], lo[:last], c[:last])
-            rest = [h[last:], lo[last:], c[last:]]
-        if len(rest[0]):
-            yield shared(*rest)
-
     # anchors of several texts of one batch are dealt by text as well: a frequent one makes no large group
-    grams = known.select("t", "lo").mapInArrow(find, "h long, lo long, c int")
+    grams = known.select("t", "lo").mapInArrow(partial(find, length=length), "h long, lo long, c int")
     apart = grams.repartition("h", F.when(F.col("c") < 0, F.col("lo")).otherwise(F.lit(0))).sortWithinPartitions("h")
     flagged = durable(apart.mapInArrow(keep_shared, "lo long, h long, hot boolean"))
     drop_shuffles(spark)
     per_text = flagged.groupBy("lo").agg(F.collect_list(F.when(~F.col("hot"), F.col("h"))).alias("met"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
-    first_only = first.select("lo", "first")
-
-    def cut(batches):
-        """Pieces around shared anchors. Of equal pieces of a batch the least document's goes on; later documents lose theirs here."""
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                rows = sorted(zip(*[c.to_pylist() for c in batch.slice(start, 2048).columns]), key=lambda r: r[0])
-                out: dict[tuple[int, bytes, int], tuple[int, int, list[int]]] = {}
-                covered: list[tuple[int, int, int]] = []
-                others: list[tuple] = []
-                for doc, lo, t, met, hot in rows:
-                    raw = t.encode()
-                    h, at, a, z = anchors(np.frombuffer(raw, np.uint8), length)
-                    hot_here = np.isin(h, np.array(hot, np.int64))
-                    use = np.isin(h, np.array(met, np.int64)) | hot_here
-                    for v, p, s, e, wide in zip(h[use].tolist(), at[use].tolist(), a[use].tolist(), z[use].tolist(), hot_here[use].tolist()):
-                        parts = [(v, s, e)]
-                        if wide:  # windows that reach 13 bytes behind the anchor, and the others, meet by what they have in common
-                            edge = p + GRAM + 13 - length
-                            left, right = raw[max(0, p - 14) : p + GRAM], raw[p : p + GRAM + 13]
-                            parts = [(xxhash.xxh3_64_intdigest(b"<" + left) - (1 << 63), s, min(e, edge - 1)), (xxhash.xxh3_64_intdigest(b">" + right) - (1 << 63), max(s, edge), e)]
-                        for key, s1, e1 in parts:
-                            if s1 <= e1:
-                                piece = raw[s1 : e1 + length]
-                                known_at = out.setdefault((key, piece, p - s1), (doc, lo, []))
-                                if known_at[:2] == (doc, lo):
-                                    known_at[2].append(s1)
-                                elif known_at[0] < doc:
-                                    covered.append((lo, s1, e1))
-                                else:
-                                    others.append((key, piece, p - s1, doc, lo, [s1]))
-                items = [(k, piece, rel, doc, lo, at) for (k, piece, rel), (doc, lo, at) in out.items()] + others
-                items += [(lo, None, None, None, lo, [s, e]) for lo, s, e in covered]
-                for k in range(0, len(items), 20_000):
-                    part = items[k : k + 20_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in part], t) for j, t in enumerate((pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["key", "piece", "rel", "doc", "lo", "at"])
-
-    reps = known.join(first_only.withColumnRenamed("lo", "rlo"), (F.col("lo") == F.col("rlo")) & (F.col("id") == F.col("first"))).select(F.col("id").cast("long").alias("doc"), "lo", "t")
-    pieces = reps.join(per_text.withColumnRenamed("lo", "plo"), F.col("lo") == F.col("plo")).select("doc", "lo", "t", "met", "hot")
-    pieces = pieces.mapInArrow(cut, "key long, piece binary, rel int, doc long, lo long, at array<int>")
-
-    def lose(batches):
-        """(lo, first, last): runs of windows that a smaller document has."""
-        waiting: list[tuple] = []
-        size = 0
-        done: list[tuple[int, int, int]] = []
-
-        def flush():
-            nonlocal size
-            if waiting:
-                kinds: dict[bytes, int] = {}
-                for r in waiting:
-                    kinds[r[1]] = min(kinds.get(r[1], r[3]), r[3])
-                found = dict(zip(kinds, repeated(list(kinds), np.array(list(kinds.values())), length))) if len(kinds) > 1 else {p: np.full(len(p) - length + 1, d) for p, d in kinds.items()}
-                for _, piece, _, doc, lo, at in waiting:
-                    for a, z in runs(found[piece] < doc):
-                        done.extend((lo, s + a, s + z) for s in at)
-                waiting.clear()
-                size = 0
-
-        def taken():
-            out = pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["lo", "first", "last"])
-            done.clear()
-            return out
-
-        for _, rows in groups(batches):
-            done.extend((r[4], *r[5]) for r in rows if r[1] is None)
-            rows = [r for r in rows if r[1] is not None]
-            if len(rows) > 1:
-                kinds = {r[1:3] for r in rows}
-                if len(kinds) == 1:
-                    least = min(r[3] for r in rows)
-                    done.extend((r[4], s, s + len(r[1]) - length) for r in rows if r[3] > least for s in r[5])
-                else:  # a common window reaches 13 bytes behind the anchor or 13 before it
-                    sides: dict[tuple[bool, bytes], int] = {}
-                    for piece, rel in kinds:
-                        for side in ((True, piece[rel + GRAM : rel + GRAM + 13]), (False, piece[max(0, rel - 13) : rel])):
-                            if len(side[1]) == 13:
-                                sides[side] = sides.get(side, 0) + 1
-                    copies: dict[tuple[bytes, int], int] = {}
-                    for r in rows:
-                        copies[r[1:3]] = copies.get(r[1:3], 0) + 1
-                    for r in rows:
-                        piece, rel = r[1:3]
-                        if copies[piece, rel] > 1 or sides.get((True, piece[rel + GRAM : rel + GRAM + 13]), 0) > 1 or sides.get((False, piece[max(0, rel - 13) : rel]), 0) > 1:
-                            waiting.append(r)
-                            size += len(piece) + 1
-                    if size > MERGE_BYTES:
-                        flush()
-            if len(done) > 20_000:
-                yield taken()
-        flush()
-        if done:
-            yield taken()
+    wanted = durable(per_text.join(first.select("lo", "first"), "lo")).withColumnRenamed("lo", "wlo")
+    drop_shuffles(spark)
+    pieces = known.join(wanted, (F.col("lo") == F.col("wlo")) & (F.col("id") == F.col("first"))).select(F.col("id").cast("long").alias("doc"), "lo", "t", "met", "hot")
+    pieces = pieces.mapInArrow(partial(cut, length=length), "key long, piece binary, rel int, doc long, lo long, at array<int>")
 
-    lost = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(lose, "lo long, first int, last int")
+    lost = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(partial(lose, length=length), "lo long, first int, last int")
     lost = durable(lost.groupBy("lo").agg(F.collect_list(F.struct("first", "last")).alias("runs")))
     drop_shuffles(spark)
 
-    def strip(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                ids, sizes, gone, spans, kept = part.column(0), [], [], [], []
-                for i, t, source, found in zip(*[c.to_pylist() for c in part.columns]):
-                    raw = t.encode()
-                    n = len(raw)
-                    cover: list[tuple[int, int]] = []
-                    if i is not None and n >= length and source is not None and i > source:
-                        cover = [(0, n)]
-                    elif i is not None and found:
-                        for a, z in sorted((r["first"], r["last"] + length) for r in found):
-                            if cover and a <= cover[-1][1]:
-                                cover[-1] = (cover[-1][0], max(z, cover[-1][1]))
-                            else:
-                                cover.append((a, z))
-                    left, at = [], 0
-                    for a, z in cover:
-                        left.append(raw[at:a])
-                        at = z
-                    sizes.append(n)
-                    gone.append(sum(z - a for a, z in cover))
-                    spans.append([{"start": a, "end": z} for a, z in cover])
-                    kept.append(b"".join([*left, raw[at:]]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], [id_col, "n_bytes", "n_removed", "spans", "kept"])
-
     facts = first.join(lost, "lo", "left").select(F.col("lo").alias("flo"), F.col("hi").alias("fhi"), "first", "runs")
     out = marked.join(facts, (F.col("lo") == F.col("flo")) & (F.col("hi") == F.col("fhi")), "left").select("id", "t", "first", "runs")
-    return out.mapInArrow(strip, f"`{id_col}` {kind}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
+    named = partial(strip, length=length)
+    return out.mapInArrow(named, f"id {kind}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary").withColumnRenamed("id", id_col)
 
 
 def digests(stripped: DataFrame, id_col: str = "doc_id") -> DataFrame:
