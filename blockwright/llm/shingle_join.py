@@ -37,19 +37,29 @@ from blockwright.llm.common import ASCII_LOWER, connected_components, drop_shuff
 #: N-grams of the sets that one task holds at a time; larger candidate groups are dealt as pairs of blocks.
 GROUP_TOKENS = 3_000_000
 #: Rows whose texts are in memory at a time.
-SLICE = 1_024
+SLICE = 512
 #: Rows of some 60 bytes that are few enough to send to every task.
 SENT_ROWS = 200_000
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a number of words."""
+class WordHashes:
+    """64-bit hashes of byte strings that lie one behind the other: polynomials modulo 2**64 over random values of the bytes."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+    base = 6364136223846793005
+
+    def __init__(self):
+        self.value = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        n = len(raw) + 1
+        if len(self.up) < n:
+            size = 1 << (n - 1).bit_length()
+            self.up = np.multiply.accumulate(np.append(np.uint64(1), np.full(size - 1, self.base, np.uint64)))
+            self.down = np.multiply.accumulate(np.append(np.uint64(1), np.full(size - 1, pow(self.base, -1, 1 << 64), np.uint64)))
+        total = np.zeros(n, np.uint64)
+        np.cumsum(self.value[raw] * self.up[: n - 1], out=total[1:])
+        return (total[end] - total[start]) * self.down[start]
 
 
 HASHES = WordHashes()
@@ -71,25 +81,33 @@ def gram_sets(units: list[bytes], size: int) -> tuple[list[bytes | None], np.nda
     keys = [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in split]
     count = np.fromiter(map(len, split), np.int64, len(split))
     flat = list(chain.from_iterable(split))
-    word = np.fromiter(map(HASHES.__getitem__, flat), np.uint64, len(flat))
-    end = np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)) + 1)
+    size_of = np.fromiter(map(len, flat), np.int64, len(flat))
+    end = np.cumsum(size_of + 1)
+    word = HASHES.of(np.frombuffer(b" ".join(flat), np.uint8), end - 1 - size_of, end - 1)
+    if not len(word):
+        return keys, np.zeros(len(units), np.int64), np.zeros(0, np.uint64)
+    unit = np.repeat(np.arange(len(units), dtype=np.uint16), count)
     first = np.cumsum(count) - count
-    grams = np.maximum(count - size + 1, np.minimum(count, 1))
-    own = np.repeat(np.arange(len(units)), grams)
-    at = np.arange(len(own)) - np.repeat(np.cumsum(grams) - grams, grams) + first[own]
-    h = np.zeros(len(own), np.uint64)
+    # an n-gram starts wherever its unit goes on for size words, and at the start of shorter units
+    at = np.flatnonzero(np.append(unit[size - 1 :] == unit[: 1 - size or None], np.zeros(min(size - 1, len(unit)), bool))[: len(unit)])
+    short = np.flatnonzero((count > 0) & (count < size))
+    h = np.zeros(max(0, len(word) - size + 1), np.uint64)
     for k in range(size):
-        inside = at + k < (first + count)[own]
-        h[inside] += word[at[inside] + k] * PLACES[k]
-    last = np.minimum(at + size, (first + count)[own]) - 1
-    long = end[last] - np.where(at > 0, end[at - 1], 0) - 1 if len(at) else at
+        h += word[k : k + len(h)] * PLACES[k]
+    h = h[at]
+    long = end[at + size - 1] - end[at] + size_of[at]
+    own = unit[at]
+    if len(short):
+        whole = [(word[first[u] : first[u] + count[u]] * np.array(PLACES[: count[u]])).sum() for u in short]
+        h, own = np.concatenate([h, np.array(whole, np.uint64)]), np.concatenate([own, short.astype(np.uint16)])
+        long = np.concatenate([long, [sum(map(len, split[u])) + count[u] - 1 for u in short]])
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h = (np.uint64(255) - np.minimum(long, 255).astype(np.uint64)) << np.uint64(56) | h >> np.uint64(8)
     order = np.argsort(h)
-    order = order[np.argsort(own[order].astype(np.uint16), kind="stable")]
+    order = order[np.argsort(own[order], kind="stable")]
     h, own = h[order], own[order]
     new = np.r_[True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])][: len(h)]
     return keys, np.bincount(own[new], minlength=len(units)), h[new]
