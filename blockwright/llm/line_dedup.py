@@ -132,12 +132,11 @@ def dedup_lines(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, i
     removed = lines.join(repeated, ["lo", "hi"])
     is_first = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("mark"), F.col("line")) == F.col("at")
     removed = removed.where(F.coalesce("gone", ~is_first)).groupBy("id", "mark").agg(F.collect_set("line").alias("drop")).withColumnsRenamed({"id": "wid", "mark": "wmark"})
-    split = F.split(text_col, "\n", -1)
-    rest = F.filter("__lines", lambda x, i: ~F.array_contains("drop", i))
+    rest = F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains("drop", i))
     out = docs.withColumn("__mark", F.xxhash64(text_col)).join(removed, F.col(id_col).eqNullSafe(F.col("wid")) & (F.col("__mark") == F.col("wmark")), "left")
-    out = out.withColumn("__lines", split)
     text = F.when(F.col("drop").isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", rest))
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_removed"))
+    feeds = F.octet_length(text_col) - F.octet_length(F.replace(text_col, F.lit("\n"), F.lit("")))
+    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce(feeds + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def digests(cleaned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
