@@ -18,9 +18,11 @@ from blockwright.llm.queries import fold, vocabulary
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.7 or more go. Labels of two thirds of the documents teach the score."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), lambda c: fold(c, 3) != 1, keep=rest)
-    return scored.where("predicted = 0").select(*docs.columns)
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    scored = toxicity.score_toxicity(marked, table(spark, sf_dir, "labels"), lambda c: fold(c, 3) != 1, keep=("mark",))
+    bad = durable(scored.where("predicted = 1").select(F.col("doc_id").alias("bad_id"), F.col("mark").alias("bad_mark")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_mark"))
+    return docs.join(shingle_join.sent(bad), same, "left_anti").select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
