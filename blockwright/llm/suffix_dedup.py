@@ -32,6 +32,8 @@ GRAM = 24
 MERGE_BYTES = 1 << 18
 #: Rows of one anchor beyond which its pieces meet by 37 and 38 bytes instead of 24.
 HOT_ROWS = 4_000
+#: Texts that lose something, of some 100 bytes each, that are few enough to send to every task.
+SENT_ROWS = 200_000
 MULTIPLIER = 6364136223846793005
 
 
@@ -343,7 +345,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
     marked = texts.select("id", "t", F.xxhash64("t").alias("lo"), F.xxhash64(F.lit("again"), "t").alias("hi"))
     known = marked.where(f"id IS NOT NULL AND octet_length(t) >= {length}")
-    first = durable(known.groupBy("lo", "hi").agg(F.min("id").alias("first")))
+    first = durable(known.groupBy("lo", "hi").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
 
     # anchors of several texts of one batch are dealt by text as well: a frequent one makes no large group
     grams = known.select("t", "lo").mapInArrow(partial(find, length=length), "h long, lo long, c int")
@@ -360,7 +362,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     lost = durable(lost.groupBy("lo").agg(F.collect_list(F.struct("first", "last")).alias("runs")))
     drop_shuffles(spark)
 
-    facts = first.join(lost, "lo", "left").select(F.col("lo").alias("flo"), F.col("hi").alias("fhi"), "first", "runs")
+    facts = first.join(lost, "lo", "left").where("copies > 1 OR runs IS NOT NULL").select(F.col("lo").alias("flo"), F.col("hi").alias("fhi"), "first", "runs")
+    facts = durable(facts)
+    drop_shuffles(spark)
+    rows, entries = facts.agg(F.count("*"), F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()
+    if rows <= SENT_ROWS and entries <= 10 * SENT_ROWS:  # else both sides meet by a shuffle
+        facts = F.broadcast(facts)
     out = marked.join(facts, (F.col("lo") == F.col("flo")) & (F.col("hi") == F.col("fhi")), "left").select("id", "t", "first", "runs")
     named = partial(strip, length=length)
     return out.mapInArrow(named, f"id {kind}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary").withColumnRenamed("id", id_col)
