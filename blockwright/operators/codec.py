@@ -49,16 +49,15 @@ def bound(value: Column, use) -> Column:
 
 def lines(block: Column, matrix: list[list[int]], rows: bool, finish=lambda s: s) -> Column:
     """One pass: out[k] of each line is the dot product of matrix[k] and the line. rows: lines are rows, else columns."""
-    at = (lambda line, n: 8 * line + n) if rows else (lambda line, n: 8 * n + line)
-    cells: list[Column | None] = [None] * 64
-    for line in range(8):
-        for k, row in enumerate(matrix):
-            terms = [F.lit(c) * block[at(line, n)] if abs(c) != 1 else block[at(line, n)] if c == 1 else -block[at(line, n)] for n, c in enumerate(row) if c]
-            total = terms[0]
-            for t in terms[1:]:
-                total = total + t
-            cells[at(line, k)] = finish(total)
-    return F.array(*cells)
+    flat = F.array(*[F.lit(c).cast("bigint") for row in matrix for c in row])
+
+    def cell(p: Column) -> Column:
+        high, low = F.shiftright(p, 3), p.bitwiseAND(7)
+        line, k = (high, low) if rows else (low, high)
+        at = (lambda n: F.shiftleft(line, 3) + n) if rows else (lambda n: F.shiftleft(n, 3) + line)
+        return finish(F.aggregate(F.array(*map(F.lit, range(8))), F.lit(0).cast("bigint"), lambda total, n: total + flat[F.shiftleft(k, 3) + n] * block[at(n)]))
+
+    return F.transform(F.array(*map(F.lit, range(64))), cell)
 
 
 def forward(block: Column, method: str) -> Column:
