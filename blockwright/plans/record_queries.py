@@ -15,9 +15,11 @@ SQL: dict[str, str] = {}
 METRICS = ["psnr", "ssim", "bpp", "compress_us"]
 
 
-def query(name: str, sql: str, base: str | None = RECORDS_SQL):
+def query(name: str, sql: str | None, base: str | None = RECORDS_SQL):
     def put(f):
         QUERIES[name] = f
+        if not sql:
+            return f
         more = sql.startswith(", ") or not base
         SQL[name] = f"WITH {base}{sql}" if base and more else f"WITH {base} {sql}" if base else sql
         return f
@@ -465,3 +467,69 @@ def _(spark, d):
 @query("r8_complete_runs", "SELECT run_id, count(DISTINCT (method, k_idx)) AS slots, count(DISTINCT (method, k_idx)) = 20 AS complete FROM records WHERE status = 'OK' GROUP BY run_id")
 def _(spark, d):
     return records(spark, d).where("status = 'OK'").groupBy("run_id").agg(F.count_distinct("method", "k_idx").alias("slots"), (F.count_distinct("method", "k_idx") == 20).alias("complete"))
+
+
+@query("k8_schema_only", "SELECT method, k_idx, k_label, NULL::DOUBLE AS psnr, NULL::DOUBLE AS ssim FROM grid WHERE method IN (SELECT method FROM records)")
+def _(spark, d):
+    none = F.lit(None).cast("double")
+    return grid(spark).join(records(spark, d).select("method").distinct(), "method", "left_semi").select("method", "k_idx", "k_label", none.alias("psnr"), none.alias("ssim"))
+
+
+@query("k11_records_by_run", "SELECT r.run_id, r.k_idx, m.method_ord, r.ord FROM records r JOIN methods m ON m.method = r.method")
+def _(spark, d):
+    r = records(spark, d).withColumn("method_ord", A.method_place("method"))
+    return r.repartition("run_id").sortWithinPartitions("run_id", "k_idx", "method_ord").select("run_id", "k_idx", "method_ord", "ord")
+
+
+@query("k20_capture_catalogue", "SELECT run_id, (row_number() OVER (ORDER BY run_id))::INTEGER AS place, 'run' || run_id || '_raw.bmp' AS filename, 320 * 240 AS pixels FROM (SELECT DISTINCT run_id FROM records)")
+def _(spark, d):
+    runs = records(spark, d).select("run_id").distinct()  # one row for each run takes part in the global order
+    return runs.select("run_id", F.row_number().over(Window.orderBy("run_id")).alias("place"), F.concat(F.lit("run"), "run_id", F.lit("_raw.bmp")).alias("filename"), F.lit(WIDTH * HEIGHT).alias("pixels"))
+
+
+@query("s5_summary_last_wins", "SELECT method, round(k, 6) AS k, arg_max(nullif(status, 'OK'), ord) AS status, max(ord) AS ord FROM (SELECT * FROM records WHERE status <> 'OK') GROUP BY method, round(k, 6)")
+def _(spark, d):
+    r = records(spark, d).where("status <> 'OK'").select("method", F.round("k", 6).alias("k"), F.nullif("status", F.lit("OK")).alias("status"), "ord")
+    return A.last_per_key(r, ["method", "k"], "ord")
+
+
+@query("s8_selected_scenes", "SELECT ord, run_id FROM records WHERE status = 'OK' AND method IN ('rdct', 'silveira_j3', 'silveira_j7') AND k_idx IN (0, 2)")
+def _(spark, d):
+    wanted = grid(spark).where("k_idx IN (0, 2) AND method IN ('rdct', 'silveira_j3', 'silveira_j7')")
+    return A.in_grid(records(spark, d).where("status = 'OK'"), wanted).select("ord", "run_id")
+
+
+@query("s13_two_layouts", "SELECT method, k_idx, avg(ms) AS ms FROM (SELECT method, k_idx, compress_us / 1000 AS ms FROM records WHERE ord % 2 = 0 UNION ALL SELECT method, k_idx, avg(compress_us / 1000) FROM records WHERE ord % 2 = 1 GROUP BY method, k_idx) GROUP BY method, k_idx")
+def _(spark, d):
+    r = records(spark, d).withColumn("ms", F.col("compress_us") / 1000)
+    averaged = A.group_means(r.where("ord % 2 = 1"), ["ms"])
+    return A.group_means(r.where("ord % 2 = 0").select("method", "k_idx", "ms").unionByName(averaged), ["ms"])
+
+
+@query("a24_mean_of_planes", "SELECT ord, (bpp + bpp / 2 + bpp / 4) / 3 AS combined FROM records")
+def _(spark, d):
+    b = F.col("bpp")
+    return records(spark, d).select("ord", ((b + b / 2 + b / 4) / 3).alias("combined"))
+
+
+@query("r2_record_status", "SELECT ord, CASE WHEN status = 'CRC_FAIL' THEN 'CRC_FAIL' WHEN k_idx = 0 AND stream_bytes <> 230400 THEN 'RAW_SIZE_FAIL' WHEN k_idx <> 0 AND (stream_bytes <= 0 OR stream_bytes > 687600) THEN 'JPEG_SIZE_FAIL' WHEN ord % 25 > 20 THEN 'MODE_FAIL' ELSE 'OK' END AS status FROM records")
+def _(spark, d):
+    from blockwright.streaming.runs import checked
+
+    slot = F.when(F.col("k_idx") == 0, 0).when(F.col("ord") % 25 > 20, 99).otherwise(1)
+    r = records(spark, d).select("ord", (F.col("status") != "CRC_FAIL").alias("crc_ok"), F.col("stream_bytes").alias("payload_bytes"), slot.alias("slot"))
+    return checked(r).select("ord", "status")
+
+
+@query("r6_stale_runs", "SELECT ord FROM records r WHERE run_id >= (SELECT avg(run_id) FROM records)")
+def _(spark, d):
+    r = records(spark, d)
+    return r.crossJoin(F.broadcast(r.agg(F.avg("run_id").alias("now")))).where("run_id >= now").select("ord")  # broadcast: one row
+
+
+@query("f14_crc16", None, None)
+def _(spark, d):
+    from blockwright.sources.files import crc16
+
+    head = F.rpad(F.concat("status", "method"), 12, "-").cast("binary")
+    return records(spark, d).select("ord", crc16(head, 12).alias("crc16"), F.crc32(head).alias("crc32"))
