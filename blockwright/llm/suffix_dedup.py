@@ -30,8 +30,10 @@ from blockwright.llm.common import drop_shuffles, durable, groups
 GRAM = 24
 #: Bytes of pieces that are merged at a time.
 MERGE_BYTES = 1 << 18
-#: Rows of one anchor beyond which its pieces meet by 37 and 38 bytes instead of 24.
+#: Places of one anchor in all texts beyond which its pieces meet by 37 and 38 bytes instead of 24.
 HOT_ROWS = 4_000
+#: Hot anchors that are few enough to send to every task.
+SENT_ANCHORS = 200_000
 #: Texts that lose something, of some 100 bytes each, that are few enough to send to every task.
 SENT_ROWS = 200_000
 MULTIPLIER = 6364136223846793005
@@ -148,42 +150,46 @@ def repeated(pieces: list[bytes], docs: np.ndarray, length: int) -> tuple[np.nda
 
 
 def find(batches, length: int):
-    """(h, lo, c) of anchors: c = 1 for one of one text of the batch; for one of several, one row with c = 0 and one with c = -1 for each text."""
+    """(h, lo, c) of anchors: c = its places for one of one text of the batch; for one of several, one row with c = -places, and one with c = 0 for each text."""
     for batch in batches:
         for start in range(0, batch.num_rows, 4096):
             part = batch.slice(start, 4096)
-            h, own, seen = [], [], set()
+            h, own, places, seen = [], [], [], set()
             for t, lo in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 if lo not in seen:
                     seen.add(lo)
-                    found = np.unique(anchors(np.frombuffer(t.encode(), np.uint8), length)[0])
+                    found, times = np.unique(anchors(np.frombuffer(t.encode(), np.uint8), length)[0], return_counts=True)
                     h.append(found)
                     own.append(np.full(len(found), lo))
+                    places.append(times)
             if not h:
                 continue
-            h, own = np.concatenate(h), np.concatenate(own)
+            h, own, places = np.concatenate(h), np.concatenate(own), np.concatenate(places)
             order = np.argsort(h, kind="stable")
-            h, own = h[order], own[order]
+            h, own, places = h[order], own[order], places[order]
             same = np.r_[False, h[1:] == h[:-1]]
             many = same | np.r_[same[1:], False]
             stands = many & ~same
-            columns = (np.r_[h[~many], h[stands], h[many]], np.r_[own[~many], np.zeros(stands.sum(), np.int64), own[many]], np.r_[np.ones((~many).sum(), np.int32), np.zeros(stands.sum(), np.int32), np.full(many.sum(), -1, np.int32)])
+            total = np.add.reduceat(places, np.flatnonzero(~same))[stands[~same]]
+            columns = (np.r_[h[~many], h[stands], h[many]], np.r_[own[~many], np.zeros(len(total), np.int64), own[many]], np.r_[places[~many], -total, np.zeros(many.sum(), np.int64)].astype(np.int32))
             for k in range(0, len(columns[0]), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], ["h", "lo", "c"])
 
 
-def shared(h, lo, c):
+def shared(h, lo, c, hot_rows: int):
+    """(lo, h) of anchors of several texts, and (null, h) of hot ones: the rows with c <> 0 of an anchor are all here and count its places."""
     start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     size = np.diff(np.r_[start, len(h)])
-    one, big = c == 1, np.iinfo(np.int64)
+    one, big = c > 0, np.iinfo(np.int64)
     low, high = np.minimum.reduceat(np.where(one, lo, big.max), start), np.maximum.reduceat(np.where(one, lo, big.min), start)
     both = (low < high) | (np.minimum.reduceat(c, start) <= 0)
-    take = (c != 0) & np.repeat(both, size)
-    hot = np.repeat(size > HOT_ROWS, size)
-    return pa.RecordBatch.from_arrays([pa.array(lo[take]), pa.array(h[take]), pa.array(hot[take])], ["lo", "h", "hot"])
+    take = (c >= 0) & np.repeat(both, size)
+    hot = h[start[both & (np.add.reduceat(np.abs(c.astype(np.int64)), start) > hot_rows)]]
+    own = pa.concat_arrays([pa.array(lo[take]), pa.nulls(len(hot), pa.int64())])
+    return pa.RecordBatch.from_arrays([own, pa.array(np.r_[h[take], hot])], ["lo", "h"])
 
 
-def keep_shared(batches):
+def keep_shared(batches, hot_rows: int):
     rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
     for b in batches:
         h, lo, c = (np.concatenate([r, x.to_numpy()]) for r, x in zip(rest, b.columns))
@@ -191,10 +197,10 @@ def keep_shared(batches):
             continue
         last = int(np.searchsorted(h, h[-1]))
         if last:
-            yield shared(h[:last], lo[:last], c[:last])
+            yield shared(h[:last], lo[:last], c[:last], hot_rows)
         rest = [h[last:], lo[last:], c[last:]]
     if len(rest[0]):
-        yield shared(*rest)
+        yield shared(*rest, hot_rows)
 
 
 def cut(batches, length: int):
@@ -347,12 +353,16 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     known = marked.where(f"id IS NOT NULL AND octet_length(t) >= {length}")
     first = durable(known.groupBy("lo", "hi").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
 
-    # anchors of several texts of one batch are dealt by text as well: a frequent one makes no large group
+    # anchors of several texts of one batch are dealt by text as well: a frequent one makes no large group; its places are counted in one partition
     grams = known.select("t", "lo").mapInArrow(partial(find, length=length), "h long, lo long, c int")
-    apart = grams.repartition("h", F.when(F.col("c") < 0, F.col("lo")).otherwise(F.lit(0))).sortWithinPartitions("h")
-    flagged = durable(apart.mapInArrow(keep_shared, "lo long, h long, hot boolean"))
+    apart = grams.repartition("h", F.when(F.col("c") == 0, F.col("lo")).otherwise(F.lit(0))).sortWithinPartitions("h")
+    found = durable(apart.mapInArrow(partial(keep_shared, hot_rows=HOT_ROWS), "lo long, h long"))
     drop_shuffles(spark)
-    per_text = flagged.groupBy("lo").agg(F.collect_list(F.when(~F.col("hot"), F.col("h"))).alias("met"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
+    hot = durable(found.where("lo IS NULL").select(F.col("h").alias("hh")).distinct())
+    if hot.count() <= SENT_ANCHORS:  # else both sides meet by a shuffle
+        hot = F.broadcast(hot)
+    flagged = found.where("lo IS NOT NULL").join(hot, F.col("h") == F.col("hh"), "left")
+    per_text = flagged.groupBy("lo").agg(F.collect_list(F.when(F.col("hh").isNull(), F.col("h"))).alias("met"), F.collect_set("hh").alias("hot"))
     wanted = durable(per_text.join(first.select("lo", "first"), "lo")).withColumnRenamed("lo", "wlo")
     drop_shuffles(spark)
     pieces = known.join(wanted, (F.col("lo") == F.col("wlo")) & (F.col("id") == F.col("first"))).select(F.col("id").cast("long").alias("doc"), "lo", "t", "met", "hot")

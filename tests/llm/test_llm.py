@@ -119,6 +119,47 @@ def test_suffix_dedup(spark):
     assert got[None].n_removed == 0
 
 
+def check_removed(rows, got):
+    source = {}
+    for i, t in sorted(rows):
+        b = t.encode()
+        for k in range(len(b) - 49):
+            source.setdefault(b[k : k + 50], i)
+    for i, t in rows:
+        b = t.encode()
+        cover = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if source[b[k : k + 50]] < i:
+                cover[k : k + 50] = b"\1" * 50
+        assert bytes(got[i].kept) == bytes(c for c, m in zip(b, cover) if not m), i
+
+
+def frequent_passages(n=120):
+    """Texts around a few passages, some of which most texts have, with different bytes on both sides."""
+    rng = random.Random(7)
+    some = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    passages = [some(k) for k in (50, 57, 63, 75, 90, 140)]
+    return [(i, some(rng.randint(0, 60)) + "".join(rng.choice(passages[: 1 + i % 6]) + some(rng.randint(0, 40)) for _ in range(rng.randint(1, 3)))) for i in range(n)]
+
+
+def test_frequent_anchors_are_hot_in_all_texts(spark, monkeypatch):
+    rows = frequent_passages()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several partitions have rows of an anchor
+    try:
+        for most in (2, 15, 40):
+            monkeypatch.setattr(suffix_dedup, "HOT_ROWS", most)
+            check_removed(rows, {r.doc_id: r for r in suffix_dedup.remove_repeats(frame(spark, rows).repartition(7)).collect()})
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_hot_anchors_count_places_of_all_batches():
+    h, own = np.array([5, 5, 5, 8, 9]), np.array([0, 11, 12, 13, 14])
+    one = suffix_dedup.shared(h, own, np.array([-3, 3, 1, 4, 6], np.int32), 5)
+    assert one.to_pydict() == {"lo": [11, 12, None], "h": [5, 5, 5]}
+    assert suffix_dedup.shared(h[1:3], own[1:3], np.array([0, 0], np.int32), 0).to_pydict() == {"lo": [11, 12], "h": [5, 5]}
+
+
 def test_merged_transforms_are_sorted():
     rng = random.Random(5)
     pieces = [bytes(rng.choice(b"ab") for _ in range(rng.randint(50, 76))) for _ in range(30)]
