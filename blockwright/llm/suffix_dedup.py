@@ -12,6 +12,9 @@ interleave through the last-to-first mapping and so sorts by one more character,
 it no longer changes. Rows that a round tells apart give the common prefixes: after 50
 rounds, rows not yet apart are a repeated interval of 50-byte strings. No suffix is
 sorted again across shards. The least document of an interval keeps its string.
+
+Anchors of very many places make no merge: their windows meet by all of their bytes, one
+row for each batch of texts, so that no task gathers the pieces of such an anchor.
 """
 
 from __future__ import annotations
@@ -32,6 +35,10 @@ GRAM = 24
 MERGE_BYTES = 1 << 18
 #: Places of one anchor in all texts beyond which its pieces meet by 37 and 38 bytes instead of 24.
 HOT_ROWS = 4_000
+#: Places of one anchor beyond which whole windows meet instead of pieces, the least document of each batch only.
+WHOLE_ROWS = 16_000
+#: Pieces that a task keeps at a time to tell equal ones.
+CUT_ROWS = 500_000
 #: Hot anchors that are few enough to send to every task.
 SENT_ANCHORS = 200_000
 #: Texts that lose something, of some 100 bytes each, that are few enough to send to every task.
@@ -176,20 +183,22 @@ def find(batches, length: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], ["h", "lo", "c"])
 
 
-def shared(h, lo, c, hot_rows: int):
-    """(lo, h) of anchors of several texts, and (null, h) of hot ones: the rows with c <> 0 of an anchor are all here and count its places."""
+def shared(h, lo, c, hot_rows: int, whole_rows: int):
+    """(lo, h, null) of anchors of several texts, and (null, h, whole) of hot ones: the rows with c <> 0 of an anchor are all here and count its places."""
     start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     size = np.diff(np.r_[start, len(h)])
     one, big = c > 0, np.iinfo(np.int64)
     low, high = np.minimum.reduceat(np.where(one, lo, big.max), start), np.maximum.reduceat(np.where(one, lo, big.min), start)
     both = (low < high) | (np.minimum.reduceat(c, start) <= 0)
     take = (c >= 0) & np.repeat(both, size)
-    hot = h[start[both & (np.add.reduceat(np.abs(c.astype(np.int64)), start) > hot_rows)]]
+    places = np.add.reduceat(np.abs(c.astype(np.int64)), start)
+    many = both & (places > min(hot_rows, whole_rows))
+    hot, whole = h[start[many]], places[many] > whole_rows
     own = pa.concat_arrays([pa.array(lo[take]), pa.nulls(len(hot), pa.int64())])
-    return pa.RecordBatch.from_arrays([own, pa.array(np.r_[h[take], hot])], ["lo", "h"])
+    return pa.RecordBatch.from_arrays([own, pa.array(np.r_[h[take], hot]), pa.concat_arrays([pa.nulls(take.sum(), pa.bool_()), pa.array(whole)])], ["lo", "h", "whole"])
 
 
-def keep_shared(batches, hot_rows: int):
+def keep_shared(batches, hot_rows: int, whole_rows: int):
     rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
     for b in batches:
         h, lo, c = (np.concatenate([r, x.to_numpy()]) for r, x in zip(rest, b.columns))
@@ -197,10 +206,20 @@ def keep_shared(batches, hot_rows: int):
             continue
         last = int(np.searchsorted(h, h[-1]))
         if last:
-            yield shared(h[:last], lo[:last], c[:last], hot_rows)
+            yield shared(h[:last], lo[:last], c[:last], hot_rows, whole_rows)
         rest = [h[last:], lo[last:], c[last:]]
     if len(rest[0]):
-        yield shared(*rest, hot_rows)
+        yield shared(*rest, hot_rows, whole_rows)
+
+
+def pieces_out(out: dict, others: list, covered: list):
+    """Batches of what cut() has gathered, which is empty afterwards."""
+    items = [(k, piece, rel, doc, lo, at) for (k, piece, rel), (doc, lo, at) in out.items()] + others
+    items += [(lo, None, None, None, lo, [s, e]) for lo, s, e in covered]
+    out.clear(), others.clear(), covered.clear()
+    for k in range(0, len(items), 20_000):
+        part = items[k : k + 20_000]
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in part], t) for j, t in enumerate((pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["key", "piece", "rel", "doc", "lo", "at"])
 
 
 def cut(batches, length: int):
@@ -211,14 +230,16 @@ def cut(batches, length: int):
             out: dict[tuple[int, bytes, int], tuple[int, int, list[int]]] = {}
             covered: list[tuple[int, int, int]] = []
             others: list[tuple] = []
-            for doc, lo, t, met, hot in rows:
+            for doc, lo, t, met, hot, whole in rows:
                 raw = t.encode()
                 h, at, a, z = anchors(np.frombuffer(raw, np.uint8), length)
-                hot_here = np.isin(h, np.array(hot, np.int64))
-                use = np.isin(h, np.array(met, np.int64)) | hot_here
-                for v, p, s, e, wide in zip(h[use].tolist(), at[use].tolist(), a[use].tolist(), z[use].tolist(), hot_here[use].tolist()):
+                hot_here, whole_here = np.isin(h, np.array(hot, np.int64)), np.isin(h, np.array(whole, np.int64))
+                use = np.isin(h, np.array(met, np.int64)) | hot_here | whole_here
+                for v, p, s, e, wide, single in zip(h[use].tolist(), at[use].tolist(), a[use].tolist(), z[use].tolist(), hot_here[use].tolist(), whole_here[use].tolist()):
                     parts = [(v, s, e)]
-                    if wide:  # windows that reach 13 bytes behind the anchor, and the others, meet by what they have in common
+                    if single:
+                        parts = [(xxhash.xxh3_64_intdigest(b"=" + raw[k : k + length]) - (1 << 63), k, k) for k in range(s, e + 1)]
+                    elif wide:  # windows that reach 13 bytes behind the anchor, and the others, meet by what they have in common
                         edge = p + GRAM + 13 - length
                         left, right = raw[max(0, p - 14) : p + GRAM], raw[p : p + GRAM + 13]
                         parts = [(xxhash.xxh3_64_intdigest(b"<" + left) - (1 << 63), s, min(e, edge - 1)), (xxhash.xxh3_64_intdigest(b">" + right) - (1 << 63), max(s, edge), e)]
@@ -232,11 +253,9 @@ def cut(batches, length: int):
                                 covered.append((lo, s1, e1))
                             else:
                                 others.append((key, piece, p - s1, doc, lo, [s1]))
-            items = [(k, piece, rel, doc, lo, at) for (k, piece, rel), (doc, lo, at) in out.items()] + others
-            items += [(lo, None, None, None, lo, [s, e]) for lo, s, e in covered]
-            for k in range(0, len(items), 20_000):
-                part = items[k : k + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in part], t) for j, t in enumerate((pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["key", "piece", "rel", "doc", "lo", "at"])
+                if len(out) + len(others) > CUT_ROWS:
+                    yield from pieces_out(out, others, covered)
+            yield from pieces_out(out, others, covered)
 
 
 def lose(batches, length: int):
@@ -356,16 +375,16 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     # anchors of several texts of one batch are dealt by text as well: a frequent one makes no large group; its places are counted in one partition
     grams = known.select("t", "lo").mapInArrow(partial(find, length=length), "h long, lo long, c int")
     apart = grams.repartition("h", F.when(F.col("c") == 0, F.col("lo")).otherwise(F.lit(0))).sortWithinPartitions("h")
-    found = durable(apart.mapInArrow(partial(keep_shared, hot_rows=HOT_ROWS), "lo long, h long"))
+    found = durable(apart.mapInArrow(partial(keep_shared, hot_rows=HOT_ROWS, whole_rows=WHOLE_ROWS), "lo long, h long, whole boolean"))
     drop_shuffles(spark)
-    hot = durable(found.where("lo IS NULL").select(F.col("h").alias("hh")).distinct())
+    hot = durable(found.where("lo IS NULL").select(F.col("h").alias("hh"), "whole"))
     if hot.count() <= SENT_ANCHORS:  # else both sides meet by a shuffle
         hot = F.broadcast(hot)
-    flagged = found.where("lo IS NOT NULL").join(hot, F.col("h") == F.col("hh"), "left")
-    per_text = flagged.groupBy("lo").agg(F.collect_list(F.when(F.col("hh").isNull(), F.col("h"))).alias("met"), F.collect_set("hh").alias("hot"))
+    flagged = found.where("lo IS NOT NULL").select("lo", "h").join(hot, F.col("h") == F.col("hh"), "left")
+    per_text = flagged.groupBy("lo").agg(F.collect_list(F.when(F.col("hh").isNull(), F.col("h"))).alias("met"), F.collect_set(F.when(~F.col("whole"), F.col("h"))).alias("hot"), F.collect_set(F.when(F.col("whole"), F.col("h"))).alias("whole"))
     wanted = durable(per_text.join(first.select("lo", "first"), "lo")).withColumnRenamed("lo", "wlo")
     drop_shuffles(spark)
-    pieces = known.join(wanted, (F.col("lo") == F.col("wlo")) & (F.col("id") == F.col("first"))).select(F.col("id").cast("long").alias("doc"), "lo", "t", "met", "hot")
+    pieces = known.join(wanted, (F.col("lo") == F.col("wlo")) & (F.col("id") == F.col("first"))).select(F.col("id").cast("long").alias("doc"), "lo", "t", "met", "hot", "whole")
     pieces = pieces.mapInArrow(partial(cut, length=length), "key long, piece binary, rel int, doc long, lo long, at array<int>")
 
     lost = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(partial(lose, length=length), "lo long, first int, last int")

@@ -9,6 +9,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,9 +156,26 @@ def test_frequent_anchors_are_hot_in_all_texts(spark, monkeypatch):
 
 def test_hot_anchors_count_places_of_all_batches():
     h, own = np.array([5, 5, 5, 8, 9]), np.array([0, 11, 12, 13, 14])
-    one = suffix_dedup.shared(h, own, np.array([-3, 3, 1, 4, 6], np.int32), 5)
-    assert one.to_pydict() == {"lo": [11, 12, None], "h": [5, 5, 5]}
-    assert suffix_dedup.shared(h[1:3], own[1:3], np.array([0, 0], np.int32), 0).to_pydict() == {"lo": [11, 12], "h": [5, 5]}
+    one = suffix_dedup.shared(h, own, np.array([-3, 3, 1, 4, 6], np.int32), 5, 9)
+    assert one.to_pydict() == {"lo": [11, 12, None], "h": [5, 5, 5], "whole": [None, None, False]}
+    assert suffix_dedup.shared(h[1:3], own[1:3], np.array([0, 0], np.int32), 0, 9).to_pydict() == {"lo": [11, 12], "h": [5, 5], "whole": [None, None]}
+
+
+def test_very_frequent_anchors_meet_by_window(spark, monkeypatch):
+    rows = frequent_passages()
+    for most in (2, 20):
+        monkeypatch.setattr(suffix_dedup, "WHOLE_ROWS", most)
+        check_removed(rows, {r.doc_id: r for r in suffix_dedup.remove_repeats(frame(spark, rows).repartition(7)).collect()})
+
+
+def test_a_frequent_passage_makes_no_large_group():
+    rows = frequent_passages(600)
+    texts = [t for _, t in rows]
+    every = [np.unique(suffix_dedup.anchors(np.frombuffer(t.encode(), np.uint8), 50)[0]).tolist() if len(t) >= 50 else [] for t in texts]
+    ids, none = [i for i, _ in rows], [[]] * len(rows)
+    batch = pa.RecordBatch.from_pydict({"doc": ids, "lo": ids, "t": texts, "met": none, "hot": none, "whole": every}, pa.schema([("doc", pa.int64()), ("lo", pa.int64()), ("t", pa.string()), *[(k, pa.list_(pa.int64())) for k in ("met", "hot", "whole")]]))
+    rows = [r for b in suffix_dedup.cut([batch], 50) for r in b.to_pylist() if r["piece"] is not None]
+    assert max(collections.Counter(r["key"] for r in rows).values()) == 1  # of all texts of a batch
 
 
 def test_merged_transforms_are_sorted():
