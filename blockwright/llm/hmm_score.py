@@ -3,9 +3,9 @@
 A text is its words in lower case (A-Z) and one end. The most frequent words are symbols
 of the model; each other word has the symbol of its ending, and its share among all words
 of that symbol, so that the model gives each text an exact probability. Words are counted
-over all training texts. Baum-Welch starts from values fitted on a bounded sample of
-training texts (start_texts); each pass after that runs over all training texts, adds up
-expected counts inside each partition, and sums them across partitions.
+over all training texts. Baum-Welch starts from their shares; each pass runs over all
+training texts, adds up expected counts inside each partition, and sums them across
+partitions, until the likelihood stops rising.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ STATES = 8
 WORDS, ENDINGS = 8192, 512
 #: Words whose counts travel to the tasks; those of all others are joined.
 HEAD = 60_000
-#: Training texts that the starting values are fitted on, and passes over them and over all.
-START_TEXTS, START_PASSES, PASSES = 400, 15, 2
+#: Passes end when one raises the log likelihood by less than this part of it.
+RISE = 1e-4
 #: Tokens of a block of texts that step through the recursion together.
 BLOCK_TOKENS = 200_000
 SYMBOLS = 1 + WORDS + ENDINGS  # the end is symbol 0
@@ -92,11 +92,12 @@ class Hmm:
         return out / np.log(10)
 
     def expected(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Expected counts of starts, steps and emissions, one after the other in one array."""
-        n = len(self.first)
+        """Expected counts of starts, steps and emissions, and the log likelihood, one after the other in one array."""
+        n, likelihood = len(self.first), 0.0
         first, step, emit = np.zeros(n), np.zeros((n, n)), np.zeros((n, SYMBOLS))
         for _, pad, size in self.blocks(texts):
-            _, kept = self.forward(pad, size, True)
+            logs, kept = self.forward(pad, size, True)
+            likelihood += logs.sum()
             shares, symbols = [], []
             b = np.zeros((0, n))
             for t in range(len(pad) - 1, -1, -1):
@@ -117,7 +118,7 @@ class Hmm:
             g, s = np.concatenate(shares), np.concatenate(symbols)
             for i in range(n):
                 emit[i] += np.bincount(s, g[:, i], SYMBOLS)
-        return np.concatenate([first, (step * self.step).ravel(), emit.ravel()])
+        return np.concatenate([first, (step * self.step).ravel(), emit.ravel(), [likelihood]])
 
 
 def maximize(counts: np.ndarray, shares: np.ndarray, states: int) -> Hmm:
@@ -136,7 +137,39 @@ def begin(shares: np.ndarray, states: int) -> Hmm:
     return Hmm(np.full(states, 1 / states), step, (emit / emit.sum(1)[:, None]).T.copy())
 
 
-def score_texts(docs: DataFrame, train_if, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, passes: int = PASSES, start_texts: int = START_TEXTS) -> DataFrame:
+def as_texts(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2").astype(np.int64) for x in column.to_pylist()]
+
+
+def train(trained: DataFrame, shares: np.ndarray, states: int, passes: int | None = None) -> tuple[Hmm, list[float]]:
+    """The model after Baum-Welch passes over all rows of trained (symbols), and the log likelihood before each pass."""
+    model, seen = begin(shares, states), []
+    while passes is None or len(seen) < passes:
+        now = model
+
+        def expect(batches, now=now):
+            total = None
+            for b in batches:
+                for at in range(0, b.num_rows, 2048):
+                    c = now.expected(as_texts(b.column(0).slice(at, 2048)))
+                    total = c if total is None else total + c
+            if total is not None:
+                i = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total[i])], ["i", "v"])
+
+        counted = trained.select("symbols").mapInArrow(expect, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # one number for each of the model's
+        if not counted:
+            break
+        total = np.zeros(states + states * states + states * SYMBOLS + 1)
+        total[[r.i for r in counted]] = [r.v for r in counted]
+        seen.append(float(total[-1]))
+        if len(seen) > 1 and seen[-1] - seen[-2] < RISE * abs(seen[-2]):
+            break
+        model = maximize(total[:-1], shares, states)
+    return model, seen
+
+
+def score_texts(docs: DataFrame, train_if, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, passes: int | None = None) -> DataFrame:
     """Log10 probabilities of each row of docs under the model and under word counts alone.
 
     train_if: a condition on docs; rows where it holds are learned from. Returns id, train,
@@ -144,7 +177,8 @@ def score_texts(docs: DataFrame, train_if, id_col: str = "doc_id", text_col: str
     log10((c + 0.5) / (N + 0.5 (V + 1))) summed over the tokens. One row comes out for each row
     that goes in: repeated rows stay, and count as often in training; a null text is an empty
     one, whose only token is the end; a condition that is null teaches nothing. Without
-    training rows all symbols are alike. Words are told apart by 64-bit hashes.
+    training rows all symbols are alike. Words are told apart by 64-bit hashes. passes: at most
+    so many over the training rows; without it until the likelihood stops rising.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -215,30 +249,7 @@ def score_texts(docs: DataFrame, train_if, id_col: str = "doc_id", text_col: str
     seen = durable(seen.withColumn("row", F.monotonically_increasing_id()))
     drop_shuffles(spark)
 
-    as_texts = lambda column: [np.frombuffer(x, "<u2").astype(np.int64) for x in column.to_pylist()]
-    trained = seen.where("train").select("row", "id", "symbols")
-    sample = trained.orderBy(F.xxhash64("id"), "row").limit(start_texts).select("symbols").collect()
-    start = [np.frombuffer(r.symbols, "<u2").astype(np.int64) for r in sample]
-    model = begin(shares, states)
-    for _ in range(START_PASSES if start else 0):
-        model = maximize(model.expected(start), shares, states)
-    for _ in range(passes if start else 0):
-        now = model
-
-        def expect(batches, now=now):
-            total = None
-            for b in batches:
-                for at in range(0, b.num_rows, 2048):
-                    c = now.expected(as_texts(b.column(0).slice(at, 2048)))
-                    total = c if total is None else total + c
-            if total is not None:
-                i = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total[i])], ["i", "v"])
-
-        counted = trained.select("symbols").mapInArrow(expect, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # one number for each of the model's
-        total = np.zeros(states + states * states + states * SYMBOLS)
-        total[[r.i for r in counted]] = [r.v for r in counted]
-        model = maximize(total, shares, states)
+    model, _ = train(seen.where("train"), shares, states, passes)
 
     def score(batches):
         for batch in batches:

@@ -208,6 +208,20 @@ def test_hmm(spark):
     assert len(hmm_score.score_texts(docs.limit(0), F.lit(True)).collect()) == 0
 
 
+def test_hmm_passes_run_over_all_texts(spark):
+    rng = np.random.default_rng(3)
+    texts = [np.r_[rng.integers(1, 30, 1 + k % 7) + 40 * (k % 3), 0] for k in range(500)]
+    shares = (np.bincount(np.concatenate(texts), minlength=hmm_score.SYMBOLS) + 0.5) / (sum(map(len, texts)) + 0.5 * hmm_score.SYMBOLS)
+    rows = spark.createDataFrame([(t.astype("<u2").tobytes(),) for t in texts], "symbols binary").repartition(5)
+    got, rise = hmm_score.train(rows, shares, 3)
+    want = hmm_score.begin(shares, 3)
+    for _ in rise[:-1]:
+        want = hmm_score.maximize(want.expected(texts)[:-1], shares, 3)
+    assert np.allclose(got.emit, want.emit) and np.allclose(got.step, want.step)
+    assert len(rise) > 3 and rise[-1] - rise[-2] < hmm_score.RISE * abs(rise[-2]) and all(b > a for a, b in zip(rise[:-1], rise[1:-1]))
+    assert math.isclose(rise[-1], want.score(texts).sum() * math.log(10), rel_tol=1e-9)
+
+
 def test_forward_is_exact():
     rng = np.random.default_rng(0)
     shares = np.full(hmm_score.SYMBOLS, 1 / hmm_score.SYMBOLS)
