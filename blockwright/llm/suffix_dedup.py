@@ -2,19 +2,24 @@
 
 Sorting all suffixes of a corpus is out of reach, and most can't matter: a string of 50
 bytes that two documents share has the same least 24-byte gram in both. Each document is
-cut into runs of windows with one least gram (its anchor). Anchors that only one text has
-are done; the pieces around the others meet by anchor, once for equal pieces.
-
-In a task, pieces that may share a window are dealt into two shards. Each shard's
-Burrows-Wheeler transform comes from its own suffixes. The two are merged by refining
-their interleave: starting from "shard one, then shard two", each round passes the
-interleave through the last-to-first mapping and so sorts by one more character, until
-it no longer changes. Rows that a round tells apart give the common prefixes: after 50
-rounds, rows not yet apart are a repeated interval of 50-byte strings. No suffix is
-sorted again across shards. The least document of an interval keeps its string.
-
-Anchors of very many places make no merge: their windows meet by all of their bytes, one
-row for each batch of texts, so that no task gathers the pieces of such an anchor.
+cut into pieces, the runs of windows with one least gram (their anchor). Pieces travel as
+hashes first, many to a row: equal pieces are settled there, the least document keeps its
+one, and anchors that one document has are done. What is left are anchors with unlike
+pieces: the borders of what documents share. Only these pieces travel as bytes.
+
+A task deals such pieces into shards. Each shard's Burrows-Wheeler transform comes from its
+own suffixes. The transforms are merged by refining their interleave: starting from one
+shard behind the other, each round passes the interleave through the last-to-first
+mappings and so sorts by one more character, until it no longer changes. Rows that a round
+tells apart give the common prefixes: after 50 rounds, rows not yet apart are a repeated
+interval of 50-byte strings. No suffix is sorted again across shards. The least document
+of an interval keeps its string.
+
+Anchors with very many unlike pieces make no merge: their windows meet by 128 bits of hash,
+one row for each batch of texts, so that no task gathers the pieces of such an anchor.
+
+Hashes: anchors only bring pieces together; pieces count as equal by their anchor's 40 bits
+and bucket and 48 bits of their own.
 """
 
 from __future__ import annotations
@@ -27,22 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwright.llm.common import drop_shuffles, durable, groups
+from blockwright.llm.common import discard, durable, groups, packed, partitions, sent, values, whole_tasks
 
 #: Bytes of an anchor.
 GRAM = 24
-#: Bytes of pieces that are merged at a time.
-MERGE_BYTES = 1 << 18
-#: Places of one anchor in all texts beyond which its pieces meet by 37 and 38 bytes instead of 24.
-HOT_ROWS = 4_000
-#: Places of one anchor beyond which whole windows meet instead of pieces, the least document of each batch only.
-WHOLE_ROWS = 16_000
-#: Pieces that a task keeps at a time to tell equal ones.
-CUT_ROWS = 500_000
-#: Hot anchors that are few enough to send to every task.
-SENT_ANCHORS = 200_000
-#: Texts that lose something, of some 100 bytes each, that are few enough to send to every task.
-SENT_ROWS = 200_000
+#: Bytes of pieces that are merged at a time, and those of one shard.
+MERGE_BYTES, SHARD_BYTES = 1 << 19, 1 << 16
+#: Bytes of texts whose pieces are told apart at a time before they travel.
+SLICE_BYTES = 12 << 20
+#: Unlike pieces of an anchor in one slice, and in all, beyond which its windows meet instead.
+LOCAL_PIECES, WHOLE_PIECES = 16, 4_000
 MULTIPLIER = 6364136223846793005
 
 
@@ -60,12 +59,14 @@ class Roller:
             self.up = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, MULTIPLIER, np.uint64)])
             self.down = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, pow(MULTIPLIER, -1, 1 << 64), np.uint64)])
 
-    def grams(self, raw: np.ndarray) -> np.ndarray:
-        n = len(raw)
-        self.powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.value[raw] * self.up[:n], out=total[1:])
-        h = (total[GRAM:] - total[:-GRAM]) * self.down[: n - GRAM + 1]
+    def sums(self, raw: np.ndarray) -> np.ndarray:
+        self.powers(len(raw) + 1)
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.value[raw] * self.up[: len(raw)], out=total[1:])
+        return total
+
+    def between(self, total: np.ndarray, start, end) -> np.ndarray:
+        h = (total[end] - total[start]) * self.down[start]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
@@ -75,9 +76,10 @@ class Roller:
 ROLLER = Roller()
 
 
-def anchors(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows of one text with one anchor: hash and place of the anchor, first and last window."""
-    h = ROLLER.grams(raw)
+def anchors(raw: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Pieces of one text, runs of windows with one anchor: hashes of anchor and piece, place of the anchor, first and last window."""
+    total = ROLLER.sums(raw)
+    h = ROLLER.between(total, slice(0, len(raw) - GRAM + 1), slice(GRAM, len(raw) + 1))
     width = length - GRAM + 1
     low, at, span = h, np.arange(len(h), dtype=np.int32), 1
     while span < width:  # the anchor of a window is the first gram that has the window's least hash
@@ -85,7 +87,8 @@ def anchors(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.nd
         left = low[:-step] <= low[step:]
         low, at, span = np.where(left, low[:-step], low[step:]), np.where(left, at[:-step], at[step:]), span + step
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return low[first].view(np.int64), at[first], first, np.r_[first[1:], len(at)] - 1
+    last = np.r_[first[1:], len(at)] - 1
+    return low[first], ROLLER.between(total, first, last + length), at[first], first, last
 
 
 def transform(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,242 +119,343 @@ def transform(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         key, span = rank * (n + 1) + behind, 2 * span
 
 
-def merge(one: np.ndarray, two: np.ndarray, marks_one: int, marks_two: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of two transforms (False: a row of one), and for each row whether a new interval of common length-prefixes starts there."""
-    n = len(one) + len(two)
-    marks = marks_one + marks_two
-    from_two = np.zeros(n, bool)
-    from_two[len(one) :] = True
-    fixed = from_two[:0].tolist() + [False] * marks_one + [True] * marks_two  # rows of the marks themselves
+def merge(shards: list[np.ndarray], marks: list[int], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of transforms: for each row of the merged one its row in the shards, one behind the other; and whether a new interval of common length-prefixes starts there.
+
+    marks: pieces of each shard, whose marks are its first rows.
+    """
+    before = np.cumsum([0, *map(len, shards)])
+    chars, n, ends = np.concatenate(shards), int(before[-1]), sum(marks)
+    step = np.empty(n, np.int32)  # last-to-first mapping of each row inside its shard
+    for at, own in zip(before.tolist(), shards):
+        step[at + np.argsort(own, kind="stable")] = np.arange(at, at + len(own), dtype=np.int32)
+    row = np.arange(n, dtype=np.int32)
+    turned = np.concatenate([np.arange(at, at + m, dtype=np.int32) for at, m in zip(before.tolist(), marks)] + [np.empty(n - ends, np.int32)])
     block, new, rounds = np.zeros(n, np.int32), np.ones(n, bool), 0
-    chars, turned = np.empty(n, np.uint8), np.empty(n, bool)
-    turned[:marks] = fixed
     while True:
-        chars[~from_two], chars[from_two] = one, two
-        order = np.argsort(chars, kind="stable")[marks:]
-        turned[marks:] = from_two[order]
+        now = chars[row]
+        order = np.argsort(now, kind="stable")[ends:]
+        turned[ends:] = step[row[order]]
         if rounds < length:
-            c, b = chars[order], block[order]
-            new[marks + 1 :] = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
+            c, b = now[order], block[order]
+            new[ends + 1 :] = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
             np.cumsum(new, out=block)
         rounds += 1
-        settled = np.array_equal(turned, from_two)
-        from_two[:] = turned
+        settled = np.array_equal(turned, row)
+        row[:] = turned
         if settled and rounds >= length:
-            return from_two, new
+            return row, new
 
 
-def repeated(pieces: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated(pieces: list[bytes], docs: np.ndarray, length: int, shard_bytes: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window of the pieces, one after the other: the least document among all pieces that hold the same string; and each piece's first entry."""
-    middle = (len(pieces) + 1) // 2
     size = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
-    docs_of = np.repeat(docs, size)
-    (one, at_one), (two, at_two) = transform(pieces[:middle]), transform(pieces[middle:])
-    from_two, starts = merge(one, two, middle, len(pieces) - middle, length)
-    place = np.empty(len(from_two), np.int64)
-    place[~from_two], place[from_two] = at_one, at_two + len(one)
+    shard = (np.cumsum(size) - 1) // shard_bytes
+    cuts = [*np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]).tolist(), len(pieces)]
+    made = [transform(pieces[a:z]) for a, z in zip(cuts, cuts[1:])]
+    row, starts = merge([m[0] for m in made], np.diff(cuts).tolist(), length)
+    before = np.cumsum([0, *[len(m[1]) for m in made]])
+    place = np.concatenate([m[1] + at for m, at in zip(made, before)])[row]
     first = np.flatnonzero(starts)
     out = np.empty(len(place), np.int64)
-    out[place] = np.repeat(np.minimum.reduceat(docs_of[place], first), np.diff(np.append(first, len(place))))
+    out[place] = np.repeat(np.minimum.reduceat(np.repeat(docs, size)[place], first), np.diff(np.append(first, len(place))))
     return out, np.cumsum(size) - size
 
 
-def find(batches, length: int):
-    """(h, lo, c) of anchors: c = its places for one of one text of the batch; for one of several, one row with c = -places, and one with c = 0 for each text."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, 4096):
-            part = batch.slice(start, 4096)
-            h, own, places, seen = [], [], [], set()
-            for t, lo in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                if lo not in seen:
-                    seen.add(lo)
-                    found, times = np.unique(anchors(np.frombuffer(t.encode(), np.uint8), length)[0], return_counts=True)
-                    h.append(found)
-                    own.append(np.full(len(found), lo))
-                    places.append(times)
-            if not h:
-                continue
-            h, own, places = np.concatenate(h), np.concatenate(own), np.concatenate(places)
-            order = np.argsort(h, kind="stable")
-            h, own, places = h[order], own[order], places[order]
-            same = np.r_[False, h[1:] == h[:-1]]
-            many = same | np.r_[same[1:], False]
-            stands = many & ~same
-            total = np.add.reduceat(places, np.flatnonzero(~same))[stands[~same]]
-            columns = (np.r_[h[~many], h[stands], h[many]], np.r_[own[~many], np.zeros(len(total), np.int64), own[many]], np.r_[places[~many], -total, np.zeros(many.sum(), np.int64)].astype(np.int32))
-            for k in range(0, len(columns[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], ["h", "lo", "c"])
-
-
-def shared(h, lo, c, hot_rows: int, whole_rows: int):
-    """(lo, h, null) of anchors of several texts, and (null, h, whole) of hot ones: the rows with c <> 0 of an anchor are all here and count its places."""
-    start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    size = np.diff(np.r_[start, len(h)])
-    one, big = c > 0, np.iinfo(np.int64)
-    low, high = np.minimum.reduceat(np.where(one, lo, big.max), start), np.maximum.reduceat(np.where(one, lo, big.min), start)
-    both = (low < high) | (np.minimum.reduceat(c, start) <= 0)
-    take = (c >= 0) & np.repeat(both, size)
-    places = np.add.reduceat(np.abs(c.astype(np.int64)), start)
-    many = both & (places > min(hot_rows, whole_rows))
-    hot, whole = h[start[many]], places[many] > whole_rows
-    own = pa.concat_arrays([pa.array(lo[take]), pa.nulls(len(hot), pa.int64())])
-    return pa.RecordBatch.from_arrays([own, pa.array(np.r_[h[take], hot]), pa.concat_arrays([pa.nulls(take.sum(), pa.bool_()), pa.array(whole)])], ["lo", "h", "whole"])
-
-
-def keep_shared(batches, hot_rows: int, whole_rows: int):
-    rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-    for b in batches:
-        h, lo, c = (np.concatenate([r, x.to_numpy()]) for r, x in zip(rest, b.columns))
-        if not len(h):
-            continue
-        last = int(np.searchsorted(h, h[-1]))
-        if last:
-            yield shared(h[:last], lo[:last], c[:last], hot_rows, whole_rows)
-        rest = [h[last:], lo[last:], c[last:]]
-    if len(rest[0]):
-        yield shared(*rest, hot_rows, whole_rows)
+# Kinds of rows that travel: pieces, lost windows, anchors that are frequent in a slice, and the pieces of these.
+PIECE, LOST, FREQUENT, WHOLE = range(4)
+TRAVEL = {"h": "<u4", "g": "u1", "p": "<u4", "q": "<u2", "id": "<u4", "up": "<i4", "j": "<u4", "f": "<u2", "far": "<u2", "rel": "u1", "n": "u1", "last": "<u4"}
+SETTLED = {"id": "<i8", "j": "<u4", "first": "<u4", "last": "<u4", "rel": "u1", "key": "<i8"}
+
+
+def schema_of(columns: dict[str, str]) -> str:
+    return "task int, kind int, " + ", ".join(f"{c} binary" for c in columns)
+
+
+def task_of(h: np.ndarray, tasks: int) -> np.ndarray:
+    """A task for each hash, in the order of the hashes."""
+    return ((h >> np.uint64(48)) * np.uint64(tasks) >> np.uint64(16)).astype(np.int32)
+
+
+def doc_task(ids: np.ndarray, tasks: int) -> np.ndarray:
+    return task_of(ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), tasks)
 
 
-def pieces_out(out: dict, others: list, covered: list):
-    """Batches of what cut() has gathered, which is empty afterwards."""
-    items = [(k, piece, rel, doc, lo, at) for (k, piece, rel), (doc, lo, at) in out.items()] + others
-    items += [(lo, None, None, None, lo, [s, e]) for lo, s, e in covered]
-    out.clear(), others.clear(), covered.clear()
-    for k in range(0, len(items), 20_000):
-        part = items[k : k + 20_000]
-        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in part], t) for j, t in enumerate((pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["key", "piece", "rel", "doc", "lo", "at"])
+def classes(h: np.ndarray, p: np.ndarray, ids: np.ndarray):
+    """Rows of anchors that occur more than once, by anchor, piece and document; where classes of equal pieces and where anchors start among them."""
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    order = order[np.r_[False, same] | np.r_[same, False]]
+    order = order[np.lexsort((ids[order], p[order], h[order]))]
+    by_h = np.ones(len(order), bool)
+    by_h[1:] = h[order[1:]] != h[order[:-1]]
+    by_p = by_h.copy()
+    by_p[1:] |= p[order[1:]] != p[order[:-1]]
+    return order, by_p, by_h
+
+
+def runs_of(doc: np.ndarray, first: np.ndarray, last: np.ndarray, length: int):
+    """Runs of windows, ordered by doc and first, whose bytes touch, as one: index of each joined run's first entry, and its last window."""
+    wide = np.int64(1) << np.int64(32)
+    until = np.maximum.accumulate(doc * wide + last)
+    new = np.flatnonzero(np.r_[True, doc[1:] * wide + first[1:] > until[:-1] + length])
+    return new, until[np.r_[new[1:], len(doc)] - 1] % wide
+
+
+def find(batches, length: int, tasks: int, local_pieces: int, slice_bytes: int):
+    """Pieces of texts (id, j, t) as hashes, slice by slice. Of equal pieces of a slice the least document's travels; the others are lost here."""
+    texts: list[tuple[int, int, np.ndarray]] = []
+    seen: set[tuple[int, int]] = set()
+    size = 0
+
+    def flush():
+        ids, js = np.array([t[0] for t in texts], np.int64), np.array([t[1] for t in texts], np.uint32)
+        found = [anchors(t[2], length) for t in texts]
+        doc = np.repeat(np.arange(len(texts)), [len(x[0]) for x in found])
+        h, p, at, first, last = (np.concatenate([x[k] for x in found]) for k in range(5))
+        texts.clear()
+        seen.clear()
+        p = p >> np.uint64(16)
+        own = ids[doc]
+        order, by_p, by_h = classes(h, p, own)
+        stays, whole = np.ones(len(h), bool), np.zeros(len(h), bool)
+        if len(order):
+            least = own[order[np.flatnonzero(by_p)]][np.cumsum(by_p) - 1]
+            stays[order[own[order] > least]] = False
+            start = np.flatnonzero(by_h)
+            many = np.add.reduceat(by_p.astype(np.int64), start) > local_pieces
+            whole[order[np.repeat(many, np.diff(np.r_[start, len(order)]))]] = True
+            hot = h[order[start[many]]]
+            if len(hot):
+                yield packed(task_of(hot, tasks), FREQUENT, TRAVEL, h=hot & np.uint64(0xFFFFFFFF), g=hot >> np.uint64(32) & np.uint64(255))
+        gone = np.flatnonzero(~stays)
+        if len(gone):
+            gone = gone[np.lexsort((first[gone], doc[gone]))]
+            new, until = runs_of(doc[gone], first[gone], last[gone], length)
+            k = gone[new]
+            t = doc_task(ids[doc[k]], tasks)
+            o = np.argsort(t, kind="stable")
+            k, until, t = k[o], until[o], t[o]
+            yield packed(t, LOST, TRAVEL, id=own[k] & 0xFFFFFFFF, up=own[k] >> 32, j=js[doc[k]], f=first[k] & 0xFFFF, far=first[k] >> 16, last=until)
+        for kind, some in ((PIECE, stays & ~whole), (WHOLE, stays & whole)):
+            k = np.flatnonzero(some)
+            t = task_of(h[k], tasks) if kind == PIECE else doc_task(own[k], tasks)
+            o = np.argsort(h[k]) if kind == PIECE else np.argsort(t, kind="stable")
+            k, t = k[o], t[o]
+            if len(k):
+                yield packed(t, kind, TRAVEL, h=h[k] & np.uint64(0xFFFFFFFF), g=h[k] >> np.uint64(32) & np.uint64(255), p=p[k] & np.uint64(0xFFFFFFFF), q=p[k] >> np.uint64(32), id=own[k] & 0xFFFFFFFF, up=own[k] >> 32, j=js[doc[k]], f=first[k] & 0xFFFF, far=first[k] >> 16, rel=at[k] - first[k], n=last[k] - first[k] + 1)
+
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1024):
+            for i, j, t in zip(*[c.to_pylist() for c in batch.slice(start, 1024).columns]):
+                if (i, j) not in seen:
+                    seen.add((i, j))
+                    raw = np.frombuffer(t.encode(), np.uint8)
+                    texts.append((i, j, raw))
+                    size += len(raw)
+                    if size > slice_bytes:
+                        yield from flush()
+                        size = 0
+    if texts:
+        yield from flush()
+
+
+def settle(batches, length: int, tasks: int, whole_pieces: int):
+    """Of equal pieces all but the least document's are lost; pieces of anchors with unlike ones are asked for."""
+
+    def out(kind, ids, **columns):
+        t = doc_task(ids, tasks)
+        o = np.argsort(t, kind="stable")
+        return packed(t[o], kind, SETTLED, id=ids[o], **{c: v[o] for c, v in columns.items()})
+
+    for b in whole_tasks(batches):
+        kinds = b.column(1).to_numpy()
+        for kind in (LOST, WHOLE):
+            part = b.filter(pa.array(kinds == kind))
+            if part.num_rows:
+                v = values(part, TRAVEL)
+                ids, first = v["up"].astype(np.int64) << 32 | v["id"], v["far"].astype(np.uint32) << 16 | v["f"]
+                yield out(kind, ids, j=v["j"], first=first, last=v["last"] if kind == LOST else first + v["n"] - 1)
+        part = b.filter(pa.array(kinds == PIECE))
+        if not part.num_rows:
+            continue
+        v = values(part, TRAVEL)
+        place = np.repeat(part.column(0).to_numpy().astype(np.uint64), v["rows"])
+        h = place << np.uint64(40) | v["g"].astype(np.uint64) << np.uint64(32) | v["h"]
+        p = v["q"].astype(np.uint64) << np.uint64(32) | v["p"]
+        ids, first = v["up"].astype(np.int64) << 32 | v["id"], v["far"].astype(np.uint32) << 16 | v["f"]
+        hot = b.filter(pa.array(kinds == FREQUENT))
+        x = values(hot, TRAVEL)
+        frequent = np.repeat(hot.column(0).to_numpy().astype(np.uint64), x.get("rows", np.zeros(0, np.int64))) << np.uint64(40) | x["g"].astype(np.uint64) << np.uint64(32) | x["h"]
+        lone = np.flatnonzero(np.isin(h, frequent)) if len(frequent) else np.zeros(0, np.int64)
+        order, by_p, by_h = classes(h, p, ids)
+        if len(order):
+            least = ids[order[np.flatnonzero(by_p)]][np.cumsum(by_p) - 1]
+            gone = ids[order] > least
+            k = order[gone]
+            if len(k):
+                yield out(LOST, ids[k], j=v["j"][k], first=first[k], last=first[k] + v["n"][k] - 1)
+            start = np.flatnonzero(by_h)
+            number = np.add.reduceat(by_p.astype(np.int64), start)
+            docs = np.minimum.reduceat(ids[order], start) < np.maximum.reduceat(ids[order], start)
+            size = np.diff(np.r_[start, len(order)])
+            ask, whole = np.repeat((number > 1) & docs, size), np.repeat(number > whole_pieces, size)
+            if len(frequent):
+                whole |= np.isin(h[order], frequent)
+            k = order[ask & ~whole & ~gone]
+            if len(k):
+                yield out(PIECE, ids[k], j=v["j"][k], first=first[k], last=first[k] + v["n"][k] - 1, rel=v["rel"][k], key=h[k].view(np.int64))
+            lone = np.union1d(order[ask & whole & ~gone], np.setdiff1d(lone, order[gone])) if len(frequent) else order[ask & whole & ~gone]
+        if len(lone):
+            yield out(WHOLE, ids[lone], j=v["j"][lone], first=first[lone], last=first[lone] + v["n"][lone] - 1)
+
+
+def per_text(batches, length: int):
+    """One row for each text that loses something so far (lost: first and last windows in turn) or of which pieces are asked for."""
+    for b in whole_tasks(batches):
+        kinds = b.column(1).to_numpy()
+        for kind in (LOST, PIECE, WHOLE):
+            part = b.filter(pa.array(kinds == kind))
+            if not part.num_rows:
+                continue
+            v = values(part, SETTLED)
+            first, last = v["first"].astype(np.int64), v["last"].astype(np.int64)
+            o = np.lexsort((first, v["j"], v["id"]))
+            ids, js, first, last = v["id"][o], v["j"][o], first[o], last[o]
+            new = np.r_[True, (ids[1:] != ids[:-1]) | (js[1:] != js[:-1])]
+            if kind == LOST:
+                k, until = runs_of(np.cumsum(new), first, last, length)
+                ids, js, first, last = ids[k], js[k], first[k], until
+                new = np.r_[True, (ids[1:] != ids[:-1]) | (js[1:] != js[:-1])]
+            start = np.flatnonzero(new)
+            offsets = pa.array(np.r_[start, len(ids)].astype(np.int32))
+            none = pa.nulls(len(start), pa.list_(pa.int32()))
+            columns = [pa.array(ids[start]), pa.array(js[start].astype(np.int64))]
+            ends = pa.ListArray.from_arrays(pa.array(2 * np.r_[start, len(ids)].astype(np.int32)), pa.array(np.stack([first, last], 1).ravel().astype(np.int32)))
+            if kind == PIECE:
+                rel, key = pa.ListArray.from_arrays(offsets, pa.array(v["rel"][o].astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(v["key"][o]))
+            else:
+                rel, key = none, pa.nulls(len(start), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(start), kind, np.int32)), ends, rel, key], ["id", "j", "kind", "ends", "rel", "key"])
 
 
 def cut(batches, length: int):
-    """Pieces around shared anchors. Of equal pieces of a batch the least document's goes on; later documents lose theirs here."""
+    """The pieces that are asked for, as bytes; windows of very frequent anchors by hash, the least document's of a slice, which later ones lose here."""
     for batch in batches:
         for start in range(0, batch.num_rows, 2048):
-            rows = sorted(zip(*[c.to_pylist() for c in batch.slice(start, 2048).columns]), key=lambda r: r[0])
-            out: dict[tuple[int, bytes, int], tuple[int, int, list[int]]] = {}
-            covered: list[tuple[int, int, int]] = []
-            others: list[tuple] = []
-            for doc, lo, t, met, hot, whole in rows:
+            out: list[tuple] = []
+            windows: dict[bytes, list[tuple]] = {}
+            done: set[tuple] = set()
+            for i, j, t, kind, ends, rel, key in zip(*[c.to_pylist() for c in batch.slice(start, 2048).columns]):
+                if (i, j, kind) in done:
+                    continue
+                done.add((i, j, kind))
                 raw = t.encode()
-                h, at, a, z = anchors(np.frombuffer(raw, np.uint8), length)
-                hot_here, whole_here = np.isin(h, np.array(hot, np.int64)), np.isin(h, np.array(whole, np.int64))
-                use = np.isin(h, np.array(met, np.int64)) | hot_here | whole_here
-                for v, p, s, e, wide, single in zip(h[use].tolist(), at[use].tolist(), a[use].tolist(), z[use].tolist(), hot_here[use].tolist(), whole_here[use].tolist()):
-                    parts = [(v, s, e)]
-                    if single:
-                        parts = [(xxhash.xxh3_64_intdigest(b"=" + raw[k : k + length]) - (1 << 63), k, k) for k in range(s, e + 1)]
-                    elif wide:  # windows that reach 13 bytes behind the anchor, and the others, meet by what they have in common
-                        edge = p + GRAM + 13 - length
-                        left, right = raw[max(0, p - 14) : p + GRAM], raw[p : p + GRAM + 13]
-                        parts = [(xxhash.xxh3_64_intdigest(b"<" + left) - (1 << 63), s, min(e, edge - 1)), (xxhash.xxh3_64_intdigest(b">" + right) - (1 << 63), max(s, edge), e)]
-                    for key, s1, e1 in parts:
-                        if s1 <= e1:
-                            piece = raw[s1 : e1 + length]
-                            known_at = out.setdefault((key, piece, p - s1), (doc, lo, []))
-                            if known_at[:2] == (doc, lo):
-                                known_at[2].append(s1)
-                            elif known_at[0] < doc:
-                                covered.append((lo, s1, e1))
-                            else:
-                                others.append((key, piece, p - s1, doc, lo, [s1]))
-                if len(out) + len(others) > CUT_ROWS:
-                    yield from pieces_out(out, others, covered)
-            yield from pieces_out(out, others, covered)
-
-
-def lose(batches, length: int):
-    """(lo, first, last): runs of windows that a smaller document has."""
+                if kind == PIECE:
+                    out += [(k, raw[a : z + length], r, i, j, a, z) for k, r, a, z in zip(key, rel, ends[::2], ends[1::2])]
+                else:
+                    for a, z in zip(ends[::2], ends[1::2]):
+                        for k in range(a, z + 1):
+                            windows.setdefault(xxhash.xxh3_128_digest(raw[k : k + length]), []).append((i, j, k))
+            for w, places in windows.items():
+                least = min(p[0] for p in places)
+                key = int.from_bytes(w[:8], "little", signed=True)
+                out += [(key, w if i == least else None, None, i, j, k, k) for i, j, k in places]
+            for k in range(0, len(out), 20_000):
+                yield rows_as(out[k : k + 20_000], PIECES)
+
+
+PIECES = {"key": pa.int64(), "piece": pa.binary(), "rel": pa.int32(), "id": pa.int64(), "j": pa.int64(), "first": pa.int32(), "last": pa.int32()}
+LOSSES = {"id": pa.int64(), "j": pa.int64(), "first": pa.int32(), "last": pa.int32()}
+
+
+def rows_as(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(columns.values())], list(columns))
+
+
+def may_share(rows: list[tuple]) -> list[tuple]:
+    """Pieces of one anchor that can have a window in common with another: it reaches 13 bytes behind the anchor or 13 before it."""
+    sides: dict[tuple[bool, bytes], int] = {}
+    own = []
+    for _, piece, rel, *_ in rows:
+        ends = [s for s in ((True, piece[rel + GRAM : rel + GRAM + 13]), (False, piece[max(0, rel - 13) : rel])) if len(s[1]) == 13]
+        own.append(ends)
+        for s in ends:
+            sides[s] = sides.get(s, 0) + 1
+    return [r for r, ends in zip(rows, own) if any(sides[s] > 1 for s in ends)]
+
+
+def lose(batches, length: int, merge_bytes: int, shard_bytes: int):
+    """(id, j, first, last): runs of windows that a smaller document has."""
     waiting: list[tuple] = []
     size = 0
-    done: list[tuple[int, int, int]] = []
+    done: list[tuple] = []
 
     def flush():
-        nonlocal size
         kinds: dict[bytes, int] = {}
         for r in waiting:
             kinds[r[1]] = min(kinds.get(r[1], r[3]), r[3])
-        if len(kinds) > 1:
-            least, first = repeated(list(kinds), np.array(list(kinds.values())), length)
-            first = dict(zip(kinds, first.tolist()))
-        elif kinds:
-            (piece, doc), = kinds.items()
-            least, first = np.full(len(piece), doc), {piece: 0}
-        if kinds:
-            windows = np.array([len(r[1]) - length + 1 for r in waiting])
-            row = np.repeat(np.arange(len(waiting)), windows)
-            inner = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-            lost = np.flatnonzero(least[np.array([first[r[1]] for r in waiting])[row] + inner] < np.array([r[3] for r in waiting])[row])
-            if len(lost):
-                r, w = row[lost], inner[lost]
-                new = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (w[1:] != w[:-1] + 1)))
-                for k, a, z in zip(r[new].tolist(), w[new].tolist(), w[np.append(new[1:], len(w)) - 1].tolist()):
-                    done.extend((waiting[k][4], s + a, s + z) for s in waiting[k][5])
+        least, first = repeated(list(kinds), np.array(list(kinds.values())), length, shard_bytes)
+        first = dict(zip(kinds, first.tolist()))
+        windows = np.array([len(r[1]) - length + 1 for r in waiting])
+        row = np.repeat(np.arange(len(waiting)), windows)
+        inner = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+        lost = np.flatnonzero(least[np.array([first[r[1]] for r in waiting])[row] + inner] < np.array([r[3] for r in waiting])[row])
+        if len(lost):
+            r, w = row[lost], inner[lost]
+            new = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (w[1:] != w[:-1] + 1)))
+            for k, a, z in zip(r[new].tolist(), w[new].tolist(), w[np.append(new[1:], len(w)) - 1].tolist()):
+                done.append((*waiting[k][3:5], waiting[k][5] + a, waiting[k][5] + z))
         waiting.clear()
-        size = 0
-
-    def taken():
-        out = pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["lo", "first", "last"])
-        done.clear()
-        return out
 
     for _, rows in groups(batches):
-        done.extend((r[4], *r[5]) for r in rows if r[1] is None)
-        rows = [r for r in rows if r[1] is not None]
+        done += [r[3:] for r in rows if r[1] is None]
+        hashed = [r for r in rows if r[1] is not None and len(r[1]) < length]
+        if len(hashed) > 1:
+            least: dict[bytes, int] = {}
+            for r in hashed:
+                least[r[1]] = min(least.get(r[1], r[3]), r[3])
+            done += [r[3:] for r in hashed if r[3] > least[r[1]]]
+        rows = [r for r in rows if r[1] is not None and len(r[1]) >= length]
         if len(rows) > 1:
-            kinds = {r[1:3] for r in rows}
-            if len(kinds) == 1:
-                least = min(r[3] for r in rows)
-                done.extend((r[4], s, s + len(r[1]) - length) for r in rows if r[3] > least for s in r[5])
-            else:  # a common window reaches 13 bytes behind the anchor or 13 before it
-                sides: dict[tuple[bool, bytes], int] = {}
-                for piece, rel in kinds:
-                    for side in ((True, piece[rel + GRAM : rel + GRAM + 13]), (False, piece[max(0, rel - 13) : rel])):
-                        if len(side[1]) == 13:
-                            sides[side] = sides.get(side, 0) + 1
-                kept_by: dict[tuple[bytes, int], list[tuple]] = {}
-                for r in rows:
-                    kept_by.setdefault(r[1:3], []).append(r)
-                for (piece, rel), same in kept_by.items():
-                    if sides.get((True, piece[rel + GRAM : rel + GRAM + 13]), 0) > 1 or sides.get((False, piece[max(0, rel - 13) : rel]), 0) > 1:
-                        waiting.extend(same)
-                        size += len(piece) + 1
-                    elif len(same) > 1:  # nothing but its copies can hold its windows
-                        least = min(r[3] for r in same)
-                        done.extend((r[4], s, s + len(piece) - length) for r in same if r[3] > least for s in r[5])
-                if size > MERGE_BYTES:
-                    flush()
+            rows = may_share(rows)
+            waiting += rows
+            size += sum(len(r[1]) + 1 for r in rows)
+            if size > merge_bytes:
+                flush()
+                size = 0
         if len(done) > 20_000:
-            yield taken()
-    flush()
+            yield rows_as(done, LOSSES)
+            done = []
+    if waiting:
+        flush()
     if done:
-        yield taken()
+        yield rows_as(done, LOSSES)
 
 
 def strip(batches, length: int):
     for batch in batches:
         for start in range(0, batch.num_rows, 512):
             part = batch.slice(start, 512)
-            ids, sizes, gone, spans, kept = part.column(0), [], [], [], []
-            for i, t, source, found in zip(*[c.to_pylist() for c in part.columns]):
+            sizes, gone, spans, kept = [], [], [], []
+            for t, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                 raw = t.encode()
-                n = len(raw)
                 cover: list[tuple[int, int]] = []
-                if i is not None and n >= length and source is not None and i > source:
-                    cover = [(0, n)]
-                elif i is not None and found:
-                    for a, z in sorted((r["first"], r["last"] + length) for r in found):
-                        if cover and a <= cover[-1][1]:
-                            cover[-1] = (cover[-1][0], max(z, cover[-1][1]))
-                        else:
-                            cover.append((a, z))
+                for ends in sorted(zip(found[::2], found[1::2])) if found else ():
+                    a, z = ends[0], ends[1] + length
+                    if cover and a <= cover[-1][1]:
+                        cover[-1] = (cover[-1][0], max(z, cover[-1][1]))
+                    else:
+                        cover.append((a, z))
                 left, at = [], 0
                 for a, z in cover:
                     left.append(raw[at:a])
                     at = z
-                sizes.append(n)
+                sizes.append(len(raw))
                 gone.append(sum(z - a for a, z in cover))
                 spans.append([{"start": a, "end": z} for a, z in cover])
                 kept.append(b"".join([*left, raw[at:]]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["id", "n_bytes", "n_removed", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["id", "n_bytes", "n_removed", "spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -363,41 +467,29 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     text is empty; a row with a null id loses nothing and takes nothing from others; rows of
     one id take nothing from each other. Ids are integers. Other columns are left out.
     """
-    if length < GRAM + 2:
-        raise ValueError(f"strings of {GRAM + 2} bytes or more can be found")
+    if not GRAM + 2 <= length <= GRAM + 200:
+        raise ValueError(f"strings of {GRAM + 2} to {GRAM + 200} bytes can be found")
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
-    marked = texts.select("id", "t", F.xxhash64("t").alias("lo"), F.xxhash64(F.lit("again"), "t").alias("hi"))
-    known = marked.where(f"id IS NOT NULL AND octet_length(t) >= {length}")
-    first = durable(known.groupBy("lo", "hi").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
-
-    # anchors of several texts of one batch are dealt by text as well: a frequent one makes no large group; its places are counted in one partition
-    grams = known.select("t", "lo").mapInArrow(partial(find, length=length), "h long, lo long, c int")
-    apart = grams.repartition("h", F.when(F.col("c") == 0, F.col("lo")).otherwise(F.lit(0))).sortWithinPartitions("h")
-    found = durable(apart.mapInArrow(partial(keep_shared, hot_rows=HOT_ROWS, whole_rows=WHOLE_ROWS), "lo long, h long, whole boolean"))
-    drop_shuffles(spark)
-    hot = durable(found.where("lo IS NULL").select(F.col("h").alias("hh"), "whole"))
-    if hot.count() <= SENT_ANCHORS:  # else both sides meet by a shuffle
-        hot = F.broadcast(hot)
-    flagged = found.where("lo IS NOT NULL").select("lo", "h").join(hot, F.col("h") == F.col("hh"), "left")
-    per_text = flagged.groupBy("lo").agg(F.collect_list(F.when(F.col("hh").isNull(), F.col("h"))).alias("met"), F.collect_set(F.when(~F.col("whole"), F.col("h"))).alias("hot"), F.collect_set(F.when(F.col("whole"), F.col("h"))).alias("whole"))
-    wanted = durable(per_text.join(first.select("lo", "first"), "lo")).withColumnRenamed("lo", "wlo")
-    drop_shuffles(spark)
-    pieces = known.join(wanted, (F.col("lo") == F.col("wlo")) & (F.col("id") == F.col("first"))).select(F.col("id").cast("long").alias("doc"), "lo", "t", "met", "hot", "whole")
-    pieces = pieces.mapInArrow(partial(cut, length=length), "key long, piece binary, rel int, doc long, lo long, at array<int>")
-
-    lost = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(partial(lose, length=length), "lo long, first int, last int")
-    lost = durable(lost.groupBy("lo").agg(F.collect_list(F.struct("first", "last")).alias("runs")))
-    drop_shuffles(spark)
-
-    facts = first.join(lost, "lo", "left").where("copies > 1 OR runs IS NOT NULL").select(F.col("lo").alias("flo"), F.col("hi").alias("fhi"), "first", "runs")
-    facts = durable(facts)
-    drop_shuffles(spark)
-    rows, entries = facts.agg(F.count("*"), F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()
-    if rows <= SENT_ROWS and entries <= 10 * SENT_ROWS:  # else both sides meet by a shuffle
-        facts = F.broadcast(facts)
-    out = marked.join(facts, (F.col("lo") == F.col("flo")) & (F.col("hi") == F.col("fhi")), "left").select("id", "t", "first", "runs")
+    tasks = min(1 << 16, 16 * partitions(spark))
+    plain = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
+    # rows of one id with different texts are told apart by j, a hash of the text; it is 0 where ids aren't repeated
+    repeats = durable(plain.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select(F.col("id").alias("again")))
+    texts = plain.join(sent(repeats), F.col("id") == F.col("again"), "left")
+    texts = texts.select("id", F.when(F.col("again").isNull(), 0).otherwise(F.xxhash64("t").bitwiseAND(0xFFFFFFFF)).cast("long").alias("j"), "t")
+    known = texts.where(f"id IS NOT NULL AND octet_length(t) >= {length}").select(F.col("id").cast("long").alias("id"), "j", "t")
+
+    travel = known.mapInArrow(partial(find, length=length, tasks=tasks, local_pieces=LOCAL_PIECES, slice_bytes=SLICE_BYTES), schema_of(TRAVEL)).repartition("task").sortWithinPartitions("task")
+    settled = travel.mapInArrow(partial(settle, length=length, tasks=tasks, whole_pieces=WHOLE_PIECES), schema_of(SETTLED)).repartition("task").sortWithinPartitions("task")
+    facts = durable(settled.mapInArrow(partial(per_text, length=length), "id long, j long, kind int, ends array<int>, rel array<int>, key array<long>"))
+    asked = known.join(facts.where(f"kind <> {LOST}"), ["id", "j"]).select("id", "j", "t", "kind", "ends", "rel", "key")
+    pieces = asked.mapInArrow(partial(cut, length=length), "key long, piece binary, rel int, id long, j long, first int, last int")
+    more = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(partial(lose, length=length, merge_bytes=MERGE_BYTES, shard_bytes=SHARD_BYTES), "id long, j long, first int, last int")
+    more = more.select("id", "j", F.array("first", "last").alias("ends"))
+    lost = facts.where(f"kind = {LOST}").select("id", "j", "ends").unionByName(more).groupBy("id", "j").agg(F.flatten(F.collect_list("ends")).alias("ends"))
+    lost = durable(lost.select(F.col("id").alias("lid"), F.col("j").alias("lj"), "ends"))
+    discard(facts)
+    out = texts.join(lost, (F.col("id") == F.col("lid")) & (F.col("j") == F.col("lj")), "left").select("id", "t", "ends")
     named = partial(strip, length=length)
     return out.mapInArrow(named, f"id {kind}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary").withColumnRenamed("id", id_col)
 
