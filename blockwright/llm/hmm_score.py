@@ -3,15 +3,19 @@
 A text is its words in lower case (A-Z) and one end. The most frequent words are symbols
 of the model; each other word has the symbol of its ending, and its share among all words
 of that symbol, so that the model gives each text an exact probability. Words are counted
-over all training texts. Baum-Welch starts from their shares; each pass runs over all
-training texts, adds up expected counts inside each partition, and sums them across
-partitions, until the likelihood stops rising.
+over all training texts. Baum-Welch starts from their shares and is incremental: the
+training texts are dealt into parts by a hash. Each step adds up one part's expected counts
+inside each partition, sums them across partitions, puts them in the place of that part's
+counts of the sweep before, and sets the model by the counts of all parts. So each sweep
+passes over all training texts once, and the model moves as often as there are parts.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,17 +23,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwright.llm.common import ASCII_LOWER, drop_shuffles, durable
+from blockwright.llm.common import ASCII_LOWER, durable
 
 STATES = 8
 #: Words that are symbols on their own, and symbols by word ending.
 WORDS, ENDINGS = 8192, 512
 #: Words whose counts travel to the tasks; those of all others are joined.
 HEAD = 60_000
-#: Passes end when one raises the log likelihood by less than this part of it.
-RISE = 1e-4
-#: Tokens of a block of texts that step through the recursion together.
-BLOCK_TOKENS = 200_000
+#: Parts of the training texts, and sweeps over all of them.
+PARTS, SWEEPS = 8, 3
+#: Tokens whose forward values are kept at a time, and texts that step through the recursion together at least.
+BLOCK_TOKENS, BLOCK_TEXTS = 200_000, 64
+#: Words that a task remembers at a time.
+MOST_WORDS = 300_000
 SYMBOLS = 1 + WORDS + ENDINGS  # the end is symbol 0
 END = 0
 
@@ -55,69 +61,83 @@ class Hmm:
     emit: np.ndarray  # symbols by states
 
     def blocks(self, texts: list[np.ndarray]):
-        """Texts of like length as (their indexes, a padded array of symbols, lengths), long ones first."""
+        """Texts of like length as (their indexes, a padded array of symbols, how many texts are longer than t), long ones first."""
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         at = 0
         while at < len(order):
             longest = len(texts[order[at]])
-            some = order[at : at + max(1, BLOCK_TOKENS // longest)]
+            some = order[at : at + max(BLOCK_TEXTS, BLOCK_TOKENS // longest)]
             size = np.array([len(texts[i]) for i in some])
-            pad = np.zeros((longest, len(some)), np.int64)
+            pad = np.zeros((longest, len(some)), np.uint16)
             for k, i in enumerate(some):
                 pad[: size[k], k] = texts[i]
-            yield some, pad, size
+            yield some, pad, np.searchsorted(-size, -np.arange(longest), side="left")
             at += len(some)
 
-    def forward(self, pad: np.ndarray, size: np.ndarray, keep: bool):
-        """Natural log of each text's probability; with keep also the scaled forward values and scales by step."""
-        total = np.zeros(len(size))
-        live = np.searchsorted(-size, -np.arange(len(pad)), side="left")  # texts that are longer than t
-        kept, a = [], None
-        for t in range(len(pad)):
+    def forward(self, pad: np.ndarray, live: np.ndarray, start: int, end: int, a: np.ndarray | None, total: np.ndarray, keep: bool):
+        """Steps start to end of the scaled recursion from the values a before them; adds the logs of the scales to total. Returns the last values, and with keep those of each step."""
+        kept = []
+        for t in range(start, end):
             k = live[t]
             e = self.emit[pad[t, :k]]
-            a = self.first * e if t == 0 else (a[:k] @ self.step) * e
+            a = self.first * e if a is None else (a[:k] @ self.step) * e
             scale = a.sum(1)
             a /= scale[:, None]
             total[:k] += np.log(scale)
             if keep:
                 kept.append((a, e, scale))
-        return total, kept
+        return a, kept
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Log10 probability of each text of symbols."""
         out = np.zeros(len(texts))
-        for some, pad, size in self.blocks(texts):
-            out[some] = self.forward(pad, size, False)[0]
+        for some, pad, live in self.blocks(texts):
+            total = np.zeros(len(some))
+            self.forward(pad, live, 0, len(pad), None, total, False)
+            out[some] = total
         return out / np.log(10)
 
     def expected(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Expected counts of starts, steps and emissions, and the log likelihood, one after the other in one array."""
+        """Expected counts of starts, steps and emissions, and the log likelihood, one after the other in one array.
+
+        Of long texts only the values at the starts of spans are kept; the others are computed again on the way back.
+        """
         n, likelihood = len(self.first), 0.0
         first, step, emit = np.zeros(n), np.zeros((n, n)), np.zeros((n, SYMBOLS))
-        for _, pad, size in self.blocks(texts):
-            logs, kept = self.forward(pad, size, True)
-            likelihood += logs.sum()
-            shares, symbols = [], []
+        for some, pad, live in self.blocks(texts):
+            total, span = np.zeros(len(some)), max(1, BLOCK_TOKENS // len(some))
+            starts = range(0, len(pad), span)
+            a, before, kept = None, [], []
+            for start in starts:
+                before.append(a)
+                a, kept = self.forward(pad, live, start, min(start + span, len(pad)), a, total, len(starts) == 1)
+            likelihood += total.sum()
             b = np.zeros((0, n))
-            for t in range(len(pad) - 1, -1, -1):
-                a, e, _ = kept[t]
-                k = len(a)
-                b = np.concatenate([b, np.ones((k - len(b), n))])  # texts that end here
-                g = a * b
-                g /= g.sum(1)[:, None]
-                shares.append(g)
-                symbols.append(pad[t, :k])
-                if t:
-                    before, scale = kept[t - 1][0][:k], kept[t][2]
-                    eb = e * b / scale[:, None]
-                    step += before.T @ eb
-                    b = eb @ self.step.T
-                else:
-                    first += g.sum(0)
-            g, s = np.concatenate(shares), np.concatenate(symbols)
-            for i in range(n):
-                emit[i] += np.bincount(s, g[:, i], SYMBOLS)
+            for start, a in zip(reversed(starts), reversed(before)):
+                end = min(start + span, len(pad))
+                if len(starts) > 1:
+                    kept = self.forward(pad, live, start, end, a, np.zeros(len(some)), True)[1]
+                shares, symbols = [], []
+                for t in range(end - 1, start - 1, -1):
+                    own, e, scale = kept[t - start]
+                    k = len(own)
+                    if len(b) < k:  # texts that end here
+                        b = np.concatenate([b, np.ones((k - len(b), n))])
+                    g = own * b
+                    g /= g.sum(1)[:, None]
+                    shares.append(g)
+                    symbols.append(pad[t, :k])
+                    if t:
+                        last = (kept[t - start - 1][0] if t > start else a)[:k]
+                        eb = e * b
+                        eb /= scale[:, None]
+                        step += last.T @ eb
+                        b = eb @ self.step.T
+                    else:
+                        first += g.sum(0)
+                g, s = np.concatenate(shares), np.concatenate(symbols)
+                for i in range(n):
+                    emit[i] += np.bincount(s, g[:, i], SYMBOLS)
         return np.concatenate([first, (step * self.step).ravel(), emit.ravel(), [likelihood]])
 
 
@@ -138,38 +158,63 @@ def begin(shares: np.ndarray, states: int) -> Hmm:
 
 
 def as_texts(column) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u2").astype(np.int64) for x in column.to_pylist()]
+    return [np.frombuffer(x, "<u2") for x in column.to_pylist()]
 
 
-def train(trained: DataFrame, shares: np.ndarray, states: int, passes: int | None = None) -> tuple[Hmm, list[float]]:
-    """The model after Baum-Welch passes over all rows of trained (symbols), and the log likelihood before each pass."""
+def train(trained: DataFrame, shares: np.ndarray, states: int, sweeps: int) -> tuple[Hmm, list[float]]:
+    """The model after sweeps of incremental Baum-Welch over all rows of trained (symbols, part), and the log likelihood of each sweep."""
     model, seen = begin(shares, states), []
-    while passes is None or len(seen) < passes:
-        now = model
-
-        def expect(batches, now=now):
-            total = None
-            for b in batches:
-                for at in range(0, b.num_rows, 2048):
-                    c = now.expected(as_texts(b.column(0).slice(at, 2048)))
-                    total = c if total is None else total + c
-            if total is not None:
-                i = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total[i])], ["i", "v"])
-
-        counted = trained.select("symbols").mapInArrow(expect, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # one number for each of the model's
-        if not counted:
-            break
-        total = np.zeros(states + states * states + states * SYMBOLS + 1)
-        total[[r.i for r in counted]] = [r.v for r in counted]
-        seen.append(float(total[-1]))
-        if len(seen) > 1 and seen[-1] - seen[-2] < RISE * abs(seen[-2]):
-            break
-        model = maximize(total[:-1], shares, states)
+    counts = np.zeros((PARTS, states + states * states + states * SYMBOLS + 1))
+    for _ in range(sweeps):
+        for part in range(PARTS):
+
+            def expect(batches, now=model):
+                total = None
+                for b in batches:
+                    for at in range(0, b.num_rows, 2048):
+                        c = now.expected(as_texts(b.column(0).slice(at, 2048)))
+                        total = c if total is None else total + c
+                if total is not None:
+                    i = np.flatnonzero(total)
+                    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total[i])], ["i", "v"])
+
+            added = trained.where(F.col("part") == part).select("symbols").mapInArrow(expect, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # one number for each of the model's
+            if added:
+                counts[part] = 0
+                counts[part, [r.i for r in added]] = [r.v for r in added]
+                model = maximize(counts.sum(0)[:-1], shares, states)
+        seen.append(float(counts[:, -1].sum()))
     return model, seen
 
 
-def score_texts(docs: DataFrame, train_if, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, passes: int | None = None) -> DataFrame:
+class Words(dict):
+    """Places of words in lists of what is known of them, which grow as words are looked up."""
+
+    def __init__(self, rank: dict[int, int], log_count: np.ndarray, log_room: np.ndarray, end_log: float):
+        super().__init__()
+        self.rank, self.log_count, self.log_room, self.end_log = rank, log_count, log_room, end_log
+        self.begin()
+
+    def begin(self) -> None:
+        self.clear()
+        self[b""] = 0
+        self.symbol, self.base, self.inner, self.rare = array("H", [0]), array("d", [self.end_log]), array("d", [0.0]), array("q", [0])
+
+    def __missing__(self, word: bytes) -> int:
+        h = word_hash(word)
+        i = self.rank.get(h)
+        count = 0.0 if i is None else float(self.log_count[i])
+        own = i is not None and i < WORDS
+        k = ending(word)
+        self.symbol.append(1 + i if own else 1 + WORDS + k)
+        self.base.append(count)
+        self.inner.append(0.0 if own else count - float(self.log_room[k]))
+        self.rare.append(h if i is None else 0)
+        self[word] = place = len(self.symbol) - 1
+        return place
+
+
+def score_texts(docs: DataFrame, train_if, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, sweeps: int = SWEEPS) -> DataFrame:
     """Log10 probabilities of each row of docs under the model and under word counts alone.
 
     train_if: a condition on docs; rows where it holds are learned from. Returns id, train,
@@ -177,21 +222,30 @@ def score_texts(docs: DataFrame, train_if, id_col: str = "doc_id", text_col: str
     log10((c + 0.5) / (N + 0.5 (V + 1))) summed over the tokens. One row comes out for each row
     that goes in: repeated rows stay, and count as often in training; a null text is an empty
     one, whose only token is the end; a condition that is null teaches nothing. Without
-    training rows all symbols are alike. Words are told apart by 64-bit hashes. passes: at most
-    so many over the training rows; without it until the likelihood stops rising.
+    training rows all symbols are alike. Words are told apart by 64-bit hashes. Words that
+    were never seen share half a count of their ending, each as if it were the only one.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(train_if, F.lit(False)).alias("train"), F.col(text_col).alias("t"))
 
     def count(batches):
+        c: Counter[bytes] = Counter()
+
+        def out():
+            batch = pa.RecordBatch.from_arrays([pa.array([word_hash(w) if w else END for w in c], pa.int64()), pa.array([ending(w) for w in c], pa.int32()), pa.array(c.values(), pa.int64())], ["w", "k", "c"])
+            c.clear()
+            return batch
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                c: Counter[bytes] = Counter()
-                part = batch.column(0).slice(at, 2048)
-                for t in part.to_pylist():
+            for at in range(0, batch.num_rows, 512):
+                for t in batch.column(0).slice(at, 512).to_pylist():
                     c.update(words_of(t))
-                yield pa.RecordBatch.from_arrays([pa.array([END, *map(word_hash, c)], pa.int64()), pa.array([0, *map(ending, c)], pa.int32()), pa.array([len(part), *c.values()], pa.int64())], ["w", "k", "c"])
+                    c[b""] += 1
+                if len(c) > MOST_WORDS:
+                    yield out()
+        if c:
+            yield out()
 
     counts = durable(texts.where("train").select("t").mapInArrow(count, "w long, k int, c long").groupBy("w").agg(F.min("k").alias("k"), F.sum("c").alias("c")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -217,39 +271,26 @@ def score_texts(docs: DataFrame, train_if, id_col: str = "doc_id", text_col: str
 
     def read(batches):
         """Symbols of each text; sums of log counts of its frequent words; hashes of the others."""
-        known: dict[bytes, tuple[int, float, float, float, int]] = {}
-
-        def look(word: bytes):
-            h = word_hash(word)
-            i = rank.get(h)
-            if i is not None and i < WORDS:
-                out = (1 + i, float(log_count[i]), 0.0, 0.0, 0)
-            else:
-                k = ending(word)
-                lc = float(log_count[i]) if i is not None else 0.0
-                out = (1 + WORDS + k, lc, lc, float(log_room[k]), 0 if i is not None else h)
-            if len(known) < 300_000:
-                known[word] = out
-            return out
-
+        known = Words(rank, log_count, log_room, end_log)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                b = batch.slice(at, 1024)
-                size, symbols, base, inner, tail = [], [], [], [], []
-                for t in b.column(2).to_pylist():
-                    found = [known.get(w) or look(w) for w in words_of(t)]
-                    size.append(len(found) + 1)
-                    symbols.append(np.array([x[0] for x in found] + [0], "<u2").tobytes())
-                    base.append(sum([x[1] for x in found]) + end_log)
-                    inner.append(sum([x[2] - x[3] for x in found]))
-                    tail.append([x[4] for x in found if x[4]])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(symbols, pa.binary()), pa.array(base, pa.float64()), pa.array(inner, pa.float64()), pa.array(tail, pa.list_(pa.int64()))], ["id", "train", "n", "symbols", "base", "inner", "tail"])
+            for at in range(0, batch.num_rows, 512):
+                b = batch.slice(at, 512)
+                if len(known) > MOST_WORDS:
+                    known.begin()
+                split = [words_of(t) + [b""] for t in b.column(2).to_pylist()]
+                size = np.fromiter(map(len, split), np.int64, len(split))
+                place = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
+                symbol, base, inner, rare = (np.array(x)[place] for x in (known.symbol, known.base, known.inner, known.rare))
+                text, ends = np.repeat(np.arange(len(split)), size), np.r_[0, np.cumsum(size)]
+                has = rare != 0
+                tail = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(text[has], minlength=len(split)))].astype(np.int32)), pa.array(rare[has]))
+                symbols = pa.Array.from_buffers(pa.binary(), len(split), [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(symbol)])
+                sums = [pa.array(np.bincount(text, x, len(split))) for x in (base, inner)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size), symbols, *sums, tail], ["id", "train", "n", "symbols", "base", "inner", "tail"])
 
     seen = texts.mapInArrow(read, f"id {kind}, train boolean, n long, symbols binary, base double, inner double, tail array<long>")
-    seen = durable(seen.withColumn("row", F.monotonically_increasing_id()))
-    drop_shuffles(spark)
-
-    model, _ = train(seen.where("train"), shares, states, passes)
+    seen = durable(seen.withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(PARTS)).cast("int")), by="part")
+    model, _ = train(seen.where("train"), shares, states, sweeps)
 
     def score(batches):
         for batch in batches:
