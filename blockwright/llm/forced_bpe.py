@@ -8,6 +8,7 @@ fragments are encoded on their own by the merge list, and their ids are concaten
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import re
 import unicodedata
@@ -19,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from blockwright.llm.prefix_counts import BEYOND_LATIN, FOREVER, MOST_REMEMBERED, byte_letters
+from blockwright.llm.prefix_counts import BEYOND_LATIN, byte_letters
 
 # Fixed value: the word pattern of this vocabulary file.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Words and fragments that a worker remembers, and the symbols of a fragment that is worth it: some 80 MB at most.
+MOST_WORDS, MOST_FRAGMENTS, LONG = 120_000, 60_000, 64
 #: Marks the last byte of a word: symbols 0-255 are bytes, 256-511 bytes that end a word.
 LAST = 256
 
@@ -63,21 +66,33 @@ class ForcedBpe:
     def fragment(self, parts: tuple[int, ...]) -> list[int]:
         ids = self.fragments.get(parts)
         if ids is None:
-            tokens, rank = [(s,) for s in parts], self.rank
-            while len(tokens) > 1:
-                best, at = FOREVER, 0
-                for i in range(len(tokens) - 1):
-                    r = rank.get((tokens[i], tokens[i + 1]), FOREVER)
-                    if r < best:
-                        best, at = r, i
-                if best == FOREVER:
-                    break
-                tokens[at : at + 2] = [tokens[at] + tokens[at + 1]]
-            ids = [self.id[t] for t in tokens]
-            if len(self.fragments) < MOST_REMEMBERED:
+            ids = [self.id[t] for t in self.merged(parts)]
+            if len(self.fragments) < MOST_FRAGMENTS and len(parts) <= LONG:
                 self.fragments[parts] = ids
         return ids
 
+    def merged(self, parts: tuple[int, ...]) -> list[tuple[int, ...]]:
+        """Tokens of a fragment: the pair of the lowest rank is merged, the leftmost first. A heap holds the pairs, so that long fragments take n log n."""
+        n, rank = len(parts), self.rank
+        tokens: list[tuple[int, ...] | None] = [(s,) for s in parts]
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i) for i in range(n - 1) if (r := rank.get((tokens[i], tokens[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            k = after[i]
+            if tokens[i] is None or k == n or rank.get((tokens[i], tokens[k])) != r:  # merged meanwhile
+                continue
+            tokens[i], tokens[k] = tokens[i] + tokens[k], None
+            after[i] = m = after[k]
+            if m < n:
+                before[m] = i
+                if (r := rank.get((tokens[i], tokens[m]))) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (a := before[i]) >= 0 and (r := rank.get((tokens[a], tokens[i]))) is not None:
+                heapq.heappush(heap, (r, a))
+        return [t for t in tokens if t is not None]
+
     def words(self, text: str) -> list[bytes]:
         """Beyond Latin letters the library itself tells words apart: it knows its own Unicode version."""
         if BEYOND_LATIN.search(text):
@@ -105,7 +120,7 @@ class ForcedBpe:
         if found is None:
             ids = [i for w in self.words(text) for f in self.cut(w) for i in self.fragment(f)]
             found = len(ids), np.array(ids, "<u4").tobytes(), self.decode(ids)
-            if len(self.known) < MOST_REMEMBERED:
+            if len(self.known) < MOST_WORDS and len(text) <= LONG:
                 self.known[text] = found
         return found
 
