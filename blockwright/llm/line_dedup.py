@@ -15,12 +15,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwright.llm.common import ASCII_LOWER, drop_shuffles, durable, groups
-from blockwright.llm.shingle_join import as_lists, deal_groups, gram_sets, meeting, meeting_groups, prefix_size, sent
+from blockwright.llm.common import durable, groups, partitions, sent, values, whole_tasks
+from blockwright.llm.shingle_join import COPY, HELD, MET, MET_ROW, NODE, PLACE, SLICE, as_lists, by_task, check_similarity, deal_groups, emit_grams, gram_sets, least_shared, meeting_groups, prefix_size, settle_nodes, travelled
 
 
 def lines_in(text: str | None) -> list[bytes]:
@@ -68,75 +67,118 @@ def dedup_lines(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, i
     words stay. A-Z count as lower case. One row comes out for each row that goes in, with a
     text that may be empty; a null text stays null and has no lines. Rows of one id and one
     text are one text and lose the same lines; other rows of one id come in the order of a
-    hash of the text; null ids come last.
+    hash of the text; null ids come last. Ids are integers. Columns of docs may have any name
+    but those with two underscores in front.
     """
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("t"))
+    check_similarity(num, den)
+    tasks = min(1 << 16, 16 * partitions(docs.sparkSession))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("t"))
 
-    def lines_of(batches):
+    def emit(batches):
+        """N-grams and nodes of the lines of a slice of texts, and each node's first place there; its other places are copies."""
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                b = batch.slice(at, 2048)
-                row, no, keys = [], [], []
-                for r, t in enumerate(b.column(2).to_pylist()):
-                    for k, line in enumerate(lines_in(t)):
-                        words = line.translate(ASCII_LOWER).split()
-                        if words:
-                            row.append(r)
-                            no.append(k)
-                            keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                lo, hi = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2).T
-                take = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(no, pa.int32()), pa.array(lo), pa.array(hi)], ["id", "mark", "line", "lo", "hi"])
-
-    maybe = meeting(texts, lines_in, size, num, den).where("maybe")
-    drop_shuffles(spark)
-    lines = durable(texts.mapInArrow(lines_of, f"id {kind}, mark long, line int, lo long, hi long"))
-    place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("mark"), F.col("line"))
-    kinds = durable(lines.groupBy("lo", "hi").agg(F.min(place).alias("at"), F.count("*").alias("copies")))
-    nodes = kinds.join(maybe, ["lo", "hi"], "left_semi").select(F.monotonically_increasing_id().alias("node"), "lo", "hi", "at.id", "at.mark", "at.line")
-    nodes = durable(nodes)
-    drop_shuffles(spark)
+            for at in range(0, batch.num_rows, SLICE):
+                ids, marks, t = (c.to_pylist() for c in batch.slice(at, SLICE).columns)
+                split = [lines_in(x) for x in t]
+                number = {u: k for k, u in enumerate({u for lines in split for u in lines})}
+                units = list(number)
+                known: dict[bytes, int] = {}
+                node = np.zeros(len(units), np.int64)
+                for part in range(0, len(units), 1 << 16):
+                    rows, keys = emit_grams(units[part : part + (1 << 16)], size, tasks)
+                    yield from rows
+                    node[part : part + len(keys)] = [-1 if k is None else known.setdefault(k, len(known)) for k in keys]
+                if not known:
+                    continue
+                count = np.fromiter(map(len, split), np.int64, len(split))
+                of = node[np.fromiter((number[u] for lines in split for u in lines), np.int64, int(count.sum()))]
+                row = np.repeat(np.arange(len(split)), count)[of >= 0]
+                line = (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count))[of >= 0]
+                of = of[of >= 0]
+                lo, hi = np.frombuffer(b"".join(known), "<i8").reshape(-1, 2).T
+                none = np.array([i is None for i in ids])
+                place = {"lo": lo[of], "hi": hi[of], "none": none[row], "id": np.array([i or 0 for i in ids], np.int64)[row], "mark": np.array(marks, np.int64)[row], "line": line}
+                yield from first_places(place, of, tasks)
+
+    def decide(batches):
+        """Lines that are copies of an earlier one, and the first lines of nodes that can be in a pair."""
+        for b in whole_tasks(batches):
+            kinds = b.column(1).to_numpy()
+            nodes, held, places, copies = (values(b.filter(pa.array(kinds == k)), MET) for k in (NODE, HELD, PLACE, COPY))
+            if len(nodes["lo"]):
+                _, _, n, total = settle_nodes(nodes, held)
+                order = np.lexsort((places["line"], places["mark"], places["id"], places["none"], places["hi"], places["lo"]))
+                p = {c: places[c][order] for c in ("lo", "hi", "none", "id", "mark", "line")}
+                first = ~same_as_before(p, ("lo", "hi"))  # nodes and first places have one order
+                yield out(p, first, n, total)
+                yield out(p, ~first & ~same_as_before(p, ("lo", "hi", "none", "id", "mark", "line")))
+            if len(copies["mark"]):
+                yield out(copies, slice(None))
+
+    def out(p, some, n=None, held=None):
+        ids = pa.array(p["id"][some], mask=p["none"][some].astype(bool))
+        size = len(ids)
+        return pa.RecordBatch.from_arrays([ids, pa.array(p["mark"][some]), pa.array(p["line"][some].astype(np.int32)), *[pa.nulls(size, pa.int64()) if x is None else pa.array(x) for x in (n, held)]], ["id", "mark", "line", "n", "held"])
+
+    found = travelled(texts.mapInArrow(emit, MET_ROW), tasks).mapInArrow(decide, "id long, mark long, line int, n long, held long")
+    found = durable(found.where(F.col("n").isNull() | (F.col("held") >= least_shared())))
+    nodes = durable(found.where("n IS NOT NULL").select(F.monotonically_increasing_id().alias("node"), "id", "mark", "line"))
 
     def sets_of(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                node, units = [], []
-                for t, wanted in zip(*[c.to_pylist() for c in batch.slice(at, 512).columns]):
+            for at in range(0, batch.num_rows, SLICE):
+                units, rows = [], []
+                for i, mark, t, wanted in zip(*[c.to_pylist() for c in batch.slice(at, SLICE).columns]):
                     split = lines_in(t)
-                    node += [w["node"] for w in wanted]
+                    rows += [(w["node"], i, mark, w["line"]) for w in wanted]
                     units += [split[w["line"]] for w in wanted]
                 for k in range(0, len(units), 1 << 16):
                     _, n, h = gram_sets(units[k : k + (1 << 16)], size)
-                    yield pa.RecordBatch.from_arrays([pa.array(node[k : k + (1 << 16)], pa.int64()), as_lists(n, h)], ["node", "s"])
+                    own = [pa.array([r[j] for r in rows[k : k + (1 << 16)]], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(n.astype(np.int32)), as_lists(n, h)], ["node", "id", "mark", "line", "n", "s"])
 
     per_text = nodes.groupBy("id", "mark").agg(F.collect_list(F.struct("node", "line")).alias("wanted")).withColumnsRenamed({"id": "wid", "mark": "wmark"})
     same = F.col("id").eqNullSafe(F.col("wid")) & (F.col("mark") == F.col("wmark"))
-    sets = texts.where("t IS NOT NULL").join(sent(per_text), same).select("t", "wanted").mapInArrow(sets_of, "node long, s array<long>").dropDuplicates(["node"])
-    sets = durable(sets.join(nodes.select("node", "id", "mark", "line"), "node").withColumn("n", F.size("s")))
-    drop_shuffles(spark)
+    wanted = texts.where("t IS NOT NULL").join(sent(durable(per_text)), same).select("id", "mark", "t", "wanted")
+    sets = durable(wanted.mapInArrow(sets_of, "node long, id long, mark long, line int, n int, s array<long>"))
+    if sets.count() > nodes.count():  # repeated rows
+        sets = durable(sets.dropDuplicates(["node"]))
     group = meeting_groups(sets.select("node", "n", "s"), num, den)
-    drop_shuffles(spark)
 
     def match(batches):
         for _, rows in groups(batches):
             rows.sort(key=lambda r: (r[3] is None, r[3] if r[3] is not None else 0, r[4], r[5]))
-            found = later_matches([r[2] for r in rows], num, den)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([rows[j][1] for j in found], pa.int64())], ["node"])
-
-    later = durable(deal_groups(sets.select("node", "s", "id", "mark", "line", "n"), group).mapInArrow(match, "node long").distinct())
-    gone = nodes.join(later, "node").select("lo", "hi", F.lit(True).alias("gone"))
-    repeated = kinds.join(gone, ["lo", "hi"], "left").where("copies > 1 OR gone").select("lo", "hi", "at", "gone")
-    removed = lines.join(repeated, ["lo", "hi"])
-    is_first = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("mark"), F.col("line")) == F.col("at")
-    removed = removed.where(F.coalesce("gone", ~is_first)).groupBy("id", "mark").agg(F.collect_set("line").alias("drop")).withColumnsRenamed({"id": "wid", "mark": "wmark"})
-    rest = F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains("drop", i))
-    out = docs.withColumn("__mark", F.xxhash64(text_col)).join(removed, F.col(id_col).eqNullSafe(F.col("wid")) & (F.col("__mark") == F.col("wmark")), "left")
-    text = F.when(F.col("drop").isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", rest))
+            matched = later_matches([r[2] for r in rows], num, den)
+            if matched:
+                yield rows_of([rows[j][3:6] for j in matched])
+
+    def rows_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["id", "mark", "line"])
+
+    later = deal_groups(sets.select("node", "s", "id", "mark", "line", "n"), group).mapInArrow(match, "id long, mark long, line int")
+    gone = found.where("n IS NULL").select("id", "mark", "line").unionByName(later)
+    gone = durable(gone.groupBy("id", "mark").agg(F.collect_set("line").alias("__drop")).withColumnsRenamed({"id": "__id", "mark": "__mark"}))
+    here = (F.col("__own").eqNullSafe(F.col("__id"))) & (F.col("__text") == F.col("__mark"))
+    out_rows = docs.withColumns({"__own": F.col(id_col).cast("long"), "__text": F.xxhash64(text_col)}).join(gone, here, "left")
+    rest = F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains("__drop", i))
+    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", rest))
     feeds = F.octet_length(text_col) - F.octet_length(F.replace(text_col, F.lit("\n"), F.lit("")))
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce(feeds + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_removed"))
+    return out_rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce(feeds + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_removed"))
+
+
+def same_as_before(place: dict[str, np.ndarray], columns: tuple[str, ...]) -> np.ndarray:
+    return np.r_[False, np.logical_and.reduce([place[c][1:] == place[c][:-1] for c in columns])][: len(place["id"])]
+
+
+def first_places(place: dict[str, np.ndarray], node: np.ndarray, tasks: int):
+    """The first place of each node as a PLACE, the others as copies; repeated rows have one place."""
+    order = np.lexsort((place["line"], place["mark"], place["id"], place["none"], node))
+    place = {c: v[order] for c, v in place.items()} | {"node": node[order]}
+    first = ~same_as_before(place, ("node",))
+    other = ~first & ~same_as_before(place, ("node", "none", "id", "mark", "line"))
+    yield by_task(PLACE, place["lo"][first], tasks, **{c: place[c][first] for c in ("lo", "hi", "none", "id", "mark", "line")})
+    if other.any():
+        yield by_task(COPY, place["mark"][other], tasks, **{c: place[c][other] for c in ("none", "id", "mark", "line")})
 
 
 def digests(cleaned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

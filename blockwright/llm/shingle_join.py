@@ -32,14 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from blockwright.llm.common import ASCII_LOWER, connected_components, drop_shuffles, durable, groups
+from blockwright.llm.common import ASCII_LOWER, connected_components, durable, groups, packed, partitions, sent, values, whole_tasks
 
 #: N-grams of the sets that one task holds at a time; larger candidate groups are dealt as pairs of blocks.
 GROUP_TOKENS = 3_000_000
 #: Rows whose texts are in memory at a time.
 SLICE = 512
-#: Rows of some 60 bytes that are few enough to send to every task.
-SENT_ROWS = 200_000
 
 
 class WordHashes:
@@ -251,88 +249,134 @@ def least_shared() -> Column:
     return F.expr(f"greatest(1, least(n, {p} + n div 12) - {p})")
 
 
-def meeting(texts: DataFrame, units_of, size: int, num: int, den: int) -> DataFrame:
-    """(lo, hi, n, maybe): the nodes of texts (t), and whether they can be in a pair.
+# Kinds of rows that travel: n-grams of one node of a slice, n-grams of several, how many frequent n-grams a node holds, nodes, and where nodes stand.
+GRAM, SEVERAL, HELD, NODE, PLACE, COPY = range(6)
+MET = {"h": "<u4", "g": "u1", "lo": "<i8", "hi": "<i8", "n": "<u4", "held": "<u4", "none": "u1", "id": "<i8", "mark": "<i8", "line": "<u4"}
+MET_ROW = "task int, kind int, " + ", ".join(f"{c} binary" for c in MET)
 
-    units_of: gives the byte strings of a text that are nodes. lo and hi are the key's halves. N-grams that several nodes of a batch have are counted
-    there and go on as one row, so a frequent n-gram makes a row for each batch, not for
-    each node. Rows are (hash, lo, 1) for an n-gram of one node, (hash, 0, 0) for one of
-    several, and (lo, hi, c < 0) for a node with its size and local count in c.
-    """
-    if 100 * num < 75 * den:
-        raise ValueError("the first comparison is made for similarities of 0.75 or more")
 
-    def emit(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                units = list({u for t in batch.column(0).slice(at, SLICE).to_pylist() for u in units_of(t)})
-                for part in range(0, len(units), 1 << 16):
-                    yield from emit_units(units[part : part + (1 << 16)])
-
-    def emit_units(units):
-        keys, n, h = gram_sets(units, size)
-        seen: set[bytes | None] = {None}
-        new = np.array([not (k in seen or seen.add(k)) for k in keys], bool)  # units that differ in white space or case only are one node
-        if not new.any():
-            return
+def task_of(h: np.ndarray, tasks: int) -> np.ndarray:
+    """A task for each hash, in the order of the hashes as unsigned numbers."""
+    return ((h.view(np.uint64) >> np.uint64(48)) * np.uint64(tasks) >> np.uint64(16)).astype(np.int32)
+
+
+def by_task(kind: int, h: np.ndarray, tasks: int, **columns: np.ndarray) -> pa.RecordBatch:
+    t = task_of(h, tasks)
+    o = np.argsort(t, kind="stable")
+    return packed(t[o], kind, MET, **{c: v[o] for c, v in columns.items()})
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """n-grams have their length in the high bits; tasks go by evenly spread ones."""
+    return h * np.uint64(0x9E3779B97F4A7C15)
+
+
+def emit_grams(units: list[bytes], size: int, tasks: int):
+    """The first part of each unit's n-grams, and the nodes, as rows that travel; the units' keys."""
+    keys, n, h = gram_sets(units, size)
+    seen: set[bytes | None] = {None}
+    new = np.array([not (k in seen or seen.add(k)) for k in keys], bool)  # units that differ in white space or case only are one node
+    rows = []
+    if new.any():
         take = np.repeat(new, n) & head_of(n, h, first_part)
         own = np.repeat(np.cumsum(new) - 1, n)[take]
-        h, n, keys = h[take], n[new], [k for k, x in zip(keys, new) if x]
-        lo, hi = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2).T
+        h, n = mixed(h[take]), n[new]
+        lo, hi = np.frombuffer(b"".join([k for k, x in zip(keys, new) if x]), "<i8").reshape(-1, 2).T
         order = np.argsort(h)
         h, own = h[order], own[order]
         same = np.r_[False, h[1:] == h[:-1]]
         many = same | np.r_[same[1:], False]
-        local = np.bincount(own[many], minlength=len(keys))
-        stands = many & ~same
-        size_and_local = -1 - (n.astype(np.int64) * (1 << 31) + local)
-        columns = (
-            np.r_[h[~many].view(np.int64), h[stands].view(np.int64), lo],
-            np.r_[lo[own[~many]], np.zeros(stands.sum(), np.int64), hi],
-            np.r_[np.ones((~many).sum(), np.int64), np.zeros(stands.sum(), np.int64), size_and_local],
-        )
-        for k in range(0, len(columns[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], ["h", "a", "c"])
-
-    def counted(h, a, c):
-        """Nodes of n-grams that more than one node has, with how many of these."""
-        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        one = c == 1
-        big = np.iinfo(np.int64)
-        low, high = np.minimum.reduceat(np.where(one, a, big.max), start), np.maximum.reduceat(np.where(one, a, big.min), start)
-        shared = (low < high) | (np.minimum.reduceat(c, start) == 0)
-        lo, n = np.unique(a[one & np.repeat(shared, np.diff(np.r_[start, len(h)]))], return_counts=True)
-        none = pa.nulls(len(lo), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(lo), none, none, pa.array(n.astype(np.int64))], ["lo", "hi", "n", "held"])
-
-    def count(batches):
-        rest = [np.zeros(0, np.int64)] * 3
-        for b in batches:
-            h, a, c = (x.to_numpy() for x in b.columns)
-            node = c < 0
-            if node.any():
-                packed = -1 - c[node]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[node], a[node], packed >> 31, packed & ((1 << 31) - 1))], ["lo", "hi", "n", "held"])
-            h, a, c = (np.concatenate([r, x[~node]]) for r, x in zip(rest, (h, a, c)))
-            if not len(h):
-                continue
-            last = int(np.searchsorted(h, h[-1]))
-            if last:
-                yield counted(h[:last], a[:last], c[:last])
-            rest = [h[last:], a[last:], c[last:]]
-        if len(rest[0]):
-            yield counted(*rest)
-
-    rows = texts.select("t").mapInArrow(emit, "h long, a long, c long").repartition("h").sortWithinPartitions("h")
-    found = rows.mapInArrow(count, "lo long, hi long, n long, held long")
-    found = found.groupBy("lo").agg(F.sum("held").alias("held"), F.collect_set(F.when(F.col("n").isNotNull(), F.struct("hi", "n"))).alias("nodes"))
-    found = found.select("lo", "held", F.explode("nodes").alias("x")).select("lo", "x.hi", "x.n", "held")
+        for kind, some in ((GRAM, ~many), (SEVERAL, many & ~same)):
+            x = h[some]
+            if len(x):
+                more = {"lo": lo[own[some]]} if kind == GRAM else {}
+                rows.append(packed(task_of(x, tasks), kind, MET, h=x & np.uint64(0xFFFFFFFF), g=x >> np.uint64(32) & np.uint64(255), **more))
+        rows.append(by_task(NODE, lo, tasks, lo=lo, hi=hi, n=n, held=np.bincount(own[many], minlength=len(n))))
+    return rows, keys
+
+
+def count_shared(batches, tasks: int):
+    """For each node how many of its n-grams other nodes have too; all else passes."""
+    for b in whole_tasks(batches):
+        kinds = b.column(1).to_numpy()
+        for kind in (NODE, PLACE, COPY):
+            part = b.filter(pa.array(kinds == kind))
+            if part.num_rows:
+                v = values(part, MET)
+                v = {c: x for c, x in v.items() if c in MET and len(x)}
+                yield by_task(kind, v["lo"] if kind != COPY else v["mark"], tasks, **v)
+        part, hot = (b.filter(pa.array(kinds == kind)) for kind in (GRAM, SEVERAL))
+        if not part.num_rows:
+            continue
+        h, x = [], None
+        for some in (part, hot):
+            v = values(some, MET)
+            x = v if x is None else x
+            place = np.repeat(some.column(0).to_numpy().astype(np.uint64), v.get("rows", np.zeros(0, np.int64)))
+            h.append(place << np.uint64(40) | v["g"].astype(np.uint64) << np.uint64(32) | v["h"])
+        order = np.argsort(h[0])
+        g, lo = h[0][order], x["lo"][order]
+        new = np.r_[True, g[1:] != g[:-1]]
+        start = np.flatnonzero(new)
+        shared = np.minimum.reduceat(lo, start) < np.maximum.reduceat(lo, start)
+        if len(h[1]):
+            shared |= np.isin(g[start], h[1])
+        lo, n = np.unique(lo[shared[np.cumsum(new) - 1]], return_counts=True)
+        if len(lo):
+            yield by_task(HELD, lo, tasks, lo=lo, held=n)
+
+
+def settle_nodes(part: dict[str, np.ndarray], held: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """lo, hi, n, held of each node, by lo and hi."""
+    order = np.lexsort((part["hi"], part["lo"]))
+    lo, hi = part["lo"][order], part["hi"][order]
+    start = np.flatnonzero(np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+    total = np.add.reduceat(part["held"][order].astype(np.int64), start)
+    lo, hi, n = lo[start], hi[start], part["n"][order][start].astype(np.int64)
+    if len(held["lo"]):
+        kinds, code = np.unique(held["lo"], return_inverse=True)
+        more = np.bincount(code, held["held"]).astype(np.int64)
+        at = np.minimum(np.searchsorted(kinds, lo), len(kinds) - 1)
+        total += np.where(kinds[at] == lo, more[at], 0)
+    return lo, hi, n, total
+
+
+def travelled(rows: DataFrame, tasks: int) -> DataFrame:
+    """Rows of emit_grams() after both shuffles: by n-gram, then by node."""
+    met = rows.repartition("task").sortWithinPartitions("task").mapInArrow(lambda batches: count_shared(batches, tasks), MET_ROW)
+    return met.repartition("task").sortWithinPartitions("task")
+
+
+def meeting(texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(lo, hi, n, maybe): the nodes of texts (t), and whether they can be in a pair. lo and hi are the key's halves.
+
+    N-grams that several nodes of a slice have are counted there and go on as one, so a
+    frequent n-gram makes an entry for each slice, not for each node. They travel by 40
+    bits of hash and their task: what falls together can only keep a node that might go.
+    """
+    check_similarity(num, den)
+    tasks = min(1 << 16, 16 * partitions(texts.sparkSession))
+
+    def emit(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4 * SLICE):
+                units = list({(t or "").encode() for t in batch.column(0).slice(at, 4 * SLICE).to_pylist()})
+                yield from emit_grams(units, size, tasks)[0]
+
+    def decide(batches):
+        for b in whole_tasks(batches):
+            kinds = b.column(1).to_numpy()
+            nodes, held = (b.filter(pa.array(kinds == kind)) for kind in (NODE, HELD))
+            if nodes.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in settle_nodes(values(nodes, MET), values(held, MET))], ["lo", "hi", "n", "held"])
+
+    found = travelled(texts.select("t").mapInArrow(emit, MET_ROW), tasks).mapInArrow(decide, "lo long, hi long, n long, held long")
     return durable(found.select("lo", "hi", "n", (F.col("held") >= least_shared()).alias("maybe")))
 
 
-def sent(df: DataFrame) -> DataFrame:
-    """Broadcast what has been counted and is small; otherwise leave the join to shuffles."""
-    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+def check_similarity(num: int, den: int) -> None:
+    if 100 * num < 75 * den:
+        raise ValueError("the first comparison is made for similarities of 0.75 or more")
 
 
 def meeting_groups(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -371,7 +415,7 @@ def shingle_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
     kind = docs.schema[id_col].dataType.simpleString()
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    nodes = meeting(texts.where("id IS NOT NULL"), lambda t: [(t or "").encode()], size, num, den)
+    nodes = meeting(texts.where("id IS NOT NULL"), size, num, den)
 
     def sizes_of(batches):
         for b in batches:
@@ -388,7 +432,6 @@ def shingle_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
     first = durable(keyed.where("id IS NOT NULL AND lo IS NOT NULL").groupBy("lo", "hi").agg(F.min("id").alias("first")))
     reps = nodes.where("maybe").select("lo", "hi").join(first, ["lo", "hi"]).select(F.monotonically_increasing_id().alias("node"), "lo", "hi", F.col("first").alias("id"))
     reps = durable(reps)
-    drop_shuffles(spark)
 
     def full_sets(batches):
         for batch in batches:
@@ -400,9 +443,7 @@ def shingle_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
 
     sets = texts.where("id IS NOT NULL").join(sent(reps), "id").select("node", "lo", "hi", "t").mapInArrow(full_sets, "node long, s array<long>").dropDuplicates(["node"])
     sets = durable(sets.withColumn("n", F.size("s")))
-    drop_shuffles(spark)
     group = meeting_groups(sets, num, den)
-    drop_shuffles(spark)
 
     def join_groups(batches):
         for _, rows in groups(batches):
