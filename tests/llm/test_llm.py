@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -101,6 +102,18 @@ def test_bpe(spark):
     assert got == sorted(want)
 
 
+def test_bpe_of_very_long_words():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, bpe, rng = Tokenizer.from_file(path), forced_bpe.ForcedBpe(path), random.Random(1)
+    for text in ("".join(rng.choice("etaoinshrdlu") for _ in range(20_000)), "na" * 9_000, "a" * 10_001, "ab" * 40 + " " + "-" * 5_000):
+        ids = t.encode(text, add_special_tokens=False).ids
+        n, raw, decoded = bpe.encode(text)
+        assert raw == struct.pack(f"<{len(ids)}I", *ids) and n == len(ids) and decoded == t.decode(ids, skip_special_tokens=False)
+    began = time.process_time()
+    bpe.encode("".join(rng.choice("etaoinshrdlu") for _ in range(100_000)))
+    assert time.process_time() - began < 5
+
+
 def test_suffix_dedup(spark):
     rows = [*corpus(), (3001, "abc" * 200), (3000, "zabc" * 100 + "abc" * 40)]
     source = {}
@@ -143,48 +156,49 @@ def frequent_passages(n=120):
     return [(i, some(rng.randint(0, 60)) + "".join(rng.choice(passages[: 1 + i % 6]) + some(rng.randint(0, 40)) for _ in range(rng.randint(1, 3)))) for i in range(n)]
 
 
-def test_frequent_anchors_are_hot_in_all_texts(spark, monkeypatch):
+def test_frequent_anchors_meet_by_window(spark, monkeypatch):
     rows = frequent_passages()
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several partitions have rows of an anchor
     try:
-        for most in (2, 15, 40):
-            monkeypatch.setattr(suffix_dedup, "HOT_ROWS", most)
+        for local, every, size in ((1, 4000, 1 << 20), (16, 2, 1 << 20), (3, 5, 2000), (16, 4000, 900)):
+            monkeypatch.setattr(suffix_dedup, "LOCAL_PIECES", local)
+            monkeypatch.setattr(suffix_dedup, "WHOLE_PIECES", every)
+            monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", size)
+            monkeypatch.setattr(suffix_dedup, "MERGE_BYTES", 3 * size)
+            monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", size)
             check_removed(rows, {r.doc_id: r for r in suffix_dedup.remove_repeats(frame(spark, rows).repartition(7)).collect()})
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def test_hot_anchors_count_places_of_all_batches():
-    h, own = np.array([5, 5, 5, 8, 9]), np.array([0, 11, 12, 13, 14])
-    one = suffix_dedup.shared(h, own, np.array([-3, 3, 1, 4, 6], np.int32), 5, 9)
-    assert one.to_pydict() == {"lo": [11, 12, None], "h": [5, 5, 5], "whole": [None, None, False]}
-    assert suffix_dedup.shared(h[1:3], own[1:3], np.array([0, 0], np.int32), 0, 9).to_pydict() == {"lo": [11, 12], "h": [5, 5], "whole": [None, None]}
-
-
-def test_very_frequent_anchors_meet_by_window(spark, monkeypatch):
-    rows = frequent_passages()
-    for most in (2, 20):
-        monkeypatch.setattr(suffix_dedup, "WHOLE_ROWS", most)
-        check_removed(rows, {r.doc_id: r for r in suffix_dedup.remove_repeats(frame(spark, rows).repartition(7)).collect()})
-
-
 def test_a_frequent_passage_makes_no_large_group():
+    """Of an anchor that stands in all texts, a slice sends a few pieces at most to the task of the anchor, and a mark."""
     rows = frequent_passages(600)
-    texts = [t for _, t in rows]
-    every = [np.unique(suffix_dedup.anchors(np.frombuffer(t.encode(), np.uint8), 50)[0]).tolist() if len(t) >= 50 else [] for t in texts]
-    ids, none = [i for i, _ in rows], [[]] * len(rows)
-    batch = pa.RecordBatch.from_pydict({"doc": ids, "lo": ids, "t": texts, "met": none, "hot": none, "whole": every}, pa.schema([("doc", pa.int64()), ("lo", pa.int64()), ("t", pa.string()), *[(k, pa.list_(pa.int64())) for k in ("met", "hot", "whole")]]))
-    rows = [r for b in suffix_dedup.cut([batch], 50) for r in b.to_pylist() if r["piece"] is not None]
-    assert max(collections.Counter(r["key"] for r in rows).values()) == 1  # of all texts of a batch
+    batch = pa.RecordBatch.from_pydict({"id": [i for i, _ in rows], "j": [0] * len(rows), "t": [t if len(t) >= 50 else "x" * 50 for _, t in rows]})
+    often = collections.Counter()
+    for b in suffix_dedup.find([batch], 50, 4, 16, 1 << 30):
+        if b.column(1)[0].as_py() == suffix_dedup.PIECE:
+            v = suffix_dedup.values(b, suffix_dedup.TRAVEL)
+            often.update(zip(v["g"].tolist(), v["h"].tolist()))
+    assert max(often.values()) <= 16 * 3  # a text can hold a piece more than once
+
+
+def test_rows_of_one_id_take_nothing_from_each_other(spark):
+    some = "the quick brown fox jumps over the lazy dog and then it sleeps for the rest of the day. "
+    rows = [(5, some), (5, "a " + some), (7, "b " + some), (5, some)]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect())
+    assert got == [(5, len(some), 0), (5, len(some), 0), (5, len(some) + 2, 0), (7, len(some) + 2, len(some) + 1)]  # the space before it too
+    assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
 def test_merged_transforms_are_sorted():
     rng = random.Random(5)
-    pieces = [bytes(rng.choice(b"ab") for _ in range(rng.randint(50, 76))) for _ in range(30)]
-    one, two = suffix_dedup.transform(pieces[:15]), suffix_dedup.transform(pieces[15:])
-    from_two, _ = suffix_dedup.merge(one[0], two[0], 15, 15, 50)
-    place = np.empty(len(from_two), int)
-    place[~from_two], place[from_two] = one[1], two[1] + len(one[0])
+    pieces = [bytes(rng.choice(b"ab") for _ in range(rng.randint(50, 76))) for _ in range(40)]
+    cuts = [0, 15, 16, 31, 40]
+    made = [suffix_dedup.transform(pieces[a:z]) for a, z in zip(cuts, cuts[1:])]
+    row, _ = suffix_dedup.merge([m[0] for m in made], np.diff(cuts).tolist(), 50)
+    before = np.cumsum([0, *[len(m[1]) for m in made]])
+    place = np.concatenate([m[1] + at for m, at in zip(made, before)])[row]
     text, end = b"".join(p + b"\0" for p in pieces), []
     for k, p in enumerate(pieces):
         end += [k] * (len(p) + 1)
@@ -195,7 +209,7 @@ def test_merged_transforms_are_sorted():
 def test_hmm(spark):
     rows = corpus()
     docs = frame(spark, [*rows, (None, "on re")])
-    got = {r.doc_id: r for r in hmm_score.score_texts(docs, F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 1, passes=1).collect()}
+    got = {r.doc_id: r for r in hmm_score.score_texts(docs, F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 1, sweeps=1).collect()}
     trained = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 != 1}
     c = collections.Counter(w for i, t in rows if i in trained for w in [*words(t), None])
     n, d = sum(c.values()), sum(c.values()) + 0.5 * (len(c) + 1)
@@ -208,18 +222,59 @@ def test_hmm(spark):
     assert len(hmm_score.score_texts(docs.limit(0), F.lit(True)).collect()) == 0
 
 
-def test_hmm_passes_run_over_all_texts(spark):
+def test_hmm_sweeps_run_over_all_texts(spark, monkeypatch):
     rng = np.random.default_rng(3)
     texts = [np.r_[rng.integers(1, 30, 1 + k % 7) + 40 * (k % 3), 0] for k in range(500)]
     shares = (np.bincount(np.concatenate(texts), minlength=hmm_score.SYMBOLS) + 0.5) / (sum(map(len, texts)) + 0.5 * hmm_score.SYMBOLS)
-    rows = spark.createDataFrame([(t.astype("<u2").tobytes(),) for t in texts], "symbols binary").repartition(5)
-    got, rise = hmm_score.train(rows, shares, 3)
-    want = hmm_score.begin(shares, 3)
-    for _ in rise[:-1]:
-        want = hmm_score.maximize(want.expected(texts)[:-1], shares, 3)
+    rows = spark.createDataFrame([(t.astype("<u2").tobytes(), k % hmm_score.PARTS) for k, t in enumerate(texts)], "symbols binary, part int").repartition(5)
+    got, rise = hmm_score.train(rows, shares, 3, 4)
+    want, counts = hmm_score.begin(shares, 3), np.zeros((hmm_score.PARTS, 3 + 9 + 3 * hmm_score.SYMBOLS + 1))
+    for _ in range(4):
+        for part in range(hmm_score.PARTS):
+            counts[part] = want.expected(texts[part :: hmm_score.PARTS])
+            want = hmm_score.maximize(counts.sum(0)[:-1], shares, 3)
     assert np.allclose(got.emit, want.emit) and np.allclose(got.step, want.step)
-    assert len(rise) > 3 and rise[-1] - rise[-2] < hmm_score.RISE * abs(rise[-2]) and all(b > a for a, b in zip(rise[:-1], rise[1:-1]))
-    assert math.isclose(rise[-1], want.score(texts).sum() * math.log(10), rel_tol=1e-9)
+    assert len(rise) == 4 and all(b > a for a, b in zip(rise, rise[1:]))
+    monkeypatch.setattr(hmm_score, "BLOCK_TOKENS", 40)  # texts in several spans
+    monkeypatch.setattr(hmm_score, "BLOCK_TEXTS", 20)
+    again = want.expected(texts)
+    monkeypatch.undo()
+    assert np.allclose(again, want.expected(texts))
+
+
+def test_hmm_scores_are_the_probability_of_the_words(spark):
+    """score against a brute-force model, and its gain over word counts on held-out texts."""
+    rng = random.Random(4)
+    kinds = [[f"{c}{k}" for k in range(12)] for c in "abc"]
+    rows = [(i, " ".join(rng.choice(kinds[i % 3]) for _ in range(rng.randint(1, 40)))) for i in range(240)] + [(900, "unseen a1 words"), (901, None)]
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 1
+    models = []
+    train = hmm_score.train
+    try:
+        hmm_score.train = lambda *a: models.append(train(*a)) or models[-1]
+        got = {r.doc_id: r for r in hmm_score.score_texts(frame(spark, rows), held).collect()}
+    finally:
+        hmm_score.train = train
+    m = models[0][0]
+    c = collections.Counter(w for i, t in rows if got[i].train for w in words(t))
+    top = sorted(c, key=lambda w: (-c[w], hmm_score.word_hash(w)))
+    for i, t in rows:
+        symbols, rest = [], 0.0
+        for w in words(t):
+            if w in c:
+                symbols.append(1 + top.index(w))
+            else:  # half a count, of what words of this ending share
+                symbols.append(1 + hmm_score.WORDS + hmm_score.ending(w))
+                rest += math.log10(0.5) - math.log10(0.5)
+        a = m.first
+        p = 0.0
+        for t_, x in enumerate([*symbols, 0]):
+            a = (a if t_ == 0 else a @ m.step) * m.emit[x]
+            p += math.log10(a.sum())
+            a = a / a.sum()
+        assert math.isclose(got[i].score, p + rest, rel_tol=1e-9), i
+    apart = [r for r in got.values() if not r.train and r.doc_id < 900]
+    assert len(apart) > 20 and sum(r.score for r in apart) > sum(r.base_score for r in apart) + 50
 
 
 def test_forward_is_exact():
