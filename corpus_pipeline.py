@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockwright.llm import decontaminate, forced_bpe, line_dedup, shingle_join, toxicity
-from blockwright.llm.common import durable, table
+from blockwright.llm.common import durable, sent, table
 from blockwright.llm.queries import fold, vocabulary
 
 
@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored = toxicity.score_toxicity(marked, table(spark, sf_dir, "labels"), lambda c: fold(c, 3) != 1, keep=("mark",))
     bad = durable(scored.where("predicted = 1").select(F.col("doc_id").alias("bad_id"), F.col("mark").alias("bad_mark")).distinct())
     same = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_mark"))
-    return docs.join(shingle_join.sent(bad), same, "left_anti").select(*docs.columns)
+    return docs.join(sent(bad), same, "left_anti").select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The document with the smallest id of each group of near copies stays. Rows of one id that stay are one document: one row for each text."""
     components = durable(shingle_join.shingle_components(docs))
     copies = components.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(shingle_join.sent(copies), "doc_id", "left_anti")
+    kept = docs.join(sent(copies), "doc_id", "left_anti")
     if components.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.select(*docs.columns)
