@@ -120,7 +120,7 @@ def dedup_lines(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, i
         size = len(ids)
         return pa.RecordBatch.from_arrays([ids, pa.array(p["mark"][some]), pa.array(p["line"][some].astype(np.int32)), *[pa.nulls(size, pa.int64()) if x is None else pa.array(x) for x in (n, held)]], ["id", "mark", "line", "n", "held"])
 
-    found = travelled(texts.mapInArrow(emit, MET_ROW), tasks).mapInArrow(decide, "id long, mark long, line int, n long, held long")
+    found = travelled(texts.mapInArrow(emit, MET_ROW)).mapInArrow(decide, "id long, mark long, line int, n long, held long")
     found = durable(found.where(F.col("n").isNull() | (F.col("held") >= least_shared())))
     nodes = durable(found.where("n IS NOT NULL").select(F.monotonically_increasing_id().alias("node"), "id", "mark", "line"))
 

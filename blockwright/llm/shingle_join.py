@@ -341,8 +341,9 @@ def settle_nodes(part: dict[str, np.ndarray], held: dict[str, np.ndarray]) -> tu
     return lo, hi, n, total
 
 
-def travelled(rows: DataFrame, tasks: int) -> DataFrame:
+def travelled(rows: DataFrame) -> DataFrame:
     """Rows of emit_grams() after both shuffles: by n-gram, then by node."""
+    tasks = min(1 << 16, 2 * partitions(rows.sparkSession))
     met = rows.repartition("task").sortWithinPartitions("task").mapInArrow(lambda batches: count_shared(batches, tasks), MET_ROW)
     return met.repartition("task").sortWithinPartitions("task")
 
@@ -370,7 +371,7 @@ def meeting(texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
             if nodes.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in settle_nodes(values(nodes, MET), values(held, MET))], ["lo", "hi", "n", "held"])
 
-    found = travelled(texts.select("t").mapInArrow(emit, MET_ROW), tasks).mapInArrow(decide, "lo long, hi long, n long, held long")
+    found = travelled(texts.select("t").mapInArrow(emit, MET_ROW)).mapInArrow(decide, "lo long, hi long, n long, held long")
     return durable(found.select("lo", "hi", "n", (F.col("held") >= least_shared()).alias("maybe")))
 
 

@@ -41,7 +41,7 @@ MERGE_BYTES, SHARD_BYTES = 1 << 19, 1 << 16
 #: Bytes of texts whose pieces are told apart at a time before they travel.
 SLICE_BYTES = 12 << 20
 #: Unlike pieces of an anchor in one slice, and in all, beyond which its windows meet instead.
-LOCAL_PIECES, WHOLE_PIECES = 16, 4_000
+LOCAL_PIECES, WHOLE_PIECES = 64, 4_000
 MULTIPLIER = 6364136223846793005
 
 
@@ -471,7 +471,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         raise ValueError(f"strings of {GRAM + 2} to {GRAM + 200} bytes can be found")
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    tasks = min(1 << 16, 16 * partitions(spark))
+    tasks, doc_tasks = min(1 << 16, 16 * partitions(spark)), min(1 << 16, 2 * partitions(spark))
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
     # rows of one id with different texts are told apart by j, a hash of the text; it is 0 where ids aren't repeated
     repeats = durable(plain.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select(F.col("id").alias("again")))
@@ -480,7 +480,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     known = texts.where(f"id IS NOT NULL AND octet_length(t) >= {length}").select(F.col("id").cast("long").alias("id"), "j", "t")
 
     travel = known.mapInArrow(partial(find, length=length, tasks=tasks, local_pieces=LOCAL_PIECES, slice_bytes=SLICE_BYTES), schema_of(TRAVEL)).repartition("task").sortWithinPartitions("task")
-    settled = travel.mapInArrow(partial(settle, length=length, tasks=tasks, whole_pieces=WHOLE_PIECES), schema_of(SETTLED)).repartition("task").sortWithinPartitions("task")
+    settled = travel.mapInArrow(partial(settle, length=length, tasks=doc_tasks, whole_pieces=WHOLE_PIECES), schema_of(SETTLED)).repartition("task").sortWithinPartitions("task")
     facts = durable(settled.mapInArrow(partial(per_text, length=length), "id long, j long, kind int, ends array<int>, rel array<int>, key array<long>"))
     asked = known.join(facts.where(f"kind <> {LOST}"), ["id", "j"]).select("id", "j", "t", "kind", "ends", "rel", "key")
     pieces = asked.mapInArrow(partial(cut, length=length), "key long, piece binary, rel int, id long, j long, first int, last int")
