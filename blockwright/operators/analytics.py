@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from blockwright.plans.dims import METHOD_NAMES
+from blockwright.plans.dims import METHOD_NAMES, METHODS
 
 # Statuses that keep a record out of the global summary.
 FAILED = ("CRC_FAIL", "DECODE_FAIL", "DECOMP_FAIL", "JPEG_SIZE_FAIL", "RAW_SIZE_FAIL", "OOM", "SD_FAIL", "REF_MISSING", "MODE_FAIL")
@@ -93,6 +93,17 @@ def order_in_run(records: DataFrame) -> DataFrame:
     return records.withColumn("order_index", F.row_number().over(w) - 1)
 
 
+def numbered(rows: DataFrame, by: str, spans: int = 64) -> DataFrame:
+    """rows with place, from 1 in the order of a unique number: numbered inside spans between quantiles, and moved on by the sizes of the spans before, so no task orders all rows."""
+    cuts = sorted(set(rows.approxQuantile(by, [i / spans for i in range(1, spans)], 0.002)))  # at most spans numbers
+    span = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(by))) if cuts else F.lit(0)
+    spread = rows.withColumn("__span", span)
+    sizes = spread.groupBy("__span").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each span
+    place = F.row_number().over(Window.partitionBy("__span").orderBy(by)) + F.col("__before")
+    return spread.join(F.broadcast(sizes.select("__span", before.alias("__before"))), "__span").withColumn("place", place).drop("__span", "__before")
+
+
 def method_place(column: str) -> Column:
     """Place of a method in the study's order; unknown ones come last."""
     return F.coalesce(*[F.when(F.col(column) == m, F.lit(i)) for i, m in enumerate(METHOD_NAMES)], F.lit(999))
@@ -108,6 +119,46 @@ def settled(frames: DataFrame, value: str, most: float, times: int, within: int)
     return f.groupBy("run_id").agg(F.coalesce(F.min(F.when(F.col("streak") >= times, F.col("frame"))), F.max("frame")).alias("frame"))
 
 
+def method_facts(rows: DataFrame, id_col: str) -> DataFrame:
+    """rows with name, is_jpeg and method_index of a method id on the wire: 0 is raw; other ids than those of the study have no name, and -1."""
+    ids = {w: (i, m) for i, (m, _, w, _) in enumerate(METHODS)}
+    pick = lambda f: F.coalesce(*[F.when(F.col(id_col) == w, F.lit(f(x))) for w, x in ids.items()])
+    name = F.when(F.col(id_col) == 0, "raw").otherwise(pick(lambda x: x[1]))
+    return rows.withColumns({"name": name, "is_jpeg": F.coalesce(F.col(id_col).isin(*ids), F.lit(False)), "method_index": F.coalesce(pick(lambda x: x[0]), F.lit(-1))})
+
+
+def reject_reason(slots: int = 21, width: int = 320, height: int = 240) -> Column:
+    """Why a record's header can't belong to its run, by the first rule that it breaks; null if it may.
+
+    Reads method_id, record_type (1 raw, 2 compressed), mode_type (1 raw, 2 compressed), k_idx,
+    colorspace (0 RGB), subsampling (0 is 4:4:4, 255 none), width, height, order_index, expected
+    (records of the run) and again (a record of the slot was there before).
+    """
+    c = F.col
+    jpeg, raw_type, jpeg_type = c("method_id").between(1, 5), c("record_type") == 1, c("record_type") == 2
+    rules = [
+        ("method or k", ~((c("method_id") == 0) | (jpeg & (c("k_idx") < 4)))), ("mode of a raw record", raw_type & (c("mode_type") != 1)), ("method or subsampling of a raw record", raw_type & ((c("method_id") != 0) | (c("subsampling") != 255))),
+        ("method or mode", jpeg_type & ((c("mode_type") != 2) | ~jpeg)), ("k", jpeg_type & (c("k_idx") >= 4)), ("not RGB 4:4:4", jpeg_type & ((c("colorspace") != 0) | (c("subsampling") != 0))), ("record type", ~(raw_type | jpeg_type)),
+        ("colour space", c("colorspace") != 0), ("records expected", (c("expected") == 0) | (c("expected") > slots)), ("size", (c("width") != width) | (c("height") != height)), ("order", c("order_index") >= c("expected")), ("duplicate", c("again")),
+    ]
+    return F.coalesce(*[F.when(rule, F.lit(name)) for name, rule in rules])
+
+
+def shown(rows: DataFrame, key: str, order: str, text: Column, most: int) -> DataFrame:
+    """key, order, text: the first rows of each key, and in place of the next a line with how many more there are."""
+    own = Window.partitionBy(key)
+    r = rows.select(key, order, text.alias("text"), F.row_number().over(own.orderBy(order)).alias("__n"), F.count("*").over(own).alias("__all")).where(F.col("__n") <= most + 1)
+    more = F.concat(F.lit("+"), (F.col("__all") - most).cast("string"), F.lit(" more"))
+    return r.select(key, order, F.when(F.col("__n") <= most, F.col("text")).otherwise(more).alias("text"))
+
+
+def snapshot_differences(actual: DataFrame, stored: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """key, cells, different, same: a table against its stored form, row by row."""
+    j = actual.join(stored.withColumnsRenamed({c: f"__{c}" for c in columns}), key, "full")
+    apart = sum((F.when(F.col(c).eqNullSafe(F.col(f"__{c}")), 0).otherwise(1) for c in columns), F.lit(0)).cast("bigint")
+    return j.select(key, F.lit(len(columns)).cast("bigint").alias("cells"), apart.alias("different"), (apart == 0).alias("same"))
+
+
 def exports_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     """Counts of rows of one side that the other lacks."""
     return a.exceptAll(b).agg(F.count("*").alias("only_left")).crossJoin(b.exceptAll(a).agg(F.count("*").alias("only_right")))

@@ -7,7 +7,7 @@ one transform so that the first is not written into each use of it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -146,7 +146,24 @@ def from_tokens(rows: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, F.when((F.col("s.pos") <= 63) & ended, whole).alias("z"))
 
 
-# Float kernels: 32-bit arithmetic in a fixed order, so they run on Arrow batches.
+# Float kernels: 32-bit arithmetic in a fixed order, so they run on Arrow batches. A kernel
+# is a pair of functions of lines (n by 8), forward and inverse; any such pair can be registered.
+
+KERNELS: dict[str, tuple[Callable[[np.ndarray], np.ndarray], Callable[[np.ndarray], np.ndarray]]] = {}
+
+
+def register_kernel(name: str, forward_line, inverse_line) -> None:
+    """A method by its one-dimensional transforms of lines; both return whole numbers."""
+    KERNELS[name] = forward_line, inverse_line
+
+
+def separable(x: np.ndarray, line, rows_first: bool) -> np.ndarray:
+    """A two-dimensional transform of blocks (n, 8, 8) from any transform of lines (n, 8), rounded after each pass as line is."""
+    for rows in (rows_first, not rows_first):
+        lines_ = np.ascontiguousarray(x if rows else x.transpose(0, 2, 1)).reshape(-1, 8)
+        x = line(lines_).reshape(-1, 8, 8)
+        x = x if rows else x.transpose(0, 2, 1)
+    return x
 
 
 def cosine_basis() -> np.ndarray:
@@ -158,89 +175,85 @@ def round_away(x: np.ndarray) -> np.ndarray:
     return (np.sign(x) * np.floor(np.abs(x).astype(np.float64) + 0.5)).astype(np.int32)
 
 
-def matrix_pass(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """basis times the second axis, summed from the first term on in 32 bits, rounded."""
-    total = np.zeros(x.shape, np.float32)
-    for n in range(8):
-        total += x[:, n : n + 1, :].astype(np.float32) * basis[:, n][None, :, None]
-    return round_away(total)
-
+def weighed(lines_: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Each line times weights (out by in), summed in 32 bits from the first term on."""
+    total = np.zeros((len(lines_), len(weights)), np.float32)
+    for n in range(lines_.shape[1]):
+        total += lines_[:, n, None].astype(np.float32) * weights[:, n]
+    return total
 
-def matrix_forward(x: np.ndarray) -> np.ndarray:
-    rows = matrix_pass(x.transpose(0, 2, 1), cosine_basis()).transpose(0, 2, 1)
-    return matrix_pass(rows, cosine_basis())
 
+# Cosines of the butterfly, in the digits that its floats are read from.
+C1, S1, C3, S3, C6, S6, ROOT2, HALF_ROOT = map(np.float32, (0.9807852804, 0.1950903220, 0.8314696123, 0.5555702330, 0.3826834324, 0.9238795325, 1.4142135624, 0.3535533906))
+#: Outputs 1, 3, 5, 7 of the butterfly's odd half, from the sums and differences of its inputs.
+ODD = np.array([[C3, C1, S1, S3], [S1, -C3, S3, C1], [C1, -S3, -C3, -S1], [-S3, S1, -C1, C3]], np.float32)
 
-def matrix_inverse(x: np.ndarray) -> np.ndarray:
-    columns = matrix_pass(x, cosine_basis().T)
-    return matrix_pass(columns.transpose(0, 2, 1), cosine_basis().T).transpose(0, 2, 1)
 
-
-def butterfly_pass(x: np.ndarray) -> np.ndarray:
-    """Even and odd parts apart: sums of mirrored samples give the even outputs, differences the odd ones."""
-    half = np.float32(1 / np.sqrt(8))
-    sums, parts = x[:, :4] + x[:, :3:-1], x[:, :4] - x[:, :3:-1]
-    basis = cosine_basis()[:, :4]
+def butterfly_line(x: np.ndarray) -> np.ndarray:
+    """Forward: an even half of mirrored sums, an odd half of mirrored differences."""
     out = np.empty(x.shape, np.float32)
-    s, d = sums.astype(np.float32), parts.astype(np.float32)
-    for k in range(8):
-        source = d if k % 2 else s
-        if k in (0, 4):
-            e0, e1 = s[:, 0] + s[:, 3], s[:, 1] + s[:, 2]
-            out[:, k] = (e0 + e1 if k == 0 else e0 - e1) * half
-        else:
-            out[:, k] = sum((source[:, n] * basis[k, n] for n in range(1, 4)), source[:, 0] * basis[k, 0])
+    s, d = ((x[:, :4] + sign * x[:, :3:-1]).astype(np.float32) for sign in (1, -1))
+    low, mid = s[:, 1] + s[:, 2], s[:, 1] - s[:, 2]
+    high, far = s[:, 0] + s[:, 3], s[:, 0] - s[:, 3]
+    out[:, 0], out[:, 4] = (high + low) * HALF_ROOT, (high - low) * HALF_ROOT
+    out[:, 2], out[:, 6] = (C6 * mid + S6 * far) * np.float32(0.5), (-S6 * mid + C6 * far) * np.float32(0.5)
+    turned = np.stack([d[:, 0] + d[:, 3], d[:, 1] + d[:, 2], d[:, 1] - d[:, 2], d[:, 0] - d[:, 3]], 1)
+    out[:, 1::2] = weighed(turned, ODD) * HALF_ROOT
     return round_away(out)
 
 
-def butterfly_forward(x: np.ndarray) -> np.ndarray:
-    rows = butterfly_pass(x.transpose(0, 2, 1)).transpose(0, 2, 1)
-    return butterfly_pass(rows)
-
-
-def butterfly_inverse_pass(x: np.ndarray) -> np.ndarray:
-    basis, z = cosine_basis()[:, :4], x.astype(np.float32)
-    even = sum((z[:, k, None] * basis[k][None, :, None] for k in (2, 4, 6)), z[:, 0, None] * basis[0][None, :, None])
-    odd = sum((z[:, k, None] * basis[k][None, :, None] for k in (3, 5, 7)), z[:, 1, None] * basis[1][None, :, None])
-    return round_away(np.concatenate([even + odd, (even - odd)[:, ::-1]], 1))
+def butterfly_inverse_line(x: np.ndarray) -> np.ndarray:
+    """Inverse: the same halves back, four times as large in the middle and divided by 8 at the end."""
+    z = x.astype(np.float32) * np.float32(2)
+    dc, ac = z[:, 0] * ROOT2, z[:, 4] * ROOT2
+    low, high = np.float32(2) * (C6 * z[:, 2] - S6 * z[:, 6]), np.float32(2) * (S6 * z[:, 2] + C6 * z[:, 6])
+    s = np.stack([dc + ac + high, dc - ac + low, dc - ac - low, dc + ac - high], 1)
+    n = weighed(z[:, 1::2], ODD.T)
+    d = np.stack([n[:, 0] + n[:, 3], n[:, 1] + n[:, 2], n[:, 1] - n[:, 2], n[:, 0] - n[:, 3]], 1) * ROOT2
+    return round_away(np.concatenate([s + d, (s - d)[:, ::-1]], 1) / np.float32(8))
 
 
-def butterfly_inverse(x: np.ndarray) -> np.ndarray:
-    columns = butterfly_inverse_pass(x)
-    return butterfly_inverse_pass(columns.transpose(0, 2, 1)).transpose(0, 2, 1)
-
-
-FLOAT_KERNELS = {"matrix": (matrix_forward, matrix_inverse), "loeffler": (butterfly_forward, butterfly_inverse)}
+register_kernel("matrix", lambda x: round_away(weighed(x, cosine_basis())), lambda x: round_away(weighed(x, cosine_basis().T)))
+register_kernel("loeffler", butterfly_line, butterfly_inverse_line)
 
 
 def float_kernel(df: DataFrame, method: str, column: str, back: bool = False) -> DataFrame:
-    """df with the column of blocks replaced by the transform of each, batch by batch."""
-    kernel = FLOAT_KERNELS[method][back]
+    """df with the column of blocks replaced by the transform of each, batch by batch: rows then columns, and back in the other order."""
+    line = KERNELS[method][back]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             if len(p):
                 x = np.stack(p[column].to_numpy()).reshape(-1, 8, 8)
-                p[column] = list(kernel(x).reshape(-1, 64))
+                p[column] = list(separable(x, line, not back).reshape(-1, 64))
             yield p
 
     fields = ", ".join(f"`{f.name}` {'array<int>' if f.name == column else f.dataType.simpleString()}" for f in df.schema)
     return df.mapInPandas(run, fields)
 
 
+def transformed(blocks: DataFrame, method: str) -> DataFrame:
+    """blocks (b) with their coefficients c."""
+    if method in KERNELS:
+        return float_kernel(blocks.withColumn("c", F.col("b")), method, "c")
+    return blocks.withColumn("c", F.col("b") if method == "identity" else forward(F.col("b"), method))
+
+
+def restored(df: DataFrame, method: str) -> DataFrame:
+    """df with its coefficients d replaced by blocks."""
+    if method in KERNELS:
+        return float_kernel(df, method, "d", True)
+    return df.withColumn("d", F.col("d").cast("array<int>") if method == "identity" else inverse(F.col("d"), method).cast("array<int>"))
+
+
 def compress(blocks: DataFrame, method: str, k: float, chroma: bool = False) -> DataFrame:
     """blocks with their coefficients c and levels q for one method and quality factor."""
-    if method in FLOAT_KERNELS:
-        df = float_kernel(blocks.withColumn("c", F.col("b")), method, "c")
-    else:
-        df = blocks.withColumn("c", forward(F.col("b"), method))
-    return df.withColumn("q", quantize(F.col("c"), quant_table(method, k, chroma)))
+    return transformed(blocks, method).withColumn("q", quantize(F.col("c"), quant_table(method, k, chroma)))
 
 
 def decompress(levels: DataFrame, method: str, k: float, chroma: bool = False) -> DataFrame:
     """levels with the reconstructed block d."""
-    df = levels.withColumn("d", dequantize(F.col("q"), quant_table(method, k, chroma)))
-    return float_kernel(df, method, "d", True) if method in FLOAT_KERNELS else df.withColumn("d", inverse(F.col("d"), method).cast("array<int>"))
+    return restored(levels.withColumn("d", dequantize(F.col("q"), quant_table(method, k, chroma))), method)
 
 
 def round_trip(blocks: DataFrame, method: str, k: float, chroma: bool = False) -> DataFrame:
@@ -255,11 +268,31 @@ def sweep(blocks: DataFrame, ks: list[tuple[int, float]], methods: list[str] = M
     """
     out = None
     for m in methods:
-        df = float_kernel(blocks.withColumn("c", F.col("b")), m, "c") if m in FLOAT_KERNELS else blocks.withColumn("c", forward(F.col("b"), m))
         tables = F.array(*[F.struct(F.lit(i).alias("k_idx"), as_column(quant_table(m, k)).alias("table")) for i, k in ks])
-        df = df.withColumn("x", F.explode(tables)).select("*", F.lit(m).alias("method"), "x.k_idx", F.col("x.table").alias("table")).drop("x")
+        df = transformed(blocks, m).withColumn("x", F.explode(tables)).select("*", F.lit(m).alias("method"), "x.k_idx", F.col("x.table").alias("table")).drop("x")
+        df = df.withColumn("q", quantize(F.col("c"), F.col("table")))
+        df = restored(df.withColumn("d", dequantize(F.col("q"), F.col("table"))).drop("table"), m)
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def against_matrix(blocks: DataFrame, keys: list[str], ks: list[tuple[int, float]], methods: list[str]) -> DataFrame:
+    """keys, method, k_idx, total, diffs, sse, sse_matrix: levels and reconstructions of methods beside those of the matrix method, block by block.
+
+    Both sides come from one row, so nothing is joined.
+    """
+    base = transformed(blocks.select(*keys, "b"), "matrix").withColumnRenamed("c", "m")
+    tables = F.array(*[F.struct(F.lit(i).alias("k_idx"), as_column(quant_table("matrix", k)).alias("table")) for i, k in ks])
+    base = base.withColumn("x", F.explode(tables)).select(*keys, "b", "x.k_idx", quantize(F.col("m"), F.col("x.table")).alias("w"), dequantize(quantize(F.col("m"), F.col("x.table")), F.col("x.table")).alias("d"))
+    base = restored(base, "matrix").withColumnRenamed("d", "dm")
+    error = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: ((x - y) * (x - y)).cast("bigint")), F.lit(0).cast("bigint"), lambda t, x: t + x)
+    out = None
+    for m in methods:
+        own = F.element_at(F.array(*[as_column(quant_table(m, k)) for _, k in ks]), F.col("at"))
+        df = transformed(base.withColumn("at", F.coalesce(*[F.when(F.col("k_idx") == i, F.lit(n + 1)) for n, (i, _) in enumerate(ks)])), m).withColumn("table", own)
         df = df.withColumn("q", quantize(F.col("c"), F.col("table")))
-        df = df.withColumn("d", dequantize(F.col("q"), F.col("table"))).drop("table")
-        df = float_kernel(df, m, "d", True) if m in FLOAT_KERNELS else df.withColumn("d", inverse(F.col("d"), m).cast("array<int>"))
+        df = restored(df.withColumn("d", dequantize(F.col("q"), F.col("table"))).drop("table", "c"), m)
+        diffs = F.size(F.filter(F.zip_with("q", "w", lambda a, b: a != b), lambda x: x))
+        df = df.select(*keys, F.lit(m).alias("method"), "k_idx", F.size("q").cast("bigint").alias("total"), diffs.cast("bigint").alias("diffs"), error("b", "d").alias("sse"), error("b", "dm").alias("sse_matrix"))
         out = df if out is None else out.unionByName(df)
     return out

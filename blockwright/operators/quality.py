@@ -61,8 +61,8 @@ def saturation(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """Percent of pixels with any channel, all channels, and the mean near the upper end; and the mean gray."""
     r, g, b = F.col("r"), F.col("g"), F.col("b")
     share = lambda c: F.avg(F.when(c, 100.0).otherwise(0.0))
-    gray = (r + g + b) / 3
-    return pixels.groupBy(*keys).agg(share(F.greatest(r, g, b) >= 250).alias("any_250"), share(F.least(r, g, b) >= 250).alias("all_250"), share(gray >= 230).alias("gray_230"), F.avg(gray).alias("gray"))
+    total = r + g + b  # stays whole to the last step
+    return pixels.groupBy(*keys).agg(share(F.greatest(r, g, b) >= 250).alias("any_250"), share(F.least(r, g, b) >= 250).alias("all_250"), share(total >= 690).alias("gray_230"), (F.sum(total) / (3.0 * F.count("*"))).alias("gray"))
 
 
 def geometry(width: Column, height: Column, subsampling: Column, gray: Column) -> tuple[Column, Column]:
@@ -72,3 +72,10 @@ def geometry(width: Column, height: Column, subsampling: Column, gray: Column) -
     chroma = F.when(gray, 0).when(subsampling == "444", luma).when(subsampling == "422", up(width, 16) * up(height, 8)).otherwise(up(width, 16) * up(height, 16))
     full = F.when(gray | (subsampling == "444"), luma).when(subsampling == "422", 2 * chroma).otherwise(4 * chroma)
     return full, chroma
+
+
+def codec_memory(width: Column, height: Column, subsampling: Column, keep: Column) -> Column:
+    """Bytes that a codec job needs: its level blocks (twice with coefficients kept) or the image, whichever is more. subsampling may be gray."""
+    luma, chroma = geometry(width, height, subsampling, subsampling == "gray")
+    levels = 104 + 256 * (luma + 2 * chroma) * F.when(keep, 2).otherwise(1)
+    return F.greatest(levels, 24 + width * height * F.when(subsampling == "gray", 1).otherwise(3)).cast("bigint")

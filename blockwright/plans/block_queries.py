@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from blockwright.functions import scalars as S
+from blockwright.operators import analytics as A
 from blockwright.operators import codec as C
+from blockwright.operators import frames as R
 from blockwright.operators import quality as Q
 from blockwright.plans.dims import BASIS, INVERSE, K_VALUES, METHOD_NAMES, Q50_CHROMA, Q50_LUMA, scaled_k, zigzag
-from blockwright.sources.blocks import BLOCKS_SQL, PIXELS_SQL, SAMPLES_SQL, blocks, pixels, samples
+from blockwright.sources.blocks import BLOCKS_SQL, FRAMES_SQL, PIXELS_SQL, SAMPLES_SQL, blocks, frames, pixels, samples
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -52,6 +53,86 @@ def table_sql(method: str, k: float, chroma: bool = False) -> str:
     return "qt(pos, q) AS (VALUES " + ", ".join(f"({p}, {q})" for p, q in enumerate(C.quant_table(method, k, chroma))) + ")"
 
 
+# Transforms of a list of 64 in SQL, for methods of any kind.
+
+
+def literal(values, kind: str = "BIGINT") -> str:
+    return "[" + ", ".join(map(str, values)) + f"]::{kind}[]"
+
+
+def pass_sql(source: str, m: str, rows: bool, kind: str, finish: str) -> str:
+    """One pass over lines: m names a list of 64 weights, out by in; summed from the first term on."""
+    line, k = ("(p // 8)", "(p % 8)") if rows else ("(p % 8)", "(p // 8)")
+    at = lambda n: f"{line} * 8 + {n + 1}" if rows else f"{n * 8 + 1} + {line}"
+    total = " + ".join(f"{m}[{k} * 8 + {n + 1}] * {source}[{at(n)}]::{kind}" for n in range(8))
+    return "[" + finish.format(f"({total})") + " FOR p IN range(64)]"
+
+
+def turn_sql(source: str) -> str:
+    return f"[{source}[p % 8 * 8 + p // 8 + 1] FOR p IN range(64)]"
+
+
+def butterfly_sql(source: str, back: bool) -> str:
+    """Rows of a block by the butterfly, written out."""
+    f = lambda x: f"'{x}'::FLOAT"
+    c1, s1, c3, s3, c6, s6, root2, half = map(f, ("0.9807852804", "0.1950903220", "0.8314696123", "0.5555702330", "0.3826834324", "0.9238795325", "1.4142135624", "0.3535533906"))
+    odd = [[c3, c1, s1, s3], [s1, f"(-{c3})", s3, c1], [c1, f"(-{s3})", f"(-{c3})", f"(-{s1})"], [f"(-{s3})", s1, f"(-{c1})", c3]]
+    v = lambda n: f"{source}[p * 8 + {n + 1}]"
+    dot = lambda w, x: "(" + " + ".join(f"{a} * {b}" for a, b in zip(w, x)) + ")"
+    whole = lambda x: f"round({x})::INTEGER"
+    if not back:
+        s, d = ([f"({v(i)} {sign} {v(7 - i)})" for i in range(4)] for sign in "+-")
+        low, mid, high, far = (f"({a} {o} {b})::FLOAT" for a, o, b in ((s[1], "+", s[2]), (s[1], "-", s[2]), (s[0], "+", s[3]), (s[0], "-", s[3])))
+        turned = [f"({a} {o} {b})::FLOAT" for a, o, b in ((d[0], "+", d[3]), (d[1], "+", d[2]), (d[1], "-", d[2]), (d[0], "-", d[3]))]
+        out = [f"({high} + {low}) * {half}", f"{dot(odd[0], turned)} * {half}", f"({c6} * {mid} + {s6} * {far}) * 0.5::FLOAT", f"{dot(odd[1], turned)} * {half}", f"({high} - {low}) * {half}", f"{dot(odd[2], turned)} * {half}", f"((-{s6}) * {mid} + {c6} * {far}) * 0.5::FLOAT", f"{dot(odd[3], turned)} * {half}"]
+    else:
+        z = [f"({v(i)}::FLOAT * 2::FLOAT)" for i in range(8)]
+        dc, ac = f"{z[0]} * {root2}", f"{z[4]} * {root2}"
+        low, high = f"2::FLOAT * ({c6} * {z[2]} - {s6} * {z[6]})", f"2::FLOAT * ({s6} * {z[2]} + {c6} * {z[6]})"
+        s = [f"({dc} {a} {ac} {b})" for a, b in (("+", f"+ {high}"), ("-", f"+ {low}"), ("-", f"- {low}"), ("+", f"- {high}"))]
+        n = [dot([odd[r][c] for r in range(4)], [z[1], z[3], z[5], z[7]]) for c in range(4)]
+        d = [f"({a} {o} {b}) * {root2}" for a, o, b in ((n[0], "+", n[3]), (n[1], "+", n[2]), (n[1], "-", n[2]), (n[0], "-", n[3]))]
+        out = [f"({s[i]} + {d[i]}) / 8::FLOAT" for i in range(4)] + [f"({s[i]} - {d[i]}) / 8::FLOAT" for i in (3, 2, 1, 0)]
+    return f"flatten([[{', '.join(map(whole, out))}] FOR p IN range(8)])"
+
+
+def list_transform_sql(method: str, back: bool, source: str, keys: str, column: str, out: str, name: str) -> str:
+    """CTEs that end in name: the rows of source with the list column transformed as out."""
+    a, b = f"{name}_1", f"{name}_2"
+    if method == "identity":
+        return f"{name} AS (SELECT {keys}, {column} AS {out} FROM {source})"
+    if method == "loeffler":
+        first = turn_sql(column) if back else column
+        steps = [f"{a} AS (SELECT {keys}, {first} AS step FROM {source})", f"{b} AS (SELECT {keys}, {butterfly_sql('step', back)} AS step FROM {a})", f"{name}_3 AS (SELECT {keys}, {turn_sql('step')} AS step FROM {b})", f"{name}_4 AS (SELECT {keys}, {butterfly_sql('step', back)} AS step FROM {name}_3)"]
+        return ", ".join([*steps, f"{name} AS (SELECT {keys}, {'step' if back else turn_sql('step')} AS {out} FROM {name}_4)"])
+    if method == "matrix":
+        basis = C.cosine_basis()
+        m = literal([f"'{x:.9g}'" for x in (basis.T if back else basis).ravel()], "FLOAT")
+        kind, finish = "FLOAT", "round({})::INTEGER"
+    else:
+        w, d = INVERSE[method]
+        m = literal([BASIS[method][k][n] * w[k] for n in range(8) for k in range(8)] if back else [x for row in BASIS[method] for x in row])
+        kind, finish = "BIGINT", ("(sign({0}) * ((abs({0}) * 2 + " + f"{d}) // {2 * d}))::BIGINT") if back else "{}"
+    one = f"{a} AS (SELECT {keys}, {pass_sql(column, 'm', not back, kind, finish)} AS step FROM {source}, (SELECT {m} AS m))"
+    return f"{one}, {name} AS (SELECT {keys}, {pass_sql('step', 'm', back, kind, finish)} AS {out} FROM {a}, (SELECT {m} AS m))"
+
+
+def quantized_sql(column: str, table: str) -> str:
+    return f"[(sign({column}[p + 1]) * (((abs({column}[p + 1])::BIGINT + {table}[p + 1] // 2) * ((65536 + {table}[p + 1] // 2) // {table}[p + 1])) >> 16))::BIGINT FOR p IN range(64)]"
+
+
+def dequantized_sql(column: str, table: str) -> str:
+    return f"[{column}[p + 1] * {table}[p + 1] FOR p IN range(64)]"
+
+
+LISTS = ", bl AS (SELECT image, brow, bcol, list(v ORDER BY pos) AS b FROM blocks GROUP BY image, brow, bcol)"
+BLOCK_KEY = "image, brow, bcol"
+
+
+def exploded_sql(source: str, column: str, keys: str = BLOCK_KEY) -> str:
+    return f"SELECT {keys}, unnest(range(64))::INTEGER AS pos, unnest({column}) AS v FROM {source}"
+
+
 LEVELS = "levels AS (SELECT image, brow, bcol, coef.pos, (sign(v) * (((abs(v) + q // 2) * ((65536 + q // 2) // q)) >> 16))::BIGINT AS v FROM coef JOIN qt ON qt.pos = coef.pos)"
 RDCT_LEVELS = f"{forward_sql('rdct')}, {table_sql('rdct', 0.5)}, {LEVELS}"
 SCAN = "zz(z, pos) AS (VALUES " + ", ".join(f"({i}, {p})" for i, p in enumerate(zigzag())) + ")"
@@ -71,7 +152,8 @@ for _t, _i, _m in (("t16", "t17", "rdct"), ("t18", "t19", "silveira_j3"), ("t20"
     query(f"{_t}_forward_{_m}", f"{forward_sql(_m)} SELECT * FROM coef")(lambda spark, d, m=_m: long(blocks(spark, d).withColumn("c", C.forward(F.col("b"), m)), "c"))
     query(f"{_i}_inverse_{_m}", f"{forward_sql(_m)}{inverse_sql(_m, 'coef')} SELECT * FROM back")(lambda spark, d, m=_m: long(blocks(spark, d).withColumn("c", C.forward(F.col("b"), m)).withColumn("d", C.inverse(F.col("c"), m)), "d"))
 for _t, _m, _back in (("t12", "matrix", False), ("t13", "matrix", True), ("t14", "loeffler", False), ("t15", "loeffler", True)):
-    query(f"{_t}_{'inverse' if _back else 'forward'}_{_m}", None)(lambda spark, d, m=_m, back=_back: long(C.float_kernel(C.float_kernel(blocks(spark, d), m, "b"), m, "b", True) if back else C.float_kernel(blocks(spark, d), m, "b"), "b"))
+    _sql = f"{LISTS}, {list_transform_sql(_m, False, 'bl', BLOCK_KEY, 'b', 'c', 'fwd')}" + (f", {list_transform_sql(_m, True, 'fwd', BLOCK_KEY, 'c', 'c', 'inv')} {exploded_sql('inv', 'c')}" if _back else f" {exploded_sql('fwd', 'c')}")
+    query(f"{_t}_{'inverse' if _back else 'forward'}_{_m}", _sql)(lambda spark, d, m=_m, back=_back: long(C.float_kernel(C.float_kernel(blocks(spark, d), m, "b"), m, "b", True) if back else C.float_kernel(blocks(spark, d), m, "b"), "b"))
 
 
 @query("t22_identity", "SELECT * FROM blocks")
@@ -79,13 +161,6 @@ def _(spark, d):
     return long(blocks(spark, d), "b")
 
 
-@query("t2_gray_blocks", "SELECT * FROM blocks")
-def _(spark, d):
-    p = pixels(spark, d).select("image", F.floor(F.col("y") / 8).cast("int").alias("brow"), F.floor(F.col("x") / 8).cast("int").alias("bcol"), (F.col("y") % 8 * 8 + F.col("x") % 8).alias("pos"), (F.col("r") - 128).alias("v"))
-    b = p.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("b"))
-    return long(b, "b")
-
-
 @query("t7_blocks_to_channel", "SELECT image, brow * 8 + pos // 8 AS y, bcol * 8 + pos % 8 AS x, v FROM blocks WHERE brow * 8 + pos // 8 < 23 AND bcol * 8 + pos % 8 < 30")
 def _(spark, d):
     b = long(blocks(spark, d), "b")
@@ -123,39 +198,91 @@ def _(spark, d):
     return restored(spark, d).select("image", "y", "x", "r", "g", "b")
 
 
-@query("t1_luma_blocks", f"{YCC} SELECT image, (y // 8)::INTEGER AS brow, (x // 8)::INTEGER AS bcol, (y % 8 * 8 + x % 8)::INTEGER AS pos, yy AS v FROM ycc", PIXELS_SQL)
-def _(spark, d):
-    p = converted(spark, d).select("image", F.floor(F.col("y") / 8).cast("int").alias("brow"), F.floor(F.col("x") / 8).cast("int").alias("bcol"), (F.col("y") % 8 * 8 + F.col("x") % 8).alias("pos"), F.col("yy").alias("v"))
-    return long(p.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("b")), "b")
+IMAGE = ["image", "w", "h"]
+PLACE = "image, w, h, plane, brow, bcol"
+
+
+def planes_sql(sub: str) -> str:
+    """ycc, and pl: the samples of all planes."""
+    down, across = R.halves(sub)
+    ycc = ", ycc AS (SELECT image, w, h, y, x, ((77 * r + 150 * g + 29 * b + 128) >> 8) - 128 AS yy, ((-43 * r - 85 * g + 128 * b + 128) >> 8) AS cb, ((128 * r - 107 * g - 21 * b + 128) >> 8) AS cr FROM frames)"
+    both = "SELECT image, w, h, 'cb' AS plane, y, x, cb AS v FROM ycc UNION ALL SELECT image, w, h, 'cr', y, x, cr FROM ycc"
+    return ycc + f", pl AS (SELECT image, w, h, 'y' AS plane, y, x, yy::BIGINT AS v FROM ycc UNION ALL SELECT image, w, h, plane, y >> {down}, x >> {across}, (sign(sum(v)) * ((abs(sum(v)) * 2 + count(*)) // (2 * count(*))))::BIGINT FROM ({both}) GROUP BY image, w, h, plane, y >> {down}, x >> {across})"
+
+
+def blocks_sql(sub: str = "444", names=R.PLANES) -> str:
+    """gr: the grid of blocks, and fb: blocks with zeros where there is no sample of pl."""
+    down, across = R.halves(sub)
+    size = lambda c, n: f"CASE WHEN plane = 'y' THEN (({c} + {(8 << n) - 1}) // {8 << n}) << {n} ELSE ({c} + {(8 << n) - 1}) // {8 << n} END"
+    grid = f", gr AS (SELECT image, w, h, plane, brow::INTEGER AS brow, bcol::INTEGER AS bcol FROM (SELECT DISTINCT image, w, h FROM frames), (VALUES {', '.join(f'({chr(39)}{n}{chr(39)})' for n in names)}) n(plane), range(0, 4) a(brow), range(0, 4) c(bcol) WHERE brow < {size('h', down)} AND bcol < {size('w', across)})"
+    return grid + ", fb AS (SELECT g.image, g.w, g.h, g.plane, g.brow, g.bcol, list(coalesce(pl.v, 0) ORDER BY g.pos) AS b FROM (SELECT gr.*, pos FROM gr, range(0, 64) s(pos)) g LEFT JOIN pl ON pl.image = g.image AND pl.plane = g.plane AND pl.y = g.brow * 8 + g.pos // 8 AND pl.x = g.bcol * 8 + g.pos % 8 GROUP BY ALL)"
+
+
+def upsampled_sql(source: str, sub: str, out: str) -> str:
+    """Blocks of source (b) at the size of luma."""
+    down, across = R.halves(sub)
+    at = f"({'dy * 4 + p // 16' if down else 'p // 8'}) * 8 + ({'dx * 4 + p % 8 // 2' if across else 'p % 8'}) + 1"
+    return f"{out} AS (SELECT {PLACE}, b FROM {source} WHERE plane = 'y' UNION ALL SELECT image, w, h, plane, ((brow << {down}) + dy)::INTEGER, ((bcol << {across}) + dx)::INTEGER, [b[{at}] FOR p IN range(64)] FROM {source}, range(0, {1 + down}) s(dy), range(0, {1 + across}) t(dx) WHERE plane <> 'y')"
+
+
+def rgb_sql(source: str, out: str) -> str:
+    """Pixels of full-size blocks of three planes."""
+    value = lambda n: f"max(CASE WHEN plane = '{n}' THEN v END) AS {n}"
+    px = f"{out}_1 AS (SELECT image, w, h, (brow * 8 + pos // 8)::INTEGER AS y, (bcol * 8 + pos % 8)::INTEGER AS x, {', '.join(value(n).replace('AS y', 'AS yy') for n in R.PLANES)} FROM (SELECT {PLACE}, unnest(range(64)) AS pos, unnest(b) AS v FROM {source}) GROUP BY image, w, h, brow * 8 + pos // 8, bcol * 8 + pos % 8)"
+    return f"{px}, {out} AS (SELECT image, y, x, greatest(0, least(255, yy + 128 + ((359 * cr + 128) >> 8))) AS r, greatest(0, least(255, yy + 128 - ((88 * cb + 183 * cr + 128) >> 8))) AS g, greatest(0, least(255, yy + 128 + ((454 * cb + 128) >> 8))) AS b FROM {out}_1 WHERE y < h AND x < w)"
+
+
+def frame_blocks(spark, d, sub: str = "444"):
+    f = frames(spark, d)
+    return R.to_blocks(R.planes(f, IMAGE, sub), R.block_grid(f, IMAGE, sub), IMAGE)
 
 
-@query("t3_chroma_444", f"{YCC} SELECT image, y, x, cb, cr FROM ycc", PIXELS_SQL)
+def shown(df, column: str = "b"):
+    return df.select("image", "plane", "brow", "bcol", F.posexplode(column).alias("pos", "v"))
+
+
+def plane_query(name: str, sub: str, where: str):
+    query(name, f"{planes_sql(sub)}{blocks_sql(sub)} SELECT image, plane, brow, bcol, unnest(range(64))::INTEGER AS pos, unnest(b) AS v FROM fb WHERE {where}", FRAMES_SQL)(lambda spark, d: shown(frame_blocks(spark, d, sub).where(where)))
+
+
+plane_query("t1_luma_blocks", "444", "plane = 'y'")
+plane_query("t3_chroma_444", "444", "plane <> 'y'")
+plane_query("t4_chroma_420", "420", "plane <> 'y'")
+plane_query("t5_chroma_422", "422", "plane <> 'y'")
+for _n, _value in (("t2_gray_blocks", "r - 128"), ("t6_channel_blocks", "g * 3 - b")):
+    _sql = f", pl AS (SELECT image, w, h, 'y' AS plane, y, x, ({_value})::BIGINT AS v FROM frames){blocks_sql('444', ('y',))} SELECT image, plane, brow, bcol, unnest(range(64))::INTEGER AS pos, unnest(b) AS v FROM fb"
+    query(_n, _sql, FRAMES_SQL)(lambda spark, d, c=_value: shown(R.to_blocks(R.channel(f := frames(spark, d), IMAGE, F.expr(c)), R.block_grid(f, IMAGE, names=("y",)), IMAGE)))
+for _n, _sub in (("t10_upsample_420", "420"), ("t11_upsample_422", "422")):
+    query(_n, f"{planes_sql(_sub)}{blocks_sql(_sub)}, {upsampled_sql('fb', _sub, 'up')} SELECT image, plane, brow, bcol, unnest(range(64))::INTEGER AS pos, unnest(b) AS v FROM up", FRAMES_SQL)(lambda spark, d, s=_sub: shown(R.at_full_size(frame_blocks(spark, d, s), IMAGE, s)))
+
+
+@query("t8_blocks_to_rgb", f"{planes_sql('444')}{blocks_sql('444')}, {rgb_sql('fb', 'px')} SELECT * FROM px", FRAMES_SQL)
 def _(spark, d):
-    return converted(spark, d).select("image", "y", "x", "cb", "cr")
+    return R.to_rgb(frame_blocks(spark, d), IMAGE).drop("w", "h")
 
 
-for _n, _h in (("t4_chroma_420", 2), ("t5_chroma_422", 1)):
-    _cells = f"SELECT image, y // {_h} AS y, x // 2 AS x, " + ", ".join(f"(sign(sum({c})) * ((abs(sum({c})) * 2 + count(*)) // (2 * count(*))))::BIGINT AS {c}" for c in ("cb", "cr")) + f" FROM ycc GROUP BY image, y // {_h}, x // 2"
+def job_sql(method: str, k: float, sub: str) -> str:
+    """lv: levels of the compress job; px: pixels of the decompress job."""
+    table = f"CASE WHEN plane = 'y' THEN {literal(C.quant_table(method, k))} ELSE {literal(C.quant_table(method, k, True))} END"
+    return f"{planes_sql(sub)}{blocks_sql(sub)}, {list_transform_sql(method, False, 'fb', PLACE, 'b', 'c', 'fwd')}, lv AS (SELECT {PLACE}, t, {quantized_sql('c', 't')} AS q FROM (SELECT *, {table} AS t FROM fwd)), dq AS (SELECT {PLACE}, {dequantized_sql('q', 't')} AS d FROM lv), {list_transform_sql(method, True, 'dq', PLACE, 'd', 'b', 'inv')}, {upsampled_sql('inv', sub, 'up')}, {rgb_sql('up', 'px')}"
 
-    def _f(spark, d, h=_h):
-        g = converted(spark, d).groupBy("image", F.floor(F.col("y") / h).cast("int").alias("y"), F.floor(F.col("x") / 2).cast("int").alias("x"))
-        mean = lambda c: (F.sign(F.sum(c)) * F.floor((F.abs(F.sum(c)) * 2 + F.count("*")) / (2 * F.count("*")))).cast("bigint").alias(c)
-        return g.agg(mean("cb"), mean("cr"))
 
-    query(_n, f"{YCC} {_cells}", PIXELS_SQL)(_f)
-    _up = f"{YCC}, small AS ({_cells}) SELECT ycc.image, ycc.y, ycc.x, small.cb, small.cr FROM ycc JOIN small ON small.image = ycc.image AND small.y = ycc.y // {_h} AND small.x = ycc.x // 2"
+for _method, _k, _sub in (("rdct", 0.5, "420"), ("matrix", 0.2, "444"), ("silveira_j7", 0.8, "422")):
+    query(f"t33_compress_{_method}_{_sub}", f"{job_sql(_method, _k, _sub)} SELECT image, plane, brow, bcol, unnest(range(64))::INTEGER AS pos, unnest(q) AS v FROM lv", FRAMES_SQL)(lambda spark, d, a=(_method, _k, _sub): shown(R.compress(frames(spark, d), IMAGE, *a), "q"))
+    query(f"t34_decompress_{_method}_{_sub}", f"{job_sql(_method, _k, _sub)} SELECT image, y, x, r, g, b FROM px", FRAMES_SQL)(lambda spark, d, a=(_method, _k, _sub): R.round_trip(frames(spark, d), IMAGE, *a).drop("w", "h"))
 
-    def _g(spark, d, h=_h, small=_f):
-        c = small(spark, d).withColumnsRenamed({"y": "sy", "x": "sx"})
-        p = converted(spark, d).select("image", "y", "x", F.floor(F.col("y") / h).cast("int").alias("sy"), F.floor(F.col("x") / 2).cast("int").alias("sx"))
-        return p.join(c, ["image", "sy", "sx"]).select("image", "y", "x", "cb", "cr")
 
-    query("t10_upsample_420" if _h == 2 else "t11_upsample_422", _up, PIXELS_SQL)(_g)
+ERROR_CASES = "SELECT image, brow, bcol, s % 9 - 1 AS m, s % 3 AS c, (s // 3) % 5 - 1 AS sub, CASE s % 13 WHEN 0 THEN 'NaN'::DOUBLE WHEN 1 THEN 'Infinity'::DOUBLE ELSE (s % 400) / 10.0::DOUBLE - 2 END AS k, s % 11 AS w, (s // 11) % 12 AS h, s % 17 > 0 AS has FROM (SELECT image, brow, bcol, sum(v) AS s FROM samples GROUP BY ALL)"
 
 
-@query("t8_blocks_to_rgb", f"{YCC}{RGB_BACK} SELECT image, y, x, r, g, b FROM back WHERE y < 27 AND x < 29", PIXELS_SQL)
+@query("f5_parameter_errors", f"SELECT image, brow, bcol, CASE WHEN NOT has THEN -1 WHEN w <= 0 OR h <= 0 THEN -2 WHEN m NOT BETWEEN 0 AND 5 THEN -4 WHEN c NOT IN (0, 1) THEN -5 WHEN sub NOT BETWEEN 0 AND 2 THEN -8 WHEN NOT isfinite(k) OR k <= 0 OR k > 32 THEN -9 ELSE 0 END AS error FROM ({ERROR_CASES})", SAMPLES_SQL)
 def _(spark, d):
-    return restored(spark, d).where("y < 27 AND x < 29").select("image", "y", "x", "r", "g", "b")
+    s = F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    k = F.when(F.col("s") % 13 == 0, float("nan")).when(F.col("s") % 13 == 1, float("inf")).otherwise((F.col("s") % 400) / 10.0 - 2)
+    c = samples(spark, d).select(*KEY, s.alias("s")).select(*KEY, "s", k.alias("k"))
+    third, eleventh = F.floor(F.col("s") / 3), F.floor(F.col("s") / 11)
+    error = R.parameter_error(F.when(F.col("s") % 17 > 0, F.lit(1)), F.col("s") % 11, eleventh % 12, F.col("s") % 9 - 1, F.col("s") % 3, third % 5 - 1, F.col("k"))
+    return c.select(*KEY, error.alias("error"))
 
 
 @query("s4_rgb565_to_rgb888", "SELECT image, brow, bcol, pos, ((h >> 3) << 3) | (h >> 5) AS r, ((((h & 7) << 3) | (l >> 5)) << 2) | ((((h & 7) << 3) | (l >> 5)) >> 4) AS g, ((l & 31) << 3) | ((l & 31) >> 2) AS b FROM (SELECT *, v AS h, (v * 7 + pos) % 256 AS l FROM samples)", SAMPLES_SQL)
@@ -179,13 +306,6 @@ def _(spark, d):
     return s.select(*KEY, luma.alias("luma"), chroma.alias("chroma"))
 
 
-@query("f5_parameter_errors", "SELECT image, brow, bcol, CASE WHEN m > 5 THEN 'method' WHEN k <= 0 OR k > 32 THEN 'k' WHEN w <= 0 THEN 'size' END AS error FROM (SELECT image, brow, bcol, sum(v) % 7 AS m, (sum(v) % 400) / 10.0 - 2 AS k, sum(v) % 11 AS w FROM samples GROUP BY ALL)", SAMPLES_SQL)
-def _(spark, d):
-    total = F.aggregate("v", F.lit(0), lambda a, x: a + x)
-    s = samples(spark, d).select(*KEY, (total % 7).alias("m"), ((total % 400) / 10.0 - 2).alias("k"), (total % 11).alias("w"))
-    return s.select(*KEY, F.when(F.col("m") > 5, "method").when((F.col("k") <= 0) | (F.col("k") > 32), "k").when(F.col("w") <= 0, "size").alias("error"))
-
-
 TABLES = [(m, i) for m in METHOD_NAMES for i in range(4)]
 _Q50 = "q50(pos, y, c) AS (VALUES " + ", ".join(f"({p}, {a}, {b})" for p, (a, b) in enumerate(zip(Q50_LUMA, Q50_CHROMA))) + "), ks(k_idx, kf) AS (VALUES " + ", ".join(f"({i}, {scaled_k(k)})" for i, k in enumerate(K_VALUES)) + ")"
 
@@ -261,11 +381,6 @@ def _(spark, d):
     return scanned(spark, d).select(*KEY, C.rle_bytes(F.col("z")).alias("bytes"))
 
 
-@query("a6_rle_bpp", f"{ZSQL}{BYTES} SELECT image, sum(bytes) * 8 / (64.0 * count(*)) AS bpp FROM rb GROUP BY image")
-def _(spark, d):
-    return scanned(spark, d).groupBy("image").agg((F.sum(C.rle_bytes(F.col("z"))) * 8 / (64.0 * F.count("*"))).alias("bpp"))
-
-
 @query("a7_amplitude_bitrate", f"{ZSQL} SELECT image, avg((last + 1) * 8 / 64.0) AS bitrate FROM (SELECT image, brow, bcol, coalesce(max(CASE WHEN v <> 0 THEN pos END), -1) AS last FROM zl GROUP BY image, brow, bcol) GROUP BY image")
 def _(spark, d):
     return scanned(spark, d).groupBy("image").agg(F.avg((C.last_nonzero(F.col("z")) + 1) * 8 / 64.0).alias("bitrate"))
@@ -282,36 +397,51 @@ def _(spark, d):
     return scanned(spark, d).groupBy("image").agg((100 * F.sum(zeros) / (64 * F.count("*"))).alias("zeros"))
 
 
-def two_methods(spark, d):
-    b = blocks(spark, d)
-    one = long(b.withColumn("c", C.quantize(C.forward(F.col("b"), "rdct"), C.quant_table("rdct", 0.5))), "c")
-    two = long(b.withColumn("c", C.quantize(C.forward(F.col("b"), "silveira_j3"), C.quant_table("silveira_j3", 0.5))), "c").withColumnRenamed("v", "w")
-    return one.join(two, [*KEY, "pos"])
+def compared_sql(methods: list[str], ks: list[int]) -> str:
+    """cmp: levels and reconstructions of methods beside those of the matrix method, by block and k."""
+    parts, out = [LISTS], []
+    for m in ["matrix", *methods]:
+        tables = " ".join(f"WHEN {i} THEN {literal(C.quant_table(m, K_VALUES[i]))}" for i in ks)
+        parts.append(f", {list_transform_sql(m, False, 'bl', BLOCK_KEY + ', b', 'b', 'c', 'f_' + m)}, l_{m} AS (SELECT image, brow, bcol, k_idx, b, t, {quantized_sql('c', 't')} AS q FROM (SELECT *, CASE k_idx {tables} END AS t FROM f_{m}, (VALUES {', '.join(f'({i})' for i in ks)}) kk(k_idx))), d_{m} AS (SELECT *, {dequantized_sql('q', 't')} AS d FROM l_{m}), {list_transform_sql(m, True, 'd_' + m, 'image, brow, bcol, k_idx, b, q', 'd', 'd', 'r_' + m)}")
+    for m in methods:
+        error = lambda t: f"list_sum([({t}.d[p + 1] - {t}.b[p + 1])::BIGINT * ({t}.d[p + 1] - {t}.b[p + 1]) FOR p IN range(64)])"
+        out.append(f"SELECT a.image, '{m}' AS method, a.k_idx, 64 AS total, list_sum([CASE WHEN a.q[p + 1] <> z.q[p + 1] THEN 1 ELSE 0 END FOR p IN range(64)]) AS diffs, {error('a')} AS sse, {error('z')} AS sse_matrix FROM r_{m} a JOIN r_matrix z USING (image, brow, bcol, k_idx)")
+    return "".join(parts) + ", cmp AS (" + " UNION ALL ".join(out) + ")"
+
+
+def compared(spark, d, methods, ks):
+    return C.against_matrix(blocks(spark, d), KEY, [(i, K_VALUES[i]) for i in ks], methods)
+
+
+@query("j2_coefficient_differences", f"{compared_sql(['loeffler', 'rdct', 'silveira_j3', 'silveira_j7'], [1, 2])} SELECT image, method, k_idx, sum(total)::BIGINT AS total, sum(diffs)::BIGINT AS diffs FROM cmp GROUP BY image, method, k_idx")
+def _(spark, d):
+    return compared(spark, d, ["loeffler", "rdct", "silveira_j3", "silveira_j7"], [1, 2]).groupBy("image", "method", "k_idx").agg(F.sum("total").alias("total"), F.sum("diffs").alias("diffs"))
+
+
+EQUIVALENT = f"{compared_sql(['loeffler'], [0, 1, 2, 3])}, eq AS (SELECT image, k_idx, sum(total)::BIGINT AS total, sum(diffs)::BIGINT AS diffs, sum(sse)::BIGINT AS sse, sum(sse_matrix)::BIGINT AS sse_matrix FROM cmp GROUP BY image, k_idx), ev AS (SELECT image, k_idx, total, diffs, CASE WHEN sse = 0 THEN 100.0 ELSE 10 * log10(65025.0 / (sse::DOUBLE / total)) END AS psnr_loeffler, CASE WHEN sse_matrix = 0 THEN 100.0 ELSE 10 * log10(65025.0 / (sse_matrix::DOUBLE / total)) END AS psnr_matrix FROM eq)"
 
 
-_OTHER = forward_sql("silveira_j3").replace("bas(", "bas2(").replace("JOIN bas ", "JOIN bas2 ").replace("bas.", "bas2.").replace("p1", "p2").replace("coef AS", "coef2 AS") + ", " + table_sql("silveira_j3", 0.5).replace("qt(", "qt2(") + ", " + LEVELS.replace("levels AS", "levels2 AS").replace("coef", "coef2").replace("qt", "qt2")
+def equivalence(spark, d):
+    """Levels of the two cosine kernels: differences, their number and both PSNRs, by image and quality factor."""
+    g = compared(spark, d, ["loeffler"], [0, 1, 2, 3]).groupBy("image", "k_idx").agg(*[F.sum(c).alias(c) for c in ("total", "diffs", "sse", "sse_matrix")])
+    g = g.select("image", "k_idx", "total", "diffs", S.psnr(F.col("sse"), F.col("total")).alias("psnr_loeffler"), S.psnr(F.col("sse_matrix"), F.col("total")).alias("psnr_matrix"))
+    return g.withColumn("delta_psnr", F.abs(F.col("psnr_loeffler") - F.col("psnr_matrix")))
 
 
-@query("j2_coefficient_differences", f"{RDCT_LEVELS}{_OTHER} SELECT a.image, count(*) AS total, count(CASE WHEN a.v <> b.v THEN 1 END) AS diffs FROM levels a JOIN levels2 b ON a.image = b.image AND a.brow = b.brow AND a.bcol = b.bcol AND a.pos = b.pos GROUP BY a.image")
+@query("j4_equivalence", f"{EQUIVALENT} SELECT *, abs(psnr_loeffler - psnr_matrix) AS delta_psnr FROM ev")
 def _(spark, d):
-    return two_methods(spark, d).groupBy("image").agg(F.count("*").alias("total"), F.count_if(F.col("v") != F.col("w")).alias("diffs"))
+    return equivalence(spark, d)
 
 
-@query("a19_verdict", f"{RDCT_LEVELS}{_OTHER} SELECT count(CASE WHEN a.v <> b.v THEN 1 END) AS diffs, max(abs(a.v - b.v)) AS largest FROM levels a JOIN levels2 b ON a.image = b.image AND a.brow = b.brow AND a.bcol = b.bcol AND a.pos = b.pos")
+@query("a18_differing_coefficients", f"{compared_sql(['silveira_j3'], [2])} SELECT sum(total)::BIGINT AS total, sum(diffs)::BIGINT AS diffs, 100.0 * sum(diffs) / sum(total) AS percent FROM cmp")
 def _(spark, d):
-    return two_methods(spark, d).agg(F.count_if(F.col("v") != F.col("w")).alias("diffs"), F.max(F.abs(F.col("v") - F.col("w"))).cast("bigint").alias("largest"))
+    g = compared(spark, d, ["silveira_j3"], [2]).agg(F.sum("total").alias("total"), F.sum("diffs").alias("diffs"))
+    return g.withColumn("percent", 100.0 * F.col("diffs") / F.col("total"))
 
 
-@query("j4_equivalence", None)
+@query("a19_verdict", f"{EQUIVALENT} SELECT sum(diffs)::BIGINT AS diffs, sum(total)::BIGINT AS total, max(abs(psnr_loeffler - psnr_matrix)) AS largest_delta, sum(diffs) = 0 AS same FROM ev")
 def _(spark, d):
-    """Levels of the two cosine kernels: differences and their number, by image and quality factor."""
-    b = blocks(spark, d)
-    out = None
-    for i, k in enumerate(K_VALUES):
-        one, two = (long(C.compress(b, m, k), "q") for m in ("matrix", "loeffler"))
-        part = one.join(two.withColumnRenamed("v", "w"), [*KEY, "pos"]).groupBy("image").agg(F.count("*").alias("total"), F.count_if(F.col("v") != F.col("w")).alias("diffs")).withColumn("k_idx", F.lit(i))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return equivalence(spark, d).agg(F.sum("diffs").alias("diffs"), F.sum("total").alias("total"), F.max("delta_psnr").alias("largest_delta"), (F.sum("diffs") == 0).alias("same"))
 
 
 RECON = f"{RDCT_LEVELS}, deq AS (SELECT image, brow, bcol, levels.pos, v * q AS v FROM levels JOIN qt ON qt.pos = levels.pos){inverse_sql('rdct', 'deq')}, pair AS (SELECT a.image, a.brow * 8 + a.pos // 8 AS y, a.bcol * 8 + a.pos % 8 AS x, a.v + 128 AS a, greatest(0, least(255, b.v + 128)) AS b FROM blocks a JOIN back b ON a.image = b.image AND a.brow = b.brow AND a.bcol = b.bcol AND a.pos = b.pos)"
@@ -375,22 +505,58 @@ def _(spark, d):
     return p.groupBy("image").agg(F.floor(F.sum(v) / F.count("*")).alias("brightness"))
 
 
-@query("a14_saturation", "SELECT image, avg(CASE WHEN greatest(r, g, b) >= 250 THEN 100.0 ELSE 0.0 END) AS any_250, avg(CASE WHEN least(r, g, b) >= 250 THEN 100.0 ELSE 0.0 END) AS all_250, avg(CASE WHEN (r + g + b) / 3 >= 230 THEN 100.0 ELSE 0.0 END) AS gray_230, round(avg((r + g + b) / 3), 3) AS gray FROM pixels GROUP BY image", PIXELS_SQL)
+@query("a14_saturation", "SELECT image, avg(CASE WHEN greatest(r, g, b) >= 250 THEN 100.0 ELSE 0.0 END) AS any_250, avg(CASE WHEN least(r, g, b) >= 250 THEN 100.0 ELSE 0.0 END) AS all_250, avg(CASE WHEN r + g + b >= 690 THEN 100.0 ELSE 0.0 END) AS gray_230, sum(r + g + b) / (3.0::DOUBLE * count(*)) AS gray FROM pixels GROUP BY image", PIXELS_SQL)
 def _(spark, d):
-    return Q.saturation(pixels(spark, d), ["image"]).withColumn("gray", F.round("gray", 3))
+    return Q.saturation(pixels(spark, d), ["image"])
 
 
-@query("f28_image_metadata", "SELECT image, (row_number() OVER (ORDER BY image))::INTEGER AS place, px AS pixels, px / 1000000 AS megapixels, round(w / h, 4) AS aspect FROM (SELECT image, count(*) AS px, max(x) + 1 AS w, max(y) + 1 AS h FROM pixels GROUP BY image)", PIXELS_SQL)
+@query("f28_image_metadata", "SELECT image, (row_number() OVER (ORDER BY image))::INTEGER AS place, px AS pixels, px / 1000000 AS megapixels, round(w / h, 4) AS aspect FROM (SELECT image, count(*) AS px, max(x) + 1 AS w, max(y) + 1 AS h FROM frames GROUP BY image)", FRAMES_SQL)
 def _(spark, d):
-    g = pixels(spark, d).groupBy("image").agg(F.count("*").alias("pixels"), (F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    # one row for each image takes part in the global order
-    return g.select("image", F.row_number().over(Window.orderBy("image")).alias("place"), "pixels", (F.col("pixels") / 1_000_000).alias("megapixels"), F.round(F.col("w") / F.col("h"), 4).alias("aspect"))
+    g = frames(spark, d).groupBy("image").agg(F.count("*").alias("pixels"), (F.max("x") + 1).alias("wide"), (F.max("y") + 1).alias("high"))
+    return A.numbered(g, "image").select("image", F.col("place").cast("int").alias("place"), "pixels", (F.col("pixels") / 1_000_000).alias("megapixels"), F.round(F.col("wide") / F.col("high"), 4).alias("aspect"))
+
+
+def sweep_parts() -> str:
+    """sw: every block by every method and k, with levels q and reconstruction d."""
+    parts, out = [LISTS], []
+    for m in METHOD_NAMES:
+        tables = " ".join(f"WHEN {i} THEN {literal(C.quant_table(m, k))}" for i, k in enumerate(K_VALUES))
+        parts.append(f", {list_transform_sql(m, False, 'bl', BLOCK_KEY + ', b', 'b', 'c', 'f_' + m)}, l_{m} AS (SELECT image, brow, bcol, k_idx, b, t, {quantized_sql('c', 't')} AS q FROM (SELECT *, CASE k_idx {tables} END AS t FROM f_{m}, range(0, 4) kk(k_idx))), d_{m} AS (SELECT *, {dequantized_sql('q', 't')} AS d FROM l_{m}), {list_transform_sql(m, True, 'd_' + m, 'image, brow, bcol, k_idx, b, q', 'd', 'd', 'r_' + m)}")
+        out.append(f"SELECT image, brow, bcol, '{m}' AS method, k_idx::INTEGER AS k_idx, q, b, d FROM r_{m}")
+    return "".join(parts) + f", sw AS ({' UNION ALL '.join(out)})"
 
 
-@query("t33_t34_t35_sweep", None)
+def sweep_sql() -> str:
+    size = f"2 + 3 * list_sum([CASE WHEN p > 0 AND q[p + 1] <> 0 THEN 1 ELSE 0 END FOR p IN range(64)]) + CASE WHEN q[{zigzag()[63] + 1}] <> 0 THEN 0 ELSE 3 END"
+    return f"{sweep_parts()} SELECT image, method, k_idx, sum(bytes) / (8.0 * count(*)) AS bpp, CASE WHEN sum(sse) = 0 THEN 100.0 ELSE 10 * log10(65025.0 / (sum(sse)::DOUBLE / (64 * count(*)))) END AS psnr FROM (SELECT image, method, k_idx, {size} AS bytes, list_sum([(d[p + 1] - b[p + 1])::BIGINT * (d[p + 1] - b[p + 1]) FOR p IN range(64)])::BIGINT AS sse FROM sw) GROUP BY image, method, k_idx"
+
+
+@query("t35_sweep", sweep_sql())
 def _(spark, d):
     """Every block by every method and quality factor: bytes and squared error by image, method and k."""
     s = C.sweep(blocks(spark, d), list(enumerate(K_VALUES)))
     e = F.aggregate(F.zip_with("b", "d", lambda a, b: (a - b) * (a - b)), F.lit(0).cast("bigint"), lambda t, x: t + x)
     g = s.groupBy("image", "method", "k_idx").agg(F.sum(C.rle_bytes(C.scan(F.col("q")))).alias("bytes"), F.sum(e).alias("sse"), F.count("*").alias("blocks"))
     return g.select("image", "method", "k_idx", (F.col("bytes") / (8 * F.col("blocks"))).alias("bpp"), S.psnr(F.col("sse"), 64 * F.col("blocks")).alias("psnr"))
+
+
+CASE = ("rdct", 0.5, "444")
+SCANNED = f"{job_sql(*CASE)}, zl AS (SELECT {PLACE}, [q[z + 1] FOR z IN {literal(zigzag(), 'INTEGER')}] AS z FROM lv)"
+
+
+def scanned_planes(spark, d):
+    return R.compress(frames(spark, d), IMAGE, *CASE).select(*IMAGE, "plane", C.scan(F.col("q")).alias("z"))
+
+
+@query("a6_rle_bpp", f"{SCANNED} SELECT image, sum(2 + 3 * list_sum([CASE WHEN p > 0 AND z[p + 1] <> 0 THEN 1 ELSE 0 END FOR p IN range(64)]) + CASE WHEN z[64] <> 0 THEN 0 ELSE 3 END) * 8 / (w * h)::DOUBLE AS bpp FROM zl GROUP BY image, w, h", FRAMES_SQL)
+def _(spark, d):
+    """Run-length bytes of three planes over the pixels of the image."""
+    return scanned_planes(spark, d).groupBy(*IMAGE).agg(F.sum(C.rle_bytes(F.col("z"))).alias("n")).select("image", (F.col("n") * 8 / (F.col("w") * F.col("h")).cast("double")).alias("bpp"))
+
+
+@query("a24_mean_of_planes", f"{SCANNED}, rate AS (SELECT image, plane, avg((coalesce(list_max([CASE WHEN z[p + 1] <> 0 THEN p ELSE -1 END FOR p IN range(64)]), -1) + 1) * 8 / 64.0) AS bpp FROM zl GROUP BY image, plane) SELECT image, (max(CASE WHEN plane = 'y' THEN bpp END) + max(CASE WHEN plane = 'cb' THEN bpp END) + max(CASE WHEN plane = 'cr' THEN bpp END)) / 3 AS combined FROM rate GROUP BY image", FRAMES_SQL)
+def _(spark, d):
+    """Unweighted mean of the three planes' amplitude bitrates."""
+    rate = scanned_planes(spark, d).groupBy("image", "plane").agg(F.avg((C.last_nonzero(F.col("z")) + 1) * 8 / 64.0).alias("bpp"))
+    g = rate.groupBy("image").pivot("plane", list(R.PLANES)).agg(F.max("bpp"))
+    return g.select("image", ((F.col("y") + F.col("cb") + F.col("cr")) / 3).alias("combined"))

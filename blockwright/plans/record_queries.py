@@ -7,8 +7,11 @@ from pyspark.sql.window import Window
 
 from blockwright.functions import scalars as S
 from blockwright.operators import analytics as A
+from blockwright.operators import quality as Q
+from blockwright.operators import reports
 from blockwright.plans.dims import K_VALUES, METHOD_NAMES, grid, kfactors, methods
-from blockwright.sources.records import BLOCK_CALLS, HEADER_BYTES, HEIGHT, RAW_BYTES, RECORDS_SQL, WIDTH, records
+from blockwright.sources import sinks
+from blockwright.sources.records import BLOCK_CALLS, FULL_SQL, HEIGHT, RAW_BYTES, RECORDS_SQL, WIDTH, full_records, records
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -99,10 +102,10 @@ def lines(spark, d):
     return li.select(F.col("l_orderkey").alias("run_id"), (F.col("l_linenumber") % 5).alias("method_ord"), (F.col("l_partkey") % 4).cast("int").alias("k_idx"), F.col("l_extendedprice").alias("compress_us"), (F.col("l_extendedprice") * F.col("l_tax")).alias("tx_us"), "l_suppkey", (1000 + F.col("l_suppkey")).alias("stream_bytes"), F.lit("OK").alias("status"))
 
 
-@query("j1_reference_join", "SELECT l.run_id, l_suppkey, method_ord, k_idx, o_totalprice AS raw_bytes, CASE WHEN o_totalprice > 0 AND stream_bytes > 0 THEN o_totalprice / stream_bytes ELSE 0.0 END AS ratio, CASE WHEN o_totalprice IS NULL THEN 'REF_MISSING' ELSE status END AS status FROM li l LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 7 <> 0) o ON o_orderkey = l.run_id", LINES_SQL)
+@query("j1_reference_join", "SELECT l.run_id, l_suppkey, method_ord, k_idx, o_totalprice AS raw_bytes, raw_tx_us, CASE WHEN o_totalprice > 0 AND stream_bytes > 0 THEN o_totalprice / stream_bytes ELSE 0.0 END AS ratio, CASE WHEN o_totalprice IS NULL THEN 'REF_MISSING' ELSE status END AS status FROM li l LEFT JOIN (SELECT *, o_totalprice * 2 AS raw_tx_us FROM orders) o ON o_orderkey = l.run_id", LINES_SQL)
 def _(spark, d):
-    raw = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("run_id"), F.col("o_totalprice").alias("raw_bytes"))
-    return A.with_reference(lines(spark, d), raw).select("run_id", "l_suppkey", "method_ord", "k_idx", "raw_bytes", "ratio", "status")
+    raw = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("run_id"), F.col("o_totalprice").alias("raw_bytes"), (F.col("o_totalprice") * 2).alias("raw_tx_us"))
+    return A.with_reference(lines(spark, d), raw).select("run_id", "l_suppkey", "method_ord", "k_idx", "raw_bytes", "raw_tx_us", "ratio", "status")
 
 
 @query("j3_matrix_delta", "SELECT ord, psnr, matrix, abs(psnr - matrix) AS delta FROM (SELECT *, avg(CASE WHEN method = 'matrix' THEN psnr END) OVER (PARTITION BY run_id, k_idx) AS matrix FROM records)")
@@ -120,13 +123,6 @@ def _(spark, d):
     return means(spark, d).groupBy("k_idx").pivot("method", METHOD_NAMES).agg(*[F.max(x).alias(x) for x in ("psnr", "ssim", "bpp")])
 
 
-@query("j7_records_with_totals", "SELECT r.ord, t.total FROM records r LEFT JOIN (SELECT run_id, method, k_idx, min(compress_us + tx_us) AS total FROM records WHERE status = 'OK' GROUP BY ALL) t ON t.run_id = r.run_id AND t.method = r.method AND t.k_idx = r.k_idx")
-def _(spark, d):
-    r = records(spark, d)
-    t = r.where("status = 'OK'").groupBy("run_id", "method", "k_idx").agg(F.min(F.col("compress_us") + F.col("tx_us")).alias("total"))
-    return r.join(t, ["run_id", "method", "k_idx"], "left").select("ord", "total")
-
-
 @query("j8_full_grid", "SELECT g.method, g.k_idx, count(r.ord) AS n FROM grid g LEFT JOIN (SELECT * FROM records WHERE k_idx <> 2) r ON r.method = g.method AND r.k_idx = g.k_idx GROUP BY ALL")
 def _(spark, d):
     n = records(spark, d).where("k_idx <> 2").groupBy("method", "k_idx").agg(F.count("*").alias("n"))
@@ -151,12 +147,6 @@ def _(spark, d):
     return r.groupBy("run_id").pivot("cell", [f"k{k}" for k in range(4)]).agg(F.count(F.when(F.col("status") != "OK", 1))).na.fill(0)
 
 
-@query("k1_union_columns", "SELECT ord, psnr, NULL::DOUBLE AS ssim FROM records WHERE k_idx = 0 UNION ALL SELECT ord, NULL, ssim FROM records WHERE k_idx = 1")
-def _(spark, d):
-    r = records(spark, d)
-    return r.where("k_idx = 0").select("ord", "psnr").unionByName(r.where("k_idx = 1").select("ord", "ssim"), allowMissingColumns=True)
-
-
 @query("k2_fixed_decimals", "SELECT ord, format('{:.8f}', psnr) AS psnr, format('{:.6f}', compress_us / 1000) AS ms FROM records WHERE psnr IS NOT NULL")
 def _(spark, d):
     return records(spark, d).where("psnr IS NOT NULL").select("ord", F.format_string("%.8f", "psnr").alias("psnr"), F.format_string("%.6f", F.col("compress_us") / 1000).alias("ms"))
@@ -177,11 +167,6 @@ def _(spark, d):
     return A.wide(means(spark, d), "k_idx", "method", "psnr", METHOD_NAMES)
 
 
-@query("k6_rate_distortion", f", {MEANS_SQL} SELECT method, k_idx, bpp, psnr, ssim FROM means")
-def _(spark, d):
-    return means(spark, d).select("method", "k_idx", "bpp", "psnr", "ssim")
-
-
 @query("k7_bar_export", f", {MEANS_SQL} SELECT method, {', '.join(f'''max(CASE WHEN k_idx = {i} THEN compress_us END) AS k{str(k).replace('.', 'p')}''' for i, k in enumerate(K_VALUES))} FROM means GROUP BY method")
 def _(spark, d):
     columns = ["k" + str(k).replace(".", "p") for k in K_VALUES]
@@ -200,35 +185,52 @@ def _(spark, d):
     return records(spark, d).groupBy("method", "k_idx").agg(F.avg("stream_bytes").alias("bytes"), (RAW_BYTES / F.avg("stream_bytes")).alias("ratio"), F.avg("tx_us").alias("tx_us"))
 
 
-@query("k12_summary_rows", "SELECT ord, 'frame_' || lpad(run_id::VARCHAR, 4, '0') AS image, method, CASE WHEN psnr IS NULL THEN 'N/A' ELSE format('{:.6f}', psnr) END AS psnr, format('{:.6f}', bpp) AS bpp, stream_bytes + 24 AS frame_bytes, CASE WHEN k_idx = 0 THEN 0 ELSE compress_us END AS compress_us, CASE WHEN k_idx = 0 THEN tx_us ELSE 0 END AS tx_raw_us, translate(status || ',' || method, ',', ' ') AS detail FROM records")
-def _(spark, d):
-    jpeg = F.col("k_idx") != 0  # stands for the mode: the derived records have no raw ones
-    return records(spark, d).select("ord", F.concat(F.lit("frame_"), F.lpad(F.col("run_id").cast("string"), 4, "0")).alias("image"), "method", S.or_na(F.col("psnr"), 6).alias("psnr"), F.format_string("%.6f", "bpp").alias("bpp"), (F.col("stream_bytes") + HEADER_BYTES).alias("frame_bytes"), F.when(jpeg, F.col("compress_us")).otherwise(0).alias("compress_us"), F.when(~jpeg, F.col("tx_us")).otherwise(0).alias("tx_raw_us"), S.csv_field(F.concat_ws(",", "status", "method")).alias("detail"))
+ONLY = "CASE WHEN mode = '{0}' THEN {1} ELSE 0 END"
+SUMMARY_SQL = {
+    "image": "'frame_' || lpad(run_id::VARCHAR, 4, '0')", "method": "method_name", "k": "k_label", "psnr": "CASE WHEN psnr >= 0 THEN format('{:.6f}', psnr) ELSE 'N/A' END", "ssim": "CASE WHEN ssim >= 0 THEN format('{:.6f}', ssim) ELSE 'N/A' END", "bpp": "format('{:.6f}', bpp)",
+    **{c: ONLY.format("JPEG", c) for c in ("compress_us", "decompress_us", "dct_kernel_us", "idct_kernel_us", "dct_kernel_calls", "idct_kernel_calls", "tx_us")},
+    "frame_bytes": "CASE WHEN frame_bytes > 0 THEN frame_bytes ELSE stream_bytes + 24 END", "tx_raw_us": "CASE WHEN tx_raw_us > 0 THEN tx_raw_us WHEN mode = 'RAW' THEN tx_us ELSE 0 END", "raw_bytes": "CASE WHEN raw_bytes > 0 THEN raw_bytes WHEN mode = 'RAW' THEN stream_bytes ELSE 0 END",
+    "compression_ratio": "format('{:.6f}', 230400 / stream_bytes)", "sha256_input_first8": "coalesce(fingerprint, 'N/A')", "status": "status", "status_detalhado": "translate(coalesce(nullif(notes, ''), status), ',', ' ')",
+}
 
 
-@query("k13_global_summary", "SELECT ord, status FROM records WHERE status NOT IN ('CRC_FAIL', 'DECODE_FAIL')")
+@query("k12_summary_rows", "SELECT ord, " + ", ".join(f"{v} AS {k}" for k, v in SUMMARY_SQL.items()) + " FROM fr", FULL_SQL)
 def _(spark, d):
-    return A.keep_summary_rows(records(spark, d)).select("ord", "status")
+    return reports.summary_rows(full_records(spark, d), "ord")
+
+
+REPORT_SQL = {
+    "run_id": "run_id", "timestamp": "'boot+' || (capture_us * 1000 // 1000000) || '.' || lpad(((capture_us * 1000 % 1000000) // 1000)::VARCHAR, 3, '0') || ' s'", "mode_type": "mode", "method": "method_name", "record_type": "mode || '_FRAME'", "order_index": "slot", "seq_num": "seq_num", "width": "320", "height": "240", "colorspace": "0", "subsampling": "subsampling", "k": "k_label",
+    "stream_bytes": "stream_bytes", "bpp": "format('{:.4f}', bpp)", "compression_ratio_vs_raw": "format('{:.4f}', 230400 / stream_bytes)", "psnr_db": "CASE WHEN psnr >= 0 THEN format('{:.3f}', psnr) ELSE 'N/A' END", "ssim": "CASE WHEN ssim >= 0 THEN format('{:.4f}', ssim) ELSE 'N/A' END", "sha256_input_first8": "coalesce(fingerprint, 'N/A')",
+    "t_capture_us": "capture_us", "t_rgb565_to_rgb888_us": "convert_us", "t_raw_pack_us": ONLY.format("RAW", "prepare_us"), "t_compress_us": ONLY.format("JPEG", "compress_us"), "t_cam_decompress_us": ONLY.format("JPEG", "cam_decompress_us"), "t_frame_encode_us": ONLY.format("JPEG", "prepare_us"),
+    "t_spi_rx_us": "tx_us", "t_raw_unpack_us": "unpack_us", "t_frame_decode_us": "frame_decode_us", "t_decompress_us": "decompress_us", "t_dct_kernel_us": "dct_kernel_us", "t_idct_kernel_us": "idct_kernel_us", "dct_kernel_calls": "dct_kernel_calls", "idct_kernel_calls": "idct_kernel_calls", "t_metrics_us": "metrics_us",
+    "t_sd_save_us": "lpad(save_us::VARCHAR, 10, '0')", "t_tft_draw_us": "draw_us", "t_total_core_us": "core_us", "crc_ok": "(status <> 'CRC_FAIL')::INTEGER", "retry_count": "retry_count", "status": "status", "notes": "notes",
+}
+
 
+def report_sql() -> str:
+    # How wide a name stands in the report, where it isn't 22.
+    width = {"compression_ratio_vs_raw": 26, "t_spi_rx_us": 21}
+    return " || chr(10) || ".join("'---'" if n == "-" else f"'{(n + ':').ljust(width.get(n, 22))}' || ({REPORT_SQL[n]})" for n in reports.REPORT)
 
-@query("k14_record_report", "SELECT ord, '---' || chr(10) || 'run_id: ' || run_id || chr(10) || 'method: ' || method || chr(10) || 'k: ' || k || chr(10) || 'psnr_db: ' || CASE WHEN psnr IS NULL THEN 'N/A' ELSE format('{:.3f}', psnr) END || chr(10) || 'status: ' || status AS report FROM records")
+
+@query("k14_record_report", f"SELECT ord, {report_sql()} AS report FROM fr", FULL_SQL)
 def _(spark, d):
-    line = lambda name, c: F.concat(F.lit(f"{name}: "), c)
-    return records(spark, d).select("ord", F.concat_ws("\n", F.lit("---"), line("run_id", F.col("run_id").cast("string")), line("method", F.col("method")), line("k", F.col("k").cast("string")), line("psnr_db", S.or_na(F.col("psnr"), 3)), line("status", F.col("status"))).alias("report"))
+    return full_records(spark, d).select("ord", reports.record_report().alias("report"))
 
 
-@query("k15_run_report", "SELECT run_id, string_agg('- ' || method || ' k=' || k || ': bytes=' || stream_bytes || ' status=' || status, chr(10) ORDER BY ord) AS report FROM records GROUP BY run_id")
+@query("k15_run_report", "SELECT run_id, text, row_number() OVER (PARTITION BY run_id ORDER BY part, slot, ord)::INTEGER AS line FROM (SELECT run_id, 1 AS part, slot, ord, '- ' || method_name || ' k=' || k_label || ' (' || mode || '): bytes=' || stream_bytes || ' bpp=' || format('{:.4f}', bpp) || ' psnr=' || CASE WHEN psnr >= 0 THEN format('{:.3f}', psnr) ELSE 'N/A' END || ' core_us=' || core_us || ' dct_us=' || dct_kernel_us || ' idct_us=' || idct_kernel_us || ' status=' || status || ' crc_ok=' || (status <> 'CRC_FAIL')::INTEGER AS text FROM fr UNION ALL SELECT DISTINCT run_id, 0, i, 0, ['run_id: ' || run_id, 'reference_method: RAW', 'records_expected: 21', 'records:'][i + 1] FROM fr, range(4) r(i))", FULL_SQL)
 def _(spark, d):
-    text = F.concat(F.lit("- "), "method", F.lit(" k="), F.col("k").cast("string"), F.lit(": bytes="), F.col("stream_bytes").cast("string"), F.lit(" status="), "status")
-    rows = F.array_sort(F.collect_list(F.struct("ord", text.alias("t"))))
-    return records(spark, d).groupBy("run_id").agg(F.concat_ws("\n", F.transform(rows, lambda x: x["t"])).alias("report"))
+    t = reports.run_lines(full_records(spark, d))
+    return t.select("run_id", "text", F.row_number().over(Window.partitionBy("run_id").orderBy("line")).alias("line"))
 
 
-@query("k16_three_sections", "SELECT 'image' AS section, run_id::VARCHAR AS name, avg(psnr) AS psnr FROM records GROUP BY run_id UNION ALL SELECT 'method', method, avg(psnr) FROM records GROUP BY method UNION ALL SELECT 'k', k::VARCHAR, avg(psnr) FROM records GROUP BY k")
+@query("k16_three_sections", "SELECT 0 AS place, 'image' AS section, run_id::VARCHAR AS name, avg(psnr) AS psnr FROM records GROUP BY run_id UNION ALL SELECT 1, 'method', method, avg(psnr) FROM records GROUP BY method UNION ALL SELECT 2, 'snapshot', k::VARCHAR, avg(psnr) FROM records GROUP BY k")
 def _(spark, d):
+    """One table of three titled ones, in their order."""
     r = records(spark, d)
-    part = lambda s, c: r.groupBy(F.col(c).cast("string").alias("name")).agg(F.avg("psnr").alias("psnr")).select(F.lit(s).alias("section"), "name", "psnr")
-    return part("image", "run_id").unionByName(part("method", "method")).unionByName(part("k", "k"))
+    part = lambda i, s, c: r.groupBy(F.col(c).cast("string").alias("name")).agg(F.avg("psnr").alias("psnr")).select(F.lit(i).alias("place"), F.lit(s).alias("section"), "name", "psnr")
+    return part(0, "image", "run_id").unionByName(part(1, "method", "method")).unionByName(part(2, "snapshot", "k")).orderBy("place", "name")
 
 
 @query("k18_next_run_id", "SELECT max(run_id) + 1 AS next_run_id FROM records")
@@ -251,9 +253,10 @@ def _(spark, d):
     return records(spark, d).select("ord", S.ratio(F.lit(RAW_BYTES), F.when(F.col("ord") % 5 == 0, 0).otherwise(F.col("stream_bytes"))).alias("ratio"))
 
 
-@query("f8_method_ids", "SELECT ord, m.codec_id, m.wire_id, m.multiplications FROM records r JOIN methods m ON m.method = r.method")
+@query("f8_method_ids", "SELECT ord, CASE WHEN id = 0 THEN 'raw' ELSE m.method END AS name, coalesce(id BETWEEN 1 AND 5, false) AS is_jpeg, coalesce(m.method_ord, -1) AS method_index FROM (SELECT ord, ord % 8 AS id FROM records) r LEFT JOIN methods m ON m.wire_id = r.id")
 def _(spark, d):
-    return records(spark, d).join(F.broadcast(methods(spark)), "method").select("ord", "codec_id", "wire_id", "multiplications")
+    """Ids 0 (raw), 1 to 5, and some that are no method."""
+    return A.method_facts(records(spark, d).select("ord", (F.col("ord") % 8).alias("id")), "id").select("ord", "name", "is_jpeg", "method_index")
 
 
 @query("f9_slots", "SELECT ord, 1 + 5 * r.k_idx + method_ord AS slot, (5 * r.k_idx + method_ord) % 5 AS method_back, (5 * r.k_idx + method_ord) // 5 AS k_back FROM records r JOIN methods m ON m.method = r.method")
@@ -284,10 +287,9 @@ def _(spark, d):
     return records(spark, d).select("ord", F.substring(F.sha2(F.substring(F.concat("status", "method"), 1, 8), 256), 1, 16).alias("fingerprint"))
 
 
-@query("f16_core_time", "SELECT ord, CASE WHEN k_idx = 0 THEN prepare_us + tx_us + 5 ELSE compress_us + prepare_us + tx_us + frame_decode_us + decompress_us END AS core_us FROM records")
+@query("f16_core_time", "SELECT ord, CASE WHEN mode = 'RAW' THEN prepare_us + tx_us + unpack_us ELSE compress_us + prepare_us + tx_us + frame_decode_us + decompress_us END AS core_us FROM records")
 def _(spark, d):
-    c = F.col
-    return records(spark, d).select("ord", F.when(c("k_idx") == 0, c("prepare_us") + c("tx_us") + 5).otherwise(c("compress_us") + c("prepare_us") + c("tx_us") + c("frame_decode_us") + c("decompress_us")).alias("core_us"))
+    return records(spark, d).select("ord", reports.core_time().alias("core_us"))
 
 
 @query("f17_core_fallback", "SELECT ord, coalesce(CASE WHEN ord % 2 = 0 THEN tx_us / 1000 END, (compress_us + decompress_us + CASE WHEN ord % 7 <> 0 THEN tx_us END) / 1000) AS core_ms FROM records")
@@ -338,10 +340,10 @@ def _(spark, d):
     return records(spark, d).select("ord", (F.col("value") * 10).between(20, 215).alias("exposed"))
 
 
-@query("f27_codec_memory", "SELECT ord, greatest(104 + 256 * (w8 * w8 * 3) * (1 + ord % 2), 24 + w * w * 3)::BIGINT AS memory FROM (SELECT ord, 8 + ord % 120 AS w, (8 + ord % 120 + 7) // 8 AS w8 FROM records)")
+@query("f27_codec_memory", "SELECT ord, s, keep, greatest(104 + 256 * (CASE s WHEN '444' THEN l WHEN 'gray' THEN l WHEN '422' THEN 2 * c ELSE 4 * c END + CASE s WHEN 'gray' THEN 0 WHEN '444' THEN 2 * l ELSE 2 * c END) * (1 + keep), 24 + w * h * CASE s WHEN 'gray' THEN 1 ELSE 3 END)::BIGINT AS memory FROM (SELECT *, ((w + 7) // 8) * ((h + 7) // 8) AS l, CASE s WHEN '422' THEN ((w + 15) // 16) * ((h + 7) // 8) ELSE ((w + 15) // 16) * ((h + 15) // 16) END AS c FROM (SELECT ord, 8 + ord % 120 AS w, 5 + ord % 77 AS h, s, keep FROM records, (VALUES ('444'), ('422'), ('420'), ('gray')) a(s), (VALUES (0), (1)) b(keep)))")
 def _(spark, d):
-    r = records(spark, d).withColumn("w", 8 + F.col("ord") % 120).withColumn("w8", F.floor((F.col("w") + 7) / 8))
-    return r.select("ord", F.greatest(104 + 256 * (F.col("w8") * F.col("w8") * 3) * (1 + F.col("ord") % 2), 24 + F.col("w") * F.col("w") * 3).cast("bigint").alias("memory"))
+    r = records(spark, d).select("ord", (8 + F.col("ord") % 120).alias("w"), (5 + F.col("ord") % 77).alias("h"), F.explode(F.array(*map(F.lit, ("444", "422", "420", "gray")))).alias("s")).withColumn("keep", F.explode(F.array(F.lit(0), F.lit(1))))
+    return r.select("ord", "s", "keep", Q.codec_memory(F.col("w"), F.col("h"), F.col("s"), F.col("keep") == 1).alias("memory"))
 
 
 @query("f29_uptime", "SELECT ord, 'boot+' || (tx_us * 1000 // 1000000) || '.' || lpad(((tx_us * 1000 % 1000000) // 1000)::VARCHAR, 3, '0') || ' s' AS stamp FROM records")
@@ -354,18 +356,25 @@ def _(spark, d):
     return records(spark, d).groupBy("method").count().join(F.broadcast(methods(spark)), "method").select("method", "multiplications", (F.col("count") * F.col("multiplications")).alias("total"))
 
 
-@query("f31_valid_timings", "SELECT ord, CASE WHEN k_idx = 0 THEN prepare_us ELSE 0 END AS raw_pack_us, CASE WHEN k_idx <> 0 THEN compress_us ELSE 0 END AS jpeg_us FROM records")
+@query("f31_valid_timings", "SELECT ord, " + ", ".join(f"{ONLY.format(m, c)} AS {n}" for n, m, c in (("t_raw_pack_us", "RAW", "prepare_us"), ("t_compress_us", "JPEG", "compress_us"), ("t_cam_decompress_us", "JPEG", "cam_decompress_us"), ("t_frame_encode_us", "JPEG", "prepare_us"))) + " FROM records")
 def _(spark, d):
-    raw = F.col("k_idx") == 0
-    return records(spark, d).select("ord", F.when(raw, F.col("prepare_us")).otherwise(0).alias("raw_pack_us"), F.when(~raw, F.col("compress_us")).otherwise(0).alias("jpeg_us"))
+    return records(spark, d).select("ord", *[c.alias(n) for n, c in reports.valid_timings().items()])
 
 
-RULES = [("slot", "ord % 17 = 0"), ("mode", "ord % 13 = 0"), ("subsampling", "ord % 11 = 0"), ("size", "ord % 7 = 0"), ("order", "ord % 25 >= 21")]
+HEADS = {
+    "method_id": "l_linenumber - 1", "record_type": "CASE WHEN l_partkey % 19 = 0 THEN 3 WHEN l_linenumber = 1 OR l_partkey % 41 = 0 THEN 1 ELSE 2 END", "mode_type": "CASE WHEN (l_linenumber = 1) <> (l_suppkey % 9 = 0) THEN 1 ELSE 2 END", "k_idx": "CASE WHEN l_partkey % 10 = 0 THEN 4 ELSE l_partkey % 4 END",
+    "colorspace": "CASE WHEN l_suppkey % 7 = 0 THEN 1 ELSE 0 END", "subsampling": "CASE WHEN l_linenumber = 1 THEN 255 WHEN l_partkey % 11 = 0 THEN 2 ELSE 0 END", "width": "CASE WHEN l_quantity >= 49 THEN 160 ELSE 320 END", "height": "CASE WHEN l_quantity <= 1 THEN 120 ELSE 240 END", "order_index": "CAST(floor(l_quantity / 2) AS INT)", "expected": "CASE WHEN l_suppkey % 13 = 0 THEN 0 ELSE 21 END",
+}
+REJECTS = """CASE WHEN NOT (method_id = 0 OR (k_idx < 4 AND method_id BETWEEN 1 AND 5)) THEN 'method or k' WHEN record_type = 1 AND mode_type <> 1 THEN 'mode of a raw record' WHEN record_type = 1 AND (method_id <> 0 OR subsampling <> 255) THEN 'method or subsampling of a raw record' WHEN record_type = 2 AND (mode_type <> 2 OR method_id NOT BETWEEN 1 AND 5) THEN 'method or mode'
+  WHEN record_type = 2 AND k_idx >= 4 THEN 'k' WHEN record_type = 2 AND (colorspace <> 0 OR subsampling <> 0) THEN 'not RGB 4:4:4' WHEN record_type NOT IN (1, 2) THEN 'record type' WHEN colorspace <> 0 THEN 'colour space' WHEN expected = 0 OR expected > 21 THEN 'records expected' WHEN width <> 320 OR height <> 240 THEN 'size' WHEN order_index >= expected THEN 'order' WHEN again THEN 'duplicate' END"""
 
 
-@query("f32_reject_reason", "SELECT ord, CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in RULES) + " END AS reason FROM records")
+@query("f32_reject_reason", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {REJECTS} AS reason FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, method_id, CASE WHEN method_id = 0 THEN 0 ELSE k_idx END ORDER BY l_linenumber, l_partkey, l_suppkey) > 1 AS again FROM (SELECT *, {', '.join(f'{v.replace('CAST(floor(l_quantity / 2) AS INT)', 'floor(l_quantity / 2)::INTEGER')} AS {k}' for k, v in HEADS.items())} FROM lineitem))", None)
 def _(spark, d):
-    return records(spark, d).select("ord", F.coalesce(*[F.when(F.expr(c), F.lit(n)) for n, c in RULES]).alias("reason"))
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select("*", *[F.expr(v).alias(k) for k, v in HEADS.items()])
+    slot = Window.partitionBy("l_orderkey", "method_id", F.when(F.col("method_id") == 0, 0).otherwise(F.col("k_idx"))).orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    li = li.withColumn("again", F.row_number().over(slot) > 1)
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", A.reject_reason().alias("reason"))
 
 
 @query("f33_payload_rules", "SELECT ord, CASE WHEN k_idx = 0 AND stream_bytes * 20 <> 230400 THEN 'RAW_SIZE_FAIL' WHEN k_idx <> 0 AND (stream_bytes * 20 <= 0 OR stream_bytes * 20 > 687600) THEN 'JPEG_SIZE_FAIL' ELSE 'OK' END AS status FROM records")
@@ -390,14 +399,23 @@ def _(spark, d):
     return records(spark, d).select("method").distinct().select("method", F.when(F.col("method") == "rdct", 999).otherwise(A.method_place("method")).alias("place"))
 
 
+@query("w6_by_k_and_method", "SELECT r.ord, k_idx, method_ord, dense_rank() OVER (ORDER BY k_idx, method_ord) AS place FROM records r JOIN methods m ON m.method = r.method")
+def _(spark, d):
+    """Records sorted by k, then method; place is that of the pair among all pairs that occur."""
+    r = records(spark, d).select("ord", "k_idx", A.method_place("method").alias("method_ord"))
+    pairs = r.select("k_idx", "method_ord").distinct().withColumn("place", F.row_number().over(Window.orderBy("k_idx", "method_ord")))  # at most 20 rows
+    return r.join(F.broadcast(pairs), ["k_idx", "method_ord"]).orderBy("k_idx", "method_ord", "ord").select("ord", "k_idx", "method_ord", "place")
+
+
 @query("w7_last_wins", "SELECT run_id, method, k_idx, max(ord) AS ord, arg_max(bpp, ord) AS bpp FROM records GROUP BY ALL")
 def _(spark, d):
     return A.last_per_key(records(spark, d).select("run_id", "method", "k_idx", "ord", "bpp"), ["run_id", "method", "k_idx"], "ord")
 
 
-@query("w8_shown_and_more", "SELECT run_id, least(count(*), 20) AS shown, greatest(count(*) - 20, 0) AS more FROM records GROUP BY run_id")
+@query("w8_shown_and_more", "SELECT run_id, ord, CASE WHEN n = 21 THEN '+' || (total - 20) || ' more' ELSE method || ' ' || status END AS text FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ord) AS n, count(*) OVER (PARTITION BY run_id) AS total FROM records) WHERE n <= 21")
 def _(spark, d):
-    return records(spark, d).groupBy("run_id").agg(F.least(F.count("*"), F.lit(20)).alias("shown"), F.greatest(F.count("*") - 20, F.lit(0)).alias("more"))
+    """Twenty lines of each run, and how many there are beyond."""
+    return A.shown(records(spark, d), "run_id", "ord", F.concat_ws(" ", "method", "status"), 20)
 
 
 @query("w9_rotated_cases", "SELECT run_id, r.k_idx, r.method, ((method_ord + run_id) % 5)::INTEGER AS method_turn, ((r.k_idx + run_id) % 4)::INTEGER AS k_turn FROM (SELECT DISTINCT run_id, method, k_idx FROM records) r JOIN methods m ON m.method = r.method")
@@ -406,16 +424,22 @@ def _(spark, d):
     return c.select("run_id", "k_idx", "method", F.pmod(A.method_place("method") + F.col("run_id"), F.lit(5)).cast("int").alias("method_turn"), F.pmod(F.col("k_idx") + F.col("run_id"), F.lit(4)).cast("int").alias("k_turn"))
 
 
-@query("u1_desktop_table", "SELECT 'python' AS side, method, avg(psnr) AS psnr FROM records WHERE ord % 2 = 0 GROUP BY method UNION ALL SELECT 'c', method, avg(psnr) FROM records WHERE ord % 2 = 1 GROUP BY method")
+@query("u1_desktop_table", ", li AS (SELECT ['loeffler', 'matrix', 'rdct', 'silveira_j3', 'silveira_j7'][l_linenumber % 5 + 1] AS method, l_extendedprice AS us FROM lineitem) SELECT 0 AS place, 'python' AS side, method, avg(compress_us::DOUBLE) AS us FROM records GROUP BY method UNION ALL SELECT 1, 'c', method, avg(us) FROM li GROUP BY method")
 def _(spark, d):
-    side = lambda n, i: A.group_means(records(spark, d).where(F.col("ord") % 2 == i), ["psnr"], ("method",)).select(F.lit(n).alias("side"), "method", "psnr")
-    return side("python", 0).unionByName(side("c", 1))
+    """The rows of one study, then those of the other: events and line items."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select(F.element_at(F.array(*map(F.lit, METHOD_NAMES)), (F.col("l_linenumber") % 5 + 1).cast("int")).alias("method"), F.col("l_extendedprice").alias("us"))
+    side = lambda i, n, r: A.group_means(r, ["us"], ("method",)).select(F.lit(i).alias("place"), F.lit(n).alias("side"), "method", "us")
+    return side(0, "python", records(spark, d).select("method", F.col("compress_us").cast("double").alias("us"))).unionByName(side(1, "c", li)).orderBy("place", "method")
 
 
-@query("u2_snapshot_equal", "SELECT (SELECT count(*) FROM (SELECT method, k_idx FROM records WHERE ord % 3 > 0 EXCEPT ALL SELECT method, k_idx FROM records WHERE ord % 3 < 2)) AS only_left, (SELECT count(*) FROM (SELECT method, k_idx FROM records WHERE ord % 3 < 2 EXCEPT ALL SELECT method, k_idx FROM records WHERE ord % 3 > 0)) AS only_right")
+@query("u2_snapshot_equal", f", s AS (SELECT k_idx, method, round(avg(psnr), 1) AS expected, round(avg(CASE WHEN status = 'OK' THEN psnr END), 1) AS actual FROM records GROUP BY k_idx, method) SELECT k_idx, count(*) AS cells, count(CASE WHEN expected IS DISTINCT FROM actual THEN 1 END) AS different, count(CASE WHEN expected IS DISTINCT FROM actual THEN 1 END) = 0 AS same FROM s GROUP BY k_idx")
 def _(spark, d):
-    r = records(spark, d)
-    return A.exports_equal(r.where("ord % 3 > 0").select("method", "k_idx"), r.where("ord % 3 < 2").select("method", "k_idx"))
+    """A snapshot of the good records against the stored one of all, row by row; the stored one is written and read again."""
+    snap = lambda r: r.groupBy("k_idx").pivot("method", METHOD_NAMES).agg(F.round(F.avg("psnr"), 1))
+    path = sinks.scratch(spark)
+    snap(records(spark, d)).write.option("header", True).csv(path)
+    stored = spark.read.option("header", True).schema("k_idx int, " + ", ".join(f"{m} double" for m in METHOD_NAMES)).csv(path)
+    return A.snapshot_differences(snap(records(spark, d).where("status = 'OK'")), stored, "k_idx", METHOD_NAMES)
 
 
 @query("u3_distinct_runs", "SELECT DISTINCT run_id FROM records")
@@ -428,40 +452,18 @@ def _(spark, d):
     return A.first_per_key(records(spark, d).select("run_id", "method", "k_idx", "ord", "status"), ["run_id", "method", "k_idx"], "ord")
 
 
-@query("u5_consistent_runs", "SELECT run_id, count(DISTINCT (k_idx, status)) = 1 AS consistent FROM records WHERE ord % 50 = run_id % 50 GROUP BY run_id")
-def _(spark, d):
-    return A.consistent(records(spark, d).where("ord % 50 = run_id % 50"), ["k_idx", "status"])
-
-
-@query("u6_kernel_calls", "SELECT ord, 3 * ((16 + ord % 64 + 7) // 8) * ((16 + ord % 48 + 7) // 8) AS calls FROM records")
-def _(spark, d):
-    up = lambda m: F.floor((16 + F.col("ord") % m + 7) / 8)
-    return records(spark, d).select("ord", (3 * up(64) * up(48)).alias("calls"))
-
-
-@query("s6_first_source", "SELECT method, k_idx, arg_min(src, rk) AS source FROM (SELECT method, k_idx, 'a' AS src, 0 AS rk FROM records WHERE k_idx = 1 UNION ALL SELECT method, k_idx, 'b', 1 FROM records WHERE k_idx < 3) GROUP BY ALL")
-def _(spark, d):
-    r = records(spark, d)
-    ranked = r.where("k_idx = 1").select("method", "k_idx", F.lit("a").alias("src"), F.lit(0).alias("rk")).unionByName(r.where("k_idx < 3").select("method", "k_idx", F.lit("b").alias("src"), F.lit(1).alias("rk")))
-    return ranked.groupBy("method", "k_idx").agg(F.min_by("src", "rk").alias("source"))
-
-
-@query("s10_first_file_wins", "SELECT run_id, method, k_idx, arg_min(value, ord) AS value FROM records GROUP BY ALL")
-def _(spark, d):
-    return records(spark, d).groupBy("run_id", "method", "k_idx").agg(F.min_by("value", "ord").alias("value"))
-
-
-@query("s14_preferred_capture", "SELECT run_id, arg_min(ord, (CASE status WHEN 'OK' THEN 0 ELSE 1 END) * 1000000 + ord) AS ord FROM records GROUP BY run_id")
+@query("u5_consistent_runs", "SELECT run_id, count(DISTINCT (capture_us, convert_us)) = 1 AS consistent FROM records GROUP BY run_id")
 def _(spark, d):
-    rank = F.struct(F.when(F.col("status") == "OK", 0).otherwise(1), "ord")
-    return records(spark, d).groupBy("run_id").agg(F.min_by("ord", rank).alias("ord"))
+    return A.consistent(records(spark, d), ["capture_us", "convert_us"])
 
 
-@query("s15_missing_captures", "SELECT run_id, k_idx FROM (SELECT DISTINCT run_id FROM records), kfactors WHERE (run_id, k_idx) NOT IN (SELECT (run_id, k_idx) FROM records WHERE status = 'OK' AND method = 'matrix')")
+@query("u6_kernel_calls", "SELECT ord, dct_kernel_calls AS calls, expected, dct_kernel_calls = expected AS as_expected FROM (SELECT *, CASE device % 4 WHEN 3 THEN 1200 WHEN 0 THEN 3600 WHEN 1 THEN 2400 ELSE 1800 END::BIGINT AS expected FROM records)")
 def _(spark, d):
-    r = records(spark, d)
-    wanted = r.select("run_id").distinct().crossJoin(F.broadcast(kfactors(spark).select("k_idx")))
-    return wanted.join(r.where("status = 'OK' AND method = 'matrix'").select("run_id", "k_idx"), ["run_id", "k_idx"], "left_anti")
+    """Kernel calls of frames of 320 by 240 against luma blocks and twice the chroma blocks: 3600 in 4:4:4."""
+    s = F.element_at(F.array(*map(F.lit, ("444", "422", "420", "gray"))), (F.col("device") % 4 + 1).cast("int"))
+    luma, chroma = Q.geometry(F.lit(WIDTH), F.lit(HEIGHT), s, s == "gray")
+    expected = (luma + 2 * chroma).cast("bigint")
+    return records(spark, d).select("ord", F.col("dct_kernel_calls").alias("calls"), expected.alias("expected"), (F.col("dct_kernel_calls") == expected).alias("as_expected"))
 
 
 @query("r8_complete_runs", "SELECT run_id, count(DISTINCT (method, k_idx)) AS slots, count(DISTINCT (method, k_idx)) = 20 AS complete FROM records WHERE status = 'OK' GROUP BY run_id")
@@ -475,41 +477,10 @@ def _(spark, d):
     return grid(spark).join(records(spark, d).select("method").distinct(), "method", "left_semi").select("method", "k_idx", "k_label", none.alias("psnr"), none.alias("ssim"))
 
 
-@query("k11_records_by_run", "SELECT r.run_id, r.k_idx, m.method_ord, r.ord FROM records r JOIN methods m ON m.method = r.method")
-def _(spark, d):
-    r = records(spark, d).withColumn("method_ord", A.method_place("method"))
-    return r.repartition("run_id").sortWithinPartitions("run_id", "k_idx", "method_ord").select("run_id", "k_idx", "method_ord", "ord")
-
-
-@query("k20_capture_catalogue", "SELECT run_id, (row_number() OVER (ORDER BY run_id))::INTEGER AS place, 'run' || run_id || '_raw.bmp' AS filename, 320 * 240 AS pixels FROM (SELECT DISTINCT run_id FROM records)")
-def _(spark, d):
-    runs = records(spark, d).select("run_id").distinct()  # one row for each run takes part in the global order
-    return runs.select("run_id", F.row_number().over(Window.orderBy("run_id")).alias("place"), F.concat(F.lit("run"), "run_id", F.lit("_raw.bmp")).alias("filename"), F.lit(WIDTH * HEIGHT).alias("pixels"))
-
-
-@query("s5_summary_last_wins", "SELECT method, round(k, 6) AS k, arg_max(nullif(status, 'OK'), ord) AS status, max(ord) AS ord FROM (SELECT * FROM records WHERE status <> 'OK') GROUP BY method, round(k, 6)")
-def _(spark, d):
-    r = records(spark, d).where("status <> 'OK'").select("method", F.round("k", 6).alias("k"), F.nullif("status", F.lit("OK")).alias("status"), "ord")
-    return A.last_per_key(r, ["method", "k"], "ord")
-
-
-@query("s8_selected_scenes", "SELECT ord, run_id FROM records WHERE status = 'OK' AND method IN ('rdct', 'silveira_j3', 'silveira_j7') AND k_idx IN (0, 2)")
+@query("k20_capture_catalogue", "SELECT run_id, (row_number() OVER (ORDER BY run_id))::INTEGER AS place, 'run' || run_id || '_raw.bmp' AS filename, 320 AS width, 240 AS height, 320 * 240 AS pixels FROM (SELECT DISTINCT run_id FROM records)")
 def _(spark, d):
-    wanted = grid(spark).where("k_idx IN (0, 2) AND method IN ('rdct', 'silveira_j3', 'silveira_j7')")
-    return A.in_grid(records(spark, d).where("status = 'OK'"), wanted).select("ord", "run_id")
-
-
-@query("s13_two_layouts", "SELECT method, k_idx, avg(ms) AS ms FROM (SELECT method, k_idx, compress_us / 1000 AS ms FROM records WHERE ord % 2 = 0 UNION ALL SELECT method, k_idx, avg(compress_us / 1000) FROM records WHERE ord % 2 = 1 GROUP BY method, k_idx) GROUP BY method, k_idx")
-def _(spark, d):
-    r = records(spark, d).withColumn("ms", F.col("compress_us") / 1000)
-    averaged = A.group_means(r.where("ord % 2 = 1"), ["ms"])
-    return A.group_means(r.where("ord % 2 = 0").select("method", "k_idx", "ms").unionByName(averaged), ["ms"])
-
-
-@query("a24_mean_of_planes", "SELECT ord, (bpp + bpp / 2 + bpp / 4) / 3 AS combined FROM records")
-def _(spark, d):
-    b = F.col("bpp")
-    return records(spark, d).select("ord", ((b + b / 2 + b / 4) / 3).alias("combined"))
+    runs = A.numbered(records(spark, d).select("run_id").distinct(), "run_id")
+    return runs.select("run_id", F.col("place").cast("int").alias("place"), F.concat(F.lit("run"), "run_id", F.lit("_raw.bmp")).alias("filename"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.lit(WIDTH * HEIGHT).alias("pixels"))
 
 
 @query("r2_record_status", "SELECT ord, CASE WHEN status = 'CRC_FAIL' THEN 'CRC_FAIL' WHEN k_idx = 0 AND stream_bytes <> 230400 THEN 'RAW_SIZE_FAIL' WHEN k_idx <> 0 AND (stream_bytes <= 0 OR stream_bytes > 687600) THEN 'JPEG_SIZE_FAIL' WHEN ord % 25 > 20 THEN 'MODE_FAIL' ELSE 'OK' END AS status FROM records")
@@ -519,17 +490,3 @@ def _(spark, d):
     slot = F.when(F.col("k_idx") == 0, 0).when(F.col("ord") % 25 > 20, 99).otherwise(1)
     r = records(spark, d).select("ord", (F.col("status") != "CRC_FAIL").alias("crc_ok"), F.col("stream_bytes").alias("payload_bytes"), slot.alias("slot"))
     return checked(r).select("ord", "status")
-
-
-@query("r6_stale_runs", "SELECT ord FROM records r WHERE run_id >= (SELECT avg(run_id) FROM records)")
-def _(spark, d):
-    r = records(spark, d)
-    return r.crossJoin(F.broadcast(r.agg(F.avg("run_id").alias("now")))).where("run_id >= now").select("ord")  # broadcast: one row
-
-
-@query("f14_crc16", None, None)
-def _(spark, d):
-    from blockwright.sources.files import crc16
-
-    head = F.rpad(F.concat("status", "method"), 12, "-").cast("binary")
-    return records(spark, d).select("ord", crc16(head, 12).alias("crc16"), F.crc32(head).alias("crc32"))

@@ -34,6 +34,13 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("image", (F.col("brow") * 8 + F.floor(F.col("pos") / 8)).cast("int").alias("y"), (F.col("bcol") * 8 + F.col("pos") % 8).alias("x"), "r", other(63 - F.col("pos")).alias("g"), other((F.col("pos") + 21) % 64).alias("b"))
 
 
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image, w, h, y, x, r, g, b: images of 11 to 32 pixels a side, most of which end inside a block."""
+    w, h = (32 - F.col("image") % 7 * 3).cast("int"), (32 - F.col("image") % 5 * 5).cast("int")
+    return pixels(spark, sf_dir).select("image", w.alias("w"), h.alias("h"), "y", "x", "r", "g", "b").where("x < w AND y < h")
+
+
 SAMPLES_SQL = "samples AS (SELECT vec_id // 16 AS image, ((vec_id % 16) // 4)::INTEGER AS brow, (vec_id % 4)::INTEGER AS bcol, (i - 1)::INTEGER AS pos, greatest(0, least(255, floor(embedding[i]::DOUBLE * 255 + 128.5)))::INTEGER AS v FROM embeddings, range(1, 65) t(i) WHERE len(embedding) = 64)"
 BLOCKS_SQL = SAMPLES_SQL + ", blocks AS (SELECT image, brow, bcol, pos, v - 128 AS v FROM samples)"
-PIXELS_SQL = SAMPLES_SQL + ", pixels AS (SELECT a.image, a.brow * 8 + a.pos // 8 AS y, a.bcol * 8 + a.pos % 8 AS x, a.v AS r, g.v AS g, b.v AS b FROM samples a JOIN samples g ON g.image = a.image AND g.brow = a.brow AND g.bcol = a.bcol AND g.pos = 63 - a.pos JOIN samples b ON b.image = a.image AND b.brow = a.brow AND b.bcol = a.bcol AND b.pos = (a.pos + 21) % 64)"
+PIXELS_SQL = "pixels AS (SELECT image, (brow * 8 + i // 8)::INTEGER AS y, (bcol * 8 + i % 8)::INTEGER AS x, s[i + 1] AS r, s[64 - i] AS g, s[(i + 21) % 64 + 1] AS b FROM (SELECT vec_id // 16 AS image, (vec_id % 16) // 4 AS brow, vec_id % 4 AS bcol, [greatest(0, least(255, floor(e::DOUBLE * 255 + 128.5)))::INTEGER FOR e IN embedding] AS s, unnest(range(64)) AS i FROM embeddings WHERE len(embedding) = 64))"
+FRAMES_SQL = PIXELS_SQL + ", frames AS (SELECT * FROM (SELECT *, (32 - image % 7 * 3)::INTEGER AS w, (32 - image % 5 * 5)::INTEGER AS h FROM pixels) WHERE x < w AND y < h)"

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +20,13 @@ TELEMETRY_MAGIC, TELEMETRY_VERSION, TELEMETRY_SIZE = 0x544D, 1, 36
 
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
     """path, name, length of the image files of a folder, by name."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    return image_names(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length"))
+
+
+def image_names(files: DataFrame) -> DataFrame:
+    """path, name, length of the files (path, length) that are images by their ending, by name."""
     name = F.element_at(F.split("path", "/"), -1)
-    return files.where(F.lower("path").rlike(r"\.(bmp|png|jpe?g)$")).select("path", name.alias("name"), "length").orderBy("name")
+    return files.where(F.lower("path").rlike(r"\.(bmp|png|jpe?g)$")).select("path", name.alias("name"), "length").orderBy("name", "path")
 
 
 def bmp(raw: bytes) -> tuple[int, int, bytes]:
@@ -60,6 +65,11 @@ def ppm(raw: bytes) -> tuple[int, int, bytes]:
 
 def read_images(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """Frames of BMP or PPM files; error is set and data null where a file can't be read."""
+    return decode_images(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content"))
+
+
+def decode_images(files: DataFrame) -> DataFrame:
+    """Frames of files (path, content), batch by batch."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -72,29 +82,126 @@ def read_images(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
                     out.append((path, None, None, None, None, str(e)))
             yield pd.DataFrame(out, columns=["path", "width", "height", "channels", "data", "error"])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content").mapInPandas(decode, FRAME)
+    return files.mapInPandas(decode, FRAME)
+
+
+# Text files are tables of lines (file, line, value) first, so that lines from anywhere are read by the same rules.
+
+
+def text_lines(spark: SparkSession, pattern: str) -> DataFrame:
+    """file, line (orders the lines of a file), value."""
+    line = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return spark.read.text(pattern).select(F.col("_metadata.file_path").alias("file"), line.alias("line"), "value")
+
+
+def csv_cells(lines: DataFrame) -> DataFrame:
+    """file, line, names, m: the rows below each file's header as maps from column names to cells; rows may be short."""
+    head = lines.groupBy("file").agg(F.min_by("value", "line").alias("header"), F.min("line").alias("top"))
+    names, cells = F.split("header", ","), F.split("value", ",")
+    m = F.map_from_arrays("names", F.transform("names", lambda n, i: F.get("cells", i)))
+    return lines.join(head, "file").where("line > top").select("file", "line", names.alias("names"), cells.alias("cells")).select("file", "line", "names", m.alias("m"))
+
+
+def cell(*names: str) -> Column:
+    """The first of several names that a file has; empty cells and N/A are null."""
+    t = F.trim(F.coalesce(*[F.col("m")[n] for n in names]))
+    return F.when((t != "") & (t != "N/A"), t)
+
+
+def folder_of(file: str = "file") -> Column:
+    return F.regexp_extract(file, r"([^/]+)/[^/]+$", 1)
+
+
+ALIASES = {"compress_ms": ("compress_ms", "comp_ms"), "decompress_ms": ("decompress_ms", "decomp_ms")}
+
+
+def read_summary(lines: DataFrame, metrics: list[str]) -> DataFrame:
+    """method, k (6 places) and metrics of summary files; of rows with one key the last counts."""
+    rows = csv_cells(lines).select("file", "line", cell("method").alias("method"), F.round(cell("k").try_cast("double"), 6).alias("k"), *[cell(*ALIASES.get(c, (c,))).try_cast("double").alias(c) for c in metrics])
+    last = rows.groupBy("method", "k").agg(F.max_by(F.struct(*metrics), F.struct("file", "line")).alias("x"))
+    return last.select("method", "k", "x.*")
 
 
-def read_records(spark: SparkSession, pattern: str) -> DataFrame:
+def read_records(lines: DataFrame) -> DataFrame:
     """Record files of all runs; the run is the folder's name. Empty cells and N/A are null."""
-    df = spark.read.csv(pattern, header=True, schema=RECORD_CSV)
-    number = lambda c: F.when(~F.trim(c).isin("", "N/A"), F.col(c)).try_cast("double").alias(c)
-    run = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("run")
-    return df.select(run, *[number(c) if c in ("psnr", "ssim") else F.col(c) for c in RECORD_CSV.names])
+    typed = [cell(f.name).try_cast(f.dataType).alias(f.name) if f.name not in ("psnr", "ssim") else cell(f.name).try_cast("double").alias(f.name) for f in RECORD_CSV]
+    return csv_cells(lines).select(folder_of().alias("run"), *typed)
 
 
-def read_metrics(spark: SparkSession, pattern: str) -> DataFrame:
-    """run, file, name, value of "name: value" text files; the first line of a name counts."""
-    lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+def scene_records(lines: DataFrame, grid: DataFrame) -> DataFrame:
+    """Records of good status whose method and k belong to the study; the scene is the folder's name."""
+    rows = read_records(lines).withColumnRenamed("run", "scene").withColumn("k", F.round("k", 6)).where("status = 'OK'")
+    return rows.join(F.broadcast(grid.select("method", F.round("k", 6).alias("k"))), ["method", "k"], "left_semi")
+
+
+def time_summary(lines: DataFrame, metric: str) -> DataFrame:
+    """method, k and mean of timing files. A file with a column image has a row for each image and is averaged first; others are averaged already."""
+    rows = csv_cells(lines).select("file", cell("method").alias("method"), F.round(cell("k").try_cast("double"), 6).alias("k"), F.array_contains("names", "image").alias("per_image"), cell(*ALIASES.get(metric, (metric,))).try_cast("double").alias("v"))
+    averaged = rows.where("per_image").groupBy("file", "method", "k").agg(F.avg("v").alias("v")).select("method", "k", "v")
+    return averaged.unionByName(rows.where("NOT per_image").select("method", "k", "v")).groupBy("method", "k").agg(F.avg("v").alias(metric))
+
+
+METRIC_FILE = r"([^/]+)/run([0-9]+)_(.+)_k([0-9p]+)\.txt$"
+
+
+def read_metrics(lines: DataFrame) -> DataFrame:
+    """file, name, value of "name: value" files; the first line of a name counts."""
     split = F.split("value", ":", 2)
     named = lines.where(F.size(split) == 2).select("file", "line", F.trim(split[0]).alias("name"), F.trim(split[1]).alias("value"))
-    return named.groupBy("file", "name").agg(F.min_by("value", "line").alias("value")).select(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("run"), "file", "name", "value")
+    return named.groupBy("file", "name").agg(F.min_by("value", "line").alias("value"))
+
+
+def record_metric(lines: DataFrame, name: str, by_scene: bool = False) -> DataFrame:
+    """One metric of each record: scene (the folder), run, method, k_token, value. by_scene: the run is no part of the match; the first file by name has the value of the whole scene."""
+    part = lambda i: F.regexp_extract("file", METRIC_FILE, i)
+    m = read_metrics(lines).where((F.col("name") == name) & F.col("file").rlike(METRIC_FILE)).select("file", part(1).alias("scene"), part(2).cast("bigint").alias("run"), part(3).alias("method"), part(4).alias("k_token"), "value")
+    return m.groupBy("scene", "method", "k_token").agg(F.min_by("value", "file").alias("value")) if by_scene else m.drop("file")
+
+
+def preferred_capture(files: DataFrame) -> DataFrame:
+    """scene, file: of the captures (file) in a folder one that ends in _ref.bmp, else one that ends in _raw.bmp; the first by name."""
+    rank = F.when(F.col("file").endswith("_ref.bmp"), 0).when(F.col("file").endswith("_raw.bmp"), 1)
+    return files.withColumn("rank", rank).where("rank IS NOT NULL").groupBy(folder_of().alias("scene")).agg(F.min(F.struct("rank", "file")).alias("x")).select("scene", "x.file")
+
+
+def missing_captures(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of the wanted captures (run, kind) those that no file run<run>_<kind>.bmp is there for."""
+    name = F.concat(F.lit("run"), F.col("run").cast("string"), F.lit("_"), "kind", F.lit(".bmp"))
+    there = files.select(F.element_at(F.split("file", "/"), -1).alias("name")).distinct()
+    return wanted.withColumn("name", name).join(there, "name", "left_anti").drop("name")
+
+
+def require_captures(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted, if every capture is there; an error names up to ten that aren't."""
+    gone = [f"{r.run} {r.kind}" for r in missing_captures(files, wanted).orderBy("run", "kind").limit(10).collect()]
+    if gone:
+        raise FileNotFoundError(f"captures are missing: {', '.join(gone)}")
+    return wanted
+
+
+def first_source(spark: SparkSession, candidates: dict[str, Callable[[], DataFrame]]) -> tuple[str, DataFrame]:
+    """Name and rows of the first source that exists and has a row."""
+    for name, read in candidates.items():
+        try:
+            rows = read()
+            if not rows.isEmpty():
+                return name, rows
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    raise FileNotFoundError(f"no source: {', '.join(candidates)}")
 
 
 def unsigned(raw: str | Column, at: int, size: int) -> Column:
     """Little-endian unsigned number of size bytes at a place of a binary column."""
     c = F.col(raw) if isinstance(raw, str) else raw
-    return F.conv(F.hex(F.reverse_bytes(c, at, size)) if hasattr(F, "reverse_bytes") else F.concat(*[F.hex(F.substring(c, at + k, 1)) for k in range(size, 0, -1)]), 16, 10).cast("bigint")
+    return F.conv(F.concat(*[F.hex(F.substring(c, at + k, 1)) for k in range(size, 0, -1)]), 16, 10).cast("bigint")
+
+
+def little_endian(*fields: tuple[Column, int]) -> Column:
+    """Whole numbers with their sizes as one binary column, the lowest byte first."""
+    byte = lambda c, k: F.lpad(F.hex(F.shiftrightunsigned(c.cast("bigint"), 8 * k).bitwiseAND(255)), 2, "0")
+    return F.unhex(F.concat(*[byte(c, k) for c, size in fields for k in range(size)]))
 
 
 def decode_headers(rows: DataFrame, raw: str = "raw") -> DataFrame:

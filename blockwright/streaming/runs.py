@@ -8,7 +8,7 @@ a while. Event time, watermark and late rows are choices of this engine.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -71,14 +71,71 @@ def assemble(records: DataFrame, most: int = WHOLE_RUN, timeout_ms: int = TIMEOU
     return records.groupBy("run_id").applyInPandasWithState(step, "run_id long, records long, slots array<int>, failed long, is_partial boolean", "slots array<int>, failed long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+#: What a record is made of, in the order in which it is sent.
+PARTS = ("header", "payload", "telemetry")
+
+
+def assemble_parts(parts: DataFrame) -> DataFrame:
+    """(run_id, slots, whole, parts): how far each run has come, given out whenever that changes.
+
+    parts: run_id, slot, part, one row for each header, payload and telemetry block. State
+    holds one number for each slot, a bit for each part; a part that comes again changes nothing.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = list(state.get[0]) if state.exists else [0] * WHOLE_RUN
+        before = list(seen)
+        for p in batches:
+            for slot, part in zip(p["slot"].tolist(), p["part"].tolist()):
+                if 0 <= slot < WHOLE_RUN:
+                    seen[int(slot)] |= 1 << PARTS.index(part)
+        state.update((seen,))
+        if seen != before:
+            yield pd.DataFrame({"run_id": [key[0]], "slots": [sum(x > 0 for x in seen)], "whole": [sum(x == 7 for x in seen)], "parts": [sum(bin(x).count("1") for x in seen)]})
+
+    return parts.groupBy("run_id").applyInPandasWithState(step, "run_id long, slots long, whole long, parts long", "seen array<int>", "update", GroupStateTimeout.NoTimeout)
+
+
+def in_order(records: DataFrame) -> DataFrame:
+    """(run_id, accepted, skipped, next_order): records (run_id, arrival, slot) whose slot is the one waited for are accepted; others are skipped and waited for again. After the last slot a run begins anew."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        accepted, skipped, wanted = state.get if state.exists else (0, 0, 1)
+        for p in [pd.concat(list(batches)).sort_values("arrival")]:
+            for slot in p["slot"].tolist():
+                if slot == wanted:
+                    accepted, wanted = accepted + 1, wanted % (WHOLE_RUN - 1) + 1
+                else:
+                    skipped += 1
+        state.update((accepted, skipped, wanted))
+        yield pd.DataFrame({"run_id": [key[0]], "accepted": [accepted], "skipped": [skipped], "next_order": [wanted]})
+
+    return records.groupBy("run_id").applyInPandasWithState(step, "run_id long, accepted long, skipped long, next_order long", "accepted long, skipped long, wanted long", "update", GroupStateTimeout.NoTimeout)
+
+
+def stretches(records: DataFrame, gap: str = "60 seconds") -> DataFrame:
+    """(run_id, began, ended, records): a run ends when no record came for a while. The same on a stream with a watermark."""
+    g = records.groupBy("run_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("records"))
+    return g.select("run_id", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "records")
+
+
+def finished(stretch: DataFrame, most: int = WHOLE_RUN) -> DataFrame:
+    """Stretches of more than one record; those of fewer than a whole run's are partial."""
+    return stretch.where("records > 1").withColumn("is_partial", F.col("records") < most)
+
+
+def of_current_run(records: DataFrame, channel: str, starts: str) -> DataFrame:
+    """Records of the run that was last started on their channel; records of other runs, and before any start, are stale. starts: the condition of a row that starts its run."""
+    from pyspark.sql.window import Window
+
+    before = Window.partitionBy(channel).orderBy("ord")
+    now = F.last(F.when(F.expr(starts), F.col("run_id")), ignorenulls=True).over(before)
+    return records.withColumn("now", now).where(~F.expr(starts) & (F.col("run_id") == F.col("now"))).drop("now")
+
+
 def out_of_order(records: DataFrame) -> DataFrame:
     """Batch form of the side output: records whose order index isn't one more than that of the record before."""
     from pyspark.sql.window import Window
 
     before = F.lag("order_index").over(Window.partitionBy("run_id").orderBy("arrival"))
     return records.withColumn("wanted", F.coalesce(before + 1, F.lit(0))).where("order_index <> wanted")
-
-
-def emit_once(path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: each batch of runs into a folder of its own, so that a repeated batch replaces itself."""
-    return lambda df, batch: df.write.mode("overwrite").option("header", True).csv(f"{path}/batch={batch}") if "slots" not in df.columns else df.withColumn("slots", F.concat_ws(" ", "slots")).write.mode("overwrite").option("header", True).csv(f"{path}/batch={batch}")

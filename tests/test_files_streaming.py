@@ -6,7 +6,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import functions as F
 
-from blockwright.sources import files
+from blockwright.sources import files, sinks
 from blockwright.streaming import runs
 
 
@@ -47,9 +47,9 @@ def test_record_and_metric_files(spark, tmp_path):
     d.mkdir()
     (d / "run7_summary.csv").write_text(",".join(files.RECORD_CSV.names) + "\nframe_0007,rdct,0.5,N/A,0.9,1.5,10,20,,,,,,,,,,,OK,\n")
     (d / "run7_rdct.txt").write_text("---\nrun_id:  7\nt_total: 12: 5\nrun_id: 8\n")
-    r = files.read_records(spark, f"{tmp_path}/*/*_summary.csv").first()
+    r = files.read_records(files.text_lines(spark, f"{tmp_path}/*/*_summary.csv")).first()
     assert (r.run, r.method, r.psnr, r.ssim, r.dct_kernel_us) == ("run7", "rdct", None, 0.9, None)
-    assert {(r.run, r.name, r.value) for r in files.read_metrics(spark, f"{tmp_path}/*/*.txt").collect()} == {("run7", "run_id", "7"), ("run7", "t_total", "12: 5")}
+    assert {(r.name, r.value) for r in files.read_metrics(files.text_lines(spark, f"{tmp_path}/*/*.txt")).collect()} == {("run_id", "7"), ("t_total", "12: 5")}
 
 
 def test_runs_from_a_stream(spark, tmp_path):
@@ -59,14 +59,14 @@ def test_runs_from_a_stream(spark, tmp_path):
     pd.DataFrame(rows, columns=["run_id", "slot", "order_index", "payload_bytes", "crc_ok"]).assign(arrival=pd.Timestamp("2024-01-01")).astype({"arrival": "datetime64[us]"}).to_parquet(source / "a.parquet")
     stream = runs.checked(spark.readStream.schema("run_id long, slot long, order_index long, payload_bytes long, crc_ok boolean, arrival timestamp").parquet(str(source)))
     assert {r.status for r in runs.checked(spark.read.parquet(str(source))).collect()} == {"RAW_SIZE_FAIL", "OK", "CRC_FAIL"}
-    q = runs.assemble(stream, most=3).writeStream.foreachBatch(runs.emit_once(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "check")).start()
+    q = runs.assemble(stream, most=3).writeStream.foreachBatch(sinks.emit_once(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "check")).start()
     for _ in range(90):  # a stream with timeouts has no last batch to wait for
-        if list((tmp_path / "out").glob("*/part-*.csv")):
+        if list((tmp_path / "out").glob("rows/*/part-*.csv")):
             break
         q.awaitTermination(1)
     q.stop()
-    out = spark.read.option("header", True).csv(str(tmp_path / "out/*")).collect()
-    assert [(r.run_id, r.records, r.slots, r.failed, r.is_partial) for r in out] == [("1", "3", "0 1 2", "1", "false")]
+    out = sinks.read_emitted(spark, str(tmp_path / "out"), "run_id long, records long, slots string, failed long, is_partial boolean").collect()
+    assert [tuple(r) for r in out] == [(1, 3, "0 1 2", 1, False)]
 
 
 def test_out_of_order(spark):
