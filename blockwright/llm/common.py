@@ -72,15 +72,17 @@ def discard(*tables: DataFrame) -> None:
 
 
 def groups(batches, key: int = 0):
-    """Runs of equal keys in Arrow batches that are sorted by the key column: (key, list of rows as tuples)."""
+    """Runs of equal keys in Arrow batches that are sorted by the key column: (key, list of rows as tuples). Lists come as arrays."""
     now, rows = None, []
-    for b in batches:
-        for row in zip(*[c.to_pylist() for c in b.columns]):
-            if row[key] != now:
-                if rows:
-                    yield now, rows
-                now, rows = row[key], []
-            rows.append(row)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            columns = [c.to_numpy(zero_copy_only=False) if pa.types.is_list(c.type) else c.to_pylist() for c in batch.slice(at, 1024).columns]
+            for row in zip(*columns):
+                if row[key] != now:
+                    if rows:
+                        yield now, rows
+                    now, rows = row[key], []
+                rows.append(row)
     if rows:
         yield now, rows
 

@@ -4,14 +4,13 @@ A window is a run of item words (13, or the whole item where it has fewer). To c
 window is to contain all its words, so one word of it is a sufficient prefix: the one
 that the corpus holds least often. Text words are joined to windows on that word, the
 position of the word in the window bounds where the window can start, and the whole
-window is compared word by word at that place.
+window is compared word by word at that place. Only places travel, never a text's words.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from blockwright.llm.common import LOWER, UPPER, durable
 
@@ -50,8 +49,12 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13, per: int =
     items (array of strings, sorted) are the items with a window in the text. contaminated:
     n_hit > 0 and per * n_hit >= n_words. One row comes out for each row that goes in: null
     ids and repeated rows stay, a null text has no words. Items with a null id, a null text
-    or no words have no windows; rows of one item id add up. Columns named in keep are passed on.
+    or no words have no windows; rows of one item id add up. Columns named in keep are passed on;
+    they may not have the names of the result.
     """
+    own = {id_col, "n_words", "n_hit", "n_items", "items", "contaminated"}
+    if own & set(keep):
+        raise ValueError(f"columns of the result can't be kept: {sorted(own & set(keep))}")
     wins = durable(windows_of(items, size, item_col, item_text_col).distinct())
     in_use = wins.select(F.explode("words").alias("w")).select(F.lower("w").alias("w")).distinct()
     in_use = durable(in_use)
@@ -62,25 +65,26 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13, per: int =
     rare = spots.join(held, "w", "left").groupBy("window", "m").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "w", "j")).alias("r"))
     rare = durable(rare.where("r.held > 0").select(F.col("r.w").alias("w"), F.col("r.j").alias("j"), "m", "window"))
 
-    words = texts.select("id", F.xxhash64("t").alias("mark"), split_words(F.col("t")).alias("words"))
-    spot = words.select("id", "mark", "words", F.posexplode("words").alias("p", "v")).withColumn("w", F.lower("v"))
-    fits = (F.col("p") >= F.col("j")) & (F.col("p") - F.col("j") + F.col("m") <= F.size("words"))
-    same = lowered(F.concat_ws(" ", F.slice("words", F.col("p") - F.col("j") + 1, F.col("m")))) == F.col("window")
-    found = spot.join(send(rare, rare.count()), "w").where(fits & same).select("id", "mark", (F.col("p") - F.col("j")).alias("start"), "m", "window")
-    found = durable(found.distinct())
-
-    before = Window.partitionBy("id", "mark").orderBy("start", "m").rowsBetween(Window.unboundedPreceding, -1)
-    end = F.col("start") + F.col("m")
-    runs = found.select("id", "mark", "start", "m").distinct().withColumn("until", F.coalesce(F.max(end).over(before), F.lit(0)))
-    hit = runs.groupBy("id", "mark").agg(F.sum(F.greatest(F.lit(0), end - F.greatest("start", "until"))).cast("long").alias("n_hit"))
-    whose = wins.select("window", F.col("item").cast("string").alias("item"))
-    named = found.select("id", "mark", "window").distinct().join(whose, "window").groupBy("id", "mark").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    one = hit.withColumnsRenamed({"id": "hid", "mark": "hmark"}).join(named, F.col("hid").eqNullSafe(F.col("id")) & (F.col("hmark") == F.col("mark"))).select("hid", "hmark", "n_hit", "items")
-    one = durable(one)
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), *[F.col(c).alias(f"__{c}") for c in keep], F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
-    out = base.join(send(one, one.count()), F.col("hid").eqNullSafe(F.col("id")) & (F.col("hmark") == F.col("mark")), "left")
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (per * n_hit >= F.col("n_words"))).alias("contaminated"), *[F.col(f"__{c}").alias(c) for c in keep])
+    # where a window may stand: only places travel, the words are read again where there are any
+    spot = texts.select("id", F.xxhash64("t").alias("mark"), split_words(F.col("t")).alias("words")).select("id", "mark", F.size("words").alias("n"), F.posexplode("words").alias("p", "v")).select("id", "mark", "n", "p", F.lower("v").alias("w"))
+    fits = (F.col("p") >= F.col("j")) & (F.col("p") - F.col("j") + F.col("m") <= F.col("n"))
+    maybe = spot.join(send(rare, rare.count()), "w").where(fits).select("id", "mark", (F.col("p") - F.col("j")).cast("int").alias("start"), "m", "window")
+    whose = wins.groupBy("window").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("named"))
+    per_text = maybe.join(send(durable(whose), rare.count()), "window").groupBy("id", "mark").agg(F.collect_set(F.struct("start", "m", "window", "named")).alias("__maybe"))
+    per_text = durable(per_text.withColumnsRenamed({"id": "__id", "mark": "__mark"}))
+
+    base = docs.select(F.col(id_col).alias("__own"), F.xxhash64(text_col).alias("__text"), F.col(text_col).alias("__t"), *[F.col(c).alias(f"__keep_{c}") for c in keep])
+    base = base.join(send(per_text, per_text.count()), F.col("__id").eqNullSafe(F.col("__own")) & (F.col("__mark") == F.col("__text")), "left")
+    same = lambda words: F.filter("__maybe", lambda c: lowered(F.concat_ws(" ", F.slice(words, c["start"] + 1, c["m"]))) == c["window"])
+    found = F.when(F.col("__maybe").isNotNull(), F.transform(F.array(split_words(F.col("__t"))), same)[0])
+    n_words = F.coalesce(F.regexp_count("__t", F.lit(WORD)), F.lit(0)).cast("long")
+    out = base.select("*", n_words.alias("__words"), found.alias("__found"))
+    hit = F.size(F.array_distinct(F.flatten(F.transform("__found", lambda c: F.sequence(c["start"], c["start"] + c["m"] - 1)))))
+    n_hit = F.when(F.col("__found").isNull(), 0).otherwise(hit).cast("long")
+    items = F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("__found", lambda c: c["named"])))), F.array().cast("array<string>"))
+    out = out.select("*", n_hit.alias("__hit"), items.alias("__items"))
+    dirty = (F.col("__hit") > 0) & (per * F.col("__hit") >= F.col("__words"))
+    return out.select(F.col("__own").alias(id_col), F.col("__words").alias("n_words"), F.col("__hit").alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.col("__items").alias("items"), dirty.alias("contaminated"), *[F.col(f"__keep_{c}").alias(c) for c in keep])
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

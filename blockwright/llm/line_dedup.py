@@ -59,8 +59,8 @@ def later_matches(sets: list[list[int]], num: int, den: int) -> list[int]:
     return found
 
 
-def dedup_lines(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the lines that an earlier line matches: all columns, the text replaced, and n_lines, n_removed.
+def dedup_lines(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
+    """docs without the lines that an earlier line matches: all columns, the text replaced, and with counts n_lines, n_removed.
 
     Lines are what stands between line feeds; "earlier" goes by id, then place in the text.
     Matches are judged on the input: a removed line still removes later ones. Lines without
@@ -71,6 +71,8 @@ def dedup_lines(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, i
     but those with two underscores in front.
     """
     check_similarity(num, den)
+    if counts and {"n_lines", "n_removed"} & set(docs.columns):
+        raise ValueError("docs has a column of the result")
     tasks = min(1 << 16, 16 * partitions(docs.sparkSession))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("t"))
 
@@ -148,7 +150,7 @@ def dedup_lines(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, i
     def match(batches):
         for _, rows in groups(batches):
             rows.sort(key=lambda r: (r[3] is None, r[3] if r[3] is not None else 0, r[4], r[5]))
-            matched = later_matches([r[2] for r in rows], num, den)
+            matched = later_matches([r[2].tolist() for r in rows], num, den)
             if matched:
                 yield rows_of([rows[j][3:6] for j in matched])
 
@@ -163,7 +165,8 @@ def dedup_lines(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, i
     rest = F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains("__drop", i))
     text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", rest))
     feeds = F.octet_length(text_col) - F.octet_length(F.replace(text_col, F.lit("\n"), F.lit("")))
-    return out_rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce(feeds + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_removed"))
+    own = [F.coalesce(feeds + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_removed")] if counts else []
+    return out_rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], *own)
 
 
 def same_as_before(place: dict[str, np.ndarray], columns: tuple[str, ...]) -> np.ndarray:

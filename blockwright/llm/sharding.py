@@ -13,15 +13,18 @@ from pyspark.sql import functions as F
 from blockwright.llm.common import durable
 
 BITS = 60
+#: Of these, the last bits come from the text: rows of one id part on them, and only there.
+TEXT_BITS = 16
 #: Bits that are summed below the depth that even sizes would need.
 AHEAD = 6
 #: Directory entries that are small enough to send to every task.
 SENT_ROWS = 200_000
 
 
-def hash_bits(key: Column) -> Column:
-    """The first 60 bits of the key's MD5."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
+def hash_bits(key: Column, text: Column) -> Column:
+    """60 bits: the first 44 of the key's MD5, then the first 16 of the text's."""
+    part = lambda c, bits: F.substring(F.md5(F.coalesce(c.cast("string"), F.lit(""))), 1, bits // 4)
+    return F.conv(F.concat(part(key, BITS - TEXT_BITS), part(text, TEXT_BITS)), 16, 10).cast("long")
 
 
 def prefix(h: str, depth: int) -> Column:
@@ -66,11 +69,16 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
 def assign_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Shard of each row of docs: id, n_bytes (UTF-8), depth, shard (its hash prefix as bits), shard_bytes, shard_rows, oversized.
 
-    Rows of one id go to one shard. A shard is over the limit only if all its rows have one
-    id (oversized). One row comes out for each row that goes in; a null id hashes as an empty
-    one, a null text has no bytes; an empty table has no shards. Columns named in keep are passed on.
+    Rows of one id go to one shard while they fit the limit; where they don't, their texts
+    part them. A shard is over the limit only if all its rows have one id and one text
+    (oversized). One row comes out for each row that goes in; a null id hashes as an empty
+    one, a null text has no bytes; an empty table has no shards. Columns named in keep are
+    passed on; they may not have the names of the result.
     """
-    rows = docs.select(F.col(id_col).alias("id"), hash_bits(F.col(id_col)).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), *[F.col(c).alias(f"__{c}") for c in keep])
+    own = {id_col, "n_bytes", "depth", "shard", "shard_bytes", "shard_rows", "oversized"}
+    if own & set(keep):
+        raise ValueError(f"columns of the result can't be kept: {sorted(own & set(keep))}")
+    rows = docs.select(F.col(id_col).alias("id"), hash_bits(F.col(id_col), F.col(text_col)).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), *[F.col(c).alias(f"__{c}") for c in keep])
     leaves = directory(rows, limit)
     size = leaves.count()
     depths = [r[0] for r in leaves.select("depth").distinct().orderBy("depth").collect()]  # at most 61
@@ -85,14 +93,14 @@ def assign_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col:
 
 
 def write_shards(docs: DataFrame, limit: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """One folder with one file per shard: id and text. A task holds whole shards, each within the limit."""
+    """One folder with one file per shard, named b and the bits of the shard (readers would take bits alone for a number): id and text. A task holds whole shards, each within the limit."""
     put = assign_shards(docs, limit, id_col, text_col, keep=(text_col,))
-    put.select(id_col, text_col, "shard").repartition("shard").write.partitionBy("shard").parquet(path)
+    put.select(id_col, text_col, F.concat(F.lit("b"), "shard").alias("shard")).repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def sql(limit: int) -> str:
     return f"""
-WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 11) || substr(md5(coalesce(text, '')), 1, 4))::BIGINT AS h FROM documents),
 lv AS (SELECT d.*, k AS depth, (h >> (60 - k))::BIGINT AS p FROM d, range(0, 61) t(k)),
 b AS (SELECT depth, p, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows FROM lv GROUP BY depth, p HAVING sum(n_bytes) <= {limit} OR min(h) = max(h)),
 leaf AS (SELECT lv.doc_id, n_bytes, min_by({{'depth': lv.depth, 'p': lv.p, 'sb': shard_bytes, 'sr': shard_rows}}, lv.depth) AS x FROM lv JOIN b ON b.depth = lv.depth AND b.p = lv.p GROUP BY lv.doc_id, n_bytes, h)

@@ -10,9 +10,10 @@ of which brings all pairs of a group together:
    same prefix rule gives the n-grams on which nodes can meet. Nodes that meet, directly
    or over others, form a candidate group.
 3. Each group's sets go into a prefix tree, frequent n-grams first, so that common
-   beginnings are counted once for all sets below them. Each set walks the tree; a
-   subtree is left when what remains of both sides can't reach the overlap needed.
-   Groups with many n-grams are dealt as pairs of blocks of bounded size.
+   beginnings are counted once for all sets below them. Each set walks towards the sets
+   that have an n-gram of its prefix; a subtree is left when what remains of both sides
+   can't reach the overlap needed. Groups with many n-grams are dealt as pairs of blocks of
+   bounded size.
 4. The links found join nodes into components.
 
 N-grams are compared by their length and 56 bits of hash: two different ones of one length
@@ -182,54 +183,80 @@ class PrefixTree:
             if (p := self.parent[k]) >= 0:
                 self.low[p], self.high[p], self.until[p] = min(self.low[p], self.low[k]), max(self.high[p], self.high[k]), max(self.until[p], self.until[k])
 
-    def similar(self, s: np.ndarray, member: np.ndarray, num: int, den: int):
-        """Sets of the tree with den * overlap >= num * union against s. member: scratch, all False, one entry per n-gram."""
-        member[s] = True
-        count = np.r_[0, np.cumsum(member[self.flat])].tolist()
-        member[s] = False
-        own, n, k = s.tolist(), len(s), 0
-        overlap = [0] * len(self.parent)
-        while k < len(self.parent):
-            p = self.parent[k]
-            got = overlap[k] = (overlap[p] if p >= 0 else 0) + count[self.end[k]] - count[self.start[k]]
-            left = n - bisect_right(own, int(self.flat[self.end[k] - 1]))
-            best = got + min(self.high[k] - self.depth[k], left)
-            if (num + den) * best < num * (n + self.low[k]):
-                k = self.until[k]
-                continue
-            for i in self.here[k]:
-                if den * got >= num * (n + self.depth[k] - got):
-                    yield i
-            k += 1
+        self.leaf = [0] * len(sets)
+        for k, own in enumerate(self.here):
+            for i in own:
+                self.leaf[i] = k
+
+
+class Walk:
+    """One set's walk through the tree: what a node's run has in common with the set is counted once, for all sets below it."""
+
+    def __init__(self, tree: PrefixTree, num: int, den: int):
+        self.tree, self.num, self.den = tree, num, den
+        self.seen, self.overlap = [-1] * len(tree.parent), [0] * len(tree.parent)
+        self.entered = 0
+
+    def begin(self, i: int, s: np.ndarray, member: np.ndarray) -> None:
+        self.i, self.own, self.member = i, s.tolist(), member
+
+    def similar(self, j: int) -> bool:
+        """Whether den * overlap >= num * union of the set and set j. A node whose subtree can't reach that is left for good."""
+        t, path, k = self.tree, [], self.tree.leaf[j]
+        leaf = k
+        while k >= 0 and self.seen[k] != self.i:
+            path.append(k)
+            k = t.parent[k]
+        got = self.overlap[k] if k >= 0 else 0
+        n = len(self.own)
+        for k in reversed(path):
+            self.seen[k] = self.i
+            if got >= 0:
+                self.entered += 1
+                got += int(np.count_nonzero(self.member[t.flat[t.start[k] : t.end[k]]]))
+                left = n - bisect_right(self.own, int(t.flat[t.end[k] - 1]))
+                if (self.num + self.den) * (got + min(t.high[k] - t.depth[k], left)) < self.num * (n + t.low[k]):
+                    got = -1
+            self.overlap[k] = got
+        return got >= 0 and self.den * got >= self.num * (n + t.depth[leaf] - got)
 
 
 def tree_links(sets: list[np.ndarray], num: int, den: int) -> list[int]:
-    """For each set the first set of its component under the links among these sets."""
+    """For each set the first set of its component under the links among these sets.
+
+    A set is held against those before it that have one of its prefix's n-grams, rare ones
+    first, and aren't in its component yet; what they share is counted along the tree.
+    """
     kinds, code = np.unique(np.concatenate(sets), return_inverse=True)
     often = np.bincount(code)
     rank = np.empty(len(kinds), np.int64)
     rank[np.lexsort((kinds, -often))] = np.arange(len(kinds))
-    code, cuts = rank[code], np.cumsum([len(s) for s in sets])[:-1]
-    coded = [np.sort(c) for c in np.split(code, cuts)]
-    tree, member = PrefixTree(coded), np.zeros(len(kinds), bool)
-    root = list(range(len(sets)))
-
-    def find(a: int) -> int:
-        while root[a] != a:
-            root[a] = root[root[a]]
-            a = root[a]
-        return a
-
-    apart = len(sets)
+    size = np.array([len(s) for s in sets])
+    coded = [np.sort(c) for c in np.split(rank[code], np.cumsum(size)[:-1])]
+    prefix = [c[::-1][: prefix_size(len(c), num, den)] for c in coded]
+    # who has an n-gram in the prefix, in the order of the sets, and how many of them have had their turn
+    flat = np.concatenate(prefix)
+    whose = np.repeat(np.arange(len(sets)), [len(p) for p in prefix])[np.argsort(flat, kind="stable")]
+    first = np.r_[0, np.cumsum(np.bincount(flat, minlength=len(kinds)))]
+    turn = first[:-1].copy()
+    walk, member = Walk(PrefixTree(coded), num, den), np.zeros(len(kinds), bool)
+    root, tried = np.arange(len(sets)), np.full(len(sets), -1)
     for i, s in enumerate(coded):
-        for j in tree.similar(s, member, num, den):
-            a, b = find(i), find(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                apart -= 1
-        if apart == 1:
-            break
-    return [find(i) for i in range(len(sets))]
+        member[s] = True
+        walk.begin(i, s, member)
+        for x in prefix[i]:
+            others = whose[first[x] : turn[x]]
+            others = others[(root[others] != root[i]) & (tried[others] != i)]
+            for j in others.tolist():
+                if root[j] == root[i]:
+                    continue
+                tried[j] = i
+                if den * min(size[i], size[j]) >= num * max(size[i], size[j]) and walk.similar(j):
+                    a, b = sorted((root[i], root[j]))
+                    root[root == b] = a
+        member[s] = False
+        turn[prefix[i]] += 1
+    return root.tolist()
 
 
 def first_part(n):
@@ -360,8 +387,8 @@ def meeting(texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
     def emit(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 4 * SLICE):
-                units = list({(t or "").encode() for t in batch.column(0).slice(at, 4 * SLICE).to_pylist()})
+            for at in range(0, batch.num_rows, SLICE):
+                units = list({(t or "").encode() for t in batch.column(0).slice(at, SLICE).to_pylist()})
                 yield from emit_grams(units, size, tasks)[0]
 
     def decide(batches):
@@ -423,11 +450,13 @@ def shingle_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(shingles(t, size)[1]) for t in b.column(1).to_pylist()], pa.int64())], ["id", "n"])
 
     def keys_of(batches):
-        for b in batches:
-            keys = [word_key(t) for t in b.column(1).to_pylist()]
-            lo, hi = np.frombuffer(b"".join(k or b"\0" * 16 for k in keys), "<i8").reshape(-1, 2).T
-            none = np.array([k is None for k in keys], bool)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lo, mask=none), pa.array(hi, mask=none)], ["id", "lo", "hi"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                b = batch.slice(at, SLICE)
+                keys = [word_key(t) for t in b.column(1).to_pylist()]
+                lo, hi = np.frombuffer(b"".join(k or b"\0" * 16 for k in keys), "<i8").reshape(-1, 2).T
+                none = np.array([k is None for k in keys], bool)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lo, mask=none), pa.array(hi, mask=none)], ["id", "lo", "hi"])
 
     keyed = durable(texts.mapInArrow(keys_of, f"id {kind}, lo long, hi long"))
     first = durable(keyed.where("id IS NOT NULL AND lo IS NOT NULL").groupBy("lo", "hi").agg(F.min("id").alias("first")))
@@ -448,7 +477,7 @@ def shingle_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
 
     def join_groups(batches):
         for _, rows in groups(batches):
-            found = tree_links([np.array(r[2], np.int64).view(np.uint64) for r in rows], num, den) if len(rows) > 1 else []
+            found = tree_links([r[2].view(np.uint64) for r in rows], num, den) if len(rows) > 1 else []
             links = [(r[1], rows[f][1]) for r, f in zip(rows, found) if rows[f][1] != r[1]]
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])

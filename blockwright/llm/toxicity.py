@@ -181,7 +181,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     known = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("label_id").isNotNull() & F.col("toxic").isin(0, 1))
     known = known.where(train_if("label_id")).groupBy("label_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("label_id"), "label_id").limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text"))
-    return rows.join(F.broadcast(known), "label_id").select("label_id", "text", "toxic")  # broadcast: at most sample_rows rows of two numbers
+    found = rows.join(F.broadcast(known), "label_id")  # broadcast: at most sample_rows rows of two numbers
+    return found.groupBy("label_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("label_id", "text", "toxic")  # one text for a repeated id
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, train_if, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", cut: float = 0.7, sample_rows: int = SAMPLE_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -191,9 +192,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_if, id_col: str = "
     label may be learned from. One row comes out for each row that goes in: null ids and
     repeated rows stay and are scored; a null text counts as an empty one. Labels that are
     null or neither 0 nor 1, and labels of unknown ids, teach nothing; of repeated labels
-    the larger counts. Without labels of both classes, the score is the smoothed rate of
+    the larger counts, and of rows of one id one text. Without labels of both classes, the score is the smoothed rate of
     1 among those there are. Columns named in keep are passed on.
     """
+    if {"score", "predicted", id_col} & set(keep):
+        raise ValueError("columns of the result can't be kept")
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, sample_rows, train_if)
     lexicon, stems = learn_lexicon(sample)
 

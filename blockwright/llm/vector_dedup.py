@@ -4,10 +4,11 @@ Each half of the vectors has a codebook of its own; pairs of codewords form a gr
 cells, and each vector is stored in one cell. A search goes through the cells in the
 order of the summed distances of both halves and stops after so many that the target
 recall is met. All vectors are searched, and what the visited cells hold is verified by
-the exact cosine.
+the exact cosine. A pair counts for both vectors, whichever of the two searches met it.
 
-Neighbouring codewords share a tile of the grid, and tiles are split into blocks of
-bounded size. A task holds one block, and the searches that visit it stream past.
+Cells are dealt into blocks of bounded size, neighbouring codewords together; a cell that
+is larger is split over several. A task holds one block ordered by cell, and the searches
+that visit some of its cells stream past and are compared with these cells only.
 """
 
 from __future__ import annotations
@@ -18,12 +19,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwright.llm.common import connected_components, durable
+from blockwright.llm.common import connected_components, discard, durable
 
 #: Vectors that the codebooks are fitted on, and those that the number of cells is set by.
 SAMPLE_ROWS, TRIAL_ROWS = 20_000, 1_000
 #: Vectors of a block.
-BLOCK_ROWS = 2_048
+BLOCK_ROWS = 8_192
+#: Codewords of a half at most; there are at most so many cells, squared, whose counts the driver holds.
+MOST_WORDS = 1_024
+#: Numbers of a search's work table at a time.
+WORK = 4_000_000
 TARGET_RECALL = 0.98
 
 
@@ -49,9 +54,8 @@ class MultiIndex:
     def __init__(self, sample: np.ndarray, rows: int, least: float):
         """sample: unit vectors; rows: how many vectors there are in all; least: the cosine that counts."""
         self.half = sample.shape[1] // 2
-        self.k = int(np.clip(np.sqrt(rows / 4), 2, 1024))
+        self.k = int(np.clip(np.sqrt(rows / 4), 2, MOST_WORDS))
         self.books = codebook(sample[:, : self.half], self.k), codebook(sample[:, self.half :], self.k)
-        self.side = max(1, min(self.k, int(np.ceil(np.sqrt(rows / BLOCK_ROWS)))))
         self.visits = self.calibrate(sample[:TRIAL_ROWS], least)
 
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,32 +75,44 @@ class MultiIndex:
             rank.append(int(np.searchsorted(b, a[i] + two[len(rank)][j] - a, side="right").sum()))
         return int(np.quantile(rank, TARGET_RECALL)) + 1
 
-    def tile(self, i, j):
-        return i * self.side // self.k * self.side + j * self.side // self.k
-
     def own(self, x: np.ndarray) -> np.ndarray:
-        """Tile of each vector's cell."""
+        """Cell of each vector."""
         one, two = self.halves(x)
-        return self.tile(one.argmin(1), two.argmin(1))
+        return one.argmin(1) * self.k + two.argmin(1)
 
-    def visited(self, x: np.ndarray) -> list[np.ndarray]:
-        """Tiles of the cells that each vector's search visits.
+    def visited(self, x: np.ndarray) -> np.ndarray:
+        """Cells that each vector's search visits, in ascending order.
 
         The multi-sequence order: of cells at places a and b of the two sorted lists, only
         those with (a + 1)(b + 1) at most the number of visits can be among the visited.
         """
-        one, two = self.halves(x)
-        by_one, by_two = one.argsort(1, kind="stable"), two.argsort(1, kind="stable")
-        one, two = np.take_along_axis(one, by_one, 1), np.take_along_axis(two, by_two, 1)
-        most = self.visits
-        a, b = np.array([(a, b) for a in range(min(self.k, most)) for b in range(min(self.k, most // (a + 1)))], np.int64).T
-        out = []
-        for at in range(0, len(x), 64):
-            total = one[at : at + 64][:, a] + two[at : at + 64][:, b]
-            near = np.argpartition(total, most - 1, 1)[:, :most] if most < len(a) else np.broadcast_to(np.arange(len(a)), total.shape)
-            i, j = np.take_along_axis(by_one[at : at + 64], a[near], 1), np.take_along_axis(by_two[at : at + 64], b[near], 1)
-            out += [np.unique(t) for t in self.tile(i, j)]
-        return out
+        most = min(self.visits, self.k * self.k)
+        a = np.repeat(np.arange(min(self.k, most)), np.minimum(self.k, most // (np.arange(min(self.k, most)) + 1)))
+        b = np.arange(len(a)) - np.searchsorted(a, a)
+        out, rows = np.empty((len(x), most), np.int32), max(1, WORK // len(a))
+        for at in range(0, len(x), rows):
+            one, two = self.halves(x[at : at + rows])
+            by_one, by_two = one.argsort(1, kind="stable"), two.argsort(1, kind="stable")
+            total = np.take_along_axis(one, by_one, 1)[:, a] + np.take_along_axis(two, by_two, 1)[:, b]
+            near = np.argpartition(total, most - 1, 1)[:, :most]
+            out[at : at + rows] = np.take_along_axis(by_one, a[near], 1) * self.k + np.take_along_axis(by_two, b[near], 1)
+        return np.sort(out, 1)
+
+    def blocks(self, cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First block of each cell and how many it is spread over (0: nothing is stored there). Cells come in tiles of neighbouring codewords."""
+        side = max(1, int(np.sqrt(self.k)))
+        i, j = cells // self.k // side, cells % self.k // side
+        order = np.lexsort((cells, j, i))
+        first, parts = np.zeros(self.k * self.k, np.int32), np.zeros(self.k * self.k, np.int32)
+        block, room = -1, 0
+        for c, n in zip(cells[order].tolist(), counts[order].tolist()):
+            if n > room:
+                block, room = block + 1, BLOCK_ROWS
+            first[c], parts[c] = block, max(1, -(-n // BLOCK_ROWS))
+            room -= n
+            if parts[c] > 1:
+                block, room = block + int(parts[c]) - 1, 0
+        return first, parts
 
 
 def vector_components(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -155,78 +171,129 @@ def vector_components(vectors: DataFrame, least: float = 0.9, id_col: str = "vec
 
 
 def search(nodes: DataFrame, index: MultiIndex, least: float) -> DataFrame:
-    """(node, links, other): rows linked with each node, by block; and enough pairs of linked nodes to join all that are linked."""
+    """(node, links, other): rows linked with each node, in parts; and enough pairs of linked nodes to join all that are linked."""
 
     def place(batches):
         for b in batches:
-            if b.num_rows:
-                x = np.stack([np.frombuffer(u) for u in b.column(2).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(index.own(x), pa.int64()), pa.array(index.visited(x), pa.list_(pa.int64()))], ["node", "copies", "unit", "tile", "visits"])
-
-    placed = durable(nodes.select("node", "copies", "unit").mapInArrow(place, "node long, copies long, unit binary, tile long, visits array<long>"))
-    blocks = durable(placed.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")))
-    stored = placed.join(blocks, "tile").select("tile", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "node", "copies", "unit")
-    asked = placed.select(F.explode("visits").alias("tile"), "node", "copies", "unit").join(blocks, "tile")
-    asked = asked.select("tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "node", "copies", "unit")
-
-    def verify(batches):
-        at = None
-        x, node, copies, root = None, None, None, []
-        kept: list[tuple[int, int, bytes]] = []
-
-        def find(a: int) -> int:
-            while root[a] != a:
-                root[a] = root[root[a]]
-                a = root[a]
-            return a
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
+                x = np.stack([np.frombuffer(u) for u in part.column(2).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(index.own(x).astype(np.int32)), pa.array(list(index.visited(x)), pa.list_(pa.int32()))], ["node", "copies", "unit", "cell", "cells"])
 
-        def joined():
-            """The pairs that stand for what the searches of a block have joined."""
-            pairs = [(int(node[i]), 0, int(node[find(i)])) for i in range(len(root)) if find(i) != i]
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(3)], ["node", "links", "other"])
+    placed = durable(nodes.select("node", "copies", "unit").mapInArrow(place, "node long, copies long, unit binary, cell int, cells array<int>"))
+    held = placed.groupBy("cell").count().collect()  # one number for each cell that is in use
+    first, parts = index.blocks(np.array([r.cell for r in held]), np.array([r["count"] for r in held]))
 
+    def deal(batches):
+        """Each vector to the block of its cell (asks = 0), and its search to the blocks of the cells it visits, with these cells."""
         for b in batches:
-            for (tile, block, asks), part in runs_of(b):
-                if (tile, block) != at:
-                    if root:
-                        yield joined()
-                    at, x, root, kept = (tile, block), None, [], []
-                ids, times, units = (c.to_pylist() for c in part.columns[3:])
-                if not asks:
-                    kept += zip(ids, times, units)
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                node, cell = part.column(0).to_numpy(), part.column(3).to_numpy()
+                visits = np.stack(part.column(4).to_numpy(zero_copy_only=False))
+                row = np.repeat(np.arange(len(node)), visits.shape[1])
+                cells = visits.ravel()
+                row, cells = np.repeat(row, parts[cells]), np.repeat(cells, parts[cells])
+                block = first[cells] + (np.arange(len(cells)) - np.maximum.accumulate(np.where(np.r_[True, (cells[1:] != cells[:-1]) | (row[1:] != row[:-1])], np.arange(len(cells)), 0)) if len(cells) else 0)
+                order = np.lexsort((cells, row, block))
+                row, cells, block = row[order], cells[order], block[order]
+                start = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])]) if len(row) else np.zeros(0, np.int64)
+                stored = first[cell] + (node * 0x9E3779B1 >> 7) % parts[cell]
+                take = pa.array(np.r_[np.arange(len(node)), row[start]])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[np.arange(len(node)) * visits.shape[1], visits.size + start, visits.size + len(cells)].astype(np.int32)), pa.array(np.r_[visits.ravel(), cells].astype(np.int32)))
+                asks = np.r_[np.zeros(len(node), np.int32), np.ones(len(start), np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[stored, block[start]].astype(np.int32)), pa.array(asks), *[part.column(k).take(take) for k in range(4)], lists], ["block", "asks", "node", "copies", "unit", "cell", "cells"])
+
+    def verify(batches):
+        for held, asked in blocks_of(batches):
+            node, copies, cell, visits, x = held
+            root = list(range(len(node)))
+
+            def find(a: int, root=root) -> int:
+                while root[a] != a:
+                    root[a] = root[root[a]]
+                    a = root[a]
+                return a
+
+            for who, times, own, cells, unit in asked:
+                row = np.repeat(np.arange(len(who)), [len(c) for c in cells])
+                flat = np.concatenate(cells)
+                order = np.argsort(flat, kind="stable")
+                row, flat = row[order], flat[order]
+                q, b = [], []
+                for s, e in zip(start := np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]), np.r_[start[1:], len(flat)]):
+                    lo, hi = np.searchsorted(cell, flat[s]), np.searchsorted(cell, flat[s], side="right")
+                    if lo < hi:
+                        near = unit[row[s:e]] @ x[lo:hi].T >= least
+                        near &= who[row[s:e], None] != node[lo:hi]
+                        i, j = np.nonzero(near)
+                        q.append(row[s:e][i])
+                        b.append(lo + j)
+                if not q or not len(q := np.concatenate(q)):
                     continue
-                if x is None:
-                    if not kept:
-                        continue
-                    node, copies = np.array([k[0] for k in kept]), np.array([k[1] for k in kept])
-                    x, root = np.stack([np.frombuffer(k[2]) for k in kept]), list(range(len(kept)))
-                for s in range(0, len(ids), 1024):
-                    who = np.array(ids[s : s + 1024])
-                    near = np.stack([np.frombuffer(u) for u in units[s : s + 1024]]) @ x.T >= least
-                    near &= who[:, None] != node
-                    links = near @ copies
-                    hit = np.flatnonzero(near.any(1))
-                    other = np.full(len(who), -1, np.int64)
-                    for q in hit.tolist():
-                        to = np.flatnonzero(near[q])
-                        other[q] = node[to[0]]
-                        first = find(int(to[0]))
-                        for i in to[1:].tolist():
-                            r = find(i)
-                            if r != first:
-                                root[r] = first
-                    if len(hit):
-                        yield pa.RecordBatch.from_arrays([pa.array(who[hit]), pa.array(links[hit].astype(np.int64)), pa.array(other[hit])], ["node", "links", "other"])
-        if root:
-            yield joined()
-
-    dealt = stored.unionByName(asked).repartition("tile", "block").sortWithinPartitions("tile", "block", "asks")
+                b = np.concatenate(b)
+                yield found(who, np.bincount(q, copies[b], len(who)))
+                alone = np.concatenate([~(visits[b[k : k + 4096]] == own[q[k : k + 4096], None]).any(1) for k in range(0, len(q), 4096)])  # the other search doesn't come by here
+                if alone.any():
+                    yield found(node, np.bincount(b[alone], times[q[alone]], len(node)))
+                order = np.lexsort((b, q))
+                q, b = q[order], b[order]
+                to = b[np.flatnonzero(np.r_[True, q[1:] != q[:-1]])]
+                pairs = np.unique(np.stack([np.repeat(to, np.diff(np.r_[np.flatnonzero(np.r_[True, q[1:] != q[:-1]]), len(q)])), b], 1), axis=0)
+                for i, j in pairs.tolist():
+                    i, j = find(i), find(j)
+                    root[max(i, j)] = min(i, j)
+                yield linked(who[q[np.flatnonzero(np.r_[True, q[1:] != q[:-1]])]], node[to])
+            top = np.array([find(i) for i in range(len(root))], np.int64)
+            moved = np.flatnonzero(top != np.arange(len(top)))
+            if len(moved):
+                yield linked(node[moved], node[top[moved]])
+
+    def found(node, links):
+        some = np.flatnonzero(links)
+        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some].astype(np.int64)), pa.nulls(len(some), pa.int64())], ["node", "links", "other"])
+
+    def linked(node, other):
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.zeros(len(node), np.int64)), pa.array(other)], ["node", "links", "other"])
+
+    dealt = placed.mapInArrow(deal, "block int, asks int, node long, copies long, unit binary, cell int, cells array<int>").repartition("block").sortWithinPartitions("block", "asks", "cell")
     return dealt.mapInArrow(verify, "node long, links long, other long")
 
 
-def runs_of(batch):
-    """Slices of a batch with one (tile, block, asks) each."""
-    keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
-    start = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(0)]) if batch.num_rows else []
-    for a, z in zip(start, [*start[1:], batch.num_rows]):
-        yield tuple(int(k) for k in keys[:, a]), batch.slice(a, z - a)
+def blocks_of(batches):
+    """For each block what it holds (nodes, copies, cells, visited cells, vectors, ordered by cell) and a generator of the searches that visit it."""
+    rows = parts_of(batches)
+    ahead = next(rows, None)
+    while ahead:
+        block, held = ahead[0], []
+        while ahead and ahead[0] == block and not ahead[1]:
+            held.append(ahead[2])
+            ahead = next(rows, None)
+
+        def asked():
+            nonlocal ahead
+            while ahead and ahead[0] == block:
+                part = ahead[2]
+                for at in range(0, part.num_rows, 1024):
+                    node, copies, cell, cells, unit = columns_of(part.slice(at, 1024))
+                    yield node, copies, cell, cells, unit
+                ahead = next(rows, None)
+
+        if held:
+            node, copies, cell, cells, unit = columns_of(pa.concat_batches(held))
+            yield (node, copies, cell, np.stack(cells), unit), asked()
+        for _ in asked():  # what is left
+            pass
+
+
+def columns_of(part):
+    return part.column(2).to_numpy(), part.column(3).to_numpy(), part.column(5).to_numpy(), part.column(6).to_numpy(zero_copy_only=False), np.stack([np.frombuffer(u) for u in part.column(4).to_pylist()])
+
+
+def parts_of(batches):
+    """(block, asks, rows) for each run of equal ones in batches sorted by both."""
+    for b in batches:
+        keys = np.stack([b.column(k).to_numpy() for k in range(2)])
+        start = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(0)]) if b.num_rows else []
+        for a, z in zip(start, [*start[1:], b.num_rows]):
+            yield int(keys[0, a]), int(keys[1, a]), b.slice(a, z - a)
