@@ -309,6 +309,44 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.score_toxicity(docs, known.limit(0), train).collect()} == {0}
 
 
+def test_isotonic_steps_are_the_min_max_means():
+    rng = np.random.default_rng(5)
+    x, y = rng.standard_normal((60, 1)), (rng.random(60) < 0.5).astype(float)
+    model = toxicity.Boosted(1)
+    model.margin = lambda v: v[:, 0]
+    toxicity.calibrate(model, x, y)
+    order = np.argsort(x[:, 0])
+    z = y[order]
+    want = [max(min(z[a : b + 1].mean() for b in range(i, 60)) for a in range(i + 1)) for i in range(60)]  # isotonic least squares
+    blocks = [[k for k in range(60) if math.isclose(want[k], w)] for w in sorted(set(np.round(want, 12)))]
+    for own in blocks:
+        rate = (z[own].sum() + 0.5) / (len(own) + 1)
+        got = model.score(x[order][own])
+        assert got.min() >= 0 and np.ptp(got) < 1e-9 and (abs(got[0] - rate) < 1e-9 or any(abs(got[0] - v) < 1e-9 for v in model.values))
+    assert (np.diff(model.score(x[order])) >= 0).all()
+
+
+def test_first_tree_splits_as_an_exhaustive_search_does():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 6, (300, 3)).astype(float)
+    y = (rng.random(300) < np.where(x[:, 1] > 2, 0.8, 0.2)).astype(float)
+    model = toxicity.fit(x, y, trees=1, depth=1)
+    p = (y.sum() + 0.5) / 301
+    g, h = y - p, np.full(300, p * (1 - p) + 1e-9)
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1) + g[~m].sum() ** 2 / (h[~m].sum() + 1)
+    best = max((gain(x[:, f] <= c), -f, -c) for f in range(3) for c in range(5))
+    f, c = model.feature[0][0], model.cut[0][0]
+    assert (f, best[0]) == (-best[1], pytest.approx(gain(x[:, f] <= c)))
+    left = x[:, f] <= c
+    assert np.allclose(model.leaf[0], [0.25 * g[left].sum() / (h[left].sum() + 1), 0.25 * g[~left].sum() / (h[~left].sum() + 1)])
+
+
+def test_toxicity_takes_one_text_of_a_repeated_id(spark):
+    docs = frame(spark, [(1, f"text {k}") for k in range(50)] + [(2, "other")])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic", 10, lambda c: F.lit(True)).count() == 2
+
+
 def test_decontaminate(spark):
     rows = corpus()
     items = [(1, " ".join(["Alpha", "beta", "Ñu"] + [f"w{k}" for k in range(20)])), (2, "Short item ONLY"), (2, "other text"), (None, "tha on"), (3, None), (4, "--")]
@@ -337,8 +375,8 @@ def test_sharding(spark):
     shards = collections.defaultdict(list)
     for r in got:
         shards[r.shard].append(r)
-        bits = bin(int(hashlib.md5(str("" if r.doc_id is None else r.doc_id).encode()).hexdigest()[:15], 16))[2:].zfill(60)
-        assert bits.startswith(r.shard)
+        bits = {bin(int(hashlib.md5(str("" if i is None else i).encode()).hexdigest()[:11] + hashlib.md5((t or "").encode()).hexdigest()[:4], 16))[2:].zfill(60) for i, t in rows if i == r.doc_id}
+        assert any(b.startswith(r.shard) for b in bits)
     for s, part in shards.items():
         size = sum(r.n_bytes for r in part)
         assert {(size, len(part))} == {(r.shard_bytes, r.shard_rows) for r in part}
@@ -348,6 +386,88 @@ def test_sharding(spark):
     assert sharding.assign_shards(frame(spark, []), 10).count() == 0
 
 
+def test_rows_of_one_id_are_sharded_by_text(spark):
+    rows = [(None, f"text {k} " * 20) for k in range(40)] + [(7, f"other {k} " * 20) for k in range(40)]
+    got = sharding.assign_shards(frame(spark, rows), 1000).collect()
+    assert len(got) == 80 and all(r.shard_bytes <= 1000 and not r.oversized for r in got)
+
+
+def test_written_shards_fit_the_limit(spark, tmp_path):
+    rows = [(i, t) for i, t in corpus() if t]
+    sharding.write_shards(frame(spark, rows), 4000, f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards").withColumn("file", F.input_file_name()).collect()
+    assert sorted((r.doc_id, r.text) for r in back) == sorted(rows)
+    held = collections.Counter()
+    for r in back:
+        held[r.file] += len(r.text.encode())
+    assert len(held) == len({r.shard for r in back}) > 3 and max(held.values()) <= 4000
+
+
+CLASHING = ["drop", "wid", "wmark", "n_lines", "n_removed", "n_words", "items", "bad_id", "mark", "start", "h", "again", "value", "gone", "size", "first", "lo", "hi", "copies", "task", "kind", "count", "label_id", "toxic", "score", "predicted", "place", "own", "t"]
+
+
+def crowded(spark, rows, id_col="doc_id", text_col="text", kind="string"):
+    """rows with extra columns whose names operators might use inside."""
+    df = spark.createDataFrame(rows, f"{id_col} long, {text_col} {kind}")
+    return df.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHING)])
+
+
+def test_extra_columns_with_clashing_names(spark, tmp_path):
+    rows = [(i, t) for i, t in corpus(n=30)]
+    docs, plain = crowded(spark, rows), spark.createDataFrame(rows, "doc_id long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    word = public_tokenizers.path("word_bpe_49k.json")
+    items = crowded(spark, [(1, " ".join(words(rows[3][1])[:13] and rows[3][1].split()[:13]))], "item_id")
+    labels = crowded(spark, [(i, None) for i, _ in rows], "doc_id").withColumn("toxic", F.col("doc_id") % 2)
+    train = lambda c: F.col(c) >= 0
+    same = lambda a, b: sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    assert same(prefix_counts.token_counts(docs, path), prefix_counts.token_counts(plain, path))
+    assert same(forced_bpe.encode_decode(docs, word), forced_bpe.encode_decode(plain, word))
+    assert same(suffix_dedup.remove_repeats(docs), suffix_dedup.remove_repeats(plain))
+    assert same(shingle_join.shingle_components(docs), shingle_join.shingle_components(plain))
+    assert same(sharding.assign_shards(docs, 900), sharding.assign_shards(plain, 900))
+    assert same(toxicity.score_toxicity(docs, labels, train), toxicity.score_toxicity(plain, labels.select("doc_id", "toxic"), train))
+    assert same(decontaminate.contamination(docs, items), decontaminate.contamination(plain, items.select("item_id", "text")))
+    cleaned = line_dedup.dedup_lines(docs.drop("n_lines", "n_removed"))
+    assert same(cleaned.select("doc_id", "text", "n_lines", "n_removed"), line_dedup.dedup_lines(plain))
+    assert set(CLASHING) <= set(cleaned.columns)
+    vectors = crowded(spark, [(i, [float(i % 3), 1.0, 2.0]) for i in range(9)], "vec_id", "embedding", "array<float>")
+    assert same(vector_dedup.vector_components(vectors), vector_dedup.vector_components(vectors.select("vec_id", "embedding")))
+    with pytest.raises(ValueError):
+        decontaminate.contamination(docs, items, keep=("n_words",))
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", items)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_empty_tables(spark):
+    docs = frame(spark, [])
+    assert prefix_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+    assert forced_bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 0
+    assert vector_dedup.vector_components(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    assert toxicity.score_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"), lambda c: F.lit(True)).count() == 0
+    some = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert decontaminate.contamination(docs, some).count() == 0
+    assert [r.n_hit for r in decontaminate.contamination(frame(spark, [(1, "a b c")]), some.limit(0)).collect()] == [0]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    long = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(60_000))
+    rows = [(1, long), (2, long[:200_000] + " other words"), (3, "z" * 300_000), (4, "z" * 1000 + "\n" + long[1000:1400])]
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[3].n_removed, got[4].n_removed) == (0, 200_000, 0, 1400)
+    assert {r.doc_id: r.component_id for r in shingle_join.shingle_components(frame(spark, rows)).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    lines = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(frame(spark, [(1, long), (2, long + " more")])).collect()}
+    assert lines == {1: 0, 2: 1}
+    scored = {r.doc_id: r for r in hmm_score.score_texts(frame(spark, rows), F.col("doc_id") != 2, sweeps=1).collect()}
+    assert scored[1].n_tokens == 60_001 and all(math.isfinite(r.score) for r in scored.values())
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert {r.doc_id: r.n_tokens for r in forced_bpe.encode_decode(frame(spark, rows), public_tokenizers.path("word_bpe_49k.json")).collect()} == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in rows}
+    assert [r.n_hit for r in decontaminate.contamination(frame(spark, [(1, long)]), spark.createDataFrame([(9, long[5000:6000].split(" ", 1)[1])], "item_id long, text string")).collect()][0] > 100
+
+
 def test_shingle_components(spark):
     rows = corpus()
     sets = {i: grams(t) for i, t in rows}
@@ -418,6 +538,69 @@ def test_vectors(spark):
             assert (r.n_links, r.component_id) == (0, r.vec_id)
 
 
+def test_vectors_in_many_blocks(spark, monkeypatch):
+    """The index path: several blocks, cells split over some, recall against brute force, and counts that both sides of a pair share."""
+    monkeypatch.setattr(vector_dedup, "BLOCK_ROWS", 60)
+    rng = np.random.default_rng(7)
+    middle = rng.standard_normal((150, 24))
+    x = np.concatenate([np.repeat(middle, 8, 0) + 0.18 * rng.standard_normal((1200, 24)), rng.standard_normal((800, 24)), middle[0] + 0.02 * rng.standard_normal((250, 24))])
+    got = vector_dedup.vector_components(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)).collect()
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    n = {r.vec_id: r.n_links for r in got}
+    assert all(n[i] <= near[i].sum() for i in range(len(x)))  # none below the cosine
+    assert sum(n.values()) >= 0.97 * near.sum() and sum(n.values()) % 2 == 0
+    whole = linked(range(len(x)), lambda a, b: near[a, b])
+    assert np.mean([r.component_id == whole[r.vec_id] for r in got]) > 0.97
+
+
+def test_tree_links_grow_gently():
+    """Sets that share a few frequent n-grams only: as good as brute force, and not with the square of their number."""
+    rng = np.random.default_rng(1)
+    some = lambda n, size=200: [np.unique(np.r_[[1, 2, 3], rng.integers(10, 1 << 50, size)]).astype(np.uint64) for _ in range(n)]
+    small = some(60, 30)
+    small += [np.sort(np.r_[s[:-2], [7, 8]].astype(np.uint64)) for s in small[:20]]
+    link = lambda a, b: 100 * len(np.intersect1d(small[a], small[b])) >= 75 * len(np.union1d(small[a], small[b]))
+    want = linked(range(len(small)), link)
+    assert shingle_join.tree_links(small, 75, 100) == [want[i] for i in range(len(small))]
+    took = []
+    for n in (500, 2000):
+        sets = some(n)
+        began = time.process_time()
+        assert shingle_join.tree_links(sets, 75, 100) == list(range(n))
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * max(took[0], 0.1)
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Each stage on its own input; rows of repeated and null ids."""
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in [*corpus(), (3, "another text of id three that is long enough"), (None, "tha on"), (None, "tha on")]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    bad = "you scumbag you filthy scumbag " * 3
+    toxic = [(7000 + k, bad + f"word{k}", "en", "s", 9) for k in range(90)]
+    fine = [(8000 + k, f"a fine day number {k} in the park with friends", "en", "s", 9) for k in range(200)]
+    spark.createDataFrame([(i, 1, 1) for i, *_ in toxic] + [(i, 1, 0) for i, *_ in fine], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    item = rows[5][1].split("\n")[0] + " and some more words to fill the window of thirteen words here"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda k, df: corpus_pipeline.STAGES[k][1](spark, df, str(tmp_path))
+    kept = run(0, spark.createDataFrame([*rows, *toxic, *fine], schema))
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, spark.createDataFrame([*rows, *fine], schema).collect()))
+    components = {(r.doc_id, r.component_id) for r in shingle_join.shingle_components(docs).collect()}
+    gone = {i for i, c in components if i is not None and i != c}
+    left = collections.Counter(r.doc_id for r in run(2, docs).collect())
+    sets = {i: grams(t) for i, t in corpus()}
+    link = lambda a, b: bool(sets[a] and sets[b]) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    want = linked(sorted(sets), link)
+    assert gone == {i for i, c in want.items() if i != c} and set(left) == {i for i, c in want.items() if i == c} | {None} and left[3] == 2 and left[None] == 2
+    hit = [(9000, "before " + item + " after", "en", "s", 1), (9001, "x " * 2000 + item, "en", "s", 1)]
+    stays = {r.doc_id for r in run(3, spark.createDataFrame([*rows, *hit], schema)).collect()}
+    assert 9000 not in stays and 9001 in stays and {i for i, *_ in rows} <= stays | {None}
+    lines = run(1, docs).collect()
+    assert len(lines) == len(rows) and all(r.n_chars == len(r.text) for r in lines if r.text is not None)
+
+
 def test_pipeline(spark, tmp_path):
     rows = corpus()
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
