@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockwright.llm.common import LOWER, UPPER, durable
+from blockwright.llm.common import LOWER, UPPER, discard, durable
 
 # What stands between words, and words, in texts whose A-Z are not in lower case yet.
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -70,9 +70,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13, per: int =
     fits = (F.col("p") >= F.col("j")) & (F.col("p") - F.col("j") + F.col("m") <= F.col("n"))
     maybe = spot.join(send(rare, rare.count()), "w").where(fits).select("id", "mark", (F.col("p") - F.col("j")).cast("int").alias("start"), "m", "window")
     whose = wins.groupBy("window").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("named"))
-    per_text = maybe.join(send(durable(whose), rare.count()), "window").groupBy("id", "mark").agg(F.collect_set(F.struct("start", "m", "window", "named")).alias("__maybe"))
+    whose = durable(whose)
+    per_text = maybe.join(send(whose, whose.count()), "window").groupBy("id", "mark").agg(F.collect_set(F.struct("start", "m", "window", "named")).alias("__maybe"))
     per_text = durable(per_text.withColumnsRenamed({"id": "__id", "mark": "__mark"}))
 
+    discard(wins, in_use, rare, whose)
     base = docs.select(F.col(id_col).alias("__own"), F.xxhash64(text_col).alias("__text"), F.col(text_col).alias("__t"), *[F.col(c).alias(f"__keep_{c}") for c in keep])
     base = base.join(send(per_text, per_text.count()), F.col("__id").eqNullSafe(F.col("__own")) & (F.col("__mark") == F.col("__text")), "left")
     same = lambda words: F.filter("__maybe", lambda c: lowered(F.concat_ws(" ", F.slice(words, c["start"] + 1, c["m"]))) == c["window"])

@@ -12,6 +12,7 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from blockwright.llm.prefix_counts import BEYOND_LATIN, byte_letters
 # Fixed value: the word pattern of this vocabulary file.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Words and fragments that a worker remembers, and the symbols of a fragment that is worth it: some 80 MB at most.
-MOST_WORDS, MOST_FRAGMENTS, LONG = 120_000, 60_000, 64
+MOST_WORDS, MOST_FRAGMENTS, LONG = 300_000, 60_000, 64
 #: Marks the last byte of a word: symbols 0-255 are bytes, 256-511 bytes that end a word.
 LAST = 256
 
@@ -61,7 +62,7 @@ class ForcedBpe:
         self.letters = letters
         self.text = {i: t for t, i in (spec["model"]["vocab"] | added).items()}
         self.fragments: dict[tuple[int, ...], list[int]] = {}
-        self.known: dict[str, tuple[int, bytes, str]] = {}
+        self.known: dict[str, bytes] = {}
 
     def fragment(self, parts: tuple[int, ...]) -> list[int]:
         ids = self.fragments.get(parts)
@@ -112,29 +113,29 @@ class ForcedBpe:
 
     def decode(self, ids: list[int]) -> str:
         """As a vocabulary without a decoder is read: the entries, with spaces between."""
-        return " ".join([self.text[i] for i in ids])
+        return " ".join(map(self.text.__getitem__, ids))
 
-    def chunk(self, text: str) -> tuple[int, bytes, str]:
-        """Number of ids, the ids as little-endian 32-bit integers, and their text, of what stands between two spaces."""
+    def chunk(self, text: str) -> bytes:
+        """The ids, as little-endian 32-bit integers, of what stands between two spaces."""
         found = self.known.get(text)
         if found is None:
-            ids = [i for w in self.words(text) for f in self.cut(w) for i in self.fragment(f)]
-            found = len(ids), np.array(ids, "<u4").tobytes(), self.decode(ids)
+            found = array("I", [i for w in self.words(text) for f in self.cut(w) for i in self.fragment(f)]).tobytes()
             if len(self.known) < MOST_WORDS and len(text) <= LONG:
                 self.known[text] = found
         return found
 
     def encode(self, text: str) -> tuple[int, bytes, str]:
-        chunks = []
+        """Number of ids, the ids, and their text."""
+        chunks: list[bytes] = []
+        known, chunk = self.known, self.chunk
         for part in self.split.split(text) if "<|" in text else [text]:
             if part in self.special:
-                chunks.append((1, np.array([self.special[part]], "<u4").tobytes(), part))
+                chunks.append(array("I", [self.special[part]]).tobytes())
             elif part:
-                known, chunk = self.known, self.chunk
                 plain = self.library.normalizer.normalize_str(part) if BEYOND_LATIN.search(part) else normalize(part)
                 chunks += [known.get(c) or chunk(c) for c in plain.split(" ")]
-        chunks = [c for c in chunks if c[0]]
-        return sum([c[0] for c in chunks]), b"".join([c[1] for c in chunks]), " ".join([c[2] for c in chunks])
+        ids = b"".join(chunks)
+        return len(ids) // 4, ids, self.decode(np.frombuffer(ids, "<u4").tolist())
 
 
 @functools.lru_cache(maxsize=4)

@@ -26,6 +26,7 @@ MOST_STATES = 1_200_000
 FOREVER = 1 << 60
 # The piece pattern of this vocabulary file and two white spaces that touch.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PLAIN = regex.compile(r" ?(\p{L}+|\p{N}+)")
 TOUCHING = re.compile(r"\s \s|  ")
 BEYOND_LATIN = re.compile("[^\\x00-\u024f]")
 
@@ -43,6 +44,9 @@ class PrefixCounter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        split = spec.get("pre_tokenizer") or {}
+        if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or spec.get("normalizer"):
+            raise ValueError("pieces are cut by the byte-level pattern without a normalizer; this file has another")
         letters = byte_letters()
         raw = lambda t: bytes(letters[c] for c in t)
         vocab = {raw(t) for t in spec["model"]["vocab"]}
@@ -137,8 +141,17 @@ class PrefixCounter:
         return known
 
     def inside(self, piece: bytes) -> list[int]:
-        """Counts at the bytes 1..n of one piece."""
-        return [self.state(piece[:end])[0] for end in range(1, len(piece) + 1)]
+        """Counts at the bytes 1..n of one piece, in one walk."""
+        row, states = [(0, b"")], self.states
+        for end in range(1, len(piece) + 1):
+            known = states.get(piece[:end]) if end < 24 else None
+            for start in range(max(0, end - self.longest), end) if known is None else ():
+                token = piece[start:end]
+                if token in self.tokens and (not start or self.may_follow(row[start][1], token)):
+                    known = row[start][0] + 1, token
+                    break
+            row.append(known)
+        return [n for n, _ in row[1:]]
 
     def piece(self, text: str) -> int:
         """Tokens of one piece."""
@@ -171,12 +184,20 @@ class PrefixCounter:
         return ends, counts
 
     def budget(self, text: str, limit: int) -> int:
-        """Characters of the longest prefix, cut between pieces, that has at most limit tokens."""
+        """Characters of the longest prefix that has at most limit tokens, cut between pieces or inside one of letters or digits."""
         chars, total = 0, 0
         for part in self.parts(text):
             for piece in [part] if part in self.special else self.cut(part):
                 n = 1 if part in self.special else self.piece(piece)
                 if total + n > limit:
+                    if part not in self.special and PLAIN.fullmatch(piece):  # the first bytes of such a piece are a piece as well
+                        counts = self.inside(piece.encode())
+                        ends = [len(c.encode()) for c in piece]
+                        at = sum(ends)
+                        for k in range(len(piece) - 1, int(piece[0] == " "), -1):
+                            at -= ends[k]
+                            if total + counts[at - 1] <= limit:
+                                return chars + k
                     return chars
                 chars, total = chars + len(piece), total + n
         return chars

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from blockwright.llm.common import ASCII_LOWER, connected_components, durable, groups, packed, partitions, sent, values, whole_tasks
+from blockwright.llm.common import ASCII_LOWER, connected_components, discard, durable, groups, packed, partitions, sent, values, whole_tasks
 
 #: N-grams of the sets that one task holds at a time; larger candidate groups are dealt as pairs of blocks.
 GROUP_TOKENS = 3_000_000
@@ -370,7 +370,7 @@ def settle_nodes(part: dict[str, np.ndarray], held: dict[str, np.ndarray]) -> tu
 
 def travelled(rows: DataFrame) -> DataFrame:
     """Rows of emit_grams() after both shuffles: by n-gram, then by node."""
-    tasks = min(1 << 16, 2 * partitions(rows.sparkSession))
+    tasks = min(1 << 16, partitions(rows.sparkSession))
     met = rows.repartition("task").sortWithinPartitions("task").mapInArrow(lambda batches: count_shared(batches, tasks), MET_ROW)
     return met.repartition("task").sortWithinPartitions("task")
 
@@ -383,7 +383,7 @@ def meeting(texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
     bits of hash and their task: what falls together can only keep a node that might go.
     """
     check_similarity(num, den)
-    tasks = min(1 << 16, 16 * partitions(texts.sparkSession))
+    tasks = min(1 << 16, 8 * partitions(texts.sparkSession))
 
     def emit(batches):
         for batch in batches:
@@ -416,7 +416,9 @@ def meeting_groups(sets: DataFrame, num: int, den: int) -> DataFrame:
     # n-grams of one node only come first in the order, so the prefix has that many fewer of the others
     head = durable(ranked.where(F.expr(f"r <= n - ceil({num} * n / {den}) + 1 - (n - m)")).select("node", "h"))
     hub = head.groupBy("h").agg(F.min("node").alias("hub"))
-    return connected_components(head.join(hub, "h").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    out = connected_components(head.join(hub, "h").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    discard(head)
+    return out
 
 
 def deal_groups(sets: DataFrame, group: DataFrame) -> DataFrame:
@@ -471,8 +473,10 @@ def shingle_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
                 own = np.array([k == struct.pack("<qq", a, b) for k, a, b in zip(keys, lo, hi)], bool)  # else another row of a repeated id
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(node)[own], pa.int64()), as_lists(n[own], h[np.repeat(own, n)])], ["node", "s"])
 
-    sets = texts.where("id IS NOT NULL").join(sent(reps), "id").select("node", "lo", "hi", "t").mapInArrow(full_sets, "node long, s array<long>").dropDuplicates(["node"])
+    sets = texts.where("id IS NOT NULL").join(sent(reps), "id").select("node", "lo", "hi", "t").mapInArrow(full_sets, "node long, s array<long>")
     sets = durable(sets.withColumn("n", F.size("s")))
+    if sets.count() > reps.count():  # repeated rows
+        sets = durable(sets.dropDuplicates(["node"]))
     group = meeting_groups(sets, num, den)
 
     def join_groups(batches):
@@ -490,6 +494,7 @@ def shingle_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
     moved = joined.join(least, "component").select("lo", "hi", "least")
     place = nodes.select("lo", "hi", "n").join(first, ["lo", "hi"]).join(moved, ["lo", "hi"], "left").select("lo", "hi", "n", F.coalesce("least", "first").alias("least"))
     out = keyed.join(durable(place), ["lo", "hi"], "left")
+    discard(nodes, first, reps, sets, group, component)
     if docs.where(F.col(id_col).isNull()).limit(1).count():  # they link with nothing and were left out above
         lone = texts.where("id IS NULL").mapInArrow(sizes_of, f"id {kind}, n long").select("id", "n", F.lit(None).cast(kind).alias("least"))
         out = out.where("id IS NOT NULL").select("id", "n", "least").unionByName(lone)

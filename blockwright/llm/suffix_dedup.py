@@ -471,7 +471,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         raise ValueError(f"strings of {GRAM + 2} to {GRAM + 200} bytes can be found")
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    tasks, doc_tasks = min(1 << 16, 16 * partitions(spark)), min(1 << 16, 2 * partitions(spark))
+    tasks, doc_tasks = min(1 << 16, 8 * partitions(spark)), min(1 << 16, partitions(spark))
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
     # rows of one id with different texts are told apart by j, a hash of the text; it is 0 where ids aren't repeated
     repeats = durable(plain.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select(F.col("id").alias("again")))

@@ -162,16 +162,28 @@ def learn_lexicon(sample: DataFrame, most: int = LEXICON) -> tuple[frozenset[byt
     """Words, and beginnings of longer words, that stand in toxic rows at least nine times in ten and eight times at least."""
 
     def terms(batches):
-        for b in batches:
-            out: list[tuple[str, bytes, int]] = []
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                kinds = set(words_of(text or ""))
-                out += [("word", w, toxic) for w in kinds]
-                out += [("stem", s, toxic) for s in {w[:STEM] for w in kinds if len(w) > STEM}]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.int32())], ["kind", "term", "toxic"])
-
-    counted = sample.select("text", "toxic").mapInArrow(terms, "kind string, term binary, toxic int").groupBy("kind", "term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("rows"))
+        count: dict[tuple[str, bytes], list[int]] = {}
+
+        def out():
+            keys, sums = list(count), np.array(list(count.values()))
+            count.clear()
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.binary()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["kind", "term", "bad", "rows"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
+                for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    kinds = set(words_of(text or ""))
+                    for key in [("word", w) for w in kinds] + [("stem", s) for s in {w[:STEM] for w in kinds if len(w) > STEM}]:
+                        sums = count.setdefault(key, [0, 0])
+                        sums[0] += toxic
+                        sums[1] += 1
+                if len(count) > 100_000:
+                    yield out()
+        if count:
+            yield out()
+
+    counted = sample.select("text", "toxic").mapInArrow(terms, "kind string, term binary, bad long, rows long").groupBy("kind", "term").agg(F.sum("bad").alias("bad"), F.sum("rows").alias("rows"))
     found = counted.where("bad >= 8 AND bad >= 0.9 * rows").orderBy(F.desc("bad"), "kind", "term").limit(most).collect()
     return frozenset(bytes(r.term) for r in found if r.kind == "word"), frozenset(bytes(r.term) for r in found if r.kind == "stem")
 
@@ -201,7 +213,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_if, id_col: str = "
     lexicon, stems = learn_lexicon(sample)
 
     def rows(batches):
-        for b in batches:
+        for b in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
             x = [describe(t, lexicon, stems) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["id", "toxic", "x"])
 
@@ -213,8 +225,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_if, id_col: str = "
 
     def score(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
                 s = model.score(np.array([describe(t, lexicon, stems) for t in part.column(0).to_pylist()]).reshape(-1, len(FEATURES)))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(s, pa.float64()), pa.array((s >= cut).astype(np.int32))], [*names, "score", "predicted"])
 

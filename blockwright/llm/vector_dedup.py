@@ -150,12 +150,13 @@ def vector_components(vectors: DataFrame, least: float = 0.9, id_col: str = "vec
     rows = durable(rows)
     nodes = rows.where("lo IS NOT NULL").groupBy("lo", "hi").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("unit").alias("unit"))
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()))
-    found = None
+    found, used = None, []
     for size, n in nodes.groupBy("size").count().orderBy("size").collect():
         own = nodes.where(F.col("size") == size)
         sample = own.orderBy(F.xxhash64("lo"), "lo", "hi").limit(SAMPLE_ROWS).select("unit").collect()
         index = MultiIndex(np.stack([np.frombuffer(r.unit) for r in sample]), n, least)
-        part = search(own, index, least)
+        part, placed = search(own, index, least)
+        used.append(placed)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -165,13 +166,14 @@ def vector_components(vectors: DataFrame, least: float = 0.9, id_col: str = "vec
     group = nodes.join(component, "node", "left").select("node", "first", "copies", "lo", "hi", F.coalesce("component", "node").alias("component"))
     lowest = group.groupBy("component").agg(F.min("first").alias("component_id"))
     facts = group.join(lowest, "component").join(links, "node", "left").select("lo", "hi", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), "component_id")
-    out = rows.select("id", "lo", "hi").join(facts, ["lo", "hi"], "left")
+    out = rows.select("id", "lo", "hi").join(durable(facts), ["lo", "hi"], "left")
+    discard(nodes, found, component, *used)
     component_id = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.coalesce(F.col("id") == component_id, F.lit(True)).alias("kept"))
 
 
-def search(nodes: DataFrame, index: MultiIndex, least: float) -> DataFrame:
-    """(node, links, other): rows linked with each node, in parts; and enough pairs of linked nodes to join all that are linked."""
+def search(nodes: DataFrame, index: MultiIndex, least: float) -> tuple[DataFrame, DataFrame]:
+    """(node, links, other): rows linked with each node, in parts; and enough pairs of linked nodes to join all that are linked. Also the table that this reads."""
 
     def place(batches):
         for b in batches:
@@ -257,7 +259,7 @@ def search(nodes: DataFrame, index: MultiIndex, least: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.zeros(len(node), np.int64)), pa.array(other)], ["node", "links", "other"])
 
     dealt = placed.mapInArrow(deal, "block int, asks int, node long, copies long, unit binary, cell int, cells array<int>").repartition("block").sortWithinPartitions("block", "asks", "cell")
-    return dealt.mapInArrow(verify, "node long, links long, other long")
+    return dealt.mapInArrow(verify, "node long, links long, other long"), placed
 
 
 def blocks_of(batches):

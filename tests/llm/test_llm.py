@@ -88,6 +88,12 @@ def test_token_counts(spark):
     ends, counts = pc.prefix(text)
     assert counts[-1] == n(text) and ends[-1] == len(text.encode())
     assert all(n(text[: pc.budget(text, k)]) <= k for k in range(12))
+    plain = "internationalization of unbelievably misspelt wrds andd numbers 1234567 é"
+    for k in range(n(plain) + 2):
+        assert pc.budget(plain, k) == max(j for j in range(len(plain) + 1) if n(plain[:j]) <= k and (not j or plain[j - 1] != " "))
+    assert pc.inside(b"abcdefgh" * 40)[-1] == n("abcdefgh" * 40)
+    with pytest.raises(ValueError):
+        prefix_counts.counter(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def test_bpe(spark):
