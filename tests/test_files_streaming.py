@@ -1,9 +1,11 @@
 """Files, binary logs and streams."""
 
+import random
 import struct
 import zlib
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from blockwright.sources import files, sinks
@@ -72,3 +74,43 @@ def test_runs_from_a_stream(spark, tmp_path):
 def test_out_of_order(spark):
     rows = spark.createDataFrame([(1, 0, 0), (1, 2, 1), (1, 3, 2), (2, 1, 0)], "run_id long, order_index long, arrival long")
     assert {(r.run_id, r.order_index) for r in runs.out_of_order(rows).collect()} == {(1, 2), (2, 1)}
+
+
+def test_sources_are_tried_in_turn(spark, tmp_path):
+    some = spark.createDataFrame([(1,)], "a int")
+    some.limit(0).write.parquet(f"{tmp_path}/empty")
+    some.write.parquet(f"{tmp_path}/some")
+    read = lambda n: lambda: spark.read.parquet(f"{tmp_path}/{n}")
+    assert files.first_source(spark, {n: read(n) for n in ("none", "empty", "some")})[0] == "some"
+    with pytest.raises(FileNotFoundError, match="none, empty"):
+        files.first_source(spark, {n: read(n) for n in ("none", "empty")})
+
+
+def test_missing_captures_are_an_error(spark):
+    there = spark.createDataFrame([("a/run1_raw.bmp",), ("a/run1_ref.bmp",)], "file string")
+    wanted = spark.createDataFrame([(1, "raw"), (1, "ref")], "run long, kind string")
+    assert files.require_captures(there, wanted).count() == 2
+    with pytest.raises(FileNotFoundError, match="2 raw"):
+        files.require_captures(there, wanted.unionByName(spark.createDataFrame([(2, "raw")], wanted.schema)))
+
+
+def test_union_has_columns_in_the_order_first_seen(spark, tmp_path):
+    rows = sinks.write_union([spark.createDataFrame([(1, 2)], "b int, a int"), spark.createDataFrame([(3, 4)], "c int, a int")], str(tmp_path / "u"))
+    assert rows.columns == ["b", "a", "c"]
+    assert {p.read_text().split("\n")[0] for p in (tmp_path / "u").glob("*.csv")} == {"b,a,c"}
+
+
+def test_order_is_waited_for(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i % 3, k, rng.choice([1, 1, 2, 3, 4])) for k, i in enumerate(range(300))]
+    source = tmp_path / "in"
+    source.mkdir()
+    pd.DataFrame(rows, columns=["run_id", "arrival", "slot"]).to_parquet(source / "a.parquet")
+    stream = spark.readStream.schema("run_id long, arrival long, slot long").parquet(str(source))
+    q = runs.in_order(stream).writeStream.outputMode("update").format("memory").queryName("ordered").trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = {}
+    for run, _, slot in rows:
+        accepted, skipped, wanted = want.get(run, (0, 0, 1))
+        want[run] = (accepted + 1, skipped, wanted % 20 + 1) if slot == wanted else (accepted, skipped + 1, wanted)
+    assert {r.run_id: (r.accepted, r.skipped, r.next_order) for r in spark.table("ordered").collect()} == want

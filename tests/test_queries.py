@@ -9,13 +9,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from blockwright.operators import codec
-from blockwright.plans import block_queries, record_queries
+from blockwright.operators import analytics, codec
+from blockwright.operators import frames as images
+from blockwright.plans import block_queries, file_queries, record_queries
 from blockwright.plans.dims import zigzag
 
 SOURCE = "/root/testdata/sf0.001"
-TABLES = {"embeddings": "SELECT * FROM src ORDER BY vec_id LIMIT 40", "events": "SELECT * FROM src ORDER BY event_id LIMIT 900", "lineitem": "SELECT * FROM src LIMIT 400", "orders": "SELECT * FROM src"}
-QUERIES, SQL = record_queries.QUERIES | block_queries.QUERIES, record_queries.SQL | block_queries.SQL
+TABLES = {"embeddings": "SELECT * FROM src ORDER BY vec_id LIMIT 40", "events": "SELECT * FROM src ORDER BY event_id LIMIT 900", "lineitem": "SELECT * FROM src LIMIT 400", "orders": "SELECT * FROM src", "pages": "SELECT * FROM src"}
+QUERIES, SQL = record_queries.QUERIES | block_queries.QUERIES | file_queries.QUERIES, record_queries.SQL | block_queries.SQL | file_queries.SQL
 
 
 @pytest.fixture(scope="module")
@@ -78,16 +79,104 @@ def test_j7_impulse_is_the_outer_product(spark):
     assert list(got) == [p * q for p in row for q in row]
 
 
-@pytest.mark.parametrize("method", ["matrix", "loeffler"])
-def test_float_kernels_round_trip_closely(spark, method):
+def scalar_butterfly(line, back):
+    """The stated arithmetic, number by number in 32 bits."""
+    f = np.float32
+    c1, s1, c3, s3, c6, s6, root2, half = map(f, (0.9807852804, 0.1950903220, 0.8314696123, 0.5555702330, 0.3826834324, 0.9238795325, 1.4142135624, 0.3535533906))
+    away = lambda x: int(math.copysign(math.floor(abs(float(x)) + 0.5), x))
+    x = [int(v) for v in line]
+    if not back:
+        a, b = [f(x[i] + x[7 - i]) for i in range(4)], [f(x[i] - x[7 - i]) for i in range(4)]
+        e0, e1, e2, e3 = a[0] + a[3], a[1] + a[2], a[1] - a[2], a[0] - a[3]
+        o0, o1, o2, o3 = b[0] + b[3], b[1] + b[2], b[1] - b[2], b[0] - b[3]
+        out = [(e0 + e1) * half, (c3 * o0 + c1 * o1 + s1 * o2 + s3 * o3) * half, (c6 * e2 + s6 * e3) * f(0.5), (s1 * o0 - c3 * o1 + s3 * o2 + c1 * o3) * half, (e0 - e1) * half, (c1 * o0 - s3 * o1 - c3 * o2 - s1 * o3) * half, (-s6 * e2 + c6 * e3) * f(0.5), (-s3 * o0 + s1 * o1 - c1 * o2 + c3 * o3) * half]
+        return [away(v) for v in out]
+    z = [f(v) * f(2) for v in x]
+    t0, t4 = z[0] * root2, z[4] * root2
+    e2, e3 = f(2) * (c6 * z[2] - s6 * z[6]), f(2) * (s6 * z[2] + c6 * z[6])
+    s = [t0 + t4 + e3, t0 - t4 + e2, t0 - t4 - e2, t0 + t4 - e3]
+    n = [c3 * z[1] + s1 * z[3] + c1 * z[5] - s3 * z[7], c1 * z[1] - c3 * z[3] - s3 * z[5] + s1 * z[7], s1 * z[1] + s3 * z[3] - c3 * z[5] - c1 * z[7], s3 * z[1] + c1 * z[3] - s1 * z[5] + c3 * z[7]]
+    d = [(n[0] + n[3]) * root2, (n[1] + n[2]) * root2, (n[1] - n[2]) * root2, (n[0] - n[3]) * root2]
+    return [away((s[i] + d[i]) / f(8)) for i in range(4)] + [away((s[i] - d[i]) / f(8)) for i in (3, 2, 1, 0)]
+
+
+def scalar_matrix(line, back):
+    m, out = codec.cosine_basis(), []
+    for k in range(8):
+        total = np.float32(0)
+        for n in range(8):
+            total += np.float32(line[n]) * (m[n][k] if back else m[k][n])
+        out.append(int(math.copysign(math.floor(abs(float(total)) + 0.5), total)))
+    return out
+
+
+@pytest.mark.parametrize("method, line", [("matrix", scalar_matrix), ("loeffler", scalar_butterfly)])
+def test_float_kernels_are_exact(spark, method, line):
+    def both(block, back):
+        b = np.array(block).reshape(8, 8)
+        for rows in (not back, back):
+            b = np.array([line(v, back) for v in (b if rows else b.T)])
+            b = b if rows else b.T
+        return b.ravel().tolist()
+
     x = edge_blocks()
     there = codec.float_kernel(blocks_of(spark, x), method, "b")
-    m = codec.cosine_basis().astype(float)
-    want = np.stack([m @ b.reshape(8, 8) @ m.T for b in x]).reshape(-1, 64)
-    got = np.array([r.b for r in there.orderBy("i").collect()])
-    assert np.abs(got - want).max() <= 2.5  # both passes round
-    back = np.array([r.b for r in codec.float_kernel(there, method, "b", True).orderBy("i").collect()])
-    assert np.abs(back - x).max() <= 3
+    want = [both(b, False) for b in x]
+    assert [list(r.b) for r in there.orderBy("i").collect()] == want
+    back = [list(r.b) for r in codec.float_kernel(there, method, "b", True).orderBy("i").collect()]
+    assert back == [both(b, True) for b in want]
+    assert np.abs(np.array(back) - x).max() <= 3
+
+
+def test_any_line_transform_can_be_registered(spark):
+    codec.register_kernel("twice", lambda x: 2 * x, lambda x: x // 2)
+    try:
+        there = codec.float_kernel(blocks_of(spark, edge_blocks()), "twice", "b")
+        assert [list(r.b) for r in there.orderBy("i").collect()] == (4 * edge_blocks()).tolist()
+        assert [list(r.b) for r in codec.float_kernel(there, "twice", "b", True).orderBy("i").collect()] == edge_blocks().tolist()
+    finally:
+        del codec.KERNELS["twice"]
+
+
+def pattern(w, h):
+    return [(w, h, y, x, (13 * x + 7 * y) & 255, (3 * x + 17 * y + 40) & 255, (19 * x + 5 * y + 90) & 255) for y in range(h) for x in range(w)]
+
+
+@pytest.mark.parametrize("subsampling", ["444", "422", "420"])
+def test_identity_job_gives_the_image_back(spark, subsampling):
+    """23 by 17 pixels: what chroma loses is what its means lose; luma blocks cover whole units."""
+    keys = ["w", "h"]
+    f = spark.createDataFrame(pattern(23, 17), "w int, h int, y int, x int, r int, g int, b int")
+    levels = images.compress(f, keys, "identity", 1.0, subsampling)
+    count = {r.plane: r["count"] for r in levels.groupBy("plane").count().collect()}
+    luma = {"444": 9, "422": 12, "420": 16}[subsampling]
+    chroma = {"444": 9, "422": 6, "420": 4}[subsampling]
+    assert count == {"y": luma, "cb": chroma, "cr": chroma}
+    got = {(r.y, r.x): (r.r, r.g, r.b) for r in images.decompress(levels, keys, "identity", 1.0, subsampling).collect()}
+    want = {(y, x): c for _, _, y, x, *c in pattern(23, 17)}
+    assert set(got) == set(want)
+    if subsampling == "444":
+        assert max(abs(a - b) for p in want for a, b in zip(got[p], want[p])) <= 3
+    gray = images.compress(f, keys, "identity", 1.0, gray=F.col("r"))
+    assert {(r.y, r.x): r.v for r in images.to_gray(gray.select(*keys, "brow", "bcol", F.col("q").alias("b")), keys).collect()} == {p: c[0] for p, c in want.items()}
+
+
+def test_parameter_errors(spark):
+    good = (1, 8, 8, 2, 0, 0, 0.5)
+    rows = [(good, 0), ((None, *good[1:]), -1), ((1, 0, *good[2:]), -2), ((1, 8, 8, 6, 0, 0, 0.5), -4), ((1, 8, 8, 2, 2, 0, 0.5), -5), ((1, 8, 8, 2, 1, 3, 0.5), -8), ((1, 8, 8, 2, 0, 0, 0.0), -9), ((1, 8, 8, 2, 0, 0, 32.5), -9), ((1, 8, 8, 2, 0, 0, float("nan")), -9), ((1, 8, 8, 2, 0, 0, None), -9)]
+    df = spark.createDataFrame([(*r, e) for r, e in rows], "image int, w int, h int, m int, c int, s int, k double, want int")
+    assert all(r.want == r.got for r in df.withColumn("got", images.parameter_error(*map(F.col, ("image", "w", "h", "m", "c", "s", "k")))).collect())
+
+
+def test_a_missing_reference_is_told(spark):
+    records = spark.createDataFrame([(1, 100, "OK"), (2, 100, "OK"), (2, 0, "CRC_FAIL")], "run_id long, stream_bytes long, status string")
+    got = analytics.with_reference(records, spark.createDataFrame([(2, 500)], "run_id long, raw_bytes long")).orderBy("run_id", "stream_bytes").collect()
+    assert [(r.ratio, r.status) for r in got] == [(0.0, "REF_MISSING"), (0.0, "CRC_FAIL"), (5.0, "OK")]
+
+
+def test_numbers_go_on_over_spans(spark):
+    got = analytics.numbered(spark.range(0, 3000, 3).repartition(5), "id", spans=7).collect()
+    assert sorted((r.place, r.id) for r in got) == [(k + 1, 3 * k) for k in range(1000)]
 
 
 def test_reciprocal_quantizer_is_no_division(spark):
