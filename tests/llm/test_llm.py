@@ -588,7 +588,7 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     toxic = [(7000 + k, bad + f"word{k}", "en", "s", 9) for k in range(90)]
     fine = [(8000 + k, f"a fine day number {k} in the park with friends", "en", "s", 9) for k in range(200)]
     spark.createDataFrame([(i, 1, 1) for i, *_ in toxic] + [(i, 1, 0) for i, *_ in fine], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    item = rows[5][1].split("\n")[0] + " and some more words to fill the window of thirteen words here"
+    item = " ".join(f"question{k}" for k in range(16))  # words that no other row has
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     run = lambda k, df: corpus_pipeline.STAGES[k][1](spark, df, str(tmp_path))
     kept = run(0, spark.createDataFrame([*rows, *toxic, *fine], schema))
