@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwright.llm import decontaminate, forced_bpe, hmm_score, line_dedup, prefix_counts, sharding, shingle_join, spelling, suffix_dedup, toxicity, vector_dedup
+from blockwright.llm import conversation, decontaminate, forced_bpe, hmm_score, line_dedup, prefix_counts, sharding, shingle_join, spelling, suffix_dedup, toxicity, vector_dedup
 from blockwright.llm.common import table
 
 
@@ -72,6 +72,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_dedup": op1_vector_dedup,
     "op2_token_counts": op2_token_counts,
@@ -84,9 +88,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_shingle_join": op9_shingle_join,
     "op10_line_dedup": op10_line_dedup,
     "op12_spelling": op12_spelling,
+    "op13_conversation": op13_conversation,
 }
 ORACLES: dict[str, str] = {
     "op7_decontaminate": decontaminate.SQL,
     "op8_shards": sharding.sql(SHARD_BYTES),
     "op12_spelling": spelling.SQL,
+    "op13_conversation": conversation.sql(),
 }
