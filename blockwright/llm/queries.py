@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwright.llm import conversation, decontaminate, forced_bpe, hmm_score, line_dedup, prefix_counts, sharding, shingle_join, spelling, suffix_dedup, toxicity, vector_dedup
+from blockwright.llm import conversation, decontaminate, forced_bpe, hmm_score, line_dedup, prefix_counts, secret_scan, sharding, shingle_join, spelling, suffix_dedup, toxicity, vector_dedup
 from blockwright.llm.common import table
 
 
@@ -68,6 +68,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forced_bpe.digests(forced_bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shards": op8_shards,
     "op9_shingle_join": op9_shingle_join,
     "op10_line_dedup": op10_line_dedup,
+    "op11_secrets": op11_secrets,
     "op12_spelling": op12_spelling,
     "op13_conversation": op13_conversation,
 }
