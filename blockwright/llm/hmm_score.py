@@ -4,7 +4,7 @@ A text is its words in lower case (A-Z) and one end. The most frequent words are
 of the model; each other word has the symbol of its ending, and its share among all words
 of that symbol, so that the model gives each text an exact probability. Words are counted
 over all training texts. Baum-Welch starts from their shares and is incremental: the
-training texts are dealt into parts by a hash. Each step adds up one part's expected counts
+training texts are dealt into parts by a hash of their ids and letters. Each step adds up one part's expected counts
 inside each partition, sums them across partitions, puts them in the place of that part's
 counts of the sweep before, and sets the model by the counts of all parts. So each sweep
 passes over all training texts once, and the model moves as often as there are parts.
@@ -227,7 +227,8 @@ def score_texts(docs: DataFrame, train_if, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(train_if, F.lit(False)).alias("train"), F.col(text_col).alias("t"))
+    part = F.pmod(F.xxhash64(id_col, text_col), F.lit(PARTS)).cast("int")  # of the row alone, however the table is dealt out
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(train_if, F.lit(False)).alias("train"), F.col(text_col).alias("t"), part.alias("part"))
 
     def count(batches):
         c: Counter[bytes] = Counter()
@@ -286,10 +287,10 @@ def score_texts(docs: DataFrame, train_if, id_col: str = "doc_id", text_col: str
                 tail = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(text[has], minlength=len(split)))].astype(np.int32)), pa.array(rare[has]))
                 symbols = pa.Array.from_buffers(pa.binary(), len(split), [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(symbol)])
                 sums = [pa.array(np.bincount(text, x, len(split))) for x in (base, inner)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size), symbols, *sums, tail], ["id", "train", "n", "symbols", "base", "inner", "tail"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(size), symbols, *sums, tail], ["id", "train", "part", "n", "symbols", "base", "inner", "tail"])
 
-    seen = texts.mapInArrow(read, f"id {kind}, train boolean, n long, symbols binary, base double, inner double, tail array<long>")
-    seen = durable(seen.withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(PARTS)).cast("int")), by="part")
+    seen = texts.mapInArrow(read, f"id {kind}, train boolean, part int, n long, symbols binary, base double, inner double, tail array<long>")
+    seen = durable(seen.withColumn("row", F.monotonically_increasing_id()), by="part")
     model, _ = train(seen.where("train"), shares, states, sweeps)
 
     def score(batches):
