@@ -79,3 +79,13 @@ def uptime(us: Column) -> Column:
 def k_text(k: Column) -> Column:
     """k as short text: 0.1, 0.25, 1."""
     return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", k), "0+$", ""), "\\.$", "")
+
+
+def micros(ts: str) -> Column:
+    """Microseconds since 1970 of a time without a zone, read as UTC whatever the session's zone is."""
+    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{ts}`)")
+
+
+def from_micros(us: str) -> Column:
+    """The time without a zone of microseconds since 1970."""
+    return F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(`{us}` AS decimal(24, 6)) / 1000000)")

@@ -286,67 +286,75 @@ def _(spark, d):
 # ---- streams
 
 
-def streamed(spark, d, columns: list) -> DataFrame:
-    """The events as a stream of record parts: a third each are headers, payloads and telemetry of a slot."""
-    source = spark.read.parquet(f"{d}/events.parquet").schema
-    e = spark.readStream.schema(source).parquet(f"{d}/events.parque[t]")  # a pattern, as a stream takes a plain path for a folder
-    return e.select(*columns)
+def parts_of(spark, d) -> DataFrame:
+    """The records as record parts: a third each are headers, payloads and telemetry of their slot."""
+    part = F.element_at(F.array(*map(F.lit, runs.PARTS)), (F.col("ord") % 3 + 1).cast("int"))
+    return full_records(spark, d).select("run_id", "ts", "ord", "slot", part.alias("part"), (F.col("status") != "OK").alias("failed"))
 
 
-def parts_of(spark, d) -> DataFrame:
-    from blockwright.sources.records import EVENT_METHODS
+def played(spark, rows: DataFrame, work, kinds: str) -> DataFrame:
+    """A table as a stream through work, to its end."""
+    return sinks.played(work(sinks.as_stream(rows, sinks.scratch(spark))), sinks.scratch(spark), kinds)
+
+
+def sessions_sql(seconds: int, source: str = "records") -> str:
+    """Records with the number n of the stretch they are in; a stretch ends after so many seconds without a record."""
+    return f"g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY run_id ORDER BY ts) + INTERVAL {seconds} SECOND THEN 0 ELSE 1 END AS fresh FROM {source}), i AS (SELECT *, sum(fresh) OVER (PARTITION BY run_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)"
+
 
-    place = F.coalesce(*[F.when(F.col("event_type") == t, F.lit(i)) for i, t in enumerate(sorted(EVENT_METHODS, key=lambda t: ["loeffler", "matrix", "rdct", "silveira_j3", "silveira_j7"].index(EVENT_METHODS[t])))])
-    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int") % 4
-    return streamed(spark, d, [F.col("user_id").alias("run_id"), F.col("event_id").alias("arrival"), (1 + 5 * k + place).cast("int").alias("slot"), F.element_at(F.array(*map(F.lit, runs.PARTS)), (F.col("event_id") % 3 + 1).cast("int")).alias("part")])
+HALF_DAY = 43_200
 
 
-def played(stream: DataFrame, path: str, kinds: str, mode: str) -> DataFrame:
-    """What a stream gives out until its source is used up, written batch by batch and read again."""
-    spark = stream.sparkSession
-    stream.writeStream.outputMode(mode).foreachBatch(sinks.emit_once(path)).trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").start().awaitTermination()
-    return sinks.read_emitted(spark, path, kinds)
+def in_micros(stretch: DataFrame) -> DataFrame:
+    """Times as numbers, which a CSV file keeps whole."""
+    return stretch.withColumns({c: F.unix_micros(c) for c in ("began", "ended")})
 
 
-SLOTS = ", p AS (SELECT r.run_id, r.ord, 1 + 5 * r.k_idx + method_ord AS slot, ord % 3 AS part FROM records r JOIN methods m ON m.method = r.method), c AS (SELECT run_id, slot, count(DISTINCT part) AS parts FROM p GROUP BY run_id, slot)"
+def in_times(stretch: DataFrame) -> DataFrame:
+    return stretch.withColumns({c: S.from_micros(c) for c in ("began", "ended")})
 
 
-@query("r1_run_assembly", f"{SLOTS} SELECT run_id, count(*) AS slots, count(CASE WHEN parts = 3 THEN 1 END) AS whole, sum(parts)::BIGINT AS parts FROM c GROUP BY run_id")
+@query("r1_run_assembly", f", {sessions_sql(HALF_DAY, 'fr')}, p AS (SELECT run_id, n, slot, count(DISTINCT ord % 3) AS parts, min(ts) AS began, max(ts) AS until, count(DISTINCT CASE WHEN status <> 'OK' AND NOT EXISTS (SELECT 1 FROM i e WHERE e.run_id = i.run_id AND e.n = i.n AND e.slot = i.slot AND e.ord % 3 = i.ord % 3 AND e.ts < i.ts) THEN ord % 3 END) AS failed FROM i GROUP BY run_id, n, slot) SELECT run_id, epoch_us(min(began)) AS began_us, epoch_us(max(until)) AS until_us, count(*)::INTEGER AS slots, count(CASE WHEN parts = 3 THEN 1 END)::INTEGER AS whole, sum(parts)::INTEGER AS parts, sum(failed)::BIGINT AS failed, count(CASE WHEN parts = 3 THEN 1 END) < 21 AS is_partial FROM p GROUP BY run_id, n HAVING count(*) > 1", FULL_SQL)
 def _(spark, d):
-    """Runs assembled in a stream from headers, payloads and telemetry; the last state of each run."""
-    out = played(runs.assemble_parts(parts_of(spark, d)), sinks.scratch(spark), "run_id bigint, slots bigint, whole bigint, parts bigint", "update")
-    return out.groupBy("run_id").agg(*[F.max(c).alias(c) for c in ("slots", "whole", "parts")])
+    """Runs assembled in a stream from headers, payloads and telemetry; after half a day without one a run is given out as it is."""
+    kinds = "run_id bigint, began_us bigint, until_us bigint, slots int, whole int, parts int, failed bigint, is_partial boolean"
+    return played(spark, parts_of(spark, d), lambda s: runs.assemble(s, 1_000_000 * HALF_DAY), kinds)
 
 
-@query("r3_expected_order", None)
+@query("r3_expected_order", f", {sessions_sql(HALF_DAY, 'fr')}, o AS (SELECT run_id, n, ord, slot, row_number() OVER (PARTITION BY run_id, n ORDER BY ts) AS place FROM i), w AS (WITH RECURSIVE w(run_id, n, place, ord, slot, wanted) AS (SELECT run_id, n, place, ord, slot, 0 FROM o WHERE place = 1 UNION ALL SELECT o.run_id, o.n, o.place, o.ord, o.slot, CASE WHEN w.slot = w.wanted THEN (w.wanted + 1) % 21 ELSE w.wanted END FROM w JOIN o ON o.run_id = w.run_id AND o.n = w.n AND o.place = w.place + 1) SELECT * FROM w) SELECT run_id, ord, slot AS order_index, wanted, slot = wanted AS accepted FROM w", FULL_SQL)
 def _(spark, d):
-    """Records in the order of a run's slots are accepted, others skipped and waited for again."""
-    return played(runs.in_order(parts_of(spark, d)), sinks.scratch(spark), "run_id bigint, accepted bigint, skipped bigint, next_order bigint", "update").groupBy("run_id").agg(*[F.max(c).alias(c) for c in ("accepted", "skipped", "next_order")])
+    """Records in the order of a run's slots are accepted, others skipped and waited for again; after half a day of silence a run begins anew."""
+    rows = full_records(spark, d).select("run_id", "ts", "ord", "order_index")
+    return played(spark, rows, lambda s: runs.in_order(s, 1_000_000 * HALF_DAY), "run_id bigint, ord bigint, order_index int, wanted int, accepted boolean")
 
 
-@query("r4_timed_out_runs", ", g AS (SELECT run_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY run_id ORDER BY ts) + INTERVAL 60 SECOND THEN 0 ELSE 1 END AS fresh FROM records), i AS (SELECT *, sum(fresh) OVER (PARTITION BY run_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT run_id, min(ts) AS began, max(ts) + INTERVAL 60 SECOND AS ended, count(*) AS records FROM i GROUP BY run_id, n")
+@query("r4_timed_out_runs", f", {sessions_sql(60)} SELECT run_id, min(ts) AS began, max(ts) + INTERVAL 60 SECOND AS ended, count(*) AS records FROM i GROUP BY run_id, n")
 def _(spark, d):
-    """A run ends 60 seconds after its last record: one row for each stretch."""
-    return runs.stretches(records(spark, d))
+    """A run ends 60 seconds after its last record: one row for each stretch of a stream."""
+    rows = records(spark, d).select("run_id", "ts")
+    return in_times(played(spark, rows, lambda s: in_micros(runs.stretches(s.withWatermark("ts", "10 minutes"))), "run_id bigint, began bigint, ended bigint, records bigint"))
 
 
-@query("r5_partial_runs", ", g AS (SELECT run_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY run_id ORDER BY ts) + INTERVAL 43200 SECOND THEN 0 ELSE 1 END AS fresh FROM records), i AS (SELECT *, sum(fresh) OVER (PARTITION BY run_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT run_id, min(ts) AS began, max(ts) + INTERVAL 43200 SECOND AS ended, count(*) AS records, count(*) < 21 AS is_partial FROM i GROUP BY run_id, n HAVING count(*) > 1")
+@query("r5_partial_runs", f", {sessions_sql(HALF_DAY)} SELECT run_id, min(ts) AS began, max(ts) + INTERVAL {HALF_DAY} SECOND AS ended, count(*) AS records, count(*) < 21 AS is_partial FROM i GROUP BY run_id, n HAVING count(*) > 1")
 def _(spark, d):
     """With a longer wait: what arrived is given out, and dropped where it is one record."""
-    return runs.finished(runs.stretches(records(spark, d), "12 hours"))
+    rows = records(spark, d).select("run_id", "ts")
+    return in_times(played(spark, rows, lambda s: in_micros(runs.finished(runs.stretches(s.withWatermark("ts", "10 minutes"), "12 hours"))), "run_id bigint, began bigint, ended bigint, records bigint, is_partial boolean"))
 
 
 @query("r6_stale_runs", "SELECT ord FROM (SELECT ord, method, run_id, last_value(CASE WHEN method = 'silveira_j3' THEN run_id END IGNORE NULLS) OVER (PARTITION BY device ORDER BY ord) AS current FROM records) WHERE method <> 'silveira_j3' AND run_id = current")
 def _(spark, d):
-    """A device's statuses count while they are of the run that it was last started for (a sign-up starts one)."""
-    return runs.of_current_run(records(spark, d), "device", "method = 'silveira_j3'").select("ord")
+    """A device's statuses count while they are of the run that it was last started for (a sign-up starts one). Starts and statuses are two streams."""
+    rows, start = records(spark, d).select("device", "ts", "ord", "run_id", "method"), F.col("method") == "silveira_j3"
+    starts, statuses = (sinks.as_stream(rows.where(c).drop("method"), sinks.scratch(spark)) for c in (start, ~start))
+    return sinks.played(runs.of_current_run(starts, statuses), sinks.scratch(spark), "device bigint, ord bigint, run_id bigint").select("ord")
 
 
 @query("r7_emitted_rows", "SELECT ord, run_id, k_idx, status FROM records")
 def _(spark, d):
     """Rows of a stream as CSV, with one header."""
-    r = streamed(spark, d, [F.col("event_id").alias("ord"), F.col("user_id").alias("run_id"), (F.regexp_extract("props", "([0-9]+)", 1).cast("int") % 4).alias("k_idx"), F.when(F.col("event_id") % 29 == 0, "CRC_FAIL").when(F.col("event_id") % 31 == 0, "DECODE_FAIL").when(F.col("event_id") % 37 == 0, "PSRAM_FAIL").otherwise("OK").alias("status")])
-    return played(r, sinks.scratch(spark), "ord bigint, run_id bigint, k_idx int, status string", "append")
+    rows = records(spark, d).select("ord", "run_id", "k_idx", "status", "ts")
+    return played(spark, rows, lambda s: s.where("ord IS NOT NULL").drop("ts"), "ord bigint, run_id bigint, k_idx int, status string")
 
 
 # ---- kernels

@@ -9,6 +9,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
+
+from blockwright.functions import scalars as S
 
 
 def scratch(spark: SparkSession) -> str:
@@ -52,6 +55,34 @@ def write_rasters(blocks: DataFrame, path: str) -> None:
     g.select("image", "method", "k_idx", "width", "height", F.unhex(F.array_join(F.transform("rows", lambda x: x["hex"]), "")).alias("raster")).write.partitionBy("method", "k_idx").parquet(path)
 
 
+#: A time that no record reaches.
+END_OF_STREAM = "2200-01-01"
+
+
+def as_stream(rows: DataFrame, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A table with a column ts as a stream: written into a folder and read from it file by file.
+
+    A last row without key, at the end of time, lets the watermark pass all others, as the
+    clock of a real stream would.
+    """
+    if rows.schema["ts"].dataType == TimestampNTZType():
+        rows = rows.withColumn("ts", F.timestamp_micros(S.micros("ts")))
+    rows.write.parquet(path)
+    end = rows.sparkSession.createDataFrame([(END_OF_STREAM,)], "at string").select(*[F.to_timestamp("at").alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+    end.write.mode("append").parquet(path)
+    stream = rows.sparkSession.readStream.schema(rows.schema)
+    return (stream.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else stream).parquet(path)
+
+
+def played(stream: DataFrame, path: str, kinds: str, progress: list | None = None) -> DataFrame:
+    """What a stream gives out until its source is used up, written batch by batch and read again. progress: takes the query's reports."""
+    q = stream.writeStream.outputMode("append").foreachBatch(emit_once(path)).trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").start()
+    q.awaitTermination()
+    if progress is not None:
+        progress += q.recentProgress
+    return read_emitted(stream.sparkSession, path, kinds)
+
+
 def emit_once(path: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: the header is written once, each batch of runs into a folder of its own, so that a repeated batch replaces itself."""
 

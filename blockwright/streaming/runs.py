@@ -3,22 +3,21 @@
 A record stream has one row for each record as it arrives: run_id, slot, order_index,
 status and arrival (event time). Records of a run are checked one by one, gathered in
 state by run, and the run is given out once: when it is complete, or when nothing came for
-a while. Event time, watermark and late rows are choices of this engine.
+a while; then its state is freed. Event time, watermark and late rows are choices of this
+engine.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from blockwright.streaming.ordered import InOrder, folded
 
 #: Records of a whole run: the raw one and five methods by four quality factors. In single mode there is one.
 WHOLE_RUN = 21
-#: Milliseconds without a record after which a run ends.
-TIMEOUT_MS = 60_000
+#: Microseconds without a record after which a run ends.
+TIMEOUT_US = 60_000_000
 
 
 def expected(single: bool) -> int:
@@ -37,105 +36,100 @@ def first_of_slot(records: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return records.withWatermark("arrival", delay).dropDuplicatesWithinWatermark(["run_id", "slot"])
 
 
-def assemble(records: DataFrame, most: int = WHOLE_RUN, timeout_ms: int = TIMEOUT_MS) -> DataFrame:
-    """(run_id, records, slots, failed, is_partial): each run once.
+#: What a record is made of, in the order in which it is sent.
+PARTS = ("header", "payload", "telemetry")
 
-    State holds the slots seen, at most `most` numbers, and the count of failed records. A
-    second record of a slot is left out. After the timeout a run with more than one record
-    comes as partial; with one or none it is dropped.
-    """
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        slots, failed = (list(x) if isinstance(x, (list, tuple)) else x for x in state.get) if state.exists else ([], 0)
-        if state.hasTimedOut:
-            state.remove()
-            if len(slots) > 1:
-                yield row(key[0], slots, failed, True)
-            return
-        for p in parts:
-            for slot, status in zip(p["slot"].tolist(), p["status"].tolist()):
-                if slot not in slots and 0 <= slot < most:
-                    slots.append(int(slot))
-                    failed += status != "OK"
-        if len(slots) >= most:
-            if state.exists:
-                state.remove()
-            yield row(key[0], slots, failed, False)
-        else:
-            state.update((slots, int(failed)))
-            state.setTimeoutDuration(timeout_ms)
-
-    def row(run: int, slots: list[int], failed: int, partial: bool) -> pd.DataFrame:
-        return pd.DataFrame({"run_id": [run], "records": [len(slots)], "slots": [sorted(slots)], "failed": [int(failed)], "is_partial": [partial]})
-
-    return records.groupBy("run_id").applyInPandasWithState(step, "run_id long, records long, slots array<int>, failed long, is_partial boolean", "slots array<int>, failed long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+class Assembly(InOrder):
+    """A run's parts (slot, part, failed) put together. The run ends when every part of every slot is there, or when nothing came for too long."""
 
+    STATE = "began_us long, until_us long, seen array<int>, failed long"
 
-#: What a record is made of, in the order in which it is sent.
-PARTS = ("header", "payload", "telemetry")
+    def __init__(self, rows, idle_us, slots: int):
+        super().__init__(rows, idle_us)
+        self.slots = slots
 
+    def step(self, key, state, row):
+        began, _, seen, failed = state or (row.ts_us, row.ts_us, [0] * self.slots, 0)
+        seen = list(seen)
+        if 0 <= row.slot < self.slots and row.part in PARTS:
+            bit = 1 << PARTS.index(row.part)
+            failed += not seen[row.slot] & bit and row.failed
+            seen[row.slot] |= bit
+        state = began, row.ts_us, seen, int(failed)
+        if min(seen) == 2 ** len(PARTS) - 1:
+            return None, [self.run(key, state, False)]
+        return state, []
 
-def assemble_parts(parts: DataFrame) -> DataFrame:
-    """(run_id, slots, whole, parts): how far each run has come, given out whenever that changes.
+    def ended(self, key, state):
+        """What arrived is given out; a run of one record or none isn't worth it."""
+        return None, [self.run(key, state, True)] if sum(x > 0 for x in state[2]) > 1 else []
 
-    parts: run_id, slot, part, one row for each header, payload and telemetry block. State
-    holds one number for each slot, a bit for each part; a part that comes again changes nothing.
+    def run(self, key, state, partial: bool) -> Row:
+        began, until, seen, failed = state
+        return Row(run_id=key, began_us=began, until_us=until, slots=sum(x > 0 for x in seen), whole=sum(x == 7 for x in seen), parts=sum(x.bit_count() for x in seen), failed=failed, is_partial=partial)
+
+
+def assemble(parts: DataFrame, idle_us: int = TIMEOUT_US, slots: int = WHOLE_RUN, delay: str = "10 minutes") -> DataFrame:
+    """(run_id, began_us, until_us, slots, whole, parts, failed, is_partial): each run once.
+
+    parts: run_id, ts, ord, slot, part (of PARTS), failed, one row for each header, payload
+    and telemetry block. State holds one number for each slot, a bit for each part, while a
+    run is open; a part that comes again changes nothing.
     """
+    return folded(parts.select("run_id", "ts", "ord", F.col("slot").cast("int"), "part", "failed"), "run_id", Assembly, "run_id long, began_us long, until_us long, slots int, whole int, parts int, failed long, is_partial boolean", idle_us, delay, slots=slots)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = list(state.get[0]) if state.exists else [0] * WHOLE_RUN
-        before = list(seen)
-        for p in batches:
-            for slot, part in zip(p["slot"].tolist(), p["part"].tolist()):
-                if 0 <= slot < WHOLE_RUN:
-                    seen[int(slot)] |= 1 << PARTS.index(part)
-        state.update((seen,))
-        if seen != before:
-            yield pd.DataFrame({"run_id": [key[0]], "slots": [sum(x > 0 for x in seen)], "whole": [sum(x == 7 for x in seen)], "parts": [sum(bin(x).count("1") for x in seen)]})
 
-    return parts.groupBy("run_id").applyInPandasWithState(step, "run_id long, slots long, whole long, parts long", "seen array<int>", "update", GroupStateTimeout.NoTimeout)
+class ExpectedOrder(InOrder):
+    """Accepts the record that a run waits for; any other is skipped and waited for again. A run that is complete, or silent for too long, begins anew."""
 
+    STATE = "wanted int"
 
-def in_order(records: DataFrame) -> DataFrame:
-    """(run_id, accepted, skipped, next_order): records (run_id, arrival, slot) whose slot is the one waited for are accepted; others are skipped and waited for again. After the last slot a run begins anew."""
+    def __init__(self, rows, idle_us, slots: int):
+        super().__init__(rows, idle_us)
+        self.slots = slots
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        accepted, skipped, wanted = state.get if state.exists else (0, 0, 1)
-        for p in [pd.concat(list(batches)).sort_values("arrival")]:
-            for slot in p["slot"].tolist():
-                if slot == wanted:
-                    accepted, wanted = accepted + 1, wanted % (WHOLE_RUN - 1) + 1
-                else:
-                    skipped += 1
-        state.update((accepted, skipped, wanted))
-        yield pd.DataFrame({"run_id": [key[0]], "accepted": [accepted], "skipped": [skipped], "next_order": [wanted]})
+    def step(self, key, state, row):
+        wanted = state[0] if state else 0
+        accepted = row.order_index == wanted
+        after = (wanted + accepted) % self.slots
+        return (after,) if after else None, [Row(run_id=key, ord=row.ord, order_index=row.order_index, wanted=wanted, accepted=accepted)]
 
-    return records.groupBy("run_id").applyInPandasWithState(step, "run_id long, accepted long, skipped long, next_order long", "accepted long, skipped long, wanted long", "update", GroupStateTimeout.NoTimeout)
 
+def in_order(records: DataFrame, idle_us: int | None = None, slots: int = WHOLE_RUN, delay: str = "10 minutes") -> DataFrame:
+    """(run_id, ord, order_index, wanted, accepted) of each record (run_id, ts, ord, order_index), as it would be if records came in order of time."""
+    return folded(records.select("run_id", "ts", "ord", F.col("order_index").cast("int")), "run_id", ExpectedOrder, "run_id long, ord long, order_index int, wanted int, accepted boolean", idle_us, delay, slots=slots)
 
-def stretches(records: DataFrame, gap: str = "60 seconds") -> DataFrame:
-    """(run_id, began, ended, records): a run ends when no record came for a while. The same on a stream with a watermark."""
-    g = records.groupBy("run_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("records"))
-    return g.select("run_id", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "records")
 
+class CurrentRun(InOrder):
+    """Passes on statuses of the run that was last started; those of other runs, and before any start, are stale."""
 
-def finished(stretch: DataFrame, most: int = WHOLE_RUN) -> DataFrame:
-    """Stretches of more than one record; those of fewer than a whole run's are partial."""
-    return stretch.where("records > 1").withColumn("is_partial", F.col("records") < most)
+    STATE = "run long"
 
+    def step(self, key, state, row):
+        if row.starts:
+            return (row.run_id,), []
+        return state, [Row(device=key, ord=row.ord, run_id=row.run_id)] if state and state[0] == row.run_id else []
 
-def of_current_run(records: DataFrame, channel: str, starts: str) -> DataFrame:
-    """Records of the run that was last started on their channel; records of other runs, and before any start, are stale. starts: the condition of a row that starts its run."""
-    from pyspark.sql.window import Window
 
-    before = Window.partitionBy(channel).orderBy("ord")
-    now = F.last(F.when(F.expr(starts), F.col("run_id")), ignorenulls=True).over(before)
-    return records.withColumn("now", now).where(~F.expr(starts) & (F.col("run_id") == F.col("now"))).drop("now")
+def of_current_run(starts: DataFrame, statuses: DataFrame, idle_us: int | None = None, delay: str = "10 minutes") -> DataFrame:
+    """(device, ord, run_id) of the statuses that belong to the run last started on their device.
+
+    Both are streams with device, ts, ord, run_id. The join is by time: a status meets the
+    last start before it, so a device keeps one run in state, and no start is joined to all
+    later statuses.
+    """
+    names = ["device", "ts", "ord", "run_id"]
+    both = starts.select(*names, F.lit(True).alias("starts")).unionByName(statuses.select(*names, F.lit(False).alias("starts")))
+    return folded(both, "device", CurrentRun, "device long, ord long, run_id long", idle_us, delay)
+
 
+def stretches(records: DataFrame, gap: str = "60 seconds") -> DataFrame:
+    """(run_id, began, ended, records): a run ends when no record came for a while. On a stream with a watermark on ts each stretch is given out once, when it can't grow any more."""
+    g = records.groupBy("run_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("records"))
+    return g.select("run_id", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "records")
 
-def out_of_order(records: DataFrame) -> DataFrame:
-    """Batch form of the side output: records whose order index isn't one more than that of the record before."""
-    from pyspark.sql.window import Window
 
-    before = F.lag("order_index").over(Window.partitionBy("run_id").orderBy("arrival"))
-    return records.withColumn("wanted", F.coalesce(before + 1, F.lit(0))).where("order_index <> wanted")
+def finished(stretch: DataFrame, most: int = WHOLE_RUN) -> DataFrame:
+    """Stretches of more than one record; those of fewer than a whole run's are partial."""
+    return stretch.where("records > 1").withColumn("is_partial", F.col("records") < most)

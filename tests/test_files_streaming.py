@@ -2,14 +2,14 @@
 
 import random
 import struct
+import time
 import zlib
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from blockwright.sources import files, sinks
-from blockwright.streaming import runs
+from blockwright.streaming import ordered, runs
 
 
 def crc16(data: bytes) -> int:
@@ -54,26 +54,79 @@ def test_record_and_metric_files(spark, tmp_path):
     assert {(r.name, r.value) for r in files.read_metrics(files.text_lines(spark, f"{tmp_path}/*/*.txt")).collect()} == {("run_id", "7"), ("t_total", "12: 5")}
 
 
-def test_runs_from_a_stream(spark, tmp_path):
-    source = tmp_path / "in"
-    source.mkdir()
-    rows = [(1, s, s, 500, True) for s in (0, 1, 2)] + [(1, 1, 1, 500, True), (2, 0, 0, 500, True), (2, 1, 1, 500, False)]
-    pd.DataFrame(rows, columns=["run_id", "slot", "order_index", "payload_bytes", "crc_ok"]).assign(arrival=pd.Timestamp("2024-01-01")).astype({"arrival": "datetime64[us]"}).to_parquet(source / "a.parquet")
-    stream = runs.checked(spark.readStream.schema("run_id long, slot long, order_index long, payload_bytes long, crc_ok boolean, arrival timestamp").parquet(str(source)))
-    assert {r.status for r in runs.checked(spark.read.parquet(str(source))).collect()} == {"RAW_SIZE_FAIL", "OK", "CRC_FAIL"}
-    q = runs.assemble(stream, most=3).writeStream.foreachBatch(sinks.emit_once(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "check")).start()
-    for _ in range(90):  # a stream with timeouts has no last batch to wait for
-        if list((tmp_path / "out").glob("rows/*/part-*.csv")):
-            break
-        q.awaitTermination(1)
-    q.stop()
-    out = sinks.read_emitted(spark, str(tmp_path / "out"), "run_id long, records long, slots string, failed long, is_partial boolean").collect()
-    assert [tuple(r) for r in out] == [(1, 3, "0 1 2", 1, False)]
+def test_status_of_records(spark):
+    rows = spark.createDataFrame([(0, 500, True), (1, 500, True), (1, 500, False), (99, 5, True)], "slot int, payload_bytes long, crc_ok boolean")
+    assert [r.status for r in runs.checked(rows).collect()] == ["RAW_SIZE_FAIL", "OK", "CRC_FAIL", "MODE_FAIL"]
 
 
-def test_out_of_order(spark):
-    rows = spark.createDataFrame([(1, 0, 0), (1, 2, 1), (1, 3, 2), (2, 1, 0)], "run_id long, order_index long, arrival long")
-    assert {(r.run_id, r.order_index) for r in runs.out_of_order(rows).collect()} == {(1, 2), (2, 1)}
+def stream_of(spark, rows, columns, folder, batches):
+    """Rows as a stream of so many files in their order, one a batch, and the end of the stream."""
+    table = lambda part: spark.createDataFrame(part, columns).withColumn("ts", F.timestamp_seconds("ts"))
+    size = -(-len(rows) // batches)
+    for k in range(0, len(rows), size):
+        table(rows[k : k + size]).coalesce(1).write.mode("append").parquet(str(folder))
+        time.sleep(0.02)  # files are taken by their times
+    width = len(rows[0])
+    table([(None, 4_000_000_000, *[None] * (width - 2))]).coalesce(1).write.mode("append").parquet(str(folder))
+    return spark.readStream.schema(table(rows[:1]).schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def given_out(stream, name):
+    q = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return [tuple(r) for r in stream.sparkSession.table(name).collect()], q.recentProgress
+
+
+def test_expected_order_is_the_same_for_any_batches(spark, tmp_path):
+    rng, columns = random.Random(2), "run_id long, ts long, ord long, order_index int"
+    rows = [(k % 3, 1000 + (k * 7) % 120 + (5000 if k > 80 else 0), k, rng.choice([0, 0, 1, 1, 2, 3])) for k in range(120)]
+    want, state = [], {}
+    for run, ts, k, at in sorted(rows, key=lambda r: (r[1], r[2])):
+        wanted, last = state.get(run, (0, ts))
+        wanted = 0 if ts - last >= 600 else wanted
+        want.append((run, k, at, wanted, at == wanted))
+        state[run] = ((wanted + (at == wanted)) % 4, ts)
+    for batches in (1, 4):
+        stream = stream_of(spark, rows, columns, tmp_path / f"in{batches}", batches)
+        got, progress = given_out(runs.in_order(stream, 600_000_000, slots=4), f"ordered{batches}")
+        assert sorted(got) == sorted(want) and not ordered.dropped_rows(progress)
+    assert sum(x[-1] for x in want) > 10 and max(x[3] for x in want) == 3
+
+
+def test_runs_are_assembled_once_and_freed(spark, tmp_path):
+    columns = "run_id long, ts long, ord long, slot int, part string, failed boolean"
+    whole = [(1, 100 + k, k, k // 3, runs.PARTS[k % 3], k == 4) for k in range(9)]
+    rows = whole + [(1, 105, 20, 1, "payload", True)] + [(2, 100, 30, 0, "header", False), (2, 130, 31, 2, "header", True), (2, 135, 32, 2, "header", True), (2, 300, 33, 1, "payload", False)] + [(3, 90, 40, 0, "header", False), (4, 100, 50, 7, "header", False)]
+    stream = stream_of(spark, rows, columns, tmp_path / "in", 2)
+    got, progress = given_out(runs.assemble(stream, 60_000_000, slots=3), "assembled")
+    at = 1_000_000
+    assert sorted(got) == [(1, 100 * at, 108 * at, 3, 3, 9, 1, False), (2, 100 * at, 135 * at, 2, 0, 2, 1, True)]  # single records are dropped
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] == 0
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    columns = "run_id long, ts long, ord long, order_index int"
+    rows = [(1, 100_000, 0, 0), (1, 200_000, 1, 1), (1, 200_050, 2, 2), (1, 150_000, 3, 9), (1, 200_100, 4, 3)]  # the fourth comes after the watermark
+    got, progress = given_out(runs.in_order(stream_of(spark, rows, columns, tmp_path / "in", 5)), "late")
+    assert sorted(r[1] for r in got) == [0, 1, 2, 4] and all(r[-1] for r in got) and ordered.dropped_rows(progress) == 1
+    stream = stream_of(spark, rows, columns, tmp_path / "in2", 5)
+    got, progress = given_out(runs.finished(runs.stretches(stream.withWatermark("ts", "10 minutes"), "5 minutes")), "late_stretches")
+    assert [(r[0], r[3], r[4]) for r in got] == [(1, 3, True)] and ordered.dropped_rows(progress) == 1
+
+
+def test_statuses_of_other_runs_are_stale(spark, tmp_path):
+    rng, columns = random.Random(3), "device long, ts long, ord long, run_id long"
+    rows = [(k % 2, 1000 + k * 10, k, rng.choice([1, 2])) for k in range(200)]
+    is_start = lambda r: r[2] % 5 == 0
+    want, now = [], {}
+    for r in rows:
+        if is_start(r):
+            now[r[0]] = r[3]
+        elif now.get(r[0]) == r[3]:
+            want.append((r[0], r[2], r[3]))
+    starts, statuses = (stream_of(spark, [r for r in rows if is_start(r) == s], columns, tmp_path / str(s), n) for s, n in ((True, 1), (False, 3)))
+    got, _ = given_out(runs.of_current_run(starts, statuses), "current")
+    assert sorted(got) == sorted(want)
 
 
 def test_sources_are_tried_in_turn(spark, tmp_path):
@@ -98,19 +151,3 @@ def test_union_has_columns_in_the_order_first_seen(spark, tmp_path):
     rows = sinks.write_union([spark.createDataFrame([(1, 2)], "b int, a int"), spark.createDataFrame([(3, 4)], "c int, a int")], str(tmp_path / "u"))
     assert rows.columns == ["b", "a", "c"]
     assert {p.read_text().split("\n")[0] for p in (tmp_path / "u").glob("*.csv")} == {"b,a,c"}
-
-
-def test_order_is_waited_for(spark, tmp_path):
-    rng = random.Random(2)
-    rows = [(i % 3, k, rng.choice([1, 1, 2, 3, 4])) for k, i in enumerate(range(300))]
-    source = tmp_path / "in"
-    source.mkdir()
-    pd.DataFrame(rows, columns=["run_id", "arrival", "slot"]).to_parquet(source / "a.parquet")
-    stream = spark.readStream.schema("run_id long, arrival long, slot long").parquet(str(source))
-    q = runs.in_order(stream).writeStream.outputMode("update").format("memory").queryName("ordered").trigger(availableNow=True).start()
-    q.awaitTermination()
-    want = {}
-    for run, _, slot in rows:
-        accepted, skipped, wanted = want.get(run, (0, 0, 1))
-        want[run] = (accepted + 1, skipped, wanted % 20 + 1) if slot == wanted else (accepted, skipped + 1, wanted)
-    assert {r.run_id: (r.accepted, r.skipped, r.next_order) for r in spark.table("ordered").collect()} == want
