@@ -33,7 +33,9 @@ HEAD = 60_000
 #: Parts of the training texts, and sweeps over all of them.
 PARTS, SWEEPS = 8, 3
 #: Tokens whose forward values are kept at a time, and texts that step through the recursion together at least.
-BLOCK_TOKENS, BLOCK_TEXTS = 200_000, 64
+BLOCK_TOKENS, BLOCK_TEXTS = 400_000, 256
+#: Texts that are sorted by length before they are dealt into blocks.
+SLICE = 8192
 #: Words that a task remembers at a time.
 MOST_WORDS = 300_000
 SYMBOLS = 1 + WORDS + ENDINGS  # the end is symbol 0
@@ -58,7 +60,9 @@ def words_of(text: str | None) -> list[bytes]:
 class Hmm:
     first: np.ndarray
     step: np.ndarray
-    emit: np.ndarray  # symbols by states
+    emit: np.ndarray  # states by symbols
+
+    # Values are kept as states by texts, so that numpy's loops are as long as there are texts.
 
     def blocks(self, texts: list[np.ndarray]):
         """Texts of like length as (their indexes, a padded array of symbols, how many texts are longer than t), long ones first."""
@@ -79,10 +83,10 @@ class Hmm:
         kept = []
         for t in range(start, end):
             k = live[t]
-            e = self.emit[pad[t, :k]]
-            a = self.first * e if a is None else (a[:k] @ self.step) * e
-            scale = a.sum(1)
-            a /= scale[:, None]
+            e = self.emit.take(pad[t, :k], axis=1)
+            a = self.first[:, None] * e if a is None else (self.step.T @ a[:, :k]) * e
+            scale = a.sum(0)
+            a /= scale
             total[:k] += np.log(scale)
             if keep:
                 kept.append((a, e, scale))
@@ -112,7 +116,7 @@ class Hmm:
                 before.append(a)
                 a, kept = self.forward(pad, live, start, min(start + span, len(pad)), a, total, len(starts) == 1)
             likelihood += total.sum()
-            b = np.zeros((0, n))
+            b = np.zeros((n, 0))
             for start, a in zip(reversed(starts), reversed(before)):
                 end = min(start + span, len(pad))
                 if len(starts) > 1:
@@ -120,24 +124,24 @@ class Hmm:
                 shares, symbols = [], []
                 for t in range(end - 1, start - 1, -1):
                     own, e, scale = kept[t - start]
-                    k = len(own)
-                    if len(b) < k:  # texts that end here
-                        b = np.concatenate([b, np.ones((k - len(b), n))])
+                    k = own.shape[1]
+                    if b.shape[1] < k:  # texts that end here
+                        b = np.concatenate([b, np.ones((n, k - b.shape[1]))], axis=1)
                     g = own * b
-                    g /= g.sum(1)[:, None]
+                    g /= g.sum(0)
                     shares.append(g)
                     symbols.append(pad[t, :k])
                     if t:
-                        last = (kept[t - start - 1][0] if t > start else a)[:k]
+                        last = (kept[t - start - 1][0] if t > start else a)[:, :k]
                         eb = e * b
-                        eb /= scale[:, None]
-                        step += last.T @ eb
-                        b = eb @ self.step.T
+                        eb /= scale
+                        step += last @ eb.T
+                        b = self.step @ eb
                     else:
-                        first += g.sum(0)
-                g, s = np.concatenate(shares), np.concatenate(symbols)
+                        first += g.sum(1)
+                g, s = np.concatenate(shares, axis=1), np.concatenate(symbols)
                 for i in range(n):
-                    emit[i] += np.bincount(s, g[:, i], SYMBOLS)
+                    emit[i] += np.bincount(s, g[i], SYMBOLS)
         return np.concatenate([first, (step * self.step).ravel(), emit.ravel(), [likelihood]])
 
 
@@ -146,7 +150,7 @@ def maximize(counts: np.ndarray, shares: np.ndarray, states: int) -> Hmm:
     n = states
     first, step, emit = counts[:n], counts[n : n + n * n].reshape(n, n), counts[n + n * n :].reshape(n, SYMBOLS)
     first, step, emit = first + 1, step + 1, emit + 5 * shares
-    return Hmm(first / first.sum(), step / step.sum(1)[:, None], (emit / emit.sum(1)[:, None]).T.copy())
+    return Hmm(first / first.sum(), step / step.sum(1)[:, None], emit / emit.sum(1)[:, None])
 
 
 def begin(shares: np.ndarray, states: int) -> Hmm:
@@ -154,7 +158,7 @@ def begin(shares: np.ndarray, states: int) -> Hmm:
     rng = np.random.default_rng(4)
     emit = shares * rng.gamma(2.0, 0.5, (states, SYMBOLS))
     step = np.full((states, states), 0.2 / states) + 0.8 * np.eye(states)
-    return Hmm(np.full(states, 1 / states), step, (emit / emit.sum(1)[:, None]).T.copy())
+    return Hmm(np.full(states, 1 / states), step, emit / emit.sum(1)[:, None])
 
 
 def as_texts(column) -> list[np.ndarray]:
@@ -171,8 +175,8 @@ def train(trained: DataFrame, shares: np.ndarray, states: int, sweeps: int) -> t
             def expect(batches, now=model):
                 total = None
                 for b in batches:
-                    for at in range(0, b.num_rows, 2048):
-                        c = now.expected(as_texts(b.column(0).slice(at, 2048)))
+                    for at in range(0, b.num_rows, SLICE):
+                        c = now.expected(as_texts(b.column(0).slice(at, SLICE)))
                         total = c if total is None else total + c
                 if total is not None:
                     i = np.flatnonzero(total)
@@ -295,8 +299,8 @@ def score_texts(docs: DataFrame, train_if, id_col: str = "doc_id", text_col: str
 
     def score(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                b = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, SLICE):
+                b = batch.slice(at, SLICE)
                 yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(model.score(as_texts(b.column(6))))], ["row", "id", "train", "n", "base", "inner", "hmm"])
 
     scored = seen.select("row", "id", "train", "n", "base", "inner", "symbols").mapInArrow(score, f"row long, id {kind}, train boolean, n long, base double, inner double, hmm double")

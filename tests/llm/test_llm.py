@@ -275,7 +275,7 @@ def test_hmm_scores_are_the_probability_of_the_words(spark):
         a = m.first
         p = 0.0
         for t_, x in enumerate([*symbols, 0]):
-            a = (a if t_ == 0 else a @ m.step) * m.emit[x]
+            a = (a if t_ == 0 else a @ m.step) * m.emit[:, x]
             p += math.log10(a.sum())
             a = a / a.sum()
         assert math.isclose(got[i].score, p + rest, rel_tol=1e-9), i
@@ -290,13 +290,45 @@ def test_forward_is_exact():
     text = rng.integers(0, 50, 6)
     total = 0.0
     for path in np.ndindex(*[2] * 6):
-        p = m.first[path[0]] * m.emit[text[0], path[0]]
+        p = m.first[path[0]] * m.emit[path[0], text[0]]
         for t in range(1, 6):
-            p *= m.step[path[t - 1], path[t]] * m.emit[text[t], path[t]]
+            p *= m.step[path[t - 1], path[t]] * m.emit[path[t], text[t]]
         total += p
     assert math.isclose(m.score([text, text[:1]])[0], math.log10(total), rel_tol=1e-9)
 
 
+def test_expected_counts_are_those_of_all_paths():
+    """Starts, steps, emissions and likelihood against every path of states."""
+    rng, n = np.random.default_rng(1), 3
+    m = hmm_score.begin(rng.dirichlet(np.ones(hmm_score.SYMBOLS)), n)
+    m.first = rng.dirichlet(np.ones(n))
+    m.step = rng.dirichlet(np.ones(n), n)
+    texts = [rng.integers(0, 20, k) for k in (5, 4, 4, 1)]
+    first, step, emit, likelihood = np.zeros(n), np.zeros((n, n)), np.zeros((n, hmm_score.SYMBOLS)), 0.0
+    for text in texts:
+        ways = []
+        for path in np.ndindex(*[n] * len(text)):
+            p = m.first[path[0]] * m.emit[path[0], text[0]]
+            for t in range(1, len(text)):
+                p *= m.step[path[t - 1], path[t]] * m.emit[path[t], text[t]]
+            ways.append((path, p))
+        total = sum(p for _, p in ways)
+        likelihood += math.log(total)
+        for path, p in ways:
+            first[path[0]] += p / total
+            for t in range(len(text)):
+                emit[path[t], text[t]] += p / total
+                if t:
+                    step[path[t - 1], path[t]] += p / total
+    assert np.allclose(m.expected(texts), np.concatenate([first, step.ravel(), emit.ravel(), [likelihood]]))
+
+
+def test_hmm_scores_do_not_depend_on_partitions(spark):
+    rows, held = [(1 + k, t) for k, (_, t) in enumerate(corpus())], F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 1
+    one, seven = ({r.doc_id: r.score for r in hmm_score.score_texts(frame(spark, rows).repartition(k), held, sweeps=1).collect()} for k in (1, 7))
+    assert all(math.isclose(one[i], seven[i], rel_tol=1e-9) for i in one) and len(one) == len(rows)
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     rows, labels = [], []
