@@ -15,6 +15,7 @@ from blockwright.plans.block_queries import BLOCK_KEY, FRAMES_SQL, IMAGE, KEY, L
 from blockwright.plans.dims import K_VALUES, grid, kfactors
 from blockwright.sources import files, sinks
 from blockwright.sources.blocks import BLOCKS_SQL, blocks, frames
+from blockwright.sources.headed import read_headed
 from blockwright.sources.records import FULL_SQL, RECORDS_SQL, full_records, records
 from blockwright.streaming import runs
 
@@ -32,13 +33,6 @@ def query(name: str, sql: str | None, base: str | None = RECORDS_SQL):
     return put
 
 
-def as_lines(rows: DataFrame, file, order: list, cells: list, header) -> DataFrame:
-    """Rows as lines of CSV files, each with a header."""
-    body = rows.select(file.alias("file"), F.struct(F.lit(1).alias("part"), *[c.cast("bigint").alias(f"o{i}") for i, c in enumerate(order)]).alias("line"), F.concat_ws(",", *[F.coalesce(c.cast("string"), F.lit("")) for c in cells]).alias("value"))
-    head = rows.select(file.alias("file"), header.alias("value")).distinct().select("file", F.struct(F.lit(0).alias("part"), *[F.lit(0).cast("bigint").alias(f"o{i}") for i in range(len(order))]).alias("line"), "value")
-    return head.unionByName(body)
-
-
 # ---- sources
 
 
@@ -79,18 +73,20 @@ for _n, _bmp in (("s2_bmp_frames", True), ("s3_ppm_frames", False)):
     query(_n, _IMAGES.format(".bmp" if _bmp else ".ppm"), FRAMES_SQL)(_f)
 
 
-def summary_lines(spark, d) -> DataFrame:
+def summary_files(spark, d) -> DataFrame:
     """One summary file for each status: aliases in two of them, empty cells, and k with noise behind the sixth place."""
     r = records(spark, d).groupBy("status", "method", "k_idx", "k").agg(F.avg("psnr").alias("psnr"), F.max("ssim").alias("ssim"), F.max("compress_us").alias("c"), F.max("decompress_us").alias("z"))
-    short = F.col("status").isin("OK", "CRC_FAIL")
-    header = F.when(short, F.lit("method,k,psnr,ssim,comp_ms,decomp_ms")).otherwise(F.lit("method,k,psnr,ssim,compress_ms,decompress_ms"))
-    cells = [F.col("method"), F.col("k") + 1e-9, F.when(F.col("status") == "PSRAM_FAIL", "N/A").otherwise(F.col("psnr").cast("string")), F.when(F.col("k_idx") != 1, F.col("ssim")), F.col("c") / 1000, F.col("z") / 1000]
-    return as_lines(r, F.concat(F.col("status"), F.lit("/summary.csv")), [A.method_place("method"), F.col("k_idx")], cells, header)
+    psnr = F.when(F.col("status") == "PSRAM_FAIL", "N/A").otherwise(F.col("psnr").cast("string"))
+    cells = r.select("status", "method", (F.col("k") + 1e-9).alias("k"), psnr.alias("psnr"), F.when(F.col("k_idx") != 1, F.col("ssim")).alias("ssim"), (F.col("c") / 1000).alias("comp_ms"), (F.col("z") / 1000).alias("decomp_ms"))
+    path, short = sinks.scratch(spark), F.col("status").isin("OK", "CRC_FAIL")
+    sinks.write_folders(cells.where(short), path, "status", ["method", "k"])
+    sinks.write_folders(cells.where(~short).withColumnsRenamed({"comp_ms": "compress_ms", "decomp_ms": "decompress_ms"}), path, "status", ["method", "k"])
+    return read_headed(spark, path)
 
 
 @query("s5_summary_last_wins", ", s AS (SELECT status, method, k_idx, k, avg(psnr) AS psnr, max(ssim) AS ssim, max(compress_us) / 1000 AS compress_ms, max(decompress_us) / 1000 AS decompress_ms FROM records GROUP BY status, method, k_idx, k) SELECT method, k, CASE WHEN status <> 'PSRAM_FAIL' THEN psnr END AS psnr, CASE WHEN k_idx <> 1 THEN ssim END AS ssim, compress_ms, decompress_ms FROM s QUALIFY row_number() OVER (PARTITION BY method, k ORDER BY status DESC) = 1")
 def _(spark, d):
-    return files.read_summary(summary_lines(spark, d), ["psnr", "ssim", "compress_ms", "decompress_ms"])
+    return files.read_summary(summary_files(spark, d), ["psnr", "ssim", "compress_ms", "decompress_ms"])
 
 
 @query("s6_first_source", "SELECT 'late' AS source, method, k_idx, avg(psnr) AS psnr FROM records GROUP BY method, k_idx")
@@ -104,10 +100,12 @@ def _(spark, d):
     return rows.select(F.lit(name).alias("source"), "method", "k_idx", "psnr")
 
 
-def record_lines(spark, d) -> DataFrame:
+def record_files(spark, d) -> DataFrame:
     """A summary file for each run, with the 20 columns."""
-    r = full_records(spark, d)
-    return as_lines(reports.summary_rows(r, "run_id", "ord"), F.concat(F.lit("run"), F.col("run_id").cast("string"), F.lit("/run"), F.col("run_id").cast("string"), F.lit("_summary.csv")), [F.col("ord")], [F.col(c) for c in reports.SUMMARY], F.lit(",".join(reports.SUMMARY)))
+    r, path = full_records(spark, d), sinks.scratch(spark)
+    rows = reports.summary_rows(r, "run_id", "ord").select(F.concat(F.lit("run"), F.col("run_id").cast("string")).alias("run"), "ord", *reports.SUMMARY)
+    sinks.write_folders(rows, path, "run", ["ord"])
+    return read_headed(spark, path)
 
 
 TEXT_PSNR = "CASE WHEN psnr >= 0 THEN format('{:.6f}', psnr)::DOUBLE END"
@@ -115,13 +113,13 @@ TEXT_PSNR = "CASE WHEN psnr >= 0 THEN format('{:.6f}', psnr)::DOUBLE END"
 
 @query("s7_run_summaries", f"SELECT 'run' || run_id AS run, method_name AS method, k, {TEXT_PSNR} AS psnr, CASE WHEN mode = 'JPEG' THEN compress_us ELSE 0 END AS compress_us, status FROM fr", FULL_SQL)
 def _(spark, d):
-    return files.read_records(record_lines(spark, d)).select("run", "method", "k", "psnr", "compress_us", "status")
+    return files.read_records(record_files(spark, d)).select("run", "method", "k", "psnr", "compress_us", "status")
 
 
 @query("s8_selected_scenes", f"SELECT 'run' || run_id AS scene, method_name AS method, k, {TEXT_PSNR} AS psnr FROM fr WHERE status = 'OK' AND method_name IN ('rdct', 'silveira_j3', 'silveira_j7') AND k_idx IN (0, 2)", FULL_SQL)
 def _(spark, d):
     wanted = grid(spark).where("k_idx IN (0, 2) AND method IN ('rdct', 'silveira_j3', 'silveira_j7')")
-    return files.scene_records(record_lines(spark, d), wanted).select("scene", "method", "k", "psnr")
+    return files.scene_records(record_files(spark, d), wanted).select("scene", "method", "k", "psnr")
 
 
 def report_lines(spark, d) -> DataFrame:
@@ -210,12 +208,11 @@ def _(spark, d):
 @query("s13_two_layouts", "SELECT method, k_idx, avg(ms) AS compress_ms FROM (SELECT method, k_idx, avg(compress_us / 1000) AS ms FROM records WHERE device < 8 GROUP BY device, method, k_idx UNION ALL SELECT method, k_idx, avg(compress_us) / 1000 FROM records WHERE device >= 8 GROUP BY device, method, k_idx) GROUP BY method, k_idx")
 def _(spark, d):
     """Files of the first eight devices have a row for each image, those of the others are averaged."""
-    r, k = records(spark, d), F.col("k")
-    name = F.concat(F.lit("times"), F.col("device").cast("string"), F.lit(".csv"))
-    images = as_lines(r.where("device < 8"), name, [F.col("ord")], [F.col("ord"), F.col("method"), k, F.col("compress_us") / 1000], F.lit("image,method,k,comp_ms"))
-    means = r.where("device >= 8").groupBy("device", "method", "k_idx", "k").agg((F.avg("compress_us") / 1000).alias("ms"))
-    averaged = as_lines(means, name, [A.method_place("method"), F.col("k_idx")], [F.col("method"), k, F.col("ms")], F.lit("method,k,compress_ms"))
-    got = files.time_summary(images.select("file", "value", F.col("line.o0").alias("a"), F.lit(0).cast("bigint").alias("b"), F.col("line.part").alias("p")).unionByName(averaged.select("file", "value", F.col("line.o0").alias("a"), F.col("line.o1").alias("b"), F.col("line.part").alias("p"))).select("file", F.struct("p", "a", "b").alias("line"), "value"), "compress_ms")
+    r, path = records(spark, d), sinks.scratch(spark)
+    sinks.write_folders(r.where("device < 8").select("device", F.col("ord").alias("image"), "method", "k", (F.col("compress_us") / 1000).alias("comp_ms")), path, "device", ["image"])
+    means = r.where("device >= 8").groupBy("device", "method", "k").agg((F.avg("compress_us") / 1000).alias("compress_ms"))
+    sinks.write_folders(means, path, "device", ["method", "k"])
+    got = files.time_summary(read_headed(spark, path), "compress_ms")
     return got.join(F.broadcast(kfactors(spark).select("k_idx", F.round("k", 6).alias("k"))), "k").select("method", "k_idx", "compress_ms")
 
 

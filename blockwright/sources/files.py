@@ -85,7 +85,7 @@ def decode_images(files: DataFrame) -> DataFrame:
     return files.mapInPandas(decode, FRAME)
 
 
-# Text files are tables of lines (file, line, value) first, so that lines from anywhere are read by the same rules.
+# CSV files come from read_headed(); other text files are tables of lines (file, line, value), so that lines from anywhere are read by the same rules.
 
 
 def text_lines(spark: SparkSession, pattern: str) -> DataFrame:
@@ -94,12 +94,9 @@ def text_lines(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.text(pattern).select(F.col("_metadata.file_path").alias("file"), line.alias("line"), "value")
 
 
-def csv_cells(lines: DataFrame) -> DataFrame:
-    """file, line, names, m: the rows below each file's header as maps from column names to cells; rows may be short."""
-    head = lines.groupBy("file").agg(F.min_by("value", "line").alias("header"), F.min("line").alias("top"))
-    names, cells = F.split("header", ","), F.split("value", ",")
-    m = F.map_from_arrays("names", F.transform("names", lambda n, i: F.get("cells", i)))
-    return lines.join(head, "file").where("line > top").select("file", "line", names.alias("names"), cells.alias("cells")).select("file", "line", "names", m.alias("m"))
+def named(rows: DataFrame) -> DataFrame:
+    """Rows of read_headed() with m, a map from column names to cells; rows may be short."""
+    return rows.withColumn("m", F.map_from_arrays("names", F.transform("names", lambda n, i: F.get("cells", i))))
 
 
 def cell(*names: str) -> Column:
@@ -109,34 +106,35 @@ def cell(*names: str) -> Column:
 
 
 def folder_of(file: str = "file") -> Column:
-    return F.regexp_extract(file, r"([^/]+)/[^/]+$", 1)
+    """The name of a file's folder; of a folder name=value the value."""
+    return F.regexp_extract(file, r"(?:[^/=]+=)?([^/]+)/[^/]+$", 1)
 
 
 ALIASES = {"compress_ms": ("compress_ms", "comp_ms"), "decompress_ms": ("decompress_ms", "decomp_ms")}
 
 
-def read_summary(lines: DataFrame, metrics: list[str]) -> DataFrame:
+def read_summary(headed: DataFrame, metrics: list[str]) -> DataFrame:
     """method, k (6 places) and metrics of summary files; of rows with one key the last counts."""
-    rows = csv_cells(lines).select("file", "line", cell("method").alias("method"), F.round(cell("k").try_cast("double"), 6).alias("k"), *[cell(*ALIASES.get(c, (c,))).try_cast("double").alias(c) for c in metrics])
+    rows = named(headed).select("file", "line", cell("method").alias("method"), F.round(cell("k").try_cast("double"), 6).alias("k"), *[cell(*ALIASES.get(c, (c,))).try_cast("double").alias(c) for c in metrics])
     last = rows.groupBy("method", "k").agg(F.max_by(F.struct(*metrics), F.struct("file", "line")).alias("x"))
     return last.select("method", "k", "x.*")
 
 
-def read_records(lines: DataFrame) -> DataFrame:
+def read_records(headed: DataFrame) -> DataFrame:
     """Record files of all runs; the run is the folder's name. Empty cells and N/A are null."""
     typed = [cell(f.name).try_cast(f.dataType).alias(f.name) if f.name not in ("psnr", "ssim") else cell(f.name).try_cast("double").alias(f.name) for f in RECORD_CSV]
-    return csv_cells(lines).select(folder_of().alias("run"), *typed)
+    return named(headed).select(folder_of().alias("run"), *typed)
 
 
-def scene_records(lines: DataFrame, grid: DataFrame) -> DataFrame:
+def scene_records(headed: DataFrame, grid: DataFrame) -> DataFrame:
     """Records of good status whose method and k belong to the study; the scene is the folder's name."""
-    rows = read_records(lines).withColumnRenamed("run", "scene").withColumn("k", F.round("k", 6)).where("status = 'OK'")
+    rows = read_records(headed).withColumnRenamed("run", "scene").withColumn("k", F.round("k", 6)).where("status = 'OK'")
     return rows.join(F.broadcast(grid.select("method", F.round("k", 6).alias("k"))), ["method", "k"], "left_semi")
 
 
-def time_summary(lines: DataFrame, metric: str) -> DataFrame:
+def time_summary(headed: DataFrame, metric: str) -> DataFrame:
     """method, k and mean of timing files. A file with a column image has a row for each image and is averaged first; others are averaged already."""
-    rows = csv_cells(lines).select("file", cell("method").alias("method"), F.round(cell("k").try_cast("double"), 6).alias("k"), F.array_contains("names", "image").alias("per_image"), cell(*ALIASES.get(metric, (metric,))).try_cast("double").alias("v"))
+    rows = named(headed).select("file", cell("method").alias("method"), F.round(cell("k").try_cast("double"), 6).alias("k"), F.array_contains("names", "image").alias("per_image"), cell(*ALIASES.get(metric, (metric,))).try_cast("double").alias("v"))
     averaged = rows.where("per_image").groupBy("file", "method", "k").agg(F.avg("v").alias("v")).select("method", "k", "v")
     return averaged.unionByName(rows.where("NOT per_image").select("method", "k", "v")).groupBy("method", "k").agg(F.avg("v").alias(metric))
 

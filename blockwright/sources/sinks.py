@@ -42,6 +42,11 @@ def write_runs(records: DataFrame, path: str) -> None:
     records.repartition("run_id").sortWithinPartitions("run_id", "k_idx", "method_ord").write.partitionBy("run_id").option("header", True).csv(path)
 
 
+def write_folders(rows: DataFrame, path: str, folder: str, order: list[str]) -> None:
+    """One CSV file with a header for each value of a column, in a folder of its name, its rows in order. Later calls add folders."""
+    rows.repartition(folder).sortWithinPartitions(folder, *order).write.mode("append").partitionBy(folder).option("header", True).csv(path)
+
+
 def append_summary(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("header", True).csv(path)
 
