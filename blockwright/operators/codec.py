@@ -186,10 +186,20 @@ def weighed(lines_: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return total
 
 
-# Cosines of the butterfly, in the digits that its floats are read from.
-C1, S1, C3, S3, C6, S6, ROOT2, HALF_ROOT = map(np.float32, (0.9807852804, 0.1950903220, 0.8314696123, 0.5555702330, 0.3826834324, 0.9238795325, 1.4142135624, 0.3535533906))
-#: Outputs 1, 3, 5, 7 of the butterfly's odd half, from the sums and differences of its inputs.
-ODD = np.array([[C3, C1, S1, S3], [S1, -C3, S3, C1], [C1, -S3, -C3, -S1], [-S3, S1, -C1, C3]], np.float32)
+def odd_half() -> np.ndarray:
+    """Outputs 1, 3, 5, 7 of the butterfly from t = (d0 + d3, d1 + d2, d1 - d2, d0 - d3) of its mirrored differences d, times the square root of 8.
+
+    Output k is half the sum of d(n) cos((2n + 1) k pi / 16), and a pair of d is half the sum
+    or the difference of a pair of t; the sums of two cosines make each entry the cosine of
+    one multiple of pi / 16 again.
+    """
+    k = 2 * np.arange(4) + 1
+    one, three, five, seven = (np.cos(n * k * np.pi / 16) for n in (1, 3, 5, 7))
+    return (np.sqrt(0.5) * np.stack([one + seven, three + five, three - five, one - seven], 1)).astype(np.float32)
+
+
+ODD = odd_half()
+C6, S6, ROOT2, HALF_ROOT = map(np.float32, (np.cos(6 * np.pi / 16), np.sin(6 * np.pi / 16), np.sqrt(2), np.sqrt(1 / 8)))
 
 
 def butterfly_line(x: np.ndarray) -> np.ndarray:
@@ -220,28 +230,35 @@ register_kernel("matrix", lambda x: round_away(weighed(x, cosine_basis())), lamb
 register_kernel("loeffler", butterfly_line, butterfly_inverse_line)
 
 
+def exact_product(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Lines x times a matrix of whole numbers, as floats that hold every sum exactly: of 32 bits where no sum can reach 2**24, else of 64."""
+    kind = np.float32 if np.abs(x).max(initial=0) * np.abs(m).sum(0).max() < 1 << 24 else np.float64
+    return x.reshape(-1, 8).astype(kind, copy=False) @ m.astype(kind)
+
+
 def integer_forward(method: Method):
-    """Rows then columns by the basis; whole numbers below 2**53, so products of doubles are exact."""
-    m = np.array(method.basis, np.float64)
+    """Rows then columns by the basis."""
+    m = np.array(method.basis).T
 
     def run(x: np.ndarray) -> np.ndarray:
-        rows = (x.reshape(-1, 8) @ m.T).reshape(-1, 8, 8)
-        return (rows.transpose(0, 2, 1).reshape(-1, 8) @ m.T).reshape(-1, 8, 8).transpose(0, 2, 1).astype(np.int64)
+        rows = exact_product(x, m).reshape(-1, 8, 8)
+        return exact_product(rows.transpose(0, 2, 1), m).reshape(-1, 8, 8).transpose(0, 2, 1).astype(np.int32)
 
     return run
 
 
 def integer_inverse(method: Method):
     """Columns then rows, each pass divided and rounded half away from zero."""
-    back = np.array(method.basis, np.float64).T * np.array(method.weights)
+    back = (np.array(method.basis).T * np.array(method.weights)).T
 
     def halves(x: np.ndarray) -> np.ndarray:
-        s = (x.reshape(-1, 8) @ back.T).astype(np.int64)
-        return (np.sign(s) * ((2 * np.abs(s) + method.divisor) // (2 * method.divisor))).astype(np.float64)
+        s = exact_product(x, back).astype(np.int64)
+        s = s.astype(np.int32) if np.abs(s).max(initial=0) < 1 << 29 else s
+        return np.sign(s) * ((2 * np.abs(s) + method.divisor) // (2 * method.divisor))
 
     def run(x: np.ndarray) -> np.ndarray:
-        columns = halves(x.astype(np.float64).transpose(0, 2, 1)).reshape(-1, 8, 8).transpose(0, 2, 1)
-        return halves(columns).reshape(-1, 8, 8).astype(np.int64)
+        columns = halves(x.transpose(0, 2, 1)).reshape(-1, 8, 8).transpose(0, 2, 1)
+        return halves(columns).reshape(-1, 8, 8).astype(np.int32)
 
     return run
 
@@ -254,12 +271,17 @@ def kernel(method: str, back: bool = False) -> Callable[[np.ndarray], np.ndarray
         line = KERNELS[method][back]
         return lambda x: separable(x.reshape(-1, 8, 8), line, not back).reshape(-1, 64)
     whole = (integer_inverse if back else integer_forward)(REGISTRY[method])
-    return lambda x: whole(x.astype(np.float64).reshape(-1, 8, 8)).reshape(-1, 64)
+    return lambda x: whole(x.reshape(-1, 8, 8)).reshape(-1, 64)
 
 
 def quantized(c: np.ndarray, table: list[int]) -> np.ndarray:
+    """Levels by reciprocals, in 32 bits without sign where the products fit."""
     q = np.array(table, np.int64)
-    return np.sign(c) * (((np.abs(c.astype(np.int64)) + q // 2) * ((65536 + q // 2) // q)) >> 16)
+    r, size = (65536 + q // 2) // q, np.abs(c)
+    fits = (int(size.max(initial=0)) + int(q.max()) // 2) * int(r.max()) < 1 << 32
+    kind = np.uint32 if fits else np.int64
+    levels = ((size.astype(kind) + (q // 2).astype(kind)) * r.astype(kind)) >> kind(16)
+    return np.where(c < 0, -levels.astype(np.int32), levels.astype(np.int32))
 
 
 def block_job(df: DataFrame, column: str, out: list[str], job: Callable[[np.ndarray], list[np.ndarray]], times: int = 1, numbers: dict[str, list[int]] | None = None) -> DataFrame:
@@ -279,10 +301,13 @@ def block_job(df: DataFrame, column: str, out: list[str], job: Callable[[np.ndar
                 blocks = part.column(names.index(column))
                 size = pc.fill_null(pc.list_value_length(blocks), 0).to_numpy()
                 good = size == 64
-                x = np.zeros((len(size), 64), np.int64)
-                x[good] = blocks.filter(pa.array(good)).flatten().to_numpy().reshape(-1, 64)
+                if good.all():
+                    x = blocks.flatten().to_numpy().reshape(-1, 64).astype(np.int32, copy=False)
+                else:
+                    x = np.zeros((len(size), 64), np.int32)
+                    x[good] = blocks.filter(pa.array(good)).flatten().to_numpy().reshape(-1, 64)
                 missing = np.repeat(~good, times)
-                made = [pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * len(missing) + 1, 64, dtype=np.int32)), pa.array(np.ascontiguousarray(v).reshape(-1).astype(np.int32)), mask=pa.array(missing)) for v in job(x)]
+                made = [pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * len(missing) + 1, 64, dtype=np.int32)), pa.array(np.ascontiguousarray(v, np.int32).reshape(-1)), mask=pa.array(missing) if missing.any() else None) for v in job(x)]
                 take = pa.array(np.repeat(np.arange(len(size)), times))
                 same = [part.column(names.index(f.name)) if times == 1 else part.column(names.index(f.name)).take(take) for f in kept]
                 cases = [pa.array(np.tile(np.array(v, np.int32), len(size))) for v in (numbers or {}).values()]
@@ -307,15 +332,15 @@ def restored(df: DataFrame, method: str) -> DataFrame:
     return block_job(df, "d", ["d"], lambda x, f=kernel(method, True): [f(x)])
 
 
-def compress(blocks: DataFrame, method: str, k: float, chroma: bool = False) -> DataFrame:
-    """blocks with their coefficients c and levels q for one method and quality factor."""
+def compress(blocks: DataFrame, method: str, k: float, chroma: bool = False, coefficients: bool = False) -> DataFrame:
+    """blocks with their levels q for one method and quality factor, and with their coefficients c if they are asked for."""
     forth, table = kernel(method), quant_table(method, k, chroma)
 
     def job(x: np.ndarray) -> list[np.ndarray]:
         c = forth(x)
-        return [c, quantized(c, table)]
+        return [c, quantized(c, table)] if coefficients else [quantized(c, table)]
 
-    return block_job(blocks, "b", ["c", "q"], job)
+    return block_job(blocks, "b", ["c", "q"] if coefficients else ["q"], job)
 
 
 def decompress(levels: DataFrame, method: str, k: float, chroma: bool = False) -> DataFrame:
@@ -325,8 +350,8 @@ def decompress(levels: DataFrame, method: str, k: float, chroma: bool = False) -
 
 
 def round_trip(blocks: DataFrame, method: str, k: float, chroma: bool = False) -> DataFrame:
-    """compress and decompress in one pass."""
-    return block_job(blocks, "b", ["c", "q", "d"], case_job(method, [quant_table(method, k, chroma)]))
+    """blocks with what compress and decompress make of them (d), in one pass."""
+    return block_job(blocks, "b", ["d"], lambda x, f=case_job(method, [quant_table(method, k, chroma)]): f(x)[2:])
 
 
 def case_job(method: str, tables: list[list[int]]) -> Callable[[np.ndarray], list[np.ndarray]]:

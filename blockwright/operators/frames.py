@@ -1,8 +1,8 @@
-"""Whole images: colour planes, blocks that are padded at the edges, and the compress and decompress jobs.
+"""Blocks of whole images as rows: chroma at full size, gray rasters, and the parameters of a job.
 
-A frame is a set of pixel rows (keys, w, h, y, x, r, g, b). Blocks of all planes lie in one
-table with a column plane: y, cb, cr. Chroma may be halved across (422) or both ways (420);
-the grid of blocks then covers whole units of 16 pixels, as the codec does.
+Blocks of all planes lie in one table with a column plane: y, cb, cr. Chroma may be halved
+across (422) or both ways (420); the grid of blocks then covers whole units of 16 pixels, as
+the codec does. Images are cut into blocks and put together again in strips.py.
 """
 
 from __future__ import annotations
@@ -11,10 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockwright.functions import scalars as S
-from blockwright.operators import codec
 
 PLANES = ("y", "cb", "cr")
-#: Error codes of a compress job's parameters, in the order of the checks.
+# Error codes of a compress job's parameters.
 ERRORS = {"SUCCESS": 0, "NULL_POINTER": -1, "INVALID_DIMENSIONS": -2, "ALLOCATION_FAILED": -3, "INVALID_METHOD": -4, "INVALID_COLORSPACE": -5, "INVALID_FRAME": -6, "BUFFER_TOO_SMALL": -7, "INVALID_SUBSAMPLING": -8, "INVALID_QUALITY": -9}
 
 
@@ -23,45 +22,6 @@ def halves(subsampling: str) -> tuple[int, int]:
     return {"444": (0, 0), "422": (0, 1), "420": (1, 1)}[subsampling]
 
 
-def planes(frames: DataFrame, keys: list[str], subsampling: str = "444") -> DataFrame:
-    """keys, plane, y, x, v: level-shifted luma, and chroma as the rounded mean of the samples that lie in the image."""
-    down, across = halves(subsampling)
-    yy, cb, cr = S.rgb_to_ycbcr(F.col("r"), F.col("g"), F.col("b"))
-    luma = frames.select(*keys, F.lit("y").alias("plane"), "y", "x", yy.cast("bigint").alias("v"))
-    both = F.explode(F.array(*[F.struct(F.lit(n).alias("plane"), c.cast("bigint").alias("v")) for n, c in (("cb", cb), ("cr", cr))]))
-    chroma = frames.select(*keys, F.shiftright("y", down).alias("y"), F.shiftright("x", across).alias("x"), both.alias("c")).select(*keys, "c.plane", "y", "x", "c.v")
-    if down + across:
-        chroma = chroma.groupBy(*keys, "plane", "y", "x").agg(S.div_round(F.sum("v"), F.count("*")).alias("v"))
-    return luma.unionByName(chroma)
-
-
-def channel(frames: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    """One plane of any value of the pixels."""
-    return frames.select(*keys, F.lit("y").alias("plane"), "y", "x", value.cast("bigint").alias("v"))
-
-
-def block_grid(frames: DataFrame, keys: list[str], subsampling: str = "444", names: tuple[str, ...] = PLANES) -> DataFrame:
-    """keys, plane, brow, bcol: every block that an image of w by h has."""
-    down, across = halves(subsampling)
-    up = lambda c, d: F.floor((F.col(c) + d - 1) / d).cast("int")
-    rows, cols = up("h", 8 << down), up("w", 8 << across)
-    luma = F.col("plane") == "y"
-    rows, cols = F.when(luma, F.shiftleft(rows, down)).otherwise(rows), F.when(luma, F.shiftleft(cols, across)).otherwise(cols)
-    g = frames.select(*keys).distinct().withColumn("plane", F.explode(F.array(*map(F.lit, names))))
-    g = g.withColumn("brow", F.explode(F.sequence(F.lit(0), rows - 1)))
-    return g.withColumn("bcol", F.explode(F.sequence(F.lit(0), cols - 1)))
-
-
-def to_blocks(samples: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, plane, brow, bcol, b: blocks of 64 samples in raster order; where there is no sample, 0."""
-    at = [*keys, "plane", "brow", "bcol"]
-    place = (F.col("y").bitwiseAND(7) * 8 + F.col("x").bitwiseAND(7)).cast("int")
-    s = samples.select(*keys, "plane", F.shiftright("y", 3).alias("brow"), F.shiftright("x", 3).alias("bcol"), place.alias("pos"), "v")
-    found = s.groupBy(*at).agg(F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("m"))
-    whole = F.transform(F.array(*map(F.lit, range(64))), lambda p: F.coalesce(F.col("m")[p], F.lit(0).cast("bigint")))
-    return grid.join(found, at, "left").select(*at, whole.alias("b"))
-
-
 def upsampled(block: Column, down: int, across: int) -> Column:
     """The blocks that a chroma block stands for, row by row: each sample for 2 x 1 or 2 x 2 pixels."""
     def part(dy: int, dx: int) -> Column:
@@ -79,15 +39,6 @@ def at_full_size(blocks: DataFrame, keys: list[str], subsampling: str) -> DataFr
     return blocks.where("plane = 'y'").select(*keys, "plane", "brow", "bcol", "b").unionByName(chroma)
 
 
-def to_rgb(blocks: DataFrame, keys: list[str], subsampling: str = "444") -> DataFrame:
-    """keys, y, x, r, g, b from blocks of three planes, cut to w by h. The three blocks of a place meet as arrays."""
-    g = at_full_size(blocks, keys, subsampling).groupBy(*keys, "brow", "bcol").pivot("plane", list(PLANES)).agg(F.first("b"))
-    p = g.select(*keys, "brow", "bcol", F.posexplode(F.arrays_zip("y", "cb", "cr")).alias("pos", "s"))
-    r, gg, b = S.ycbcr_to_rgb(F.col("s.y"), F.col("s.cb"), F.col("s.cr"))
-    y, x = F.col("brow") * 8 + F.shiftright("pos", 3), F.col("bcol") * 8 + F.col("pos").bitwiseAND(7)
-    return p.select(*keys, y.alias("y"), x.alias("x"), r.alias("r"), gg.alias("g"), b.alias("b")).where("y < h AND x < w")
-
-
 def to_gray(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """keys, y, x, v from luma blocks, cut to w by h."""
     p = blocks.select(*keys, "brow", "bcol", F.posexplode("b").alias("pos", "s"))
@@ -95,36 +46,6 @@ def to_gray(blocks: DataFrame, keys: list[str]) -> DataFrame:
     return p.select(*keys, y.alias("y"), x.alias("x"), S.clamp(F.col("s") + 128).alias("v")).where("y < h AND x < w")
 
 
-def by_plane(luma: Column, chroma: Column) -> Column:
-    return F.when(F.col("plane") == "y", luma).otherwise(chroma)
-
-
-def compress(frames: DataFrame, keys: list[str], method: str, k: float, subsampling: str = "444", skip_quantization: bool = False, gray: Column | None = None) -> DataFrame:
-    """The compress job: keys, plane, brow, bcol, b, c (coefficients) and q (levels). The identity is never quantized. gray: the samples of a gray image, which has luma only."""
-    if gray is None:
-        blocks = to_blocks(planes(frames, keys, subsampling), block_grid(frames, keys, subsampling), keys)
-    else:
-        blocks = to_blocks(channel(frames, keys, gray - 128), block_grid(frames, keys, names=("y",)), keys)
-    df = codec.transformed(blocks, method)
-    if skip_quantization or method == "identity":
-        return df.withColumn("q", F.col("c"))
-    return df.withColumn("q", by_plane(*[codec.quantize(F.col("c"), codec.quant_table(method, k, chroma)) for chroma in (False, True)]))
-
-
-def decompress(levels: DataFrame, keys: list[str], method: str, k: float, subsampling: str = "444", skip_quantization: bool = False) -> DataFrame:
-    """The decompress job: keys, y, x, r, g, b from levels q."""
-    d = F.col("q")
-    if not (skip_quantization or method == "identity"):
-        d = by_plane(*[codec.dequantize(F.col("q"), codec.quant_table(method, k, chroma)) for chroma in (False, True)])
-    df = codec.restored(levels.select(*keys, "plane", "brow", "bcol", d.alias("d")), method)
-    return to_rgb(df.withColumnRenamed("d", "b"), keys, subsampling)
-
-
-def round_trip(frames: DataFrame, keys: list[str], method: str, k: float, subsampling: str = "444") -> DataFrame:
-    """Image in, image out."""
-    return decompress(compress(frames, keys, method, k, subsampling), keys, method, k, subsampling)
-
-
 def parameter_error(image: Column, width: Column, height: Column, method: Column, colorspace: Column, subsampling: Column, k: Column) -> Column:
     """Error code of a compress job, 0 if there is none: methods 0-5, colour spaces 0 (RGB) and 1 (gray), subsampling 0-2, finite k in (0, 32]."""
     finite = ~F.isnan(k) & (F.abs(k) != float("inf"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from blockwright.functions import scalars as S
 
@@ -29,28 +28,6 @@ def global_ssim(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b") -
     return g.select(*keys, ssim(*[F.col(c) for c in ("ma", "mb", "va", "vb", "cov")]).alias("ssim"))
 
 
-def box_sums(pixels: DataFrame, keys: list[str], columns: list[str], side: int = WINDOW) -> DataFrame:
-    """Sums over side x side boxes, at the box's middle; only boxes that lie inside the image. Two sliding windows, one for each axis."""
-    r = side // 2
-    down = Window.partitionBy(*keys, "x").orderBy("y").rowsBetween(-r, r)
-    across = Window.partitionBy(*keys, "y").orderBy("x").rowsBetween(-r, r)
-    v = pixels.select(*keys, "x", "y", *[F.sum(c).over(down).alias(c) for c in columns], F.count("*").over(down).alias("__n")).where(f"__n = {side}")
-    return v.select(*keys, "x", "y", *[F.sum(c).over(across).alias(c) for c in columns], F.count("*").over(across).alias("__n")).where(f"__n = {side}").drop("__n")
-
-
-def windowed_ssim(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
-    """Mean of the similarity over all 7 x 7 windows with sample moments; an image with a shorter side has 1."""
-    n = WINDOW * WINDOW
-    x, y = F.col(a).cast("bigint"), F.col(b).cast("bigint")
-    p = pairs.select(*keys, "x", "y", x.alias("sa"), y.alias("sb"), (x * x).alias("saa"), (y * y).alias("sbb"), (x * y).alias("sab"))
-    s = box_sums(p, keys, ["sa", "sb", "saa", "sbb", "sab"])
-    ma, mb = F.col("sa") / n, F.col("sb") / n
-    moment = lambda xy, mx, my: (F.col(xy) - n * mx * my) / (n - 1)
-    one = ssim(ma, mb, moment("saa", ma, ma), moment("sbb", mb, mb), moment("sab", ma, mb))
-    means = s.groupBy(*keys).agg(F.avg(one).alias("ssim"))
-    return pairs.select(*keys).distinct().join(means, keys, "left").select(*keys, F.coalesce("ssim", F.lit(1.0)).alias("ssim"))
-
-
 def brightness(pixels: DataFrame, keys: list[str], place: Column, every: int = 32) -> DataFrame:
     """Whole mean of the luma of every 32nd pixel."""
     luma = F.shiftright(306 * F.col("r") + 601 * F.col("g") + 117 * F.col("b"), 10)

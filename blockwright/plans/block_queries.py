@@ -9,8 +9,9 @@ from blockwright.operators import analytics as A
 from blockwright.operators import codec as C
 from blockwright.operators import frames as R
 from blockwright.operators import quality as Q
+from blockwright.operators import strips as P
 from blockwright.plans.dims import BASIS, INVERSE, K_VALUES, METHOD_NAMES, Q50_CHROMA, Q50_LUMA, scaled_k, zigzag
-from blockwright.sources.blocks import BLOCKS_SQL, FRAMES_SQL, PIXELS_SQL, SAMPLES_SQL, blocks, frames, pixels, samples
+from blockwright.sources.blocks import BLOCKS_SQL, FRAMES_SQL, PIXELS_SQL, SAMPLES_SQL, blocks, frame_strips, frames, pixels, samples
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -74,9 +75,9 @@ def turn_sql(source: str) -> str:
 
 def butterfly_sql(source: str, back: bool) -> str:
     """Rows of a block by the butterfly, written out."""
-    f = lambda x: f"'{x}'::FLOAT"
-    c1, s1, c3, s3, c6, s6, root2, half = map(f, ("0.9807852804", "0.1950903220", "0.8314696123", "0.5555702330", "0.3826834324", "0.9238795325", "1.4142135624", "0.3535533906"))
-    odd = [[c3, c1, s1, s3], [s1, f"(-{c3})", s3, c1], [c1, f"(-{s3})", f"(-{c3})", f"(-{s1})"], [f"(-{s3})", s1, f"(-{c1})", c3]]
+    f = lambda x: f"('{x:.9g}'::FLOAT)"
+    c6, s6, root2, half = map(f, (C.C6, C.S6, C.ROOT2, C.HALF_ROOT))
+    odd = [[f(x) for x in row] for row in C.ODD]
     v = lambda n: f"{source}[p * 8 + {n + 1}]"
     dot = lambda w, x: "(" + " + ".join(f"{a} * {b}" for a, b in zip(w, x)) + ")"
     whole = lambda x: f"round({x})::INTEGER"
@@ -139,7 +140,7 @@ SCAN = "zz(z, pos) AS (VALUES " + ", ".join(f"({i}, {p})" for i, p in enumerate(
 
 
 def levels(spark, d):
-    return C.compress(blocks(spark, d), "rdct", 0.5)
+    return C.compress(blocks(spark, d), "rdct", 0.5, coefficients=True)
 
 
 def scanned(spark, d):
@@ -168,11 +169,6 @@ def _(spark, d):
     return b.select("image", y.alias("y"), x.alias("x"), "v").where("y < 23 AND x < 30")
 
 
-@query("t9_blocks_to_gray", "SELECT image, brow, bcol, pos, greatest(0, least(255, v + 128)) AS v FROM blocks")
-def _(spark, d):
-    return long(blocks(spark, d), "b").withColumn("v", S.clamp(F.col("v") + 128))
-
-
 @query("f1_rgb_to_ycbcr", "SELECT image, y, x, ((77 * r + 150 * g + 29 * b + 128) >> 8) - 128 AS yy, ((-43 * r - 85 * g + 128 * b + 128) >> 8) AS cb, ((128 * r - 107 * g - 21 * b + 128) >> 8) AS cr FROM pixels", PIXELS_SQL)
 def _(spark, d):
     yy, cb, cr = S.rgb_to_ycbcr(F.col("r"), F.col("g"), F.col("b"))
@@ -232,9 +228,8 @@ def rgb_sql(source: str, out: str) -> str:
     return f"{px}, {out} AS (SELECT image, y, x, greatest(0, least(255, yy + 128 + ((359 * cr + 128) >> 8))) AS r, greatest(0, least(255, yy + 128 - ((88 * cb + 183 * cr + 128) >> 8))) AS g, greatest(0, least(255, yy + 128 + ((454 * cb + 128) >> 8))) AS b FROM {out}_1 WHERE y < h AND x < w)"
 
 
-def frame_blocks(spark, d, sub: str = "444"):
-    f = frames(spark, d)
-    return R.to_blocks(R.planes(f, IMAGE, sub), R.block_grid(f, IMAGE, sub), IMAGE)
+def frame_blocks(spark, d, sub: str = "444", channel=None):
+    return P.blocks(frame_strips(spark, d), ["image"], sub, channel)
 
 
 def shown(df, column: str = "b"):
@@ -249,16 +244,25 @@ plane_query("t1_luma_blocks", "444", "plane = 'y'")
 plane_query("t3_chroma_444", "444", "plane <> 'y'")
 plane_query("t4_chroma_420", "420", "plane <> 'y'")
 plane_query("t5_chroma_422", "422", "plane <> 'y'")
-for _n, _value in (("t2_gray_blocks", "r - 128"), ("t6_channel_blocks", "g * 3 - b")):
+for _n, _value, _of in (("t2_gray_blocks", "r - 128", lambda r, g, b: r - 128), ("t6_channel_blocks", "g * 3 - b", lambda r, g, b: g * 3 - b)):
     _sql = f", pl AS (SELECT image, w, h, 'y' AS plane, y, x, ({_value})::BIGINT AS v FROM frames){blocks_sql('444', ('y',))} SELECT image, plane, brow, bcol, unnest(range(64))::INTEGER AS pos, unnest(b) AS v FROM fb"
-    query(_n, _sql, FRAMES_SQL)(lambda spark, d, c=_value: shown(R.to_blocks(R.channel(f := frames(spark, d), IMAGE, F.expr(c)), R.block_grid(f, IMAGE, names=("y",)), IMAGE)))
+    query(_n, _sql, FRAMES_SQL)(lambda spark, d, c=_of: shown(frame_blocks(spark, d, "444", c)))
 for _n, _sub in (("t10_upsample_420", "420"), ("t11_upsample_422", "422")):
     query(_n, f"{planes_sql(_sub)}{blocks_sql(_sub)}, {upsampled_sql('fb', _sub, 'up')} SELECT image, plane, brow, bcol, unnest(range(64))::INTEGER AS pos, unnest(b) AS v FROM up", FRAMES_SQL)(lambda spark, d, s=_sub: shown(R.at_full_size(frame_blocks(spark, d, s), IMAGE, s)))
 
 
+@query("t9_blocks_to_gray", f", pl AS (SELECT image, w, h, 'y' AS plane, y, x, (r - 128)::BIGINT AS v FROM frames){blocks_sql('444', ('y',))} SELECT image, y, x, v FROM (SELECT image, w, h, (brow * 8 + pos // 8)::INTEGER AS y, (bcol * 8 + pos % 8)::INTEGER AS x, greatest(0, least(255, v + 128)) AS v FROM (SELECT *, unnest(range(64)) AS pos, unnest(b) AS v FROM fb)) WHERE y < h AND x < w", FRAMES_SQL)
+def _(spark, d):
+    """The gray raster of luma blocks, cut to the image; what isn't there is middle gray."""
+    return R.to_gray(frame_blocks(spark, d, "444", lambda r, g, b: r - 128), IMAGE).select("image", "y", "x", "v")
+
+
 @query("t8_blocks_to_rgb", f"{planes_sql('444')}{blocks_sql('444')}, {rgb_sql('fb', 'px')} SELECT * FROM px", FRAMES_SQL)
 def _(spark, d):
-    return R.to_rgb(frame_blocks(spark, d), IMAGE).drop("w", "h")
+    """The identity job, back and forth: blocks of three planes give the image."""
+    key = ["image"]
+    rgb = P.long(P.decompress(P.compress(frame_strips(spark, d), key, "identity", 1.0), key, "identity", 1.0), key)
+    return rgb.select("image", "y", "x", *[F.col(c).cast("bigint").alias(c) for c in "rgb"])
 
 
 def job_sql(method: str, k: float, sub: str) -> str:
@@ -268,8 +272,8 @@ def job_sql(method: str, k: float, sub: str) -> str:
 
 
 for _method, _k, _sub in (("rdct", 0.5, "420"), ("matrix", 0.2, "444"), ("silveira_j7", 0.8, "422")):
-    query(f"t33_compress_{_method}_{_sub}", f"{job_sql(_method, _k, _sub)} SELECT image, plane, brow, bcol, unnest(range(64))::INTEGER AS pos, unnest(q) AS v FROM lv", FRAMES_SQL)(lambda spark, d, a=(_method, _k, _sub): shown(R.compress(frames(spark, d), IMAGE, *a), "q"))
-    query(f"t34_decompress_{_method}_{_sub}", f"{job_sql(_method, _k, _sub)} SELECT image, y, x, r, g, b FROM px", FRAMES_SQL)(lambda spark, d, a=(_method, _k, _sub): R.round_trip(frames(spark, d), IMAGE, *a).drop("w", "h"))
+    query(f"t33_compress_{_method}_{_sub}", f"{job_sql(_method, _k, _sub)} SELECT image, plane, brow, bcol, unnest(range(64))::INTEGER AS pos, unnest(q) AS v FROM lv", FRAMES_SQL)(lambda spark, d, a=(_method, _k, _sub): shown(P.level_blocks(P.compress(frame_strips(spark, d), ["image"], *a), ["image"], a[2]), "q"))
+    query(f"t34_decompress_{_method}_{_sub}", f"{job_sql(_method, _k, _sub)} SELECT image, y, x, r, g, b FROM px", FRAMES_SQL)(lambda spark, d, a=(_method, _k, _sub): P.long(P.decompress(P.compress(frame_strips(spark, d), ["image"], *a), ["image"], *a), ["image"]))
 
 
 ERROR_CASES = "SELECT image, brow, bcol, s % 9 - 1 AS m, s % 3 AS c, (s // 3) % 5 - 1 AS sub, CASE s % 13 WHEN 0 THEN 'NaN'::DOUBLE WHEN 1 THEN 'Infinity'::DOUBLE ELSE (s % 400) / 10.0::DOUBLE - 2 END AS k, s % 11 AS w, (s // 11) % 12 AS h, s % 17 > 0 AS has FROM (SELECT image, brow, bcol, sum(v) AS s FROM samples GROUP BY ALL)"
@@ -478,19 +482,63 @@ def _(spark, d):
     return Q.global_ssim(pairs(spark, d), ["image"])
 
 
-BOX = ", ".join(f"sum({c}) OVER w AS {c}" for c in ("sa", "sb", "saa", "sbb", "sab"))
-BOXES = f", q0 AS (SELECT image, x, y, a AS sa, b AS sb, a * a AS saa, b * b AS sbb, a * b AS sab FROM pair), q1 AS (SELECT image, x, y, {BOX}, count(*) OVER w AS n FROM q0 WINDOW w AS (PARTITION BY image, x ORDER BY y ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)), q2 AS (SELECT image, x, y, {BOX}, count(*) OVER w AS n FROM q1 WHERE n = 7 WINDOW w AS (PARTITION BY image, y ORDER BY x ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)), q3 AS (SELECT * FROM q2 WHERE n = 7)"
+CASE = ("rdct", 0.5, "444")
+SUMS = ("sa", "sb", "saa", "sbb", "sab")
+
+
+def box_sql(keys: str, source: str) -> str:
+    """q3: sums over the 7 x 7 boxes of source (keys, x, y, a, b) by two windows."""
+    box = ", ".join(f"sum({c}) OVER w AS {c}" for c in SUMS)
+    frame = "ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING"
+    return f", q0 AS (SELECT {keys}, x, y, a AS sa, b AS sb, a * a AS saa, b * b AS sbb, a * b AS sab FROM {source}), q1 AS (SELECT {keys}, x, y, {box}, count(*) OVER w AS n FROM q0 WINDOW w AS (PARTITION BY {keys}, x ORDER BY y {frame})), q2 AS (SELECT {keys}, x, y, {box}, count(*) OVER w AS n FROM q1 WHERE n = 7 WINDOW w AS (PARTITION BY {keys}, y ORDER BY x {frame})), q3 AS (SELECT * FROM q2 WHERE n = 7)"
+
+
+def ssim_sql(keys: str) -> str:
+    """Mean similarity of the boxes q3 by keys."""
+    return f"SELECT {keys}, avg((2 * ma * mb + 6.5025) * (2 * (sab - 49 * ma * mb) / 48 + 58.5225) / ((ma * ma + mb * mb + 6.5025) * ((saa - 49 * ma * ma) / 48 + (sbb - 49 * mb * mb) / 48 + 58.5225))) AS ssim FROM (SELECT *, sa / 49 AS ma, sb / 49 AS mb FROM q3) GROUP BY {keys}"
+
 
+COMPARED = f"{job_sql(*CASE)}, pair3 AS (SELECT f.image, f.y, f.x, unnest([0, 1, 2]) AS channel, unnest([f.r, f.g, f.b]) AS a, unnest([p.r, p.g, p.b]) AS b FROM frames f JOIN px p ON p.image = f.image AND p.y = f.y AND p.x = f.x)"
 
-@query("w1_box_sums", f"{RECON}{BOXES} SELECT image, x, y, sa::BIGINT AS sa, saa::BIGINT AS saa FROM q3")
+
+def one_job(spark, d):
+    """Frames beside what one job makes of them."""
+    return P.round_trips(frame_strips(spark, d), ["image"], [(CASE[0], 2, CASE[1])], CASE[2])
+
+
+@query("w1_box_sums", f"{COMPARED}{box_sql('image, channel', 'pair3')} SELECT image, channel, y, x, {', '.join(f'{c}::BIGINT AS {c[1:]}' for c in SUMS)} FROM q3", FRAMES_SQL)
 def _(spark, d):
-    p = pairs(spark, d).select("image", "x", "y", F.col("a").alias("sa"), (F.col("a") * F.col("a")).alias("saa"))
-    return Q.box_sums(p, ["image"], ["sa", "saa"])
+    return P.box_sums(one_job(spark, d), ["image"])
 
 
-@query("a3_windowed_ssim", f"{RECON}{BOXES} SELECT p.image, coalesce(ssim, 1.0) AS ssim FROM (SELECT DISTINCT image FROM pair) p LEFT JOIN (SELECT image, avg((2 * ma * mb + 6.5025) * (2 * (sab - 49 * ma * mb) / 48 + 58.5225) / ((ma * ma + mb * mb + 6.5025) * ((saa - 49 * ma * ma) / 48 + (sbb - 49 * mb * mb) / 48 + 58.5225))) AS ssim FROM (SELECT *, sa / 49 AS ma, sb / 49 AS mb FROM q3) GROUP BY image) s ON s.image = p.image")
+@query("a3_windowed_ssim", f"{COMPARED}{box_sql('image, channel', 'pair3')}, s AS ({ssim_sql('image, channel')}), e AS (SELECT image, channel, coalesce(ssim, 1.0) AS ssim FROM (SELECT DISTINCT image, channel FROM pair3) LEFT JOIN s USING (image, channel)) SELECT image, avg(ssim) AS ssim, max(CASE channel WHEN 0 THEN ssim END) AS ssim_r, max(CASE channel WHEN 1 THEN ssim END) AS ssim_g, max(CASE channel WHEN 2 THEN ssim END) AS ssim_b FROM e GROUP BY image", FRAMES_SQL)
 def _(spark, d):
-    return Q.windowed_ssim(pairs(spark, d), ["image"])
+    """Similarity of each channel over all windows, and the mean of the channels."""
+    return P.distortion(one_job(spark, d), ["image"]).select("image", "ssim", "ssim_r", "ssim_g", "ssim_b")
+
+
+def raster_sql() -> str:
+    """all_px: pixels that every method and k makes of the frames, and bytes: the run-length bytes of their levels."""
+    parts, blocks_, sizes = [f"{planes_sql('444')}{blocks_sql('444')}"], [], []
+    key = f"{PLACE}, k_idx"
+    size = f"2 + 3 * list_sum([CASE WHEN p > 0 AND q[p + 1] <> 0 THEN 1 ELSE 0 END FOR p IN range(64)]) + CASE WHEN q[{zigzag()[63] + 1}] <> 0 THEN 0 ELSE 3 END"
+    for m in METHOD_NAMES:
+        table = " ".join(f"WHEN k_idx = {i} AND plane {'=' if not c else '<>'} 'y' THEN {literal(C.quant_table(m, k, c))}" for i, k in enumerate(K_VALUES) for c in (False, True))
+        parts.append(f", {list_transform_sql(m, False, 'fb', PLACE, 'b', 'c', 'f_' + m)}, l_{m} AS (SELECT {key}, t, {quantized_sql('c', 't')} AS q FROM (SELECT *, CASE {table} END AS t FROM f_{m}, range(0, 4) kk(k_idx))), d_{m} AS (SELECT {key}, {dequantized_sql('q', 't')} AS d FROM l_{m}), {list_transform_sql(m, True, 'd_' + m, key, 'd', 'b', 'r_' + m)}")
+        blocks_.append(f"SELECT {key}, '{m}' AS method, b FROM r_{m}")
+        sizes.append(f"SELECT image, '{m}' AS method, k_idx, sum({size}) AS stream_bytes FROM l_{m} GROUP BY image, k_idx")
+    value = ", ".join(f"max(CASE WHEN plane = '{n}' THEN v END) AS {'yy' if n == 'y' else n}" for n in R.PLANES)
+    parts.append(f", all_b AS ({' UNION ALL '.join(blocks_)}), all_1 AS (SELECT image, w, h, method, k_idx, (brow * 8 + pos // 8)::INTEGER AS y, (bcol * 8 + pos % 8)::INTEGER AS x, {value} FROM (SELECT {key}, method, unnest(range(64)) AS pos, unnest(b) AS v FROM all_b) GROUP BY image, w, h, method, k_idx, brow * 8 + pos // 8, bcol * 8 + pos % 8)")
+    parts.append(", all_px AS (SELECT image, method, k_idx, y, x, greatest(0, least(255, yy + 128 + ((359 * cr + 128) >> 8))) AS r, greatest(0, least(255, yy + 128 - ((88 * cb + 183 * cr + 128) >> 8))) AS g, greatest(0, least(255, yy + 128 + ((454 * cb + 128) >> 8))) AS b FROM all_1 WHERE y < h AND x < w)")
+    return "".join(parts) + f", bytes AS ({' UNION ALL '.join(sizes)})"
+
+
+@query("j1_raster_reference", f"{raster_sql()}, raw AS (SELECT image, 3 * count(*) AS raw_bytes FROM frames GROUP BY image, w, h HAVING count(*) = w * h), pair4 AS (SELECT f.image, method, k_idx, f.y, f.x, unnest([0, 1, 2]) AS channel, unnest([f.r, f.g, f.b]) AS a, unnest([p.r, p.g, p.b]) AS b FROM frames f JOIN raw USING (image) JOIN all_px p ON p.image = f.image AND p.y = f.y AND p.x = f.x){box_sql('image, method, k_idx, channel', 'pair4')}, s AS ({ssim_sql('image, method, k_idx, channel')}), m AS (SELECT image, method, k_idx, avg(ssim) AS ssim FROM s GROUP BY ALL), e AS (SELECT image, method, k_idx, sum((a - b) * (a - b))::BIGINT AS sse, count(*) AS n FROM pair4 GROUP BY ALL) SELECT z.image, z.method, z.k_idx::INTEGER AS k_idx, stream_bytes::BIGINT AS stream_bytes, (stream_bytes + 24)::BIGINT AS frame_bytes, raw_bytes, raw_bytes / stream_bytes::DOUBLE AS ratio, CASE WHEN sse = 0 THEN 100.0 ELSE 10 * log10(65025.0 / (sse::DOUBLE / n)) END AS psnr, CASE WHEN raw_bytes IS NOT NULL THEN coalesce(ssim, 1.0) END AS ssim, CASE WHEN raw_bytes IS NULL THEN 'REF_MISSING' ELSE 'DECODED' END AS status FROM bytes z LEFT JOIN raw USING (image) LEFT JOIN e ON e.image = z.image AND e.method = z.method AND e.k_idx = z.k_idx LEFT JOIN m ON m.image = z.image AND m.method = z.method AND m.k_idx = z.k_idx", FRAMES_SQL)
+def _(spark, d):
+    """Twenty records of each image against its raw raster; an image with missing vectors has no raw raster."""
+    f = frame_strips(spark, d)
+    records = P.round_trips(f, ["image"], [(m, i, k) for m in METHOD_NAMES for i, k in enumerate(K_VALUES)]).drop("data").withColumnRenamed("other", "data").withColumn("mask", F.lit(None).cast("binary"))
+    return P.against_raw(records, f.where("mask IS NULL"), "image", ["method", "k_idx"])
 
 
 @query("a12_brightness", "SELECT image, (sum((306 * r + 601 * g + 117 * b) >> 10) // count(*))::BIGINT AS brightness FROM pixels WHERE (y * 32 + x) % 32 = 0 GROUP BY image", PIXELS_SQL)
@@ -540,12 +588,11 @@ def _(spark, d):
     return g.select("image", "method", "k_idx", (F.col("bytes") / (8 * F.col("blocks"))).alias("bpp"), S.psnr(F.col("sse"), 64 * F.col("blocks")).alias("psnr"))
 
 
-CASE = ("rdct", 0.5, "444")
 SCANNED = f"{job_sql(*CASE)}, zl AS (SELECT {PLACE}, [q[z + 1] FOR z IN {literal(zigzag(), 'INTEGER')}] AS z FROM lv)"
 
 
 def scanned_planes(spark, d):
-    return R.compress(frames(spark, d), IMAGE, *CASE).select(*IMAGE, "plane", C.scan(F.col("q")).alias("z"))
+    return P.level_blocks(P.compress(frame_strips(spark, d), ["image"], *CASE), ["image"]).select(*IMAGE, "plane", C.scan(F.col("q")).alias("z"))
 
 
 @query("a6_rle_bpp", f"{SCANNED} SELECT image, sum(2 + 3 * list_sum([CASE WHEN p > 0 AND z[p + 1] <> 0 THEN 1 ELSE 0 END FOR p IN range(64)]) + CASE WHEN z[64] <> 0 THEN 0 ELSE 3 END) * 8 / (w * h)::DOUBLE AS bpp FROM zl GROUP BY image, w, h", FRAMES_SQL)

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from blockwright.functions import scalars as S
 from blockwright.operators import analytics as A
 from blockwright.operators import codec as C
-from blockwright.operators import frames as R
 from blockwright.operators import reports
+from blockwright.operators import strips as P
 from blockwright.plans.block_queries import BLOCK_KEY, FRAMES_SQL, IMAGE, KEY, LISTS, exploded_sql, job_sql, list_transform_sql, literal, long, sweep_parts
 from blockwright.plans.dims import K_VALUES, grid, kfactors
 from blockwright.sources import files, sinks
-from blockwright.sources.blocks import BLOCKS_SQL, blocks, frames
+from blockwright.sources.blocks import BLOCKS_SQL, blocks, frame_strips, frames
 from blockwright.sources.headed import read_headed
 from blockwright.sources.records import FULL_SQL, RECORDS_SQL, full_records, records
 from blockwright.streaming import runs
@@ -413,8 +413,5 @@ def _(spark, d):
 @query("x4_image_round_trip", f"{job_sql('silveira_j3', 0.1, '420')}, e AS (SELECT f.image, sum((f.r - p.r) * (f.r - p.r) + (f.g - p.g) * (f.g - p.g) + (f.b - p.b) * (f.b - p.b))::BIGINT AS sse, 3 * count(*) AS n FROM frames f JOIN px p ON p.image = f.image AND p.y = f.y AND p.x = f.x GROUP BY f.image) SELECT image, sse, CASE WHEN sse = 0 THEN 100.0 ELSE 10 * log10(65025.0 / (sse::DOUBLE / n)) END AS psnr FROM e", FRAMES_SQL)
 def _(spark, d):
     """Image in, image out, by method name; error over all channels."""
-    f = frames(spark, d)
-    back = R.round_trip(f, IMAGE, "silveira_j3", 0.1, "420").select(*IMAGE, "y", "x", *[F.col(c).alias(f"{c}2") for c in "rgb"])
-    square = lambda c: (F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2"))
-    g = f.join(back, [*IMAGE, "y", "x"]).groupBy("image").agg(F.sum((square("r") + square("g") + square("b")).cast("bigint")).alias("sse"), (3 * F.count("*")).alias("n"))
-    return g.select("image", "sse", S.psnr(F.col("sse"), F.col("n")).alias("psnr"))
+    both = P.round_trips(frame_strips(spark, d), ["image"], [("silveira_j3", 0, 0.1)], "420")
+    return P.distortion(both, ["image"]).select("image", "sse", "psnr")

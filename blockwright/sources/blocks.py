@@ -6,10 +6,12 @@ second and third channel are the same samples at other positions.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockwright.functions.scalars import clamp
+from blockwright.operators import strips
 
 SIDE = 32
 
@@ -40,6 +42,26 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).select("image", w.alias("w"), h.alias("h"), "y", "x", "r", "g", "b").where("x < w AND y < h")
 
 
+def frame_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same images as strips: image, w, h, top, data, mask; an image of which a part is missing has masks. The vectors of an image meet once, at most 16 of them."""
+    s = samples(spark, sf_dir).groupBy("image").agg(F.collect_list(F.struct("brow", "bcol", "v")).alias("parts"))
+    pos = np.arange(64)
+
+    def work(row):
+        w, h = 32 - row["image"] % 7 * 3, 32 - row["image"] % 5 * 5
+        rgb, mask = np.zeros((SIDE, SIDE, 3), np.uint8), np.zeros((SIDE, SIDE), bool)
+        for part in row["parts"]:
+            v, at = np.array(part["v"], np.uint8), (slice(8 * part["brow"], 8 * part["brow"] + 8), slice(8 * part["bcol"], 8 * part["bcol"] + 8))
+            rgb[at] = np.stack([v, v[63 - pos], v[(pos + 21) % 64]], 1).reshape(8, 8, 3)
+            mask[at] = True
+        rgb, mask = rgb[:h, :w], mask[:h, :w]
+        for top in range(0, h if mask.any() else 0, strips.ROWS):
+            end = top + strips.ROWS
+            yield {"image": row["image"], "w": w, "h": h, "top": top, "data": rgb[top:end].tobytes(), "mask": None if mask.all() else mask[top:end].tobytes()}
+
+    return strips.in_strips(s, f"image bigint, {strips.LAYOUT}", work)
+
+
 SAMPLES_SQL = "samples AS (SELECT vec_id // 16 AS image, ((vec_id % 16) // 4)::INTEGER AS brow, (vec_id % 4)::INTEGER AS bcol, (i - 1)::INTEGER AS pos, greatest(0, least(255, floor(embedding[i]::DOUBLE * 255 + 128.5)))::INTEGER AS v FROM embeddings, range(1, 65) t(i) WHERE len(embedding) = 64)"
 BLOCKS_SQL = SAMPLES_SQL + ", blocks AS (SELECT image, brow, bcol, pos, v - 128 AS v FROM samples)"
 PIXELS_SQL = "pixels AS (SELECT image, (brow * 8 + i // 8)::INTEGER AS y, (bcol * 8 + i % 8)::INTEGER AS x, s[i + 1] AS r, s[64 - i] AS g, s[(i + 21) % 64 + 1] AS b FROM (SELECT vec_id // 16 AS image, (vec_id % 16) // 4 AS brow, vec_id % 4 AS bcol, [greatest(0, least(255, floor(e::DOUBLE * 255 + 128.5)))::INTEGER FOR e IN embedding] AS s, unnest(range(64)) AS i FROM embeddings WHERE len(embedding) = 64))"

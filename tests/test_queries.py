@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from blockwright.operators import analytics, codec
+from blockwright.operators import analytics, codec, strips
 from blockwright.operators import frames as images
 from blockwright.plans import block_queries, file_queries, record_queries
 from blockwright.plans.dims import zigzag
@@ -79,25 +79,23 @@ def test_j7_impulse_is_the_outer_product(spark):
     assert list(got) == [p * q for p in row for q in row]
 
 
-def scalar_butterfly(line, back):
-    """The stated arithmetic, number by number in 32 bits."""
-    f = np.float32
-    c1, s1, c3, s3, c6, s6, root2, half = map(f, (0.9807852804, 0.1950903220, 0.8314696123, 0.5555702330, 0.3826834324, 0.9238795325, 1.4142135624, 0.3535533906))
-    away = lambda x: int(math.copysign(math.floor(abs(float(x)) + 0.5), x))
-    x = [int(v) for v in line]
-    if not back:
-        a, b = [f(x[i] + x[7 - i]) for i in range(4)], [f(x[i] - x[7 - i]) for i in range(4)]
-        e0, e1, e2, e3 = a[0] + a[3], a[1] + a[2], a[1] - a[2], a[0] - a[3]
-        o0, o1, o2, o3 = b[0] + b[3], b[1] + b[2], b[1] - b[2], b[0] - b[3]
-        out = [(e0 + e1) * half, (c3 * o0 + c1 * o1 + s1 * o2 + s3 * o3) * half, (c6 * e2 + s6 * e3) * f(0.5), (s1 * o0 - c3 * o1 + s3 * o2 + c1 * o3) * half, (e0 - e1) * half, (c1 * o0 - s3 * o1 - c3 * o2 - s1 * o3) * half, (-s6 * e2 + c6 * e3) * f(0.5), (-s3 * o0 + s1 * o1 - c1 * o2 + c3 * o3) * half]
-        return [away(v) for v in out]
-    z = [f(v) * f(2) for v in x]
-    t0, t4 = z[0] * root2, z[4] * root2
-    e2, e3 = f(2) * (c6 * z[2] - s6 * z[6]), f(2) * (s6 * z[2] + c6 * z[6])
-    s = [t0 + t4 + e3, t0 - t4 + e2, t0 - t4 - e2, t0 + t4 - e3]
-    n = [c3 * z[1] + s1 * z[3] + c1 * z[5] - s3 * z[7], c1 * z[1] - c3 * z[3] - s3 * z[5] + s1 * z[7], s1 * z[1] + s3 * z[3] - c3 * z[5] - c1 * z[7], s3 * z[1] + c1 * z[3] - s1 * z[5] + c3 * z[7]]
-    d = [(n[0] + n[3]) * root2, (n[1] + n[2]) * root2, (n[1] - n[2]) * root2, (n[0] - n[3]) * root2]
-    return [away((s[i] + d[i]) / f(8)) for i in range(4)] + [away((s[i] - d[i]) / f(8)) for i in (3, 2, 1, 0)]
+def cosine_sums(line, back):
+    """The transform by its definition: sums of cosines in 64 bits, not rounded."""
+    k, n = np.meshgrid(np.arange(8), np.arange(8), indexing="ij")
+    m = np.cos((2 * n + 1) * k * np.pi / 16) * np.where(k == 0, np.sqrt(1 / 8), 0.5)
+    return (m.T if back else m) @ np.asarray(line, float)
+
+
+@pytest.mark.parametrize("back", [False, True])
+def test_butterfly_lines_are_rounded_cosine_sums(back):
+    """Each pass is the definition, rounded; 32-bit sums may only fall to the other side where a sum is as good as half a number off."""
+    x = np.random.default_rng(5).integers(-1024, 1024, (4000, 8))
+    got = (codec.butterfly_inverse_line if back else codec.butterfly_line)(x)
+    exact = np.array([cosine_sums(v, back) for v in x])
+    assert np.abs(got - exact).max() < 0.5 + 1e-3
+    flat = codec.butterfly_line(np.full((1, 8), 100))
+    assert flat.tolist() == [[283, 0, 0, 0, 0, 0, 0, 0]]  # 100 times the square root of 8
+    assert codec.butterfly_inverse_line(np.array([[283, 0, 0, 0, 0, 0, 0, 0]])).tolist() == [[100] * 8]
 
 
 def scalar_matrix(line, back):
@@ -110,8 +108,12 @@ def scalar_matrix(line, back):
     return out
 
 
-@pytest.mark.parametrize("method, line", [("matrix", scalar_matrix), ("loeffler", scalar_butterfly)])
-def test_float_kernels_are_exact(spark, method, line):
+def butterfly(line, back):
+    return (codec.butterfly_inverse_line if back else codec.butterfly_line)(np.array([line]))[0]
+
+
+@pytest.mark.parametrize("method, line", [("matrix", scalar_matrix), ("loeffler", butterfly)])
+def test_float_kernels_are_lines_both_ways(spark, method, line):
     def both(block, back):
         b = np.array(block).reshape(8, 8)
         for rows in (not back, back):
@@ -145,20 +147,68 @@ def pattern(w, h):
 @pytest.mark.parametrize("subsampling", ["444", "422", "420"])
 def test_identity_job_gives_the_image_back(spark, subsampling):
     """23 by 17 pixels: what chroma loses is what its means lose; luma blocks cover whole units."""
-    keys = ["w", "h"]
-    f = spark.createDataFrame(pattern(23, 17), "w int, h int, y int, x int, r int, g int, b int")
-    levels = images.compress(f, keys, "identity", 1.0, subsampling)
-    count = {r.plane: r["count"] for r in levels.groupBy("plane").count().collect()}
+    f = strips.from_rasters(spark.createDataFrame([(1, 23, 17, raster(23, 17))], "i int, w int, h int, data binary"), ["i"])
+    levels = strips.compress(f, ["i"], "identity", 1.0, subsampling)
+    count = {r.plane: r["count"] for r in strips.level_blocks(levels, ["i"], subsampling).groupBy("plane").count().collect()}
     luma = {"444": 9, "422": 12, "420": 16}[subsampling]
     chroma = {"444": 9, "422": 6, "420": 4}[subsampling]
     assert count == {"y": luma, "cb": chroma, "cr": chroma}
-    got = {(r.y, r.x): (r.r, r.g, r.b) for r in images.decompress(levels, keys, "identity", 1.0, subsampling).collect()}
+    got = {(r.y, r.x): (r.r, r.g, r.b) for r in strips.long(strips.decompress(levels, ["i"], "identity", 1.0, subsampling), ["i"]).collect()}
     want = {(y, x): c for _, _, y, x, *c in pattern(23, 17)}
     assert set(got) == set(want)
     if subsampling == "444":
         assert max(abs(a - b) for p in want for a, b in zip(got[p], want[p])) <= 3
-    gray = images.compress(f, keys, "identity", 1.0, gray=F.col("r"))
-    assert {(r.y, r.x): r.v for r in images.to_gray(gray.select(*keys, "brow", "bcol", F.col("q").alias("b")), keys).collect()} == {p: c[0] for p, c in want.items()}
+    gray = strips.blocks(f, ["i"], channel=lambda r, g, b: r - 128)
+    assert {(r.y, r.x): r.v for r in images.to_gray(gray, ["i", "w", "h"]).collect()} == {p: c[0] for p, c in want.items()}
+    alike = strips.level_blocks(strips.compress(f, ["i"], "rdct", 0.5, gray=True), ["i"])
+    assert {r.plane for r in alike.select("plane").distinct().collect()} == {"y"}
+
+
+def raster(w, h):
+    return bytes(v for *_, r, g, b in pattern(w, h) for v in (r, g, b))
+
+
+def no_exchange(df):
+    return "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_strips_are_cut_and_joined_without_an_exchange(spark):
+    f = strips.from_rasters(spark.createDataFrame([(1, 23, 40, raster(23, 40))], "i int, w int, h int, data binary"), ["i"])
+    there = strips.compress(f, ["i"], "rdct", 0.5, "420")
+    assert no_exchange(strips.blocks(f, ["i"], "420")) and no_exchange(strips.decompress(there, ["i"], "rdct", 0.5, "420"))
+    one = strips.round_trips(f, ["i"], [("rdct", 2, 0.5)], "420")
+    assert no_exchange(one)
+    assert {(r.top, bytes(r.data)) for r in strips.decompress(there, ["i"], "rdct", 0.5, "420").collect()} == {(r.top, bytes(r.other)) for r in one.collect()}
+
+
+def test_windows_reach_over_strips(spark):
+    """PSNR and SSIM of an image in three strips against whole arrays; a mask leaves out windows and pixels; a small image has no window."""
+    w, h = 19, 37
+    a = np.frombuffer(raster(w, h), np.uint8).reshape(h, w, 3).astype(float)
+    rows = spark.createDataFrame([(1, w, h, raster(w, h)), (2, 6, 20, raster(6, 20))], "i int, w int, h int, data binary")
+    both = strips.round_trips(strips.from_rasters(rows, ["i"]), ["i"], [("matrix", 3, 0.8)])
+    b = np.concatenate([np.frombuffer(r.other, np.uint8) for r in both.where("i = 1").orderBy("top").collect()]).reshape(h, w, 3).astype(float)
+    got = {r.i: r for r in strips.distortion(both, ["i"]).collect()}
+    values = []
+    for c in range(3):
+        win = [(a[y : y + 7, x : x + 7, c].ravel(), b[y : y + 7, x : x + 7, c].ravel()) for y in range(h - 6) for x in range(w - 6)]
+        values.append(np.mean([(2 * p.mean() * q.mean() + 6.5025) * (2 * np.cov(p, q)[0, 1] + 58.5225) / ((p.mean() ** 2 + q.mean() ** 2 + 6.5025) * (p.var(ddof=1) + q.var(ddof=1) + 58.5225)) for p, q in win]))
+    assert math.isclose(got[1].ssim, np.mean(values), rel_tol=1e-9) and math.isclose(got[1].ssim_g, values[1], rel_tol=1e-9)
+    assert got[1].sse == int(((a - b) ** 2).sum()) and math.isclose(got[1].psnr, 10 * math.log10(65025 / ((a - b) ** 2).mean()))
+    assert got[2].ssim == 1.0 and got[2].sse > 0
+    assert strips.box_sums(both.where("i = 1"), ["i"]).count() == 3 * (h - 6) * (w - 6)
+    mask = bytes([1] * (16 * w - 1) + [0])
+    masked = both.where("i = 1").withColumn("mask", F.when(F.col("top") == 0, F.lit(mask)))
+    assert strips.box_sums(masked.withColumn("mask", F.coalesce("mask", F.lit(bytes([1] * 16 * w)))), ["i"]).count() == 3 * ((h - 6) * (w - 6) - 7)
+
+
+def test_records_meet_the_raw_raster_of_their_run(spark):
+    rows = spark.createDataFrame([(r, 16, 20, raster(16, 20)) for r in (1, 2)], "run int, w int, h int, data binary")
+    f = strips.from_rasters(rows, ["run"])
+    records = strips.round_trips(f, ["run"], [("rdct", 0, 0.1), ("identity", 9, 1.0)]).drop("data").withColumnRenamed("other", "data")
+    got = {(r.run, r.method): r for r in strips.against_raw(records, f.where("run = 1"), "run", ["method", "k_idx"]).collect()}
+    assert len(got) == 4 and {r.status for k, r in got.items() if k[0] == 2} == {"REF_MISSING"} and got[2, "rdct"].psnr is None and got[2, "rdct"].stream_bytes == got[1, "rdct"].stream_bytes
+    assert got[1, "rdct"].raw_bytes == 960 and math.isclose(got[1, "rdct"].ratio, 960 / got[1, "rdct"].stream_bytes) and got[1, "rdct"].psnr < got[1, "identity"].psnr
 
 
 def test_parameter_errors(spark):
