@@ -263,11 +263,11 @@ def _(spark, d):
 
 @query("k13_global_summary", "SELECT ord, run_id, method, psnr, status FROM records WHERE NOT regexp_matches(status, '^(CRC_FAIL|DECODE_FAIL|DECOMP_FAIL|JPEG_SIZE_FAIL|RAW_SIZE_FAIL|OOM|SD_FAIL|REF_MISSING|MODE_FAIL)')")
 def _(spark, d):
-    """Two lots of devices are appended one after the other."""
+    """Two lots of devices are appended one after the other, the second twice."""
     path, r = sinks.scratch(spark), A.keep_summary_rows(records(spark, d)).select("ord", "run_id", "method", "psnr", "status", "device")
-    for lot in ("device < 8", "device >= 8"):
-        sinks.append_summary(r.where(lot).drop("device"), path)
-    return spark.read.option("header", True).schema("ord bigint, run_id bigint, method string, psnr double, status string").csv(path)
+    for lot, where in (("low", "device < 8"), ("high", "device >= 8"), ("high", "device >= 8")):
+        sinks.append_summary(r.where(where).drop("device"), path, lot)
+    return sinks.read_summary(spark, path, "ord bigint, run_id bigint, method string, psnr double, status string")
 
 
 @query("k17_rasters", f"{sweep_parts()}, px AS (SELECT image, method, k_idx, (brow * 8 + p // 8) AS y, (bcol * 8 + p % 8) AS x, greatest(0, least(255, d[p + 1] + 128)) AS v FROM sw, range(64) s(p)) SELECT image || '/' || ['k0p1', 'k0p2', 'k0p5', 'k0p8'][k_idx + 1] || '/' || method AS name, (max(x) + 1)::INTEGER AS width, (max(y) + 1)::INTEGER AS height, sha256(string_agg(printf('%02X', v), '' ORDER BY y, x)) AS digest FROM px GROUP BY image, method, k_idx", BLOCKS_SQL)

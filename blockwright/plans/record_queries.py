@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from blockwright.functions import scalars as S
 from blockwright.operators import analytics as A
 from blockwright.operators import quality as Q
-from blockwright.operators import reports
+from blockwright.operators import reports, selection
 from blockwright.plans.dims import K_VALUES, METHOD_NAMES, grid, kfactors, methods
 from blockwright.sources import sinks
 from blockwright.sources.records import BLOCK_CALLS, FULL_SQL, HEIGHT, RAW_BYTES, RECORDS_SQL, WIDTH, full_records, records
@@ -66,7 +66,7 @@ def _(spark, d):
 
 @query("a17_median_time", "SELECT method, k_idx, median(compress_us) AS median_us FROM records GROUP BY ALL")
 def _(spark, d):
-    return records(spark, d).groupBy("method", "k_idx").agg(F.median("compress_us").alias("median_us"))
+    return selection.median(records(spark, d), ["method", "k_idx"], "compress_us", "median_us")
 
 
 @query("a20_means_on_grid", f", {MEANS_SQL} SELECT g.method, g.k_idx, g.method_ord, g.k, g.k_label, {each(METRICS, 'm.{0}')} FROM grid g LEFT JOIN means m ON m.method = g.method AND m.k_idx = g.k_idx")
@@ -235,7 +235,10 @@ def _(spark, d):
 
 @query("k18_next_run_id", "SELECT max(run_id) + 1 AS next_run_id FROM records")
 def _(spark, d):
-    return records(spark, d).agg((F.max("run_id") + 1).alias("next_run_id"))
+    """The id after the largest one, claimed so that no other writer gets it."""
+    largest = records(spark, d).agg(F.max("run_id")).first()[0]
+    run = sinks.claim_run_id(spark, f"{sinks.scratch(spark)}/runs", largest + 1)
+    return spark.createDataFrame([(run,)], "next_run_id bigint")
 
 
 @query("k19_usable_results", "SELECT ord, psnr FROM records WHERE psnr >= 30")

@@ -33,11 +33,11 @@ class Ranges(InputPartition):
 def packed(files: list[tuple[str, int]], most: int) -> list[Ranges]:
     """Files (path, size) dealt into partitions of at most so many bytes; large ones are split."""
     out: list[list[tuple[str, int, int]]] = []
-    size = most
+    size = 0
     for path, length in files:
-        for start in range(0, max(length, 1), most):
+        for start in range(0, length, most):
             part = path, start, min(length, start + most)
-            if size + part[2] - start > most:
+            if not out or size + part[2] - start > most:
                 out.append([])
                 size = 0
             out[-1].append(part)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -47,8 +48,69 @@ def write_folders(rows: DataFrame, path: str, folder: str, order: list[str]) ->
     rows.repartition(folder).sortWithinPartitions(folder, *order).write.mode("append").partitionBy(folder).option("header", True).csv(path)
 
 
-def append_summary(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").option("header", True).csv(path)
+def claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file with its text, all at once, unless it is there: of several writers one succeeds.
+
+    A hard link makes the claim on a local or mounted file system, a rename elsewhere; both
+    fail where the name is taken.
+    """
+    jvm, made = spark.sparkContext._jvm, f"{path}.{uuid.uuid4().hex}"
+    target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(made)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = store.create(source, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if store.getScheme() != "file":
+            return not store.exists(target) and store.rename(source, target)
+        os.link(source.toUri().getPath(), target.toUri().getPath())
+        return True
+    except FileExistsError:
+        return False
+    finally:
+        store.delete(source, False)
+
+
+def claims(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Names and texts of the claims in a folder."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        return {}
+    names = [f.getPath().getName() for f in store.listStatus(at)]
+    names = [n for n in names if "." not in n]  # others are being made
+    rows = spark.read.option("wholetext", True).text([f"{folder}/{n}" for n in names]).select(F.element_at(F.split(F.input_file_name(), "/"), -1), "value").collect() if names else []
+    return dict(map(tuple, rows))
+
+
+def claim_run_id(spark: SparkSession, folder: str, least: int = 1, owner: str = "") -> int:
+    """The next run id that nobody has: one more than all that are claimed, and least at least. Two writers never get the same."""
+    run = max([least, *(int(n) + 1 for n in claims(spark, folder))])
+    while not claim(spark, f"{folder}/{run}", owner or "run"):
+        run += 1
+    return run
+
+
+def append_summary(rows: DataFrame, path: str, lot: str) -> bool:
+    """Add a lot of rows to a summary once: False and nothing added if a lot of that name is there.
+
+    The rows go into a folder of their own; then a claim in the ledger, which names the
+    folder, makes them part of the summary. What a failed or late writer leaves is in no
+    ledger and is never read.
+    """
+    spark = rows.sparkSession
+    if lot in claims(spark, f"{path}/ledger"):
+        return False
+    attempt = uuid.uuid4().hex
+    rows.write.option("header", True).csv(f"{path}/rows/{attempt}")
+    return claim(spark, f"{path}/ledger/{lot}", attempt)
+
+
+def read_summary(spark: SparkSession, path: str, kinds: str) -> DataFrame:
+    """The rows of all lots in the ledger."""
+    lots = [f"{path}/rows/{attempt}" for attempt in claims(spark, f"{path}/ledger").values()]
+    return spark.read.option("header", True).schema(kinds).csv(lots) if lots else spark.createDataFrame([], kinds)
 
 
 def write_rasters(blocks: DataFrame, path: str) -> None:

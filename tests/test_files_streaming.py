@@ -4,11 +4,12 @@ import random
 import struct
 import time
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
-from blockwright.sources import files, sinks
+from blockwright.sources import files, headed, sinks
 from blockwright.streaming import ordered, runs
 
 
@@ -49,7 +50,7 @@ def test_record_and_metric_files(spark, tmp_path):
     d.mkdir()
     (d / "run7_summary.csv").write_text(",".join(files.RECORD_CSV.names) + "\nframe_0007,rdct,0.5,N/A,0.9,1.5,10,20,,,,,,,,,,,OK,\n")
     (d / "run7_rdct.txt").write_text("---\nrun_id:  7\nt_total: 12: 5\nrun_id: 8\n")
-    r = files.read_records(files.text_lines(spark, f"{tmp_path}/*/*_summary.csv")).first()
+    r = files.read_records(headed.read_headed(spark, str(tmp_path), "*_summary.csv")).first()
     assert (r.run, r.method, r.psnr, r.ssim, r.dct_kernel_us) == ("run7", "rdct", None, 0.9, None)
     assert {(r.name, r.value) for r in files.read_metrics(files.text_lines(spark, f"{tmp_path}/*/*.txt")).collect()} == {("run_id", "7"), ("t_total", "12: 5")}
 
@@ -151,3 +152,38 @@ def test_union_has_columns_in_the_order_first_seen(spark, tmp_path):
     rows = sinks.write_union([spark.createDataFrame([(1, 2)], "b int, a int"), spark.createDataFrame([(3, 4)], "c int, a int")], str(tmp_path / "u"))
     assert rows.columns == ["b", "a", "c"]
     assert {p.read_text().split("\n")[0] for p in (tmp_path / "u").glob("*.csv")} == {"b,a,c"}
+
+
+def test_a_lot_is_appended_once(spark, tmp_path):
+    path, rows = str(tmp_path / "summary"), spark.createDataFrame([(1,), (2,)], "a int")
+    assert sinks.read_summary(spark, path, "a int").count() == 0
+    assert sinks.append_summary(rows, path, "first") and not sinks.append_summary(rows, path, "first")
+    with ThreadPoolExecutor(4) as pool:  # of several writers of one lot one counts
+        assert sum(pool.map(lambda _: sinks.append_summary(rows, path, "second"), range(4))) == 1
+    rows.write.option("header", True).csv(f"{path}/rows/left-behind")  # by a writer that failed before its claim
+    assert sorted(r.a for r in sinks.read_summary(spark, path, "a int").collect()) == [1, 1, 2, 2]
+
+
+def test_run_ids_are_claimed_by_one_writer(spark, tmp_path):
+    folder = str(tmp_path / "runs")
+    assert sinks.claim_run_id(spark, folder, 7) == 7 and sinks.claim_run_id(spark, folder) == 8
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda k: sinks.claim_run_id(spark, folder, owner=f"w{k}"), range(12)))
+    assert sorted(got) == list(range(9, 21))
+
+
+def test_headers_of_their_own(spark, tmp_path):
+    """Files of other columns, short rows, quotes, blank lines and empty files; large ones are read by several tasks."""
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b=2").mkdir()
+    (tmp_path / "a" / "x.csv").write_text('m,k\r\n1,"2,5"\r\n\r\n3\r\n')
+    (tmp_path / "b=2" / "y.csv").write_text("k,m,z\n" + "".join(f"{i},é{i},\n" for i in range(5000)))
+    (tmp_path / "a" / "empty.csv").write_text("")
+    (tmp_path / "a" / "head.csv").write_text("m,k\n")
+    (tmp_path / "a" / "_hidden.csv").write_text("m\n1\n")
+    (tmp_path / "a" / "other.txt").write_text("m\n1\n")
+    for most in (700, 128 << 20):
+        rows = files.named(headed.read_headed(spark, str(tmp_path), maxPartitionBytes=most))
+        assert (rows.rdd.getNumPartitions() > 50) == (most == 700)
+        got = sorted((r.folder, r.m["m"], r.m["k"]) for r in rows.withColumn("folder", files.folder_of()).collect())
+        assert got == sorted([("a", "1", "2,5"), ("a", "3", None), *[("2", f"é{i}", str(i)) for i in range(5000)]])
