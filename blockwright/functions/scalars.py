@@ -81,6 +81,11 @@ def k_text(k: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", k), "0+$", ""), "\\.$", "")
 
 
+def reported_psnr(x100: Column, computed: Column) -> Column:
+    """The PSNR that a record reports in hundredths (0: none), else a computed one."""
+    return F.coalesce(F.nullif(x100, F.lit(0)) / 100, computed)
+
+
 def micros(ts: str) -> Column:
     """Microseconds since 1970 of a time without a zone, read as UTC whatever the session's zone is."""
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{ts}`)")

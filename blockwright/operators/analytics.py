@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from blockwright.plans.dims import METHOD_NAMES, METHODS
+from blockwright.plans.dims import K_VALUES, METHOD_NAMES, METHODS
 
 # Statuses that keep a record out of the global summary.
 FAILED = ("CRC_FAIL", "DECODE_FAIL", "DECOMP_FAIL", "JPEG_SIZE_FAIL", "RAW_SIZE_FAIL", "OOM", "SD_FAIL", "REF_MISSING", "MODE_FAIL")
@@ -87,10 +87,23 @@ def slot(method_ord: Column, k_idx: Column) -> Column:
     return F.when(method_ord < 0, F.lit(0)).otherwise(1 + 5 * k_idx + method_ord)
 
 
-def order_in_run(records: DataFrame) -> DataFrame:
-    """Zero-based place of each record in its run: by k, then method, then arrival."""
-    w = Window.partitionBy("run_id").orderBy("k_idx", method_place("method"), "ord")
-    return records.withColumn("order_index", F.row_number().over(w) - 1)
+def order_in_run(records: DataFrame, name: str = "order_index", raw_first: bool = True) -> DataFrame:
+    """Zero-based place of each record in its run: the raw one first or last, others by k, then method, then arrival."""
+    raw = (F.col("mode") == "RAW").cast("int")
+    w = Window.partitionBy("run_id").orderBy(-raw if raw_first else raw, "k_idx", method_place("method"), "ord")
+    return records.withColumn(name, F.row_number().over(w) - 1)
+
+
+def rotated(cases: DataFrame, image: str) -> DataFrame:
+    """cases (image, k_idx, method) with method_turn, k_turn and place: methods are turned by the image's number, and k by that and the method's place among the turned ones."""
+    method = F.pmod(method_place("method") - F.col(image), F.lit(len(METHOD_NAMES))).cast("int")
+    k = F.pmod(F.col("k_idx") - F.col(image) - F.col("method_turn"), F.lit(len(K_VALUES))).cast("int")
+    return cases.withColumn("method_turn", method).withColumn("k_turn", k).withColumn("place", len(K_VALUES) * F.col("method_turn") + F.col("k_turn"))
+
+
+def usable(results: DataFrame) -> DataFrame:
+    """Results of images that didn't fail: a failed one has a negative PSNR, or none."""
+    return results.where("psnr >= 0")
 
 
 def numbered(rows: DataFrame, by: str, spans: int = 64) -> DataFrame:
@@ -159,11 +172,6 @@ def snapshot_differences(actual: DataFrame, stored: DataFrame, key: str, columns
     return j.select(key, F.lit(len(columns)).cast("bigint").alias("cells"), apart.alias("different"), (apart == 0).alias("same"))
 
 
-def exports_equal(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Counts of rows of one side that the other lacks."""
-    return a.exceptAll(b).agg(F.count("*").alias("only_left")).crossJoin(b.exceptAll(a).agg(F.count("*").alias("only_right")))
-
-
 def consistent(records: DataFrame, columns: list[str]) -> DataFrame:
     """Runs whose records all have the same values in columns."""
     return records.groupBy("run_id").agg((F.count_distinct(F.struct(*columns)) == 1).alias("consistent"))

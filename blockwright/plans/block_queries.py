@@ -390,11 +390,6 @@ def _(spark, d):
     return scanned(spark, d).groupBy("image").agg(F.avg((C.last_nonzero(F.col("z")) + 1) * 8 / 64.0).alias("bitrate"))
 
 
-@query("a8_pooled_bitrate", f"{ZSQL} SELECT avg((last + 1) * 8 / 64.0) AS bitrate, count(*) AS blocks FROM (SELECT image, brow, bcol, coalesce(max(CASE WHEN v <> 0 THEN pos END), -1) AS last FROM zl GROUP BY image, brow, bcol)")
-def _(spark, d):
-    return scanned(spark, d).agg(F.avg((C.last_nonzero(F.col("z")) + 1) * 8 / 64.0).alias("bitrate"), F.count("*").alias("blocks"))
-
-
 @query("a9_zero_share", f"{ZSQL} SELECT image, 100 * avg(CASE WHEN v = 0 THEN 1.0 ELSE 0.0 END) AS zeros FROM zl GROUP BY image")
 def _(spark, d):
     zeros = F.size(F.filter("z", lambda v: v == 0))
@@ -417,9 +412,9 @@ def compared(spark, d, methods, ks):
     return C.against_matrix(blocks(spark, d), KEY, [(i, K_VALUES[i]) for i in ks], methods)
 
 
-@query("j2_coefficient_differences", f"{compared_sql(['loeffler', 'rdct', 'silveira_j3', 'silveira_j7'], [1, 2])} SELECT image, method, k_idx, sum(total)::BIGINT AS total, sum(diffs)::BIGINT AS diffs FROM cmp GROUP BY image, method, k_idx")
+@query("j2_coefficient_differences", f"{compared_sql(['loeffler', 'rdct', 'silveira_j3', 'silveira_j7'], [0, 1, 2, 3])} SELECT image, method, k_idx, sum(total)::BIGINT AS total, sum(diffs)::BIGINT AS diffs FROM cmp GROUP BY image, method, k_idx")
 def _(spark, d):
-    return compared(spark, d, ["loeffler", "rdct", "silveira_j3", "silveira_j7"], [1, 2]).groupBy("image", "method", "k_idx").agg(F.sum("total").alias("total"), F.sum("diffs").alias("diffs"))
+    return compared(spark, d, ["loeffler", "rdct", "silveira_j3", "silveira_j7"], [0, 1, 2, 3]).groupBy("image", "method", "k_idx").agg(F.sum("total").alias("total"), F.sum("diffs").alias("diffs"))
 
 
 EQUIVALENT = f"{compared_sql(['loeffler'], [0, 1, 2, 3])}, eq AS (SELECT image, k_idx, sum(total)::BIGINT AS total, sum(diffs)::BIGINT AS diffs, sum(sse)::BIGINT AS sse, sum(sse_matrix)::BIGINT AS sse_matrix FROM cmp GROUP BY image, k_idx), ev AS (SELECT image, k_idx, total, diffs, CASE WHEN sse = 0 THEN 100.0 ELSE 10 * log10(65025.0 / (sse::DOUBLE / total)) END AS psnr_loeffler, CASE WHEN sse_matrix = 0 THEN 100.0 ELSE 10 * log10(65025.0 / (sse_matrix::DOUBLE / total)) END AS psnr_matrix FROM eq)"
@@ -437,6 +432,12 @@ def _(spark, d):
     return equivalence(spark, d)
 
 
+@query("j12_differences_by_k", f"{EQUIVALENT} SELECT image, {', '.join(f'max(CASE WHEN k_idx = {i} THEN diffs END) AS k{i}' for i in range(4))} FROM ev GROUP BY image")
+def _(spark, d):
+    """Images by quality factors: how many coefficients of the two cosine kernels differ."""
+    return equivalence(spark, d).withColumn("cell", F.concat(F.lit("k"), "k_idx")).groupBy("image").pivot("cell", [f"k{i}" for i in range(4)]).agg(F.first("diffs"))
+
+
 @query("a18_differing_coefficients", f"{compared_sql(['silveira_j3'], [2])} SELECT sum(total)::BIGINT AS total, sum(diffs)::BIGINT AS diffs, 100.0 * sum(diffs) / sum(total) AS percent FROM cmp")
 def _(spark, d):
     g = compared(spark, d, ["silveira_j3"], [2]).agg(F.sum("total").alias("total"), F.sum("diffs").alias("diffs"))
@@ -471,10 +472,10 @@ def _(spark, d):
     return Q.error(pairs(spark, d), ["image"]).select("image", S.psnr_x100(F.col("psnr"), F.col("sse")).alias("x100"))
 
 
-@query("a2_psnr_infinite", f"SELECT image, brow, bcol, CASE WHEN sse = 0 THEN 'exact' ELSE 'lossy' END AS kind FROM (SELECT image, brow, bcol, sum((v - v // 2 * 2) * (v - v // 2 * 2)) AS sse FROM samples GROUP BY ALL)", SAMPLES_SQL)
+@query("a2_psnr_infinite", f"SELECT image, brow, bcol, CASE WHEN sse = 0 THEN 'exact' ELSE 'lossy' END AS kind, CASE WHEN sse = 0 THEN 'Infinity'::DOUBLE ELSE 10 * log10(65025.0 / (sse::DOUBLE / 64)) END AS psnr FROM (SELECT image, brow, bcol, sum((v - v // 2 * 2) * (v - v // 2 * 2)) AS sse FROM samples GROUP BY ALL)", SAMPLES_SQL)
 def _(spark, d):
     p = long(samples(spark, d), "v").withColumn("w", F.floor(F.col("v") / 2).cast("int") * 2)
-    return Q.error(p, KEY, "v", "w", float("inf")).select(*KEY, F.when(F.col("psnr") == float("inf"), "exact").otherwise("lossy").alias("kind"))
+    return Q.error(p, KEY, "v", "w", float("inf")).select(*KEY, F.when(F.col("psnr") == float("inf"), "exact").otherwise("lossy").alias("kind"), "psnr")
 
 
 @query("a4_global_ssim", f"{RECON} SELECT image, (2 * ma * mb + 6.5025) * (2 * cv + 58.5225) / ((ma * ma + mb * mb + 6.5025) * (va + vb + 58.5225)) AS ssim FROM (SELECT image, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS cv FROM pair GROUP BY image)")
@@ -607,3 +608,9 @@ def _(spark, d):
     rate = scanned_planes(spark, d).groupBy("image", "plane").agg(F.avg((C.last_nonzero(F.col("z")) + 1) * 8 / 64.0).alias("bpp"))
     g = rate.groupBy("image").pivot("plane", list(R.PLANES)).agg(F.max("bpp"))
     return g.select("image", ((F.col("y") + F.col("cb") + F.col("cr")) / 3).alias("combined"))
+
+
+@query("a8_pooled_bitrate", f"{SCANNED} SELECT image, avg((coalesce(list_max([CASE WHEN z[p + 1] <> 0 THEN p ELSE -1 END FOR p IN range(64)]), -1) + 1) * 8 / 64.0) AS bitrate, count(*) AS blocks FROM zl GROUP BY image", FRAMES_SQL)
+def _(spark, d):
+    """Amplitude bitrate of an image over the blocks of its three planes together."""
+    return scanned_planes(spark, d).groupBy("image").agg(F.avg((C.last_nonzero(F.col("z")) + 1) * 8 / 64.0).alias("bitrate"), F.count("*").alias("blocks"))

@@ -7,10 +7,11 @@ from pyspark.sql.window import Window
 
 from blockwright.functions import scalars as S
 from blockwright.operators import analytics as A
+from blockwright.operators import checks
 from blockwright.operators import quality as Q
 from blockwright.operators import reports, selection
 from blockwright.plans.dims import K_VALUES, METHOD_NAMES, grid, kfactors, methods
-from blockwright.sources import sinks
+from blockwright.sources import files, sinks
 from blockwright.sources.records import BLOCK_CALLS, FULL_SQL, HEIGHT, RAW_BYTES, RECORDS_SQL, WIDTH, full_records, records
 
 QUERIES: dict = {}
@@ -79,9 +80,11 @@ def _(spark, d):
     return records(spark, d).groupBy("run_id").agg(F.count("*").alias("records"))
 
 
-@query("a22_saturating_totals", "SELECT run_id, least(sum(dct_kernel_us), 4294967295)::BIGINT AS kernel_us, least(count(*) * 3600, 65535)::BIGINT AS calls FROM records GROUP BY run_id")
+@query("a22_saturating_totals", "SELECT run_id, least(sum(dct_kernel_us), 4294967295)::BIGINT AS kernel_us, least(sum(dct_kernel_calls), 4294967295)::BIGINT AS calls, least(sum(dct_kernel_calls), 65535)::BIGINT AS wire_calls FROM records GROUP BY run_id")
 def _(spark, d):
-    return records(spark, d).groupBy("run_id").agg(F.least(F.sum("dct_kernel_us"), F.lit(4294967295)).alias("kernel_us"), F.least(F.count("*") * BLOCK_CALLS, F.lit(65535)).cast("bigint").alias("calls"))
+    """Totals of a run; 32 bits hold them, and 16 bits the calls on the wire."""
+    us, calls = F.sum("dct_kernel_us"), F.sum("dct_kernel_calls")
+    return records(spark, d).groupBy("run_id").agg(*[F.least(v, F.lit(most)).alias(n) for n, v, most in (("kernel_us", us, 2**32 - 1), ("calls", calls, 2**32 - 1), ("wire_calls", calls, 2**16 - 1))])
 
 
 @query("a23_means_by_k", f"SELECT k, {each(METRICS, 'avg({0}) AS {0}')} FROM records GROUP BY k")
@@ -123,9 +126,9 @@ def _(spark, d):
     return means(spark, d).groupBy("k_idx").pivot("method", METHOD_NAMES).agg(*[F.max(x).alias(x) for x in ("psnr", "ssim", "bpp")])
 
 
-@query("j8_full_grid", "SELECT g.method, g.k_idx, count(r.ord) AS n FROM grid g LEFT JOIN (SELECT * FROM records WHERE k_idx <> 2) r ON r.method = g.method AND r.k_idx = g.k_idx GROUP BY ALL")
+@query("j8_full_grid", "SELECT g.method, g.k_idx, count(r.ord) AS n FROM grid g LEFT JOIN records r ON r.method = g.method AND r.k_idx = g.k_idx GROUP BY ALL")
 def _(spark, d):
-    n = records(spark, d).where("k_idx <> 2").groupBy("method", "k_idx").agg(F.count("*").alias("n"))
+    n = records(spark, d).groupBy("method", "k_idx").agg(F.count("*").alias("n"))
     return A.complete(n, grid(spark)).select("method", "k_idx", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -141,25 +144,53 @@ def _(spark, d):
     return last.withColumn("cell", F.concat_ws("_", "method", "k_idx")).groupBy("run_id").pivot("cell", cells).agg(F.max("bpp"))
 
 
-@query("j12_differences_by_k", "SELECT run_id, " + ", ".join(f"count(CASE WHEN k_idx = {k} AND status <> 'OK' THEN 1 END) AS k{k}" for k in range(4)) + " FROM records GROUP BY run_id")
-def _(spark, d):
-    r = records(spark, d).withColumn("cell", F.concat(F.lit("k"), "k_idx"))
-    return r.groupBy("run_id").pivot("cell", [f"k{k}" for k in range(4)]).agg(F.count(F.when(F.col("status") != "OK", 1))).na.fill(0)
+def fixed(c: str, decimals: int, scale: int = 1):
+    """A number with fixed decimals; a missing one is an empty cell."""
+    v = F.col(c) if scale == 1 else F.col(c) / scale
+    return F.coalesce(F.when(v.isNotNull(), F.format_string(f"%.{decimals}f", v.cast("double"))), F.lit("")).alias(c.replace("_us", "_ms"))
+
+
+def fixed_sql(c: str, decimals: int, scale: int = 1) -> str:
+    return f"coalesce(format('{{:.{decimals}f}}', {c}{f' / {scale}' if scale > 1 else ''}), '') AS {c.replace('_us', '_ms')}"
+
 
+FIXED = [("psnr", 8), ("ssim", 8), ("bpp", 8), ("compress_us", 6, 1000), ("decompress_us", 6, 1000)]
+IMAGE_SQL = "'frame_' || lpad(run_id::VARCHAR, 4, '0')"
+#: Bytes of the codec for a frame of 320 by 240 in 4:4:4.
+MEMORY = 104 + 256 * 3 * 1200
 
-@query("k2_fixed_decimals", "SELECT ord, format('{:.8f}', psnr) AS psnr, format('{:.6f}', compress_us / 1000) AS ms FROM records WHERE psnr IS NOT NULL")
+
+def image_name():
+    return F.concat(F.lit("frame_"), F.lpad(F.col("run_id").cast("string"), 4, "0"))
+
+
+@query("k2_fixed_decimals", f"SELECT ord, {IMAGE_SQL} AS image, method, k, {', '.join(fixed_sql(*f) for f in FIXED)}, {MEMORY} AS memory_bytes, coalesce(format('{{:.8f}}', abs(psnr - matrix)), '') AS delta_psnr_vs_matrix FROM (SELECT *, avg(CASE WHEN method = 'matrix' THEN psnr END) OVER (PARTITION BY run_id, k_idx) AS matrix FROM records)")
 def _(spark, d):
-    return records(spark, d).where("psnr IS NOT NULL").select("ord", F.format_string("%.8f", "psnr").alias("psnr"), F.format_string("%.6f", F.col("compress_us") / 1000).alias("ms"))
+    """The table of single images: every metric with its decimals, memory, and the distance to the matrix method."""
+    r = A.matrix_delta(records(spark, d)).withColumnRenamed("delta", "delta_psnr_vs_matrix")
+    memory = Q.codec_memory(F.lit(WIDTH), F.lit(HEIGHT), F.lit("444"), F.lit(False))
+    return r.select("ord", image_name().alias("image"), "method", "k", *[fixed(*f) for f in FIXED], memory.cast("int").alias("memory_bytes"), fixed("delta_psnr_vs_matrix", 8))
 
 
-@query("k3_summary", f", {MEANS_SQL} SELECT g.method, g.k, m.psnr, m.ssim, m.bpp, round(m.compress_us)::BIGINT AS us FROM grid g JOIN means m ON m.method = g.method AND m.k_idx = g.k_idx")
+@query("k3_summary", f"SELECT g.method, g.k, {', '.join(fixed_sql(*f) for f in FIXED)}, {MEMORY} AS memory_bytes FROM grid g LEFT JOIN (SELECT method, k_idx, {each([f[0] for f in FIXED], 'avg({0}) AS {0}')} FROM records GROUP BY ALL) m ON m.method = g.method AND m.k_idx = g.k_idx")
 def _(spark, d):
-    return means(spark, d).join(F.broadcast(grid(spark)), ["method", "k_idx"]).orderBy("method_ord", "k_idx").select("method", "k", "psnr", "ssim", "bpp", F.round("compress_us").cast("bigint").alias("us"))
+    """Twenty rows in the order of methods and k."""
+    m = A.complete(A.group_means(records(spark, d), [f[0] for f in FIXED]), grid(spark)).orderBy("method_ord", "k_idx")
+    memory = Q.codec_memory(F.lit(WIDTH), F.lit(HEIGHT), F.lit("444"), F.lit(False))
+    return m.select("method", "k", *[fixed(*f) for f in FIXED], F.round(memory).cast("int").alias("memory_bytes"))
+
 
+EXPORTED = ["psnr", "ssim", "bpp", "compress_us", "decompress_us"]
 
-@query("k4_long_export", f", {MEANS_SQL} SELECT 'events' AS platform, g.method, g.k_label, m.psnr FROM grid g LEFT JOIN (SELECT * FROM means WHERE k_idx < 3) m ON m.method = g.method AND m.k_idx = g.k_idx")
+
+@query("k4_long_export", f", li AS (SELECT ['loeffler', 'matrix', 'rdct', 'silveira_j3', 'silveira_j7'][l_linenumber % 5 + 1] AS method, (l_partkey % 4)::INTEGER AS k_idx, l_extendedprice AS us FROM lineitem), p AS (SELECT 0 AS place, 'python' AS platform, method, k_idx, {each(EXPORTED, 'avg({0}) AS {0}')} FROM records GROUP BY ALL UNION ALL SELECT 1, 'c', method, k_idx, NULL, NULL, NULL, avg(us), NULL FROM li GROUP BY ALL) SELECT n.place, n.platform, g.method, g.k_label, {each(EXPORTED, '{0}')} FROM grid g, (VALUES (0, 'python'), (1, 'c')) n(place, platform) LEFT JOIN p ON p.place = n.place AND p.method = g.method AND p.k_idx = g.k_idx")
 def _(spark, d):
-    return A.complete(means(spark, d).where("k_idx < 3"), grid(spark)).select(F.lit("events").alias("platform"), "method", "k_label", "psnr")
+    """Every platform, method and k has a row; a platform that doesn't measure something leaves it empty. Events are one platform, line items the other."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select(F.element_at(F.array(*map(F.lit, METHOD_NAMES)), (F.col("l_linenumber") % 5 + 1).cast("int")).alias("method"), (F.col("l_partkey") % 4).cast("int").alias("k_idx"), F.col("l_extendedprice").alias("compress_us"))
+    none = [F.lit(None).cast("double").alias(c) for c in EXPORTED if c != "compress_us"]
+    sides = [("python", A.group_means(records(spark, d), EXPORTED)), ("c", A.group_means(li, ["compress_us"]).select("method", "k_idx", "compress_us", *none))]
+    parts = [A.complete(m, grid(spark)).select(F.lit(i).alias("place"), F.lit(n).alias("platform"), "method", "k_label", *EXPORTED) for i, (n, m) in enumerate(sides)]
+    return parts[0].unionByName(parts[1])
 
 
 @query("k5_wide_export", f", {MEANS_SQL} SELECT k_idx, {', '.join(f'''max(CASE WHEN method = '{m}' THEN psnr END) AS {m}''' for m in METHOD_NAMES)} FROM means GROUP BY k_idx")
@@ -174,15 +205,25 @@ def _(spark, d):
     return A.wide(m, "method", "c", "compress_us", columns)
 
 
-@query("k9_scene_export", "SELECT run_id, 'frame_' || lpad(run_id::VARCHAR, 4, '0') AS image, method, k_idx, psnr, ssim, bpp, compress_us / 1000 AS compress_ms, decompress_us / 1000 AS decompress_ms, tx_us / 1000 AS tx_ms FROM records WHERE status = 'OK'")
+EMBEDDED = ["psnr", "ssim", "bpp", "compress_ms", "decompress_ms", "dct_kernel_ms", "idct_kernel_ms", "dct_kernel_calls", "idct_kernel_calls", "tx_ms", "total_core_ms", "compression_ratio"]
+
+
+@query("k9_scene_export", f"SELECT ord, {IMAGE_SQL} AS scene, method, k_label AS k, psnr, ssim, bpp, {each(('compress', 'decompress', 'dct_kernel', 'idct_kernel', 'tx'), '{0}_us / 1000 AS {0}_ms')}, dct_kernel_calls, idct_kernel_calls, core_us / 1000 AS total_core_ms, 230400 / stream_bytes AS compression_ratio FROM fr WHERE status = 'OK'", FULL_SQL)
 def _(spark, d):
-    ms = lambda c: (F.col(f"{c}_us") / 1000).alias(f"{c}_ms")
-    return records(spark, d).where("status = 'OK'").select("run_id", F.concat(F.lit("frame_"), F.lpad(F.col("run_id").cast("string"), 4, "0")).alias("image"), "method", "k_idx", "psnr", "ssim", "bpp", ms("compress"), ms("decompress"), ms("tx"))
+    """Records of good status with every metric of a scene."""
+    r = full_records(spark, d).where("status = 'OK'").withColumn("total_core_us", reports.core_time())
+    r = r.withColumns({c: F.col(c.replace("_ms", "_us")) / 1000 for c in EMBEDDED if c.endswith("_ms")}).withColumn("compression_ratio", S.ratio(F.lit(RAW_BYTES), F.col("stream_bytes")))
+    return r.select("ord", image_name().alias("scene"), "method", F.col("k_label").alias("k"), *EMBEDDED)
 
 
-@query("k10_transmission", "SELECT method, k_idx, avg(stream_bytes) AS bytes, 230400 / avg(stream_bytes) AS ratio, avg(tx_us) AS tx_us FROM records GROUP BY ALL")
+@query("k10_transmission", "SELECT ord, run_id AS run, method, k, bpp, CASE WHEN frame_bytes > 0 THEN frame_bytes ELSE stream_bytes + 24 END AS frame_bytes, CASE WHEN raw_bytes > 0 THEN raw_bytes WHEN mode = 'RAW' THEN stream_bytes ELSE 0 END AS raw_bytes, 230400 / stream_bytes AS compression_ratio, tx_us / 1000 AS tx_ms, CASE WHEN tx_raw_us > 0 THEN tx_raw_us WHEN mode = 'RAW' THEN tx_us ELSE 0 END / 1000 AS tx_raw_ms FROM fr", FULL_SQL)
 def _(spark, d):
-    return records(spark, d).groupBy("method", "k_idx").agg(F.avg("stream_bytes").alias("bytes"), (RAW_BYTES / F.avg("stream_bytes")).alias("ratio"), F.avg("tx_us").alias("tx_us"))
+    """What each record sends, and what its raw frame would."""
+    c, raw = F.col, F.col("mode") == "RAW"
+    frame = F.when(c("frame_bytes") > 0, c("frame_bytes")).otherwise(c("stream_bytes") + reports.HEADER_BYTES)
+    raw_bytes = F.when(c("raw_bytes") > 0, c("raw_bytes")).when(raw, c("stream_bytes")).otherwise(0)
+    tx_raw = F.when(c("tx_raw_us") > 0, c("tx_raw_us")).when(raw, c("tx_us")).otherwise(0)
+    return full_records(spark, d).select("ord", c("run_id").alias("run"), "method", "k", "bpp", frame.alias("frame_bytes"), raw_bytes.alias("raw_bytes"), S.ratio(F.lit(RAW_BYTES), c("stream_bytes")).alias("compression_ratio"), (c("tx_us") / 1000).alias("tx_ms"), (tx_raw / 1000).alias("tx_raw_ms"))
 
 
 ONLY = "CASE WHEN mode = '{0}' THEN {1} ELSE 0 END"
@@ -227,10 +268,11 @@ def _(spark, d):
 
 @query("k16_three_sections", "SELECT 0 AS place, 'image' AS section, run_id::VARCHAR AS name, avg(psnr) AS psnr FROM records GROUP BY run_id UNION ALL SELECT 1, 'method', method, avg(psnr) FROM records GROUP BY method UNION ALL SELECT 2, 'snapshot', k::VARCHAR, avg(psnr) FROM records GROUP BY k")
 def _(spark, d):
-    """One table of three titled ones, in their order."""
-    r = records(spark, d)
-    part = lambda i, s, c: r.groupBy(F.col(c).cast("string").alias("name")).agg(F.avg("psnr").alias("psnr")).select(F.lit(i).alias("place"), F.lit(s).alias("section"), "name", "psnr")
-    return part(0, "image", "run_id").unionByName(part(1, "method", "method")).unionByName(part(2, "snapshot", "k")).orderBy("place", "name")
+    """Three titled tables in one text, one after the other, written and read again."""
+    r, path = records(spark, d), sinks.scratch(spark)
+    mean = lambda c: r.groupBy(F.col(c).cast("string").alias("name")).agg(F.avg("psnr").alias("psnr"))
+    sinks.write_sections([("image", mean("run_id")), ("method", mean("method")), ("snapshot", mean("k"))], path)
+    return sinks.read_sections(spark, path, "name string, psnr double")
 
 
 @query("k18_next_run_id", "SELECT max(run_id) + 1 AS next_run_id FROM records")
@@ -241,9 +283,10 @@ def _(spark, d):
     return spark.createDataFrame([(run,)], "next_run_id bigint")
 
 
-@query("k19_usable_results", "SELECT ord, psnr FROM records WHERE psnr >= 30")
+@query("k19_usable_results", f"SELECT ord, {IMAGE_SQL} AS filename, {WIDTH} AS width, {HEIGHT} AS height, format('{{:.2f}}', psnr) AS psnr, coalesce(format('{{:.4f}}', ssim), '') AS ssim, format('{{:.3f}}', bpp) AS bitrate FROM records WHERE psnr >= 0")
 def _(spark, d):
-    return records(spark, d).where("psnr >= 30").select("ord", "psnr")
+    """The batch table: images that failed, with a negative PSNR or none, are left out."""
+    return A.usable(records(spark, d)).select("ord", image_name().alias("filename"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), fixed("psnr", 2), fixed("ssim", 4), fixed("bpp", 3).alias("bitrate"))
 
 
 @query("f6_bpp", "SELECT ord, stream_bytes * 8.0 / 76800 AS bpp_stream FROM records")
@@ -301,9 +344,11 @@ def _(spark, d):
     return records(spark, d).select("ord", F.coalesce(F.when(c("ord") % 2 == 0, c("tx_us") / 1000), (c("compress_us") + c("decompress_us") + F.when(c("ord") % 7 != 0, c("tx_us"))) / 1000).alias("core_ms"))
 
 
-@query("f19_reported_psnr", "SELECT ord, coalesce(nullif(ord % 4000, 0) / 100, psnr) AS psnr FROM records")
+@query("f19_reported_psnr", "SELECT ord, psnr, coalesce(psnr, -1.0) AS psnr_or_minus_one FROM (SELECT ord, coalesce(nullif(ord % 40 * 100, 0) / 100, psnr) AS psnr FROM records)")
 def _(spark, d):
-    return records(spark, d).select("ord", F.coalesce(F.nullif(F.col("ord") % 4000, F.lit(0)) / 100, "psnr").alias("psnr"))
+    """The reported PSNR (in hundredths, 0 is none) before a computed one; where there is neither, -1 stands in files."""
+    p = S.reported_psnr(F.col("ord") % 40 * 100, F.col("psnr"))
+    return records(spark, d).select("ord", p.alias("psnr"), F.coalesce(p, F.lit(-1.0)).alias("psnr_or_minus_one"))
 
 
 @query("f20_half_up", "SELECT ord, round(CAST(CAST(value / 8 AS VARCHAR) AS DECIMAL(38, 18)), 2)::DOUBLE AS rounded FROM records")
@@ -380,10 +425,11 @@ def _(spark, d):
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", A.reject_reason().alias("reason"))
 
 
-@query("f33_payload_rules", "SELECT ord, CASE WHEN k_idx = 0 AND stream_bytes * 20 <> 230400 THEN 'RAW_SIZE_FAIL' WHEN k_idx <> 0 AND (stream_bytes * 20 <= 0 OR stream_bytes * 20 > 687600) THEN 'JPEG_SIZE_FAIL' ELSE 'OK' END AS status FROM records")
+@query("f33_payload_rules", "SELECT ord, CASE WHEN mode = 'RAW' AND bytes <> 230400 THEN 'RAW_SIZE_FAIL' WHEN mode <> 'RAW' AND (bytes <= 0 OR bytes > 687600) THEN 'JPEG_SIZE_FAIL' ELSE 'OK' END AS status FROM (SELECT ord, mode, CASE WHEN mode = 'RAW' AND ord % 4 > 0 THEN 230400 ELSE stream_bytes * 20 END AS bytes FROM records)")
 def _(spark, d):
-    size, raw = F.col("stream_bytes") * 20, F.col("k_idx") == 0
-    return records(spark, d).select("ord", F.when(raw & (size != RAW_BYTES), "RAW_SIZE_FAIL").when(~raw & ((size <= 0) | (size > 687_600)), "JPEG_SIZE_FAIL").otherwise("OK").alias("status"))
+    raw = F.col("mode") == "RAW"
+    size = F.when(raw & (F.col("ord") % 4 > 0), RAW_BYTES).otherwise(F.col("stream_bytes") * 20)
+    return records(spark, d).select("ord", F.coalesce(checks.size_status(raw, size), F.lit("OK")).alias("status"))
 
 
 @query("w3_brightness_settled", "f AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY ord) - 1 AS frame, value FROM records), s AS (SELECT *, coalesce(abs(value - lag(value) OVER (PARTITION BY run_id ORDER BY frame)) <= 4, false) AS calm FROM f WHERE frame < 25), i AS (SELECT *, sum((NOT calm)::INTEGER) OVER (PARTITION BY run_id ORDER BY frame) AS island FROM s), t AS (SELECT *, sum(calm::INTEGER) OVER (PARTITION BY run_id, island ORDER BY frame) AS streak FROM i) SELECT run_id, coalesce(min(CASE WHEN streak >= 3 THEN frame END), max(frame))::INTEGER AS frame FROM t GROUP BY run_id", RECORDS_SQL + ",")
@@ -392,14 +438,17 @@ def _(spark, d):
     return A.settled(f.select("run_id", "frame", "value"), "value", 4, 3, 25)
 
 
-@query("w4_order_in_run", "SELECT r.ord, (row_number() OVER (PARTITION BY run_id ORDER BY r.k_idx, method_ord, r.ord) - 1)::INTEGER AS order_index FROM records r JOIN methods m ON m.method = r.method")
+@query("w4_order_in_run", "SELECT ord, (row_number() OVER (PARTITION BY run_id ORDER BY (mode <> 'RAW')::INTEGER, k_idx, method_ord, ord) - 1)::INTEGER AS raw_first, (row_number() OVER (PARTITION BY run_id ORDER BY (mode = 'RAW')::INTEGER, k_idx, method_ord, ord) - 1)::INTEGER AS raw_last FROM (SELECT r.*, method_ord FROM records r JOIN methods m ON m.method = r.method)")
 def _(spark, d):
-    return A.order_in_run(records(spark, d)).select("ord", "order_index")
+    r = A.order_in_run(records(spark, d), "raw_first", raw_first=True)
+    return A.order_in_run(r, "raw_last", raw_first=False).select("ord", "raw_first", "raw_last")
 
 
-@query("w5_method_order", "SELECT r.method, min(coalesce(method_ord, 999)) AS place FROM records r LEFT JOIN (SELECT * FROM methods WHERE method <> 'rdct') m ON m.method = r.method GROUP BY r.method")
+@query("w5_method_order", "SELECT DISTINCT method_name AS method, CASE WHEN method_name = 'raw' THEN 999 ELSE (SELECT method_ord FROM methods m WHERE m.method = method_name) END AS place FROM fr", FULL_SQL)
 def _(spark, d):
-    return records(spark, d).select("method").distinct().select("method", F.when(F.col("method") == "rdct", 999).otherwise(A.method_place("method")).alias("place"))
+    """Methods of the study in its order; raw is none of them and comes after."""
+    m = full_records(spark, d).select(F.col("method_name").alias("method")).distinct()
+    return m.select("method", A.method_place("method").alias("place")).orderBy("place", "method")
 
 
 @query("w6_by_k_and_method", "SELECT r.ord, k_idx, method_ord, dense_rank() OVER (ORDER BY k_idx, method_ord) AS place FROM records r JOIN methods m ON m.method = r.method")
@@ -421,10 +470,10 @@ def _(spark, d):
     return A.shown(records(spark, d), "run_id", "ord", F.concat_ws(" ", "method", "status"), 20)
 
 
-@query("w9_rotated_cases", "SELECT run_id, r.k_idx, r.method, ((method_ord + run_id) % 5)::INTEGER AS method_turn, ((r.k_idx + run_id) % 4)::INTEGER AS k_turn FROM (SELECT DISTINCT run_id, method, k_idx FROM records) r JOIN methods m ON m.method = r.method")
+@query("w9_rotated_cases", "SELECT run_id, k_idx, method, method_turn::INTEGER AS method_turn, k_turn::INTEGER AS k_turn, (4 * method_turn + k_turn)::INTEGER AS place FROM (SELECT *, ((k_idx - run_id - method_turn) % 4 + 4) % 4 AS k_turn FROM (SELECT run_id, r.k_idx, r.method, ((method_ord - run_id) % 5 + 5) % 5 AS method_turn FROM (SELECT DISTINCT run_id, method, k_idx FROM records) r JOIN methods m ON m.method = r.method))")
 def _(spark, d):
-    c = records(spark, d).select("run_id", "method", "k_idx").distinct()
-    return c.select("run_id", "k_idx", "method", F.pmod(A.method_place("method") + F.col("run_id"), F.lit(5)).cast("int").alias("method_turn"), F.pmod(F.col("k_idx") + F.col("run_id"), F.lit(4)).cast("int").alias("k_turn"))
+    """The order of an image's cases: methods begin with another one for each image, and k with another one for each image and place of the method."""
+    return A.rotated(records(spark, d).select("run_id", "k_idx", "method").distinct(), "run_id")
 
 
 @query("u1_desktop_table", ", li AS (SELECT ['loeffler', 'matrix', 'rdct', 'silveira_j3', 'silveira_j7'][l_linenumber % 5 + 1] AS method, l_extendedprice AS us FROM lineitem) SELECT 0 AS place, 'python' AS side, method, avg(compress_us::DOUBLE) AS us FROM records GROUP BY method UNION ALL SELECT 1, 'c', method, avg(us) FROM li GROUP BY method")
@@ -445,9 +494,13 @@ def _(spark, d):
     return A.snapshot_differences(snap(records(spark, d).where("status = 'OK'")), stored, "k_idx", METHOD_NAMES)
 
 
-@query("u3_distinct_runs", "SELECT DISTINCT run_id FROM records")
+@query("u3_distinct_runs", "SELECT 0 AS place, 'run' AS kind, run_id::VARCHAR AS value FROM (SELECT DISTINCT run_id FROM records) UNION ALL SELECT 1, 'method', method FROM (SELECT DISTINCT method FROM records) UNION ALL SELECT 2, 'k', k_idx::VARCHAR FROM (SELECT DISTINCT k_idx FROM records)")
 def _(spark, d):
-    return records(spark, d).select("run_id").distinct().orderBy("run_id")
+    """Runs, methods and k that occur, each sorted."""
+    r = records(spark, d)
+    part = lambda i, n, c: r.select(F.lit(i).alias("place"), F.lit(n).alias("kind"), F.col(c).alias("by").cast("string").alias("value")).distinct()
+    both = part(0, "run", "run_id").unionByName(part(1, "method", "method")).unionByName(part(2, "k", "k_idx"))
+    return both.orderBy("place", F.col("value").try_cast("bigint"), "value")
 
 
 @query("u4_first_slot_wins", "SELECT run_id, method, k_idx, min(ord) AS ord, arg_min(status, ord) AS status FROM records GROUP BY ALL")
@@ -469,9 +522,13 @@ def _(spark, d):
     return records(spark, d).select("ord", F.col("dct_kernel_calls").alias("calls"), expected.alias("expected"), (F.col("dct_kernel_calls") == expected).alias("as_expected"))
 
 
-@query("r8_complete_runs", "SELECT run_id, count(DISTINCT (method, k_idx)) AS slots, count(DISTINCT (method, k_idx)) = 20 AS complete FROM records WHERE status = 'OK' GROUP BY run_id")
+@query("r8_complete_runs", "SELECT run_id, device % 4 = 3 AS single, CASE WHEN device % 4 = 3 THEN 1 ELSE 21 END AS expected, count(DISTINCT slot) AS slots, count(DISTINCT slot) >= CASE WHEN device % 4 = 3 THEN 1 ELSE 21 END AS complete FROM fr WHERE status = 'OK' GROUP BY run_id, device", FULL_SQL)
 def _(spark, d):
-    return records(spark, d).where("status = 'OK'").groupBy("run_id").agg(F.count_distinct("method", "k_idx").alias("slots"), (F.count_distinct("method", "k_idx") == 20).alias("complete"))
+    """Good slots of each run against what its mode expects: 21, or one in single mode, in which every fourth device works."""
+    single = F.col("device") % 4 == 3
+    g = full_records(spark, d).where("status = 'OK'").groupBy("run_id", single.alias("single")).agg(F.count_distinct("slot").alias("slots"))
+    expected = checks.expected_records(F.col("single"))
+    return g.select("run_id", "single", expected.alias("expected"), "slots", (F.col("slots") >= expected).alias("complete"))
 
 
 @query("k8_schema_only", "SELECT method, k_idx, k_label, NULL::DOUBLE AS psnr, NULL::DOUBLE AS ssim FROM grid WHERE method IN (SELECT method FROM records)")
@@ -486,10 +543,19 @@ def _(spark, d):
     return runs.select("run_id", F.col("place").cast("int").alias("place"), F.concat(F.lit("run"), "run_id", F.lit("_raw.bmp")).alias("filename"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.lit(WIDTH * HEIGHT).alias("pixels"))
 
 
-@query("r2_record_status", "SELECT ord, CASE WHEN status = 'CRC_FAIL' THEN 'CRC_FAIL' WHEN k_idx = 0 AND stream_bytes <> 230400 THEN 'RAW_SIZE_FAIL' WHEN k_idx <> 0 AND (stream_bytes <= 0 OR stream_bytes > 687600) THEN 'JPEG_SIZE_FAIL' WHEN ord % 25 > 20 THEN 'MODE_FAIL' ELSE 'OK' END AS status FROM records")
-def _(spark, d):
-    from blockwright.streaming.runs import checked
+DC, RUN_1, RUN_2 = "ord % 1000", "ord % 40", "ord % 31"
+BYTES = f"[({DC}) & 255, ({DC}) >> 8, {RUN_1}, 7, 0, {RUN_2}, 9, 0, 0, 0, 0]"
+CRC32_SQL = "xor(list_reduce([4294967295] || {0}, lambda c, x: list_reduce([xor(c, x)] || range(8), lambda a, i: CASE WHEN a & 1 > 0 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295)"
 
-    slot = F.when(F.col("k_idx") == 0, 0).when(F.col("ord") % 25 > 20, 99).otherwise(1)
-    r = records(spark, d).select("ord", (F.col("status") != "CRC_FAIL").alias("crc_ok"), F.col("stream_bytes").alias("payload_bytes"), slot.alias("slot"))
-    return checked(r).select("ord", "status")
+
+@query("r2_record_status", f", p AS (SELECT *, CASE WHEN ord % 23 = 0 THEN ({BYTES})[1:8] ELSE {BYTES} END AS bytes, CASE WHEN mode = 'RAW' AND ord % 4 > 0 THEN 230400 WHEN ord % 59 = 0 THEN 0 ELSE stream_bytes END AS size FROM records), h AS (SELECT *, {CRC32_SQL.format('bytes')} AS crc FROM p) SELECT ord, crc::BIGINT AS crc32, CASE WHEN status = 'CRC_FAIL' THEN 'CRC_FAIL' WHEN mode = 'RAW' AND size <> 230400 THEN 'RAW_SIZE_FAIL' WHEN mode = 'RAW' THEN 'OK' WHEN device = 15 THEN 'MODE_FAIL' WHEN size <= 0 OR size > 687600 THEN 'JPEG_SIZE_FAIL' WHEN CASE WHEN ord % 23 = 0 THEN ({RUN_1}) + ({RUN_2}) <> 61 ELSE ({RUN_1}) + ({RUN_2}) >= 61 END THEN 'DECODE_FAIL' ELSE 'DECODED' END AS status FROM h")
+def _(spark, d):
+    """Records from their bytes: the payload's check sum against the header's, sizes by mode, and whether its run lengths decode. Payloads are one block's; some are cut before their end, some run past the block or go on behind its last place; a cut one that fills the block is whole."""
+    byte = lambda c, k=0: (F.expr(f"({c}) >> {k} & 255") if isinstance(c, str) else F.lit(c), 1)
+    whole = files.little_endian(byte(DC), byte(DC, 8), byte(RUN_1), byte(7), byte(0), byte(RUN_2), byte(9), byte(0), byte(0), byte(0), byte(0))
+    sent = F.when(F.col("ord") % 23 == 0, F.substring(whole, 1, 8)).otherwise(whole)
+    size = F.when((F.col("mode") == "RAW") & (F.col("ord") % 4 > 0), RAW_BYTES).when(F.col("ord") % 59 == 0, 0).otherwise(F.col("stream_bytes"))
+    mode = F.when(F.col("mode") == "RAW", 1).when(F.col("device") == 15, 3).otherwise(2)
+    r = records(spark, d).select("ord", sent.alias("payload"), size.alias("payload_len"), mode.alias("mode_type"), "status")
+    told = F.crc32("payload") + (F.col("status") == "CRC_FAIL").cast("int")
+    return checks.processed(r.withColumn("crc32", told).drop("status")).select("ord", F.crc32("payload").alias("crc32"), "status")

@@ -113,6 +113,30 @@ def read_summary(spark: SparkSession, path: str, kinds: str) -> DataFrame:
     return spark.read.option("header", True).schema(kinds).csv(lots) if lots else spark.createDataFrame([], kinds)
 
 
+def write_sections(sections: list[tuple[str, DataFrame]], path: str) -> None:
+    """Titled tables of one set of columns as one text: a title, then its rows as CSV by their first column. Parts of the folder follow each other in the order of their names."""
+    lines = None
+    for i, (title, rows) in enumerate(sections):
+        text = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns])
+        head = rows.sparkSession.createDataFrame([(i, "", f"# {title}")], "place int, by string, value string")
+        part = head.unionByName(rows.select(F.lit(i).alias("place"), F.concat(F.lit(" "), F.coalesce(F.col(rows.columns[0]).cast("string"), F.lit(""))).alias("by"), text.alias("value")))
+        lines = part if lines is None else lines.unionByName(part)
+    lines.orderBy("place", "by", "value").select("value").write.text(path)
+
+
+def read_sections(spark: SparkSession, path: str, kinds: str) -> DataFrame:
+    """place, section and columns of what write_sections() wrote. The few titles are looked up first, and tell of each line which section it is in."""
+    at = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", at.alias("at"))
+    titles = lines.where(F.col("value").startswith("# ")).orderBy("at").collect()
+    section = F.lit(-1)
+    for i, t in enumerate(titles):
+        section = F.when(F.col("at") >= F.struct(F.lit(t["at"][0]).alias("file"), *[F.lit(n).cast("bigint").alias(c) for n, c in zip(t["at"][1:], ("start", "line"))]), i).otherwise(section)
+    names = F.array(*[F.lit(t["value"][2:]) for t in titles])
+    row = F.from_csv("value", kinds)
+    return lines.where(~F.col("value").startswith("# ")).select(section.alias("place"), names[section].alias("section"), row.alias("r")).select("place", "section", "r.*")
+
+
 def write_rasters(blocks: DataFrame, path: str) -> None:
     """Gray rasters of whole images from blocks (image, method, k_idx, brow, bcol, d), level-shifted back: image, width, height, raster (binary), in folders by method and k_idx."""
     value = lambda v: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), v + 128)).cast("bigint")), 2, "0")

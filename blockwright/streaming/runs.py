@@ -1,8 +1,7 @@
 """Runs assembled from a stream of records.
 
-A record stream has one row for each record as it arrives: run_id, slot, order_index,
-status and arrival (event time). Records of a run are checked one by one, gathered in
-state by run, and the run is given out once: when it is complete, or when nothing came for
+A record stream has one row for each record as it arrives. Records of a run are checked one
+by one (operators/checks.py, stateless), gathered in state by run, and the run is given out once: when it is complete, or when nothing came for
 a while; then its state is freed. Event time, watermark and late rows are choices of this
 engine.
 """
@@ -12,25 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from blockwright.operators.checks import WHOLE_RUN
 from blockwright.streaming.ordered import InOrder, folded
 
-#: Records of a whole run: the raw one and five methods by four quality factors. In single mode there is one.
-WHOLE_RUN = 21
 #: Microseconds without a record after which a run ends.
 TIMEOUT_US = 60_000_000
 
 
-def expected(single: bool) -> int:
-    return 1 if single else WHOLE_RUN
-
-
-def checked(records: DataFrame) -> DataFrame:
-    """Stateless checks, the same for batch and stream: size, integrity, order. The first that fails is the status."""
-    raw = F.col("slot") == 0
-    size = F.when(raw & (F.col("payload_bytes") != 230_400), "RAW_SIZE_FAIL").when(~raw & ((F.col("payload_bytes") <= 0) | (F.col("payload_bytes") > 687_600)), "JPEG_SIZE_FAIL")
-    return records.withColumn("status", F.coalesce(F.when(~F.col("crc_ok"), "CRC_FAIL"), size, F.when(~F.col("slot").between(0, WHOLE_RUN - 1), "MODE_FAIL"), F.lit("OK")))
-
-
 def first_of_slot(records: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """One record for each run and slot while the watermark lasts: the first that arrives."""
     return records.withWatermark("arrival", delay).dropDuplicatesWithinWatermark(["run_id", "slot"])
