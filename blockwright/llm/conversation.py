@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from blockwright.llm.common import durable, partitions, sent
+from blockwright.llm.common import durable, lean, partitions, sent
 
 #: The role grammar over initials. S is the start; as P recurs on the left, stacks stay short.
 GRAMMAR = (("S", ""), ("S", "sP"), ("S", "P"), ("P", "Pua"), ("P", "ua"))
@@ -288,7 +288,7 @@ def cut_and_repair(rows: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
 
     n = partitions(rows.sparkSession)
     keys = ["conv_id", "turn", "role", "text"]
-    return rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, columns)
+    return rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(lean(run), columns)
 
 
 def ways(open_pieces: DataFrame) -> DataFrame:
@@ -330,7 +330,7 @@ def ways(open_pieces: DataFrame) -> DataFrame:
     columns = "part int, no long, start int, way string, way_cost long"
     schema = to_arrow_schema(StructType.fromDDL(columns))
     heads = open_pieces.select("conv_id", "part", "no", "costs", "audits")
-    return heads.repartition(partitions(heads.sparkSession), "conv_id").sortWithinPartitions("conv_id", "part", "no").mapInArrow(run, columns)
+    return heads.repartition(partitions(heads.sparkSession), "conv_id").sortWithinPartitions("conv_id", "part", "no").mapInArrow(lean(run), columns)
 
 
 def repair_pieces(rows: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
@@ -356,7 +356,7 @@ def repair_pieces(rows: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
 
         yield from in_batches(found(), schema)
 
-    rebuilt = met.select("conv_id", "part", "no", *STATS, "head", "tail", "roles", "texts", "must", "cut", "times", "start", "way", "way_cost").mapInArrow(run, columns)
+    rebuilt = met.select("conv_id", "part", "no", *STATS, "head", "tail", "roles", "texts", "must", "cut", "times", "start", "way", "way_cost").mapInArrow(lean(run), columns)
     return closed.unionByName(rebuilt)
 
 
@@ -386,7 +386,7 @@ def digests(pieces: DataFrame) -> DataFrame:
         yield from in_batches((whole(conv, rows) for conv, rows in itertools.groupby(tuples(batches), key=lambda r: r[0])), schema, 1024)
 
     rows = pieces.select("conv_id", "part", "no", *STATS, "head", "tail", "cost", "audit", "repaired")
-    return rows.repartition(partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "part", "no").mapInArrow(run, columns)
+    return rows.repartition(partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "part", "no").mapInArrow(lean(run), columns)
 
 
 def repair_conversations(rows: DataFrame) -> DataFrame:

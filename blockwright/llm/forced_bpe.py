@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from blockwright.llm.common import lean
 from blockwright.llm.prefix_counts import BEYOND_LATIN, byte_letters
 
 # Fixed value: the word pattern of this vocabulary file.
@@ -164,7 +165,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids binary, decoded string")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {kind}, n_tokens long, ids binary, decoded string")
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

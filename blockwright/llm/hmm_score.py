@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwright.llm.common import ASCII_LOWER, durable
+from blockwright.llm.common import ASCII_LOWER, durable, lean
 
 STATES = 8
 #: Words that are symbols on their own, and symbols by word ending.
@@ -182,7 +182,7 @@ def train(trained: DataFrame, shares: np.ndarray, states: int, sweeps: int) -> t
                     i = np.flatnonzero(total)
                     yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total[i])], ["i", "v"])
 
-            added = trained.where(F.col("part") == part).select("symbols").mapInArrow(expect, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # one number for each of the model's
+            added = trained.where(F.col("part") == part).select("symbols").mapInArrow(lean(expect), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # one number for each of the model's
             if added:
                 counts[part] = 0
                 counts[part, [r.i for r in added]] = [r.v for r in added]
@@ -252,7 +252,7 @@ def score_texts(docs: DataFrame, train_if, id_col: str = "doc_id", text_col: str
         if c:
             yield out()
 
-    counts = durable(texts.where("train").select("t").mapInArrow(count, "w long, k int, c long").groupBy("w").agg(F.min("k").alias("k"), F.sum("c").alias("c")))
+    counts = durable(texts.where("train").select("t").mapInArrow(lean(count), "w long, k int, c long").groupBy("w").agg(F.min("k").alias("k"), F.sum("c").alias("c")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.where("w <> 0").orderBy(F.desc("c"), "w").limit(HEAD).collect()
     ends = sum(r.c for r in counts.where("w = 0").collect())
@@ -293,7 +293,7 @@ def score_texts(docs: DataFrame, train_if, id_col: str = "doc_id", text_col: str
                 sums = [pa.array(np.bincount(text, x, len(split))) for x in (base, inner)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(size), symbols, *sums, tail], ["id", "train", "part", "n", "symbols", "base", "inner", "tail"])
 
-    seen = texts.mapInArrow(read, f"id {kind}, train boolean, part int, n long, symbols binary, base double, inner double, tail array<long>")
+    seen = texts.mapInArrow(lean(read), f"id {kind}, train boolean, part int, n long, symbols binary, base double, inner double, tail array<long>")
     seen = durable(seen.withColumn("row", F.monotonically_increasing_id()), by="part")
     model, _ = train(seen.where("train"), shares, states, sweeps)
 
@@ -303,7 +303,7 @@ def score_texts(docs: DataFrame, train_if, id_col: str = "doc_id", text_col: str
                 b = batch.slice(at, SLICE)
                 yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(model.score(as_texts(b.column(6))))], ["row", "id", "train", "n", "base", "inner", "hmm"])
 
-    scored = seen.select("row", "id", "train", "n", "base", "inner", "symbols").mapInArrow(score, f"row long, id {kind}, train boolean, n long, base double, inner double, hmm double")
+    scored = seen.select("row", "id", "train", "n", "base", "inner", "symbols").mapInArrow(lean(score), f"row long, id {kind}, train boolean, n long, base double, inner double, hmm double")
     rare = seen.select("row", F.explode("tail").alias("w")).groupBy("row", "w").agg(F.count("*").alias("times")).join(counts.select("w", "c"), "w", "left")
     c = F.coalesce("c", F.lit(0))
     rare = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("rest"), F.sum(F.when(c == 0, F.col("times")).otherwise(0)).alias("new"))

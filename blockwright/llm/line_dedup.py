@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwright.llm.common import discard, durable, groups, partitions, sent, values, whole_tasks
+from blockwright.llm.common import discard, durable, groups, lean, partitions, sent, values, whole_tasks
 from blockwright.llm.shingle_join import COPY, HELD, MET, MET_ROW, NODE, PLACE, SLICE, as_lists, by_task, check_similarity, deal_groups, emit_grams, gram_sets, least_shared, meeting_groups, prefix_size, settle_nodes, travelled
 
 
@@ -131,7 +131,7 @@ def dedup_lines(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, i
         size = len(ids)
         return pa.RecordBatch.from_arrays([ids, pa.array(p["mark"][some]), pa.array(p["line"][some].astype(np.int32)), *[pa.nulls(size, pa.int64()) if x is None else pa.array(x) for x in (n, held)]], ["id", "mark", "line", "n", "held"])
 
-    found = travelled(texts.mapInArrow(emit, MET_ROW)).mapInArrow(decide, "id long, mark long, line int, n long, held long")
+    found = travelled(texts.mapInArrow(lean(emit), MET_ROW)).mapInArrow(lean(decide), "id long, mark long, line int, n long, held long")
     found = durable(found.where(F.col("n").isNull() | (F.col("held") >= least_shared())))
     nodes = durable(found.where("n IS NOT NULL").select(F.monotonically_increasing_id().alias("node"), "id", "mark", "line"))
 
@@ -152,7 +152,7 @@ def dedup_lines(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, i
     same = F.col("id").eqNullSafe(F.col("wid")) & (F.col("mark") == F.col("wmark"))
     per_text = durable(per_text)
     wanted = texts.where("t IS NOT NULL").join(sent(per_text), same).select("id", "mark", "t", "wanted")
-    sets = durable(wanted.mapInArrow(sets_of, "node long, id long, mark long, line int, n int, s array<long>"))
+    sets = durable(wanted.mapInArrow(lean(sets_of), "node long, id long, mark long, line int, n int, s array<long>"))
     if sets.count() > nodes.count():  # repeated rows
         sets = durable(sets.dropDuplicates(["node"]))
     group = meeting_groups(sets.select("node", "n", "s"), num, den)
@@ -167,7 +167,7 @@ def dedup_lines(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, i
     def rows_of(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["id", "mark", "line"])
 
-    later = deal_groups(sets.select("node", "s", "id", "mark", "line", "n"), group).mapInArrow(match, "id long, mark long, line int")
+    later = deal_groups(sets.select("node", "s", "id", "mark", "line", "n"), group).mapInArrow(lean(match), "id long, mark long, line int")
     gone = found.where("n IS NULL").select("id", "mark", "line").unionByName(later)
     gone = durable(gone.groupBy("id", "mark").agg(F.collect_set("line").alias("__drop")).withColumnsRenamed({"id": "__id", "mark": "__mark"}))
     discard(found, nodes, per_text, sets, group)

@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from blockwright.llm.common import lean
+
 #: Entries that a worker remembers; beyond it pieces are computed each time.
 MOST_REMEMBERED = 400_000
 MOST_STATES = 1_200_000
@@ -254,4 +256,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(count, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(id_col, text_col).mapInArrow(lean(count), f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from blockwright.llm.common import ASCII_LOWER, connected_components, discard, durable, groups, packed, partitions, sent, values, whole_tasks
+from blockwright.llm.common import ASCII_LOWER, connected_components, discard, durable, groups, lean, packed, partitions, sent, values, whole_tasks
 
 #: N-grams of the sets that one task holds at a time; larger candidate groups are dealt as pairs of blocks.
 GROUP_TOKENS = 3_000_000
@@ -371,7 +371,7 @@ def settle_nodes(part: dict[str, np.ndarray], held: dict[str, np.ndarray]) -> tu
 def travelled(rows: DataFrame) -> DataFrame:
     """Rows of emit_grams() after both shuffles: by n-gram, then by node."""
     tasks = min(1 << 16, partitions(rows.sparkSession))
-    met = rows.repartition("task").sortWithinPartitions("task").mapInArrow(lambda batches: count_shared(batches, tasks), MET_ROW)
+    met = rows.repartition("task").sortWithinPartitions("task").mapInArrow(lean(lambda batches: count_shared(batches, tasks)), MET_ROW)
     return met.repartition("task").sortWithinPartitions("task")
 
 
@@ -398,7 +398,7 @@ def meeting(texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
             if nodes.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in settle_nodes(values(nodes, MET), values(held, MET))], ["lo", "hi", "n", "held"])
 
-    found = travelled(texts.select("t").mapInArrow(emit, MET_ROW)).mapInArrow(decide, "lo long, hi long, n long, held long")
+    found = travelled(texts.select("t").mapInArrow(lean(emit), MET_ROW)).mapInArrow(lean(decide), "lo long, hi long, n long, held long")
     return durable(found.select("lo", "hi", "n", (F.col("held") >= least_shared()).alias("maybe")))
 
 
@@ -460,7 +460,7 @@ def shingle_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
                 none = np.array([k is None for k in keys], bool)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lo, mask=none), pa.array(hi, mask=none)], ["id", "lo", "hi"])
 
-    keyed = durable(texts.mapInArrow(keys_of, f"id {kind}, lo long, hi long"))
+    keyed = durable(texts.mapInArrow(lean(keys_of), f"id {kind}, lo long, hi long"))
     first = durable(keyed.where("id IS NOT NULL AND lo IS NOT NULL").groupBy("lo", "hi").agg(F.min("id").alias("first")))
     reps = nodes.where("maybe").select("lo", "hi").join(first, ["lo", "hi"]).select(F.monotonically_increasing_id().alias("node"), "lo", "hi", F.col("first").alias("id"))
     reps = durable(reps)
@@ -473,7 +473,7 @@ def shingle_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
                 own = np.array([k == struct.pack("<qq", a, b) for k, a, b in zip(keys, lo, hi)], bool)  # else another row of a repeated id
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(node)[own], pa.int64()), as_lists(n[own], h[np.repeat(own, n)])], ["node", "s"])
 
-    sets = texts.where("id IS NOT NULL").join(sent(reps), "id").select("node", "lo", "hi", "t").mapInArrow(full_sets, "node long, s array<long>")
+    sets = texts.where("id IS NOT NULL").join(sent(reps), "id").select("node", "lo", "hi", "t").mapInArrow(lean(full_sets), "node long, s array<long>")
     sets = durable(sets.withColumn("n", F.size("s")))
     if sets.count() > reps.count():  # repeated rows
         sets = durable(sets.dropDuplicates(["node"]))
@@ -486,7 +486,7 @@ def shingle_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
-    links = deal_groups(sets.select("node", "s", "n"), group).mapInArrow(join_groups, "a long, b long")
+    links = deal_groups(sets.select("node", "s", "n"), group).mapInArrow(lean(join_groups), "a long, b long")
     component = connected_components(links)
 
     joined = reps.select("lo", "hi", "node", "id").join(component, "node")
@@ -496,6 +496,6 @@ def shingle_components(docs: DataFrame, size: int = 5, num: int = 75, den: int =
     out = keyed.join(durable(place), ["lo", "hi"], "left")
     discard(nodes, first, reps, sets, group, component)
     if docs.where(F.col(id_col).isNull()).limit(1).count():  # they link with nothing and were left out above
-        lone = texts.where("id IS NULL").mapInArrow(sizes_of, f"id {kind}, n long").select("id", "n", F.lit(None).cast(kind).alias("least"))
+        lone = texts.where("id IS NULL").mapInArrow(lean(sizes_of), f"id {kind}, n long").select("id", "n", F.lit(None).cast(kind).alias("least"))
         out = out.where("id IS NOT NULL").select("id", "n", "least").unionByName(lone)
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0).cast("long")).alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))

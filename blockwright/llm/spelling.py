@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockwright.llm.common import LOWER, UPPER, discard, durable, sent
+from blockwright.llm.common import LOWER, UPPER, discard, durable, lean, sent
 
 #: Words of more letters are rotated as hashes.
 LONG = 64
@@ -83,7 +83,7 @@ def hashed_rotations(words: DataFrame) -> DataFrame:
                     some = rows[at : at + 65536]
                     yield pa.RecordBatch.from_arrays([pa.array([who] * len(some), pa.int64()), pa.array([n] * len(some), pa.int64()), *(pa.array([r[k] for r in some]) for k in range(3))], schema=schema)
 
-    return words.select("rank", "word", "n").mapInArrow(run, "who long, n long, key string, edited boolean, first boolean")
+    return words.select("rank", "word", "n").mapInArrow(lean(run), "who long, n long, key string, edited boolean, first boolean")
 
 
 def neighbours(rotated: DataFrame) -> DataFrame:

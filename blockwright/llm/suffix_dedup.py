@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwright.llm.common import discard, durable, groups, packed, partitions, sent, values, whole_tasks
+from blockwright.llm.common import discard, durable, groups, lean, packed, partitions, sent, values, whole_tasks
 
 #: Bytes of an anchor.
 GRAM = 24
@@ -479,19 +479,19 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     texts = texts.select("id", F.when(F.col("again").isNull(), 0).otherwise(F.xxhash64("t").bitwiseAND(0xFFFFFFFF)).cast("long").alias("j"), "t")
     known = texts.where(f"id IS NOT NULL AND octet_length(t) >= {length}").select(F.col("id").cast("long").alias("id"), "j", "t")
 
-    travel = known.mapInArrow(partial(find, length=length, tasks=tasks, local_pieces=LOCAL_PIECES, slice_bytes=SLICE_BYTES), schema_of(TRAVEL)).repartition("task").sortWithinPartitions("task")
-    settled = travel.mapInArrow(partial(settle, length=length, tasks=doc_tasks, whole_pieces=WHOLE_PIECES), schema_of(SETTLED)).repartition("task").sortWithinPartitions("task")
-    facts = durable(settled.mapInArrow(partial(per_text, length=length), "id long, j long, kind int, ends array<int>, rel array<int>, key array<long>"))
+    travel = known.mapInArrow(lean(partial(find, length=length, tasks=tasks, local_pieces=LOCAL_PIECES, slice_bytes=SLICE_BYTES)), schema_of(TRAVEL)).repartition("task").sortWithinPartitions("task")
+    settled = travel.mapInArrow(lean(partial(settle, length=length, tasks=doc_tasks, whole_pieces=WHOLE_PIECES)), schema_of(SETTLED)).repartition("task").sortWithinPartitions("task")
+    facts = durable(settled.mapInArrow(lean(partial(per_text, length=length)), "id long, j long, kind int, ends array<int>, rel array<int>, key array<long>"))
     asked = known.join(facts.where(f"kind <> {LOST}"), ["id", "j"]).select("id", "j", "t", "kind", "ends", "rel", "key")
-    pieces = asked.mapInArrow(partial(cut, length=length), "key long, piece binary, rel int, id long, j long, first int, last int")
-    more = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(partial(lose, length=length, merge_bytes=MERGE_BYTES, shard_bytes=SHARD_BYTES), "id long, j long, first int, last int")
+    pieces = asked.mapInArrow(lean(partial(cut, length=length)), "key long, piece binary, rel int, id long, j long, first int, last int")
+    more = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(lean(partial(lose, length=length, merge_bytes=MERGE_BYTES, shard_bytes=SHARD_BYTES)), "id long, j long, first int, last int")
     more = more.select("id", "j", F.array("first", "last").alias("ends"))
     lost = facts.where(f"kind = {LOST}").select("id", "j", "ends").unionByName(more).groupBy("id", "j").agg(F.flatten(F.collect_list("ends")).alias("ends"))
     lost = durable(lost.select(F.col("id").alias("lid"), F.col("j").alias("lj"), "ends"))
     discard(facts)
     out = texts.join(lost, (F.col("id") == F.col("lid")) & (F.col("j") == F.col("lj")), "left").select("id", "t", "ends")
     named = partial(strip, length=length)
-    return out.mapInArrow(named, f"id {kind}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary").withColumnRenamed("id", id_col)
+    return out.mapInArrow(lean(named), f"id {kind}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary").withColumnRenamed("id", id_col)
 
 
 def digests(stripped: DataFrame, id_col: str = "doc_id") -> DataFrame:

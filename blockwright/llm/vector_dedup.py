@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwright.llm.common import connected_components, discard, durable
+from blockwright.llm.common import connected_components, discard, durable, lean
 
 #: Vectors that the codebooks are fitted on, and those that the number of cells is set by.
 SAMPLE_ROWS, TRIAL_ROWS = 20_000, 1_000
@@ -146,7 +146,7 @@ def vector_components(vectors: DataFrame, least: float = 0.9, id_col: str = "vec
                 unit.append(None if v is None else v.tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(size, pa.int32()), pa.array(unit, pa.binary())], ["id", "lo", "hi", "size", "unit"])
 
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(read, f"id {kind}, lo long, hi long, size int, unit binary")
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(lean(read), f"id {kind}, lo long, hi long, size int, unit binary")
     rows = durable(rows)
     nodes = rows.where("lo IS NOT NULL").groupBy("lo", "hi").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("unit").alias("unit"))
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()))
@@ -182,7 +182,7 @@ def search(nodes: DataFrame, index: MultiIndex, least: float) -> tuple[DataFrame
                 x = np.stack([np.frombuffer(u) for u in part.column(2).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(index.own(x).astype(np.int32)), pa.array(list(index.visited(x)), pa.list_(pa.int32()))], ["node", "copies", "unit", "cell", "cells"])
 
-    placed = durable(nodes.select("node", "copies", "unit").mapInArrow(place, "node long, copies long, unit binary, cell int, cells array<int>"))
+    placed = durable(nodes.select("node", "copies", "unit").mapInArrow(lean(place), "node long, copies long, unit binary, cell int, cells array<int>"))
     held = placed.groupBy("cell").count().collect()  # one number for each cell that is in use
     first, parts = index.blocks(np.array([r.cell for r in held]), np.array([r["count"] for r in held]))
 
@@ -258,8 +258,8 @@ def search(nodes: DataFrame, index: MultiIndex, least: float) -> tuple[DataFrame
     def linked(node, other):
         return pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.zeros(len(node), np.int64)), pa.array(other)], ["node", "links", "other"])
 
-    dealt = placed.mapInArrow(deal, "block int, asks int, node long, copies long, unit binary, cell int, cells array<int>").repartition("block").sortWithinPartitions("block", "asks", "cell")
-    return dealt.mapInArrow(verify, "node long, links long, other long"), placed
+    dealt = placed.mapInArrow(lean(deal), "block int, asks int, node long, copies long, unit binary, cell int, cells array<int>").repartition("block").sortWithinPartitions("block", "asks", "cell")
+    return dealt.mapInArrow(lean(verify), "node long, links long, other long"), placed
 
 
 def blocks_of(batches):
