@@ -35,7 +35,7 @@ def fold(id_col: str, k: int):
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda c: fold(c, 3) != 1)
-    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

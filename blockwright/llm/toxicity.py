@@ -2,7 +2,9 @@
 
 Labels teach two things: a lexicon of words and word beginnings that stand mostly in
 toxic texts, and the trees. Both are learned from a bounded sample of labelled rows
-(sample_rows). Scoring passes over all texts once, without a shuffle.
+(sample_rows), cut into folds: the trees and the calibration see features of a row by the
+words that other folds teach, as they will be for rows without a label. Scoring passes over
+all texts once, without a shuffle, with the words of the whole sample.
 """
 
 from __future__ import annotations
@@ -15,10 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockwright.llm.common import lean
+
 #: Most labelled rows that the lexicon and the trees are fitted on.
 SAMPLE_ROWS = 20_000
 #: Most lexicon entries; bounds what travels to the tasks.
 LEXICON = 4_000
+#: Folds of the sample: features of labelled rows are made with the words of the other folds; the last fold calibrates.
+FOLDS = 4
 STEM = 5
 # Second-person words of four languages, punctuation marks, and letters that digits and signs stand for.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi vous votre ton ta tus ti usted ustedes vosotros".encode().split())
@@ -158,8 +164,8 @@ def calibrate(model: Boosted, x: np.ndarray, y: np.ndarray) -> Boosted:
     return model
 
 
-def learn_lexicon(sample: DataFrame, most: int = LEXICON) -> tuple[frozenset[bytes], frozenset[bytes]]:
-    """Words, and beginnings of longer words, that stand in toxic rows at least nine times in ten and eight times at least."""
+def learn_lexicons(sample: DataFrame, most: int = LEXICON) -> list[tuple[frozenset[bytes], frozenset[bytes]]]:
+    """Words, and beginnings of longer words, that stand in toxic rows at least nine times in ten and eight times at least: of the rows outside each fold (six times there), and at the end of all rows. sample: text, toxic, fold."""
 
     def terms(batches):
         count: dict[tuple[str, bytes], list[int]] = {}
@@ -167,25 +173,34 @@ def learn_lexicon(sample: DataFrame, most: int = LEXICON) -> tuple[frozenset[byt
         def out():
             keys, sums = list(count), np.array(list(count.values()))
             count.clear()
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.binary()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["kind", "term", "bad", "rows"])
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.binary()), *[pa.array(c) for c in sums.T]], ["kind", "term", *names])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
-                for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for text, toxic, fold in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
                     kinds = set(words_of(text or ""))
                     for key in [("word", w) for w in kinds] + [("stem", s) for s in {w[:STEM] for w in kinds if len(w) > STEM}]:
-                        sums = count.setdefault(key, [0, 0])
-                        sums[0] += toxic
-                        sums[1] += 1
+                        sums = count.setdefault(key, [0] * (2 * FOLDS))
+                        sums[fold] += toxic
+                        sums[FOLDS + fold] += 1
                 if len(count) > 100_000:
                     yield out()
         if count:
             yield out()
 
-    counted = sample.select("text", "toxic").mapInArrow(terms, "kind string, term binary, bad long, rows long").groupBy("kind", "term").agg(F.sum("bad").alias("bad"), F.sum("rows").alias("rows"))
-    found = counted.where("bad >= 8 AND bad >= 0.9 * rows").orderBy(F.desc("bad"), "kind", "term").limit(most).collect()
-    return frozenset(bytes(r.term) for r in found if r.kind == "word"), frozenset(bytes(r.term) for r in found if r.kind == "stem")
+    names = [f"{n}_{f}" for n in ("bad", "rows") for f in range(FOLDS)]
+    counted = sample.select("text", "toxic", "fold").mapInArrow(lean(terms), "kind string, term binary, " + ", ".join(f"{n} long" for n in names)).groupBy("kind", "term").agg(*[F.sum(n).alias(n) for n in names])
+    total = {n: sum((F.col(f"{n}_{f}") for f in range(FOLDS)), F.lit(0)) for n in ("bad", "rows")}
+    rules = [((total["bad"] - F.col(f"bad_{f}"), total["rows"] - F.col(f"rows_{f}")), 6) for f in range(FOLDS)] + [((total["bad"], total["rows"]), 8)]
+    out = []
+    for k, ((bad, rows), least) in enumerate(rules):
+        counted = counted.withColumn(f"in_{k}", F.when((bad >= least) & (bad >= 0.9 * rows), bad))
+    known = counted.where(F.coalesce(*[F.col(f"in_{k}") for k in range(len(rules))]).isNotNull())
+    found = known.orderBy(F.desc(total["bad"]), "kind", "term").limit(2 * most).collect()
+    for k in range(len(rules)):
+        own = sorted((r for r in found if r[f"in_{k}"] is not None), key=lambda r: (-r[f"in_{k}"], r.kind, bytes(r.term)))[:most]
+        out.append((frozenset(bytes(r.term) for r in own if r.kind == "word"), frozenset(bytes(r.term) for r in own if r.kind == "stem")))
+    return out
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int, train_if) -> DataFrame:
@@ -210,17 +225,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_if, id_col: str = "
     if {"score", "predicted", id_col} & set(keep):
         raise ValueError("columns of the result can't be kept")
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, sample_rows, train_if)
-    lexicon, stems = learn_lexicon(sample)
+    sample = sample.withColumn("fold", F.pmod(F.xxhash64(F.lit(1), "label_id"), F.lit(FOLDS)).cast("int"))
+    *without, (lexicon, stems) = learn_lexicons(sample)
 
     def rows(batches):
+        """Features by words that the row itself, and its fold, didn't teach."""
         for b in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
-            x = [describe(t, lexicon, stems) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["id", "toxic", "x"])
+            x = [describe(t, *without[f]) for t, f in zip(b.column(1).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(2), b.column(3), pa.array(x, pa.list_(pa.float64()))], ["id", "toxic", "fold", "x"])
 
-    seen = sorted(sample.mapInArrow(rows, "id string, toxic int, x array<double>").collect())
+    seen = sorted(sample.mapInArrow(lean(rows), "id string, toxic int, fold int, x array<double>").collect())
     x = np.array([r.x for r in seen]).reshape(-1, len(FEATURES))
     y = np.array([r.toxic for r in seen], float)
-    fold = np.arange(len(y)) % 4 == 3
+    fold = np.array([r.fold for r in seen], int) == FOLDS - 1
     model = calibrate(fit(x[~fold], y[~fold]), x[fold], y[fold])
 
     def score(batches):
@@ -232,4 +249,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_if, id_col: str = "
 
     names = [id_col, *keep]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(F.col(text_col).alias("__text"), *names).mapInArrow(score, f"{kinds}, score double, predicted int")
+    return docs.select(F.col(text_col).alias("__text"), *names).mapInArrow(lean(score), f"{kinds}, score double, predicted int")
