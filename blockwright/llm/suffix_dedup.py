@@ -15,8 +15,10 @@ tells apart give the common prefixes: after 50 rounds, rows not yet apart are a
 interval of 50-byte strings. No suffix is sorted again across shards. The least document
 of an interval keeps its string.
 
-Anchors with very many unlike pieces make no merge: their windows meet by 128 bits of hash,
-one row for each batch of texts, so that no task gathers the pieces of such an anchor.
+Anchors with very many unlike pieces make no merge: their windows meet by 128 bits of hash.
+Of a batch of texts only the least document's window travels to the window's key; what the
+others of the batch lose is known there and travels by text. So a key gets a row for each
+batch, however many texts hold the window.
 
 Hashes: anchors only bring pieces together; pieces count as equal by their anchor's 40 bits
 and bucket and 48 bits of their own.
@@ -339,6 +341,13 @@ def per_text(batches, length: int):
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(start), kind, np.int32)), ends, rel, key], ["id", "j", "kind", "ends", "rel", "key"])
 
 
+def stretches(places: list[int]) -> list[tuple[int, int]]:
+    """Neighbouring places as (first, last)."""
+    at = np.sort(np.array(places))
+    new = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1))
+    return list(zip(at[new].tolist(), at[np.append(new[1:], len(at)) - 1].tolist()))
+
+
 def cut(batches, length: int):
     """The pieces that are asked for, as bytes; windows of very frequent anchors by hash, the least document's of a slice, which later ones lose here."""
     for batch in batches:
@@ -357,10 +366,17 @@ def cut(batches, length: int):
                     for a, z in zip(ends[::2], ends[1::2]):
                         for k in range(a, z + 1):
                             windows.setdefault(xxhash.xxh3_128_digest(raw[k : k + length]), []).append((i, j, k))
+            lost: dict[tuple[int, int], list[int]] = {}
             for w, places in windows.items():
                 least = min(p[0] for p in places)
                 key = int.from_bytes(w[:8], "little", signed=True)
-                out += [(key, w if i == least else None, None, i, j, k, k) for i, j, k in places]
+                own: dict[tuple[int, int], list[int]] = {}
+                for i, j, k in places:
+                    (own if i == least else lost).setdefault((i, j), []).append(k)
+                out += [(key, w, None, i, j, a, z) for (i, j), ks in own.items() for a, z in stretches(ks)]
+            for (i, j), ks in lost.items():  # need no partner any more, so they go by their text
+                key = xxhash.xxh3_64_intdigest(b"%d %d" % (i, j)) - (1 << 63)
+                out += [(key, None, None, i, j, a, z) for a, z in stretches(ks)]
             for k in range(0, len(out), 20_000):
                 yield rows_as(out[k : k + 20_000], PIECES)
 
