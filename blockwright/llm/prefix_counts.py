@@ -22,8 +22,8 @@ from tokenizers import Tokenizer
 
 from blockwright.llm.common import lean
 
-#: Entries that a worker remembers; beyond it pieces are computed each time.
-MOST_REMEMBERED = 400_000
+#: Entries that a worker remembers, and characters of one that is worth it; beyond them pieces are computed each time.
+MOST_REMEMBERED, LONG = 400_000, 64
 MOST_STATES = 1_200_000
 FOREVER = 1 << 60
 # The piece pattern of this vocabulary file and two white spaces that touch.
@@ -58,7 +58,8 @@ class PrefixCounter:
         for a, b in self.rank:
             self.made.setdefault(a + b, (a, b))
         self.tokens = {t for t in vocab if len(t) == 1 or t in self.made}
-        self.longest = max(map(len, self.tokens))
+        #: Every end of an entry, and whether it is an entry itself: walked from a byte backwards, the tree of reversed entries.
+        self.tails = {t[k:]: t[k:] in self.tokens for t in self.tokens for k in range(len(t))}
         self.library = Tokenizer.from_file(path)
         self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special_split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -110,6 +111,18 @@ class PrefixCounter:
             self.fits[key] = ok
         return ok
 
+    def ending(self, piece: bytes, end: int) -> list[bytes]:
+        """The entries that end at a byte of a piece, the longest first. Only ends of entries are walked, whatever script the piece has."""
+        tails, found = self.tails, []
+        for start in range(end - 1, -1, -1):
+            is_token = tails.get(part := piece[start:end])
+            if is_token is None:
+                break
+            if is_token:
+                found.append(part)
+        found.reverse()
+        return found
+
     def state(self, piece: bytes) -> tuple[int, bytes]:
         """Count and last token of the encoding of one piece.
 
@@ -126,12 +139,9 @@ class PrefixCounter:
             have -= 1
         known = states[piece[:have]] if have else (0, b"")
         row = {have: known}
-        tokens, longest = self.tokens, self.longest
         for end in range(have + 1, n + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                token = piece[start:end]
-                if token not in tokens:
-                    continue
+            for token in self.ending(piece, end):
+                start = end - len(token)
                 before = row.get(start) or (states[piece[:start]] if start and piece[:start] in states else self.state(piece[:start]) if start else (0, b""))
                 if not start or self.may_follow(before[1], token):
                     known = row[end] = before[0] + 1, token
@@ -147,9 +157,9 @@ class PrefixCounter:
         row, states = [(0, b"")], self.states
         for end in range(1, len(piece) + 1):
             known = states.get(piece[:end]) if end < 24 else None
-            for start in range(max(0, end - self.longest), end) if known is None else ():
-                token = piece[start:end]
-                if token in self.tokens and (not start or self.may_follow(row[start][1], token)):
+            for token in self.ending(piece, end) if known is None else ():
+                start = end - len(token)
+                if not start or self.may_follow(row[start][1], token):
                     known = row[start][0] + 1, token
                     break
             row.append(known)
@@ -209,7 +219,7 @@ class PrefixCounter:
         n = self.known.get(text)
         if n is None:
             n = sum(map(self.piece, self.cut(text)))
-            if len(self.known) < MOST_REMEMBERED:
+            if len(self.known) < MOST_REMEMBERED and len(text) <= LONG:
                 self.known[text] = n
         return n
 
