@@ -34,7 +34,7 @@ CAPITALS = bytes(range(65, 91))
 LETTERS = CAPITALS + bytes(range(97, 123))
 SPLIT = bytes(c + 32 if 65 <= c <= 90 else 32 if c in MARKS else c for c in range(256))
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-OBSCURED = re.compile(rb"[a-z]+[0-9@$!|*]+[a-z@$!|*0-9]*")
+OBSCURED = re.compile(rb"(?<![a-z])[a-z]++[0-9@$!|*]+[a-z@$!|*0-9]*")  # from the start of a run of letters only, so long runs are passed once
 SHOUTED = re.compile(rb"\b[A-Z]{3,}\b")
 STRETCHED = re.compile(rb"([a-z])\1\1")
 FEATURES = ("words", "lexicon", "lexicon_density", "stems", "stem_density", "you_density", "nearness", "capitals", "shouted", "marks", "exclaims", "obscured", "obscured_lexicon", "stretched", "variety")
