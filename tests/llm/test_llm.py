@@ -189,6 +189,20 @@ def test_a_frequent_passage_makes_no_large_group():
     assert max(often.values()) <= 16 * 3  # a text can hold a piece more than once
 
 
+def test_a_frequent_window_gets_a_row_for_each_batch():
+    """Windows of a passage that all texts of a batch have go to their keys once; what the texts lose goes by text, as runs."""
+    rng = random.Random(1)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(70))
+    texts = [f"{i:04d}" + passage + f"{i:04d}" for i in range(2000)]
+    columns = {"id": list(range(2000)), "j": [0] * 2000, "t": texts, "kind": [suffix_dedup.WHOLE] * 2000, "ends": [[4, 24]] * 2000, "rel": [None] * 2000, "key": [None] * 2000}
+    rows = [r for b in suffix_dedup.cut([pa.RecordBatch.from_pydict(columns)], 50) for r in b.to_pylist()]
+    assert max(collections.Counter(r["key"] for r in rows).values()) == 1
+    assert sorted(r["first"] for r in rows if r["piece"]) == list(range(4, 25)) and {r["id"] for r in rows if r["piece"]} == {0}
+    assert sorted((r["id"], r["first"], r["last"]) for r in rows if not r["piece"]) == [(i, 4, 24) for i in range(1, 2000)]
+    columns |= {"t": ["z" * 500] * 2000, "ends": [[0, 450]] * 2000}
+    assert sum(b.num_rows for b in suffix_dedup.cut([pa.RecordBatch.from_pydict(columns)], 50)) == 2000
+
+
 def test_rows_of_one_id_take_nothing_from_each_other(spark):
     some = "the quick brown fox jumps over the lazy dog and then it sleeps for the rest of the day. "
     rows = [(5, some), (5, "a " + some), (7, "b " + some), (5, some)]
@@ -379,6 +393,22 @@ def test_first_tree_splits_as_an_exhaustive_search_does():
     assert np.allclose(model.leaf[0], [0.25 * g[left].sum() / (h[left].sum() + 1), 0.25 * g[~left].sum() / (h[~left].sum() + 1)])
 
 
+def test_lexicons_leave_out_their_own_fold(spark):
+    rng = random.Random(6)
+    bad, good = ["nastyword", "vilething", "uglytalk"], ["garden", "river", "window", "paper"]
+    rows = [(" ".join(rng.choice(bad + good if toxic else good) for _ in range(8)), toxic, rng.randrange(toxicity.FOLDS)) for toxic in (0, 1) for _ in range(60)]
+    rows += [("onlyhere garden", 1, 2)] * 9 + [(None, 1, 0), ("", 0, 1)]
+    got = toxicity.learn_lexicons(spark.createDataFrame(rows, "text string, toxic int, fold int").repartition(3))
+    for k, (lexicon, stems) in enumerate(got):
+        seen = [(set(toxicity.words_of(t or "")), y) for t, y, f in rows if f != k]
+        terms = {w for ws, _ in seen for w in ws}
+        hold = lambda has: (n := sum(y for ws, y in seen if has(ws))) >= (6 if k < toxicity.FOLDS else 8) and n >= 0.9 * sum(has(ws) for ws, _ in seen)
+        assert lexicon == {w for w in terms if hold(lambda ws, w=w: w in ws)}
+        long = {w[: toxicity.STEM] for w in terms if len(w) > toxicity.STEM}
+        assert stems == {x for x in long if hold(lambda ws, x=x: any(w[: toxicity.STEM] == x and len(w) > toxicity.STEM for w in ws))}
+    assert b"onlyhere" in got[-1][0] and b"onlyhere" not in got[2][0]
+
+
 def test_toxicity_takes_one_text_of_a_repeated_id(spark):
     docs = frame(spark, [(1, f"text {k}") for k in range(50)] + [(2, "other")])
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
@@ -463,6 +493,8 @@ def test_extra_columns_with_clashing_names(spark, tmp_path):
     assert same(forced_bpe.encode_decode(docs, word), forced_bpe.encode_decode(plain, word))
     assert same(suffix_dedup.remove_repeats(docs), suffix_dedup.remove_repeats(plain))
     assert same(shingle_join.shingle_components(docs), shingle_join.shingle_components(plain))
+    scores = [{r.doc_id: r for r in hmm_score.score_texts(d, F.col("doc_id") % 3 != 1, sweeps=1).collect()} for d in (docs, plain)]
+    assert all(math.isclose(scores[0][i].score, scores[1][i].score, rel_tol=1e-9) for i in scores[1]) and scores[0].keys() == scores[1].keys()
     assert same(sharding.assign_shards(docs, 900), sharding.assign_shards(plain, 900))
     assert same(toxicity.score_toxicity(docs, labels, train), toxicity.score_toxicity(plain, labels.select("doc_id", "toxic"), train))
     assert same(decontaminate.contamination(docs, items), decontaminate.contamination(plain, items.select("item_id", "text")))
@@ -490,6 +522,20 @@ def test_empty_tables(spark):
     assert [r.n_hit for r in decontaminate.contamination(frame(spark, [(1, "a b c")]), some.limit(0)).collect()] == [0]
 
 
+def test_pipeline_over_empty_tables(spark, tmp_path):
+    """No documents give no rows; without labels and items only copies and repeated lines go."""
+    documents = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, kinds in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kinds).write.parquet(f"{tmp_path}/none/{name}.parquet")
+        spark.createDataFrame([], kinds).write.parquet(f"{tmp_path}/some/{name}.parquet")
+    line = " ".join(f"w{k}" for k in range(30))
+    spark.createDataFrame([], documents).write.parquet(f"{tmp_path}/none/documents.parquet")
+    rows = [(1, line, "en", "a", 1), (2, line + "\nof its own, and more than the other has", "en", "a", 1), (3, "", None, None, None), (4, None, None, None, None)]
+    spark.createDataFrame(rows, documents).write.parquet(f"{tmp_path}/some/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/some").collect()) == [1, 2, 3, 4]
+
+
 def test_very_long_texts(spark):
     rng = random.Random(8)
     long = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(60_000))
@@ -501,6 +547,13 @@ def test_very_long_texts(spark):
     assert lines == {1: 0, 2: 1}
     scored = {r.doc_id: r for r in hmm_score.score_texts(frame(spark, rows), F.col("doc_id") != 2, sweeps=1).collect()}
     assert scored[1].n_tokens == 60_001 and all(math.isfinite(r.score) for r in scored.values())
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    unbroken = [*rows, (5, "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(20_000)))]
+    assert {r.doc_id: r.n_tokens for r in prefix_counts.token_counts(frame(spark, unbroken), public_tokenizers.path("byte_bpe_50k.json")).collect()} == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in unbroken}
+    toxic = toxicity.score_toxicity(frame(spark, rows), spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int"), lambda c: F.lit(True)).collect()
+    assert len(toxic) == 4 and all(0 <= r.score <= 1 for r in toxic)
+    shards = {r.doc_id: r for r in sharding.assign_shards(frame(spark, rows), 250_000).collect()}
+    assert len(shards) == 4 and len({r.shard for r in shards.values()}) >= 3
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     assert {r.doc_id: r.n_tokens for r in forced_bpe.encode_decode(frame(spark, rows), public_tokenizers.path("word_bpe_49k.json")).collect()} == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in rows}
     assert [r.n_hit for r in decontaminate.contamination(frame(spark, [(1, long)]), spark.createDataFrame([(9, long[5000:6000].split(" ", 1)[1])], "item_id long, text string")).collect()][0] > 100
