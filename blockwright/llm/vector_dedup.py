@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from blockwright.llm.common import connected_components, discard, durable, lean
 
-#: Vectors that the codebooks are fitted on, and those that the number of cells is set by.
-SAMPLE_ROWS, TRIAL_ROWS = 20_000, 1_000
+#: Vectors that the codebooks are fitted on and their bytes at most, and vectors that the number of cells is set by.
+SAMPLE_ROWS, SAMPLE_BYTES, TRIAL_ROWS = 20_000, 64 << 20, 1_000
 #: Vectors of a block.
 BLOCK_ROWS = 8_192
 #: Codewords of a half at most; there are at most so many cells, squared, whose counts the driver holds.
@@ -153,7 +153,7 @@ def vector_components(vectors: DataFrame, least: float = 0.9, id_col: str = "vec
     found, used = None, []
     for size, n in nodes.groupBy("size").count().orderBy("size").collect():
         own = nodes.where(F.col("size") == size)
-        sample = own.orderBy(F.xxhash64("lo"), "lo", "hi").limit(SAMPLE_ROWS).select("unit").collect()
+        sample = own.orderBy(F.xxhash64("lo"), "lo", "hi").limit(min(SAMPLE_ROWS, max(1, SAMPLE_BYTES // (8 * size)))).select("unit").collect()
         index = MultiIndex(np.stack([np.frombuffer(r.unit) for r in sample]), n, least)
         part, placed = search(own, index, least)
         used.append(placed)
