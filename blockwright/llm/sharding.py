@@ -70,8 +70,9 @@ def assign_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col:
     """Shard of each row of docs: id, n_bytes (UTF-8), depth, shard (its hash prefix as bits), shard_bytes, shard_rows, oversized.
 
     Rows of one id go to one shard while they fit the limit; where they don't, their texts
-    part them. A shard is over the limit only if all its rows have one id and one text
-    (oversized). One row comes out for each row that goes in; a null id hashes as an empty
+    part them. A shard is over the limit (oversized) only if all its rows have one hash: of
+    their ids 44 bits, of their texts 16. That is so for copies of one row, and for texts of
+    one id that fall together in 16 bits, which happens where one id has many shards' worth. One row comes out for each row that goes in; a null id hashes as an empty
     one, a null text has no bytes; an empty table has no shards. Columns named in keep are
     passed on; they may not have the names of the result.
     """
