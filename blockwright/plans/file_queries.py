@@ -291,7 +291,8 @@ def parts_of(spark, d) -> DataFrame:
 
 def played(spark, rows: DataFrame, work, kinds: str) -> DataFrame:
     """A table as a stream through work, to its end."""
-    return sinks.played(work(sinks.as_stream(rows, sinks.scratch(spark))), sinks.scratch(spark), kinds)
+    source = sinks.scratch(spark)
+    return sinks.played(work(sinks.as_stream(rows, source)), sinks.scratch(spark), kinds, folders=(source,))
 
 
 def sessions_sql(seconds: int, source: str = "records") -> str:
@@ -343,8 +344,9 @@ def _(spark, d):
 def _(spark, d):
     """A device's statuses count while they are of the run that it was last started for (a sign-up starts one). Starts and statuses are two streams."""
     rows, start = records(spark, d).select("device", "ts", "ord", "run_id", "method"), F.col("method") == "silveira_j3"
-    starts, statuses = (sinks.as_stream(rows.where(c).drop("method"), sinks.scratch(spark)) for c in (start, ~start))
-    return sinks.played(runs.of_current_run(starts, statuses), sinks.scratch(spark), "device bigint, ord bigint, run_id bigint").select("ord")
+    sources = sinks.scratch(spark), sinks.scratch(spark)
+    starts, statuses = (sinks.as_stream(rows.where(c).drop("method"), source) for c, source in zip((start, ~start), sources))
+    return sinks.played(runs.of_current_run(starts, statuses), sinks.scratch(spark), "device bigint, ord bigint, run_id bigint", folders=sources).select("ord")
 
 
 @query("r7_emitted_rows", "SELECT ord, run_id, k_idx, status FROM records")

@@ -150,8 +150,13 @@ def fixed(c: str, decimals: int, scale: int = 1):
     return F.coalesce(F.when(v.isNotNull(), F.format_string(f"%.{decimals}f", v.cast("double"))), F.lit("")).alias(c.replace("_us", "_ms"))
 
 
+def fixed_text_sql(x: str, decimals: int) -> str:
+    """Fixed decimals of the shortest digits of a number, halves away from zero."""
+    return f"coalesce(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), {decimals})::DECIMAL(38, {decimals})::VARCHAR, '')"
+
+
 def fixed_sql(c: str, decimals: int, scale: int = 1) -> str:
-    return f"coalesce(format('{{:.{decimals}f}}', {c}{f' / {scale}' if scale > 1 else ''}), '') AS {c.replace('_us', '_ms')}"
+    return f"{fixed_text_sql(c + (f' / {scale}' if scale > 1 else ''), decimals)} AS {c.replace('_us', '_ms')}"
 
 
 FIXED = [("psnr", 8), ("ssim", 8), ("bpp", 8), ("compress_us", 6, 1000), ("decompress_us", 6, 1000)]
@@ -164,7 +169,7 @@ def image_name():
     return F.concat(F.lit("frame_"), F.lpad(F.col("run_id").cast("string"), 4, "0"))
 
 
-@query("k2_fixed_decimals", f"SELECT ord, {IMAGE_SQL} AS image, method, k, {', '.join(fixed_sql(*f) for f in FIXED)}, {MEMORY} AS memory_bytes, coalesce(format('{{:.8f}}', abs(psnr - matrix)), '') AS delta_psnr_vs_matrix FROM (SELECT *, avg(CASE WHEN method = 'matrix' THEN psnr END) OVER (PARTITION BY run_id, k_idx) AS matrix FROM records)")
+@query("k2_fixed_decimals", f"SELECT ord, {IMAGE_SQL} AS image, method, k, {', '.join(fixed_sql(*f) for f in FIXED)}, {MEMORY} AS memory_bytes, {fixed_text_sql('abs(psnr - matrix)', 8)} AS delta_psnr_vs_matrix FROM (SELECT *, avg(CASE WHEN method = 'matrix' THEN psnr END) OVER (PARTITION BY run_id, k_idx) AS matrix FROM records)")
 def _(spark, d):
     """The table of single images: every metric with its decimals, memory, and the distance to the matrix method."""
     r = A.matrix_delta(records(spark, d)).withColumnRenamed("delta", "delta_psnr_vs_matrix")
@@ -283,7 +288,7 @@ def _(spark, d):
     return spark.createDataFrame([(run,)], "next_run_id bigint")
 
 
-@query("k19_usable_results", f"SELECT ord, {IMAGE_SQL} AS filename, {WIDTH} AS width, {HEIGHT} AS height, format('{{:.2f}}', psnr) AS psnr, coalesce(format('{{:.4f}}', ssim), '') AS ssim, format('{{:.3f}}', bpp) AS bitrate FROM records WHERE psnr >= 0")
+@query("k19_usable_results", f"SELECT ord, {IMAGE_SQL} AS filename, {WIDTH} AS width, {HEIGHT} AS height, {fixed_text_sql('psnr', 2)} AS psnr, {fixed_text_sql('ssim', 4)} AS ssim, {fixed_text_sql('bpp', 3)} AS bitrate FROM records WHERE psnr >= 0")
 def _(spark, d):
     """The batch table: images that failed, with a negative PSNR or none, are left out."""
     return A.usable(records(spark, d)).select("ord", image_name().alias("filename"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), fixed("psnr", 2), fixed("ssim", 4), fixed("bpp", 3).alias("bitrate"))

@@ -165,8 +165,31 @@ def as_stream(rows: DataFrame, path: str, files_per_trigger: int | None = None)
     return (stream.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else stream).parquet(path)
 
 
-def played(stream: DataFrame, path: str, kinds: str, progress: list | None = None) -> DataFrame:
-    """What a stream gives out until its source is used up, written batch by batch and read again. progress: takes the query's reports."""
+#: Bytes of a played table for which a partition of state is worth its task.
+STATE_BYTES = 4 << 20
+
+
+def played(stream: DataFrame, path: str, kinds: str, progress: list | None = None, folders: tuple[str, ...] = ()) -> DataFrame:
+    """What a stream gives out until its source is used up, written batch by batch and read again.
+
+    progress: takes the query's reports. folders: where the table lies that is played; a
+    small one gets fewer partitions of state than the session has for shuffles, each batch
+    of which would be a task.
+    """
+    spark = stream.sparkSession
+    configured = spark.conf.get("spark.sql.shuffle.partitions")
+    if folders:
+        jvm = spark.sparkContext._jvm
+        places = [jvm.org.apache.hadoop.fs.Path(f) for f in folders]
+        size = sum(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength() for p in places)
+        spark.conf.set("spark.sql.shuffle.partitions", min(int(configured), max(spark.sparkContext.defaultParallelism, -(-size // STATE_BYTES))))
+    try:
+        return run_to_end(stream, path, kinds, progress)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", configured)
+
+
+def run_to_end(stream: DataFrame, path: str, kinds: str, progress: list | None) -> DataFrame:
     q = stream.writeStream.outputMode("append").foreachBatch(emit_once(path)).trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").start()
     q.awaitTermination()
     if progress is not None:
