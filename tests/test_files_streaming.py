@@ -9,6 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import functions as F
 
+from blockwright.operators import checks
 from blockwright.sources import files, headed, sinks
 from blockwright.streaming import ordered, runs
 
@@ -56,8 +57,15 @@ def test_record_and_metric_files(spark, tmp_path):
 
 
 def test_status_of_records(spark):
-    rows = spark.createDataFrame([(0, 500, True), (1, 500, True), (1, 500, False), (99, 5, True)], "slot int, payload_bytes long, crc_ok boolean")
-    assert [r.status for r in runs.checked(rows).collect()] == ["RAW_SIZE_FAIL", "OK", "CRC_FAIL", "MODE_FAIL"]
+    """The first check that fails: check sum, mode, size, run lengths."""
+    block = struct.pack("<h", -5) + bytes([3, 7, 0]) + bytes([0, 0, 0])
+    full = struct.pack("<h", 9) + bytes([62, 1, 0])  # its last place is used, so no end follows
+    cases = [
+        (1, 230_400, 0, b"raw", "OK"), (1, 500, 0, b"raw", "RAW_SIZE_FAIL"), (2, 8, 0, block, "DECODED"), (2, 8, 1, block, "CRC_FAIL"), (3, 8, 0, block, "MODE_FAIL"), (2, 0, 0, block, "JPEG_SIZE_FAIL"), (2, 687_601, 0, block, "JPEG_SIZE_FAIL"),
+        (2, 5, 0, full, "DECODED"), (2, 8, 0, full + bytes(3), "DECODE_FAIL"), (2, 5, 0, block[:5], "DECODE_FAIL"), (2, 7, 0, block[:7], "DECODE_FAIL"), (2, 11, 0, full[:2] + bytes([40, 1, 0, 40, 1, 0, 0, 0, 0]), "DECODE_FAIL"), (2, 2, 0, full[:2], "DECODE_FAIL"),
+    ]
+    rows = spark.createDataFrame([(m, n, zlib.crc32(p) + wrong, bytearray(p), want) for m, n, wrong, p, want in cases], "mode_type int, payload_len long, crc32 long, payload binary, want string")
+    assert [(r.status, r.want) for r in checks.processed(rows).collect() if r.status != r.want] == []
 
 
 def stream_of(spark, rows, columns, folder, batches):
