@@ -163,8 +163,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     [part.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary()), pa.array([x[2] for x in found], pa.string())],
                     [id_col, "n_tokens", "ids", "decoded"],
                 )
-        bpe.known.clear()  # the worker goes on to other tasks
-        bpe.fragments.clear()
+        encoder.cache_clear()  # the worker goes on to other tasks, whose memory this would be
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {kind}, n_tokens long, ids binary, decoded string")
