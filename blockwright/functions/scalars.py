@@ -45,8 +45,13 @@ def number(text: Column, scale: float = 1.0) -> Column:
     return F.when((t != "") & (t != "N/A"), t).try_cast("double") / scale
 
 
+def decimals(x: Column, digits: int) -> Column:
+    """A number with fixed decimals as C prints it: rounded by its binary value, ties to even (format_string rounds the shortest decimal digits half up)."""
+    return F.call_function("format_number", x.cast("double"), F.lit("0." + "0" * digits))
+
+
 def or_na(x: Column, digits: int) -> Column:
-    return F.when(x.isNull() | (x < 0), "N/A").otherwise(F.format_string(f"%.{digits}f", x))
+    return F.when(x.isNull() | (x < 0), "N/A").otherwise(decimals(x, digits))
 
 
 def csv_field(x: Column) -> Column:
@@ -78,7 +83,7 @@ def uptime(us: Column) -> Column:
 
 def k_text(k: Column) -> Column:
     """k as short text: 0.1, 0.25, 1."""
-    return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", k), "0+$", ""), "\\.$", "")
+    return F.regexp_replace(F.regexp_replace(decimals(k, 6), "0+$", ""), "\\.$", "")
 
 
 def reported_psnr(x100: Column, computed: Column) -> Column:

@@ -46,8 +46,8 @@ def report_values() -> dict[str, Column]:
         "t_metrics_us": "metrics_us", "t_tft_draw_us": "draw_us", "retry_count": "retry_count", "status": "status", "notes": "notes",
     }
     made = {
-        "timestamp": S.uptime(c("capture_us") * 1000), "record_type": F.concat("mode", F.lit("_FRAME")), "k": c("k_label"), "bpp": F.format_string("%.4f", "bpp"),
-        "compression_ratio_vs_raw": F.format_string("%.4f", ratio), "psnr_db": S.or_na(c("psnr"), 3), "ssim": S.or_na(c("ssim"), 4), "sha256_input_first8": F.coalesce("fingerprint", F.lit("N/A")),
+        "timestamp": S.uptime(c("capture_us") * 1000), "record_type": F.concat("mode", F.lit("_FRAME")), "k": c("k_label"), "bpp": S.decimals(c("bpp"), 4),
+        "compression_ratio_vs_raw": S.decimals(ratio, 4), "psnr_db": S.or_na(c("psnr"), 3), "ssim": S.or_na(c("ssim"), 4), "sha256_input_first8": F.coalesce("fingerprint", F.lit("N/A")),
         "t_sd_save_us": F.lpad(c("save_us").cast("string"), 10, "0"), "t_total_core_us": core_time(), "crc_ok": (c("status") != "CRC_FAIL").cast("int"),
     }
     return {k: c(v) for k, v in plain.items()} | made | valid_timings()
@@ -63,7 +63,7 @@ def record_report() -> Column:
 def run_line() -> Column:
     """A record's line in the report of its run."""
     c = F.col
-    parts = [F.lit("- "), c("method_name"), F.lit(" k="), c("k_label"), F.lit(" ("), c("mode"), F.lit("): bytes="), c("stream_bytes").cast("string"), F.lit(" bpp="), F.format_string("%.4f", "bpp"), F.lit(" psnr="), S.or_na(c("psnr"), 3)]
+    parts = [F.lit("- "), c("method_name"), F.lit(" k="), c("k_label"), F.lit(" ("), c("mode"), F.lit("): bytes="), c("stream_bytes").cast("string"), F.lit(" bpp="), S.decimals(c("bpp"), 4), F.lit(" psnr="), S.or_na(c("psnr"), 3)]
     parts += [F.lit(" core_us="), core_time().cast("string"), F.lit(" dct_us="), c("dct_kernel_us").cast("string"), F.lit(" idct_us="), c("idct_kernel_us").cast("string"), F.lit(" status="), c("status"), F.lit(" crc_ok="), (c("status") != "CRC_FAIL").cast("int").cast("string")]
     return F.concat(*parts)
 
@@ -82,9 +82,9 @@ def summary_rows(records: DataFrame, *more: str) -> DataFrame:
     raw = c("mode") == "RAW"
     kept = lambda x, other: F.when(c(x) > 0, c(x)).otherwise(other)
     return records.select(
-        *more, F.concat(F.lit("frame_"), F.lpad(c("run_id").cast("string"), 4, "0")).alias("image"), c("method_name").alias("method"), c("k_label").alias("k"), S.or_na(c("psnr"), 6).alias("psnr"), S.or_na(c("ssim"), 6).alias("ssim"), F.format_string("%.6f", "bpp").alias("bpp"),
+        *more, F.concat(F.lit("frame_"), F.lpad(c("run_id").cast("string"), 4, "0")).alias("image"), c("method_name").alias("method"), c("k_label").alias("k"), S.or_na(c("psnr"), 6).alias("psnr"), S.or_na(c("ssim"), 6).alias("ssim"), S.decimals(c("bpp"), 6).alias("bpp"),
         *[only("JPEG", n).alias(n) for n in ("compress_us", "decompress_us", "dct_kernel_us", "idct_kernel_us", "dct_kernel_calls", "idct_kernel_calls", "tx_us")],
         kept("frame_bytes", c("stream_bytes") + HEADER_BYTES).alias("frame_bytes"), kept("tx_raw_us", F.when(raw, c("tx_us")).otherwise(0)).alias("tx_raw_us"), kept("raw_bytes", F.when(raw, c("stream_bytes")).otherwise(0)).alias("raw_bytes"),
-        F.format_string("%.6f", S.ratio(F.lit(230_400), c("stream_bytes"))).alias("compression_ratio"), F.coalesce("fingerprint", F.lit("N/A")).alias("sha256_input_first8"), "status",
+        S.decimals(S.ratio(F.lit(230_400), c("stream_bytes")), 6).alias("compression_ratio"), F.coalesce("fingerprint", F.lit("N/A")).alias("sha256_input_first8"), "status",
         S.csv_field(F.coalesce(F.nullif("notes", F.lit("")), "status")).alias("status_detalhado"),
     )

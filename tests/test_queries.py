@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from blockwright.functions import scalars
 from blockwright.operators import analytics, codec, selection, strips
 from blockwright.operators import frames as images
 from blockwright.plans import block_queries, file_queries, record_queries
@@ -52,6 +53,18 @@ def test_sql(spark, small, name):
     assert table(df.columns, df.collect()) == table(r.columns, r.fetchall())
 
 
+def test_fixed_decimals_round_as_the_sql_does(spark, tmp_path):
+    """A ratio of 7.03125 lies in the middle; 0.00015 and 2.675 only look so."""
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE events AS SELECT * REPLACE (event_id + 31700 AS event_id) FROM '{SOURCE}/events.parquet' WHERE event_id < 100")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    df, r = QUERIES["k14_record_report"](spark, str(tmp_path)), con.sql(SQL["k14_record_report"])
+    assert table(df.columns, df.collect()) == table(r.columns, r.fetchall())
+    values = [7.03125, 0.00015, 2.675, 1e-9, 123456789.5, 0.5, -0.00025]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(*[scalars.decimals(F.col("v"), n) for n in (2, 3, 4)]).collect()
+    assert [tuple(r) for r in got] == [tuple(f"{v:.{n}f}" for n in (2, 3, 4)) for v in values]
+
+
 def blocks_of(spark, x):
     return spark.createDataFrame([(i, [int(v) for v in b]) for i, b in enumerate(x)], "i int, b array<int>")
 
