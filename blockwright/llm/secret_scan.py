@@ -47,15 +47,18 @@ LEAST_BYTES, LEAST_LETTERS = 12, 16
 MOST_BYTES = 64 << 20
 #: Bytes that a decompressor gets at a time.
 FED_BYTES = 1 << 12
+#: First bytes by which a stream is known again where layers overlap: a line of wrapped base64 has the start of what all lines have.
+MARK_BYTES = 32
 
 
 class Layer(NamedTuple):
-    """Bytes, and where each of them starts and ends in the text, in code points. how: the ways it was unwrapped, from the outside."""
+    """Bytes, and where each of them starts and ends in the text, in code points. how: the ways it was unwrapped, from the outside. stream: where the stream starts that it was packed in, and its first bytes."""
 
     data: bytes
     start: np.ndarray
     end: np.ndarray
     how: tuple[str, ...] = ()
+    stream: tuple[int, bytes] | None = None
 
     def key(self) -> bytes:
         return hashlib.blake2b(self.data, digest_size=16).digest() + self.start[:1].tobytes() + self.end[-1:].tobytes()
@@ -171,10 +174,15 @@ def from_base64(layer: Layer):
 
 
 def unpacked(data: memoryview, most: int) -> tuple[bytes, int, bool] | None:
-    """What a compressed stream at the start of data says, how long the stream is, and whether that is all of it; None where there is none. A stream that is cut short says what it has."""
+    """What a compressed stream at the start of data says, how long the stream is, and whether that is all of it; None where there is none.
+
+    A stream that is cut short or damaged says what it has before that, and that it isn't all.
+    Two bytes that may begin a zlib stream are often there by chance: where nothing comes of
+    them there is none. Longer marks are those of a stream, even if nothing of it can be read.
+    """
     kind, said = data[:1].tobytes(), bytearray()
     if kind == b"\x28" and zstandard is None:
-        return None
+        return b"", len(data), False
     try:
         if kind == b"\x28":
             box = zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj(read_across_frames=False)
@@ -186,8 +194,8 @@ def unpacked(data: memoryview, most: int) -> tuple[bytes, int, bool] | None:
             if box.eof or len(said) > most:
                 return bytes(said[:most]), at + len(part) - len(box.unused_data), len(said) <= most
     except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, *([zstandard.ZstdError] if zstandard else [])):
-        return None
-    return bytes(said), len(data), True
+        pass
+    return None if kind == b"x" and not said else (bytes(said[:most]), len(data), False)
 
 
 def decompressed(layer: Layer, most: int):
@@ -196,11 +204,11 @@ def decompressed(layer: Layer, most: int):
     while m := STREAM.search(layer.data, at):
         at = m.start() + 1
         found = unpacked(memoryview(layer.data)[m.start() :], most)
-        if found and found[0]:
+        if found and (found[0] or not found[2]):
             said, size, whole = found
             at = m.start() + max(1, size if whole else 1)
             start, end = layer.start[m.start()], layer.end[m.start() + size - 1]
-            yield Layer(said, np.broadcast_to(start, len(said)), np.broadcast_to(end, len(said)), (*layer.how, "compressed")), whole
+            yield Layer(said, np.broadcast_to(start, len(said)), np.broadcast_to(end, len(said)), (*layer.how, "compressed"), (int(start), layer.data[m.start() : m.start() + MARK_BYTES])), whole
 
 
 def wanted(kind: str, lower: bytes) -> bool:
@@ -225,22 +233,24 @@ def scan_layer(layer: Layer) -> list[Found]:
 
 
 def secrets_of(text: str | None, most_bytes: int = MOST_BYTES) -> tuple[list[Found], int]:
-    """All secrets of a text and of its layers, sorted by place and kind, and the number of layers that were left unread.
+    """All secrets of a text and of its layers, sorted by place and kind, and the number of layers that were left unread, as a whole or in part.
 
-    Layers are left unread, and the rest is still found, only where all layers of the text
-    together pass most_bytes, as streams that unpack to gigabytes do.
+    Layers are left unread, and the rest is still found, where all layers of the text
+    together pass most_bytes, as streams that unpack to gigabytes do, and where a stream is
+    cut short, damaged or of a kind that can't be opened here.
     """
     if not text:
         return [], 0
     layer = first_layer(text)
     found, work, unread, size = scan_text(text, layer.data.lower()), [layer], 0, 0
-    seen = {layer.key()}
+    seen, read, left = {layer.key()}, set(), set()
     while work:
         layer = work.pop()
         streams = decompressed(layer, max(1, most_bytes - size)) if layer.how else ()
         news = [*((new, True) for new in (*unescaped(layer), *from_base64(layer))), *streams]
         for new, whole in news:
-            unread += not whole
+            if new.stream:
+                (read if whole else left).add(new.stream)
             if not new.data or (key := new.key()) in seen:
                 continue
             seen.add(key)
@@ -250,7 +260,7 @@ def secrets_of(text: str | None, most_bytes: int = MOST_BYTES) -> tuple[list[Fou
                 continue
             found += scan_layer(new)
             work.append(new)
-    return sorted(set(found), key=lambda f: (f.start, ORDER[f.kind], f.end, f.how)), unread
+    return sorted(set(found), key=lambda f: (f.start, ORDER[f.kind], f.end, f.how)), unread + sum(all(at != own or not first.startswith(mark) for own, first in read) for at, mark in left)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:

@@ -272,3 +272,18 @@ def test_pieces_are_bounded_and_a_hot_conversation_lies_in_many_tasks(spark):
     hot = [p for p in pieces if p.conv_id == 1]
     assert max(len(p.audit) for p in hot) <= 104 and len({p.part for p in hot}) > 2
     assert sum(p.conv_id != 1 for p in pieces) == 298
+
+
+def test_streams_that_fail_are_counted_and_say_what_they_have():
+    filler = "".join(random.Random(5).choices("bcfghjklm npqrs tvwxyz", k=40_000))
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        raw = pack(("token=abcdefgh " + filler).encode())
+        whole = secret_scan.unpacked(memoryview(raw), 1 << 20)
+        assert whole[1:] == (len(raw), True)
+        for bad in (raw[:-40], raw[:-3], raw[:-300] + bytes(300)):  # cut, cut inside the check sum, damaged
+            got = secret_scan.unpacked(memoryview(bad), 1 << 20)
+            assert got[2] is False and whole[0].startswith(got[0][:1000])  # damage may say something wrong first
+            found, unread = secret_scan.secrets_of("see " + base64.b64encode(bad).decode())
+            assert unread == 1 and (not got[0] or "token=abcdefgh" in {f.value for f in found})
+    assert secret_scan.unpacked(memoryview(b"x\x9c" + bytes(range(60))), 1 << 20) is None  # no stream
+    assert secret_scan.unpacked(memoryview(b"\x1f\x8b\x08\xff\xff\xff" + b"\xff" * 60), 1 << 20)[2] is False
