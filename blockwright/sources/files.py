@@ -152,8 +152,9 @@ def read_metrics(lines: DataFrame) -> DataFrame:
 
 def record_metric(lines: DataFrame, name: str, by_scene: bool = False) -> DataFrame:
     """One metric of each record: scene (the folder), run, method, k_token, value. by_scene: the run is no part of the match; the first file by name has the value of the whole scene."""
-    part = lambda i: F.regexp_extract("file", METRIC_FILE, i)
-    m = read_metrics(lines).where((F.col("name") == name) & F.col("file").rlike(METRIC_FILE)).select("file", part(1).alias("scene"), part(2).cast("bigint").alias("run"), part(3).alias("method"), part(4).alias("k_token"), "value")
+    ending = F.substring_index("file", "/", -2)
+    part = lambda i: F.regexp_extract(ending, METRIC_FILE, i)
+    m = read_metrics(lines).where((F.col("name") == name) & ending.rlike(METRIC_FILE)).select("file", part(1).alias("scene"), part(2).cast("bigint").alias("run"), part(3).alias("method"), part(4).alias("k_token"), "value")
     return m.groupBy("scene", "method", "k_token").agg(F.min_by("value", "file").alias("value")) if by_scene else m.drop("file")
 
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockwright.operators import checks
+from blockwright.plans import file_queries
 from blockwright.sources import files, headed, sinks
 from blockwright.streaming import ordered, runs
 
