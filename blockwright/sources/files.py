@@ -108,7 +108,10 @@ def cell(*names: str) -> Column:
 
 def folder_of(file: str = "file") -> Column:
     """The name of a file's folder; of a folder name=value the value."""
-    return F.regexp_extract(file, r"(?:[^/=]+=)?([^/]+)/[^/]+$", 1)
+    folder = F.substring_index(F.substring_index(file, "/", -2), "/", 1)  # a pattern would be tried at every place of a path
+    at = F.instr(folder, "=")
+    value = F.when((at > 1) & (at < F.length(folder)), folder.substr(at + 1, F.length(folder))).otherwise(folder)
+    return F.when(F.instr(F.col(file), "/") > 0, value).otherwise("")
 
 
 ALIASES = {"compress_ms": ("compress_ms", "comp_ms"), "decompress_ms": ("decompress_ms", "decomp_ms")}
@@ -236,7 +239,7 @@ def crc16(raw: Column, length: int) -> Column:
         out[known] = now
         return pa.array(out.astype(np.int32), mask=~known)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(length)), F.lit(0xFFFF), byte)
+    return crc(raw)
 
 
 def decode_telemetry(rows: DataFrame, raw: str = "raw") -> DataFrame:

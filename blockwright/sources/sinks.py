@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
 from blockwright.functions import scalars as S
+from blockwright.sources.headed import write_headed
 
 
 def scratch(spark: SparkSession) -> str:
@@ -40,12 +41,12 @@ def write_by(rows: DataFrame, path: str, column: str) -> None:
 
 def write_runs(records: DataFrame, path: str) -> None:
     """One record file for each run, by k, then method."""
-    records.repartition("run_id").sortWithinPartitions("run_id", "k_idx", "method_ord").write.partitionBy("run_id").option("header", True).csv(path)
+    write_headed(records, path, "run_id", ["k_idx", "method_ord"])
 
 
 def write_folders(rows: DataFrame, path: str, folder: str, order: list[str]) -> None:
     """One CSV file with a header for each value of a column, in a folder of its name, its rows in order. Later calls add folders."""
-    rows.repartition(folder).sortWithinPartitions(folder, *order).write.mode("append").partitionBy(folder).option("header", True).csv(path)
+    write_headed(rows, path, folder, order)
 
 
 def claim(spark: SparkSession, path: str, text: str) -> bool:

@@ -196,3 +196,34 @@ def test_headers_of_their_own(spark, tmp_path):
         assert (rows.rdd.getNumPartitions() > 50) == (most == 700)
         got = sorted((r.folder, r.m["m"], r.m["k"]) for r in rows.withColumn("folder", files.folder_of()).collect())
         assert got == sorted([("a", "1", "2,5"), ("a", "3", None), *[("2", f"é{i}", str(i)) for i in range(5000)]])
+
+
+def test_folders_are_written_by_tasks(spark, tmp_path):
+    """One file for each folder, rows in order, any text in names and cells; folders have the name that the pattern gave them."""
+    rows = [(f, k, c) for f in ("a", "b=c", "x/y", "1%2", None) for k in (2, 1) for c in ('say "x", then y', "", None, "é")]
+    table = spark.createDataFrame(rows, "folder string, k int, text string").repartition(3)
+    sinks.write_folders(table, str(tmp_path / "t"), "folder", ["k"])
+    made = sorted(p.relative_to(tmp_path / "t").parts for p in (tmp_path / "t").rglob("*") if p.is_file())
+    assert [p[0] for p in made] == ["folder=1%252", "folder=__HIVE_DEFAULT_PARTITION__", "folder=a", "folder=b%3Dc", "folder=x%2Fy"] and all(len(p) == 2 for p in made)
+    got = headed.read_headed(spark, str(tmp_path / "t")).orderBy("file", "line").collect()
+    assert len(got) == len(rows) and {tuple(r.names) for r in got} == {("k", "text")} and [r.cells[0] for r in got[:8]] == ["1"] * 4 + ["2"] * 4
+    assert {r.cells[1] for r in got} == {'say "x", then y', "", "é"}
+    paths = ["/a/b=c/f.csv", "/a/b/f.csv", "b=c/f", "f", "/a/=c/f", "/a/b=/f", "/a=b/c=d=e/f", "/f"]
+    old = F.regexp_extract("file", r"(?:[^/=]+=)?([^/]+)/[^/]+$", 1)
+    assert [r.file for r in spark.createDataFrame([(p,) for p in paths], "file string").where(~files.folder_of().eqNullSafe(old)).collect()] == []
+    assert "regexp" not in str(spark.range(1).selectExpr("'x' AS file").select(files.folder_of())._jdf.queryExecution().analyzed())
+
+
+def test_check_sums_by_batch(spark):
+    rng = random.Random(4)
+    raws = [rng.randbytes(n) for n in (0, 5, 31, 32, 33, 60)] + [None]
+    t = spark.createDataFrame([(k, None if r is None else bytearray(r)) for k, r in enumerate(raws)], "k int, raw binary").coalesce(1)
+    got = dict(map(tuple, t.select("k", files.crc16(F.col("raw"), 32)).collect()))
+    assert got == {k: crc16(r[:32]) if r is not None and len(r) >= 32 else None for k, r in enumerate(raws)}
+    plan = files.decode_telemetry(t)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "lambda" not in plan
+
+
+def test_reports_are_made_behind_the_shuffle(spark):
+    plan = file_queries.report_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "timestamp:" not in plan[plan.index("Aggregate") :] and "timestamp:" in plan
