@@ -227,3 +227,47 @@ def test_check_sums_by_batch(spark):
 def test_reports_are_made_behind_the_shuffle(spark):
     plan = file_queries.report_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "timestamp:" not in plan[plan.index("Aggregate") :] and "timestamp:" in plan
+
+
+def test_waiting_rows_are_read_in_pieces():
+    """A key with many rows: what a task holds at once is an hour of each batch, and the order is that of all rows."""
+    from pyspark.sql.types import Row, StructType
+
+    class Store(dict):
+        read = 0
+
+        def updateValue(self, k, v):
+            self[k] = v
+
+        def getValue(self, k):
+            self.read += 1
+            return self[k]
+
+        def removeKey(self, k):
+            del self[k]
+
+    class Handle:
+        def getMapState(self, *_):
+            return Store()
+
+        getValueState = getMapState
+
+        def registerTimer(self, at):
+            timers.append(at)
+
+    rng, timers, hour = random.Random(6), [], ordered.PIECE_US
+    made = ordered.InOrder(StructType.fromDDL("ts_us long, ord long, name string"))
+    made.init(Handle())
+    rows = [(rng.randrange(48 * hour), k, f"r{k}") for k in range(100_000)]
+    rng.shuffle(rows)
+    for part in (rows[:90_000], rows[90_000:90_100], rows[90_100:]):
+        list(made.handleInputRows((1,), (Row(ts_us=t, name=n, key=1, ord=o) for t, o, n in part), None))
+    assert min(timers) == min(r[0] for r in rows) // 1000 + 1
+    got, most = [], 10 * hour
+    for r in made.ready(most):
+        got.append(tuple(r))
+        if len(got) == 1:
+            assert made.waiting.read <= 4  # of some 130 pieces
+    assert got == sorted(r for r in rows if r[0] <= most)
+    timers.clear()
+    assert [tuple(r) for r in made.ready(100 * hour)] == sorted(r for r in rows if r[0] > most) and not made.waiting and not timers
