@@ -141,11 +141,17 @@ def from_tokens(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, z: positions are running sums of zero runs; a run past the block or a missing end gives a null block."""
     ordered = F.array_sort(F.collect_list(F.struct("seq", "zero_run", "value", "kind")))
     g = rows.groupBy(*keys).agg(ordered.alias("t"))
-    start = F.struct(F.lit(-1).alias("pos"), F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<int>")).alias("m"))
-    step = lambda s, t: F.when(t["kind"] == "EOB", s).otherwise(F.struct((s["pos"] + t["zero_run"] + 1).alias("pos"), F.map_concat(s["m"], F.map_from_arrays(F.array(s["pos"] + t["zero_run"] + 1), F.array(t["value"]))).alias("m")))
+    zeros = lambda n: F.array_repeat(F.lit(0), n)
+    start = F.struct(F.lit(-1).alias("pos"), F.array().cast("array<int>").alias("z"))
+
+    def step(s, t):
+        pos = s["pos"] + t["zero_run"] + 1
+        z = F.when(pos <= 63, F.concat(s["z"], zeros(t["zero_run"]), F.array(F.coalesce(t["value"], F.lit(0))))).otherwise(s["z"])
+        return F.when(t["kind"] == "EOB", s).otherwise(F.struct(pos.alias("pos"), z.alias("z")))
+
     g = g.withColumn("s", F.aggregate("t", start, step))
     ended = (F.element_at("t", -1)["kind"] == "EOB") != (F.col("s.pos") == 63)
-    whole = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.element_at(F.col("s.m"), i), F.lit(0)))
+    whole = F.concat("s.z", zeros(63 - F.col("s.pos")))
     return g.select(*keys, F.when((F.col("s.pos") <= 63) & ended, whole).alias("z"))
 
 

@@ -280,3 +280,12 @@ def test_medians_are_exact_for_any_parts(spark):
     for parts in (1, 13):
         assert {r.k: r.m for r in selection.median(df, ["k"], "v", "m", parts).collect()} == want
     assert selection.median(df.limit(0), ["k"], "v", "m").collect() == []
+
+
+def test_tokens_back_without_maps(spark):
+    """Blocks from tokens: runs, a missing end, a run past the block and one that is far past it."""
+    cases = {1: [(0, 5, "DC"), (62, -3, "AC")], 2: [(0, 5, "DC"), (3, 7, "AC"), (0, 0, "EOB")], 3: [(0, 5, "DC")], 4: [(0, 5, "DC"), (63, 1, "AC")], 5: [(0, 5, "DC"), (2_000_000_000, 1, "AC")]}
+    rows = [(k, i, *t) for k, ts in cases.items() for i, t in enumerate(ts)]
+    got = codec.from_tokens(spark.createDataFrame(rows, "k int, seq int, zero_run int, value int, kind string"), ["k"])
+    assert dict(map(tuple, got.collect())) == {1: [5] + [0] * 62 + [-3], 2: [5, 0, 0, 0, 7] + [0] * 59, 3: None, 4: None, 5: None}
+    assert "map_concat" not in got._jdf.queryExecution().optimizedPlan().toString()
