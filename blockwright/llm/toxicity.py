@@ -38,6 +38,9 @@ OBSCURED = re.compile(rb"(?<![a-z])[a-z]++[0-9@$!|*]+[a-z@$!|*0-9]*")  # from th
 SHOUTED = re.compile(rb"\b[A-Z]{3,}\b")
 STRETCHED = re.compile(rb"([a-z])\1\1")
 FEATURES = ("words", "lexicon", "lexicon_density", "stems", "stem_density", "you_density", "nearness", "capitals", "shouted", "marks", "exclaims", "obscured", "obscured_lexicon", "stretched", "variety")
+#: Of splits that part the rows equally well, what toxic words say goes before what length, marks and capitals say.
+EVIDENCE = ("lexicon", "lexicon_density", "stems", "stem_density", "obscured_lexicon", "nearness", "you_density")
+TRIED = [FEATURES.index(n) for n in EVIDENCE] + [f for f, n in enumerate(FEATURES) if n not in EVIDENCE]
 
 
 def words_of(text: str) -> list[bytes]:
@@ -105,8 +108,8 @@ class Boosted:
         return np.interp(m, self.steps, self.values)
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.25, bins: int = 32) -> Boosted:
-    """Newton boosting of the logistic loss on binned features."""
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.25, bins: int = 32, tried: list[int] | None = None) -> Boosted:
+    """Newton boosting of the logistic loss on binned features. Of equal gains, but for rounding, the feature that is tried first counts (tried: their order)."""
     model = Boosted(depth)
     rate_1 = (y.sum() + 0.5) / (len(y) + 1)
     model.start = float(np.log(rate_1 / (1 - rate_1)))
@@ -124,7 +127,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: flo
         for level in range(depth):
             first, width = 2**level - 1, 2**level
             local, best = node - first, np.full(width, 1e-6)
-            for f, c in enumerate(cuts):
+            for f in tried or range(len(cuts)):
+                c = cuts[f]
                 k = len(c) + 1
                 cell = local * k + binned[:, f]
                 gs = np.bincount(cell, g, width * k).reshape(width, k).cumsum(1)
@@ -132,7 +136,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: flo
                 left, right = gs[:, :-1] ** 2 / (hs[:, :-1] + 1), (gs[:, -1:] - gs[:, :-1]) ** 2 / (hs[:, -1:] - hs[:, :-1] + 1)
                 gain = left + right - gs[:, -1:] ** 2 / (hs[:, -1:] + 1)
                 at = gain.argmax(1)
-                for j in np.flatnonzero(gain[np.arange(width), at] > best):
+                for j in np.flatnonzero(gain[np.arange(width), at] > best * (1 + 1e-9)):
                     best[j], feature[first + j], cut[first + j] = gain[j, at[j]], f, c[at[j]]
             node = 2 * node + 1 + (x[np.arange(len(y)), feature[node]] > cut[node])
         own = node - (2**depth - 1)
@@ -238,7 +242,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_if, id_col: str = "
     x = np.array([r.x for r in seen]).reshape(-1, len(FEATURES))
     y = np.array([r.toxic for r in seen], float)
     fold = np.array([r.fold for r in seen], int) == FOLDS - 1
-    model = calibrate(fit(x[~fold], y[~fold]), x[fold], y[fold])
+    model = calibrate(fit(x[~fold], y[~fold], tried=TRIED), x[fold], y[fold])
 
     def score(batches):
         for b in batches:

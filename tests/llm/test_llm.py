@@ -409,6 +409,16 @@ def test_lexicons_leave_out_their_own_fold(spark):
     assert b"onlyhere" in got[-1][0] and b"onlyhere" not in got[2][0]
 
 
+def test_toxicity_goes_by_words_where_length_parts_as_well():
+    """Toxic rows that are all longer than the others: a long text without such words isn't toxic."""
+    words, stems = frozenset([b"scumbag", b"filthy"]), frozenset()
+    rows = [(f"you filthy scumbag and so on and on and on for word{k}", 1.0) for k in range(60)] + [(f"a fine day number {k}", 0.0) for k in range(60)]
+    x, y = np.array([toxicity.describe(t, words, stems) for t, _ in rows]), np.array([t for _, t in rows])
+    model = toxicity.calibrate(toxicity.fit(x[::2], y[::2], tried=toxicity.TRIED), x[1::2], y[1::2])
+    long, bad = model.score(np.array([toxicity.describe(t, words, stems) for t in ("one plain word after another " * 9, "scumbag")]))
+    assert long < 0.1 and bad > 0.9
+
+
 def test_toxicity_takes_one_text_of_a_repeated_id(spark):
     docs = frame(spark, [(1, f"text {k}") for k in range(50)] + [(2, "other")])
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
