@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwright.llm.common import discard, durable, groups, lean, partitions, sent, values, whole_tasks
-from blockwright.llm.shingle_join import COPY, HELD, MET, MET_ROW, NODE, PLACE, SLICE, as_lists, by_task, check_similarity, deal_groups, emit_grams, gram_sets, least_shared, meeting_groups, prefix_size, settle_nodes, travelled
+from blockwright.llm.common import discard, durable, groups, lean, sent, values, whole_tasks
+from blockwright.llm.shingle_join import COPY, HELD, MET, MET_ROW, NODE, PLACE, SLICE, Outgoing, as_lists, check_similarity, deal_groups, emit_grams, gram_sets, least_shared, meeting_groups, prefix_size, settle_nodes, tasks_of, travelled
 
 
 def lines_in(text: str | None) -> list[bytes]:
@@ -82,11 +82,12 @@ def dedup_lines(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, i
     check_similarity(num, den)
     if counts and {"n_lines", "n_removed"} & set(docs.columns):
         raise ValueError("docs has a column of the result")
-    tasks = min(1 << 16, 8 * partitions(docs.sparkSession))
+    tasks = tasks_of(docs)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("t"))
 
     def emit(batches):
         """N-grams and nodes of the lines of a slice of texts, and each node's first place there; its other places are copies."""
+        sending = Outgoing(tasks)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 ids, marks, t = (c.to_pylist() for c in batch.slice(at, SLICE).columns)
@@ -96,8 +97,7 @@ def dedup_lines(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, i
                 known: dict[bytes, int] = {}
                 node = np.zeros(len(units), np.int64)
                 for part in range(0, len(units), 1 << 16):
-                    rows, keys = emit_grams(units[part : part + (1 << 16)], size, tasks)
-                    yield from rows
+                    keys = emit_grams(units[part : part + (1 << 16)], size, sending)
                     node[part : part + len(keys)] = [-1 if k is None else known.setdefault(k, len(known)) for k in keys]
                 if not known:
                     continue
@@ -109,7 +109,10 @@ def dedup_lines(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, i
                 lo, hi = np.frombuffer(b"".join(known), "<i8").reshape(-1, 2).T
                 none = np.array([i is None for i in ids])
                 place = {"lo": lo[of], "hi": hi[of], "none": none[row], "id": np.array([i or 0 for i in ids], np.int64)[row], "mark": np.array(marks, np.int64)[row], "line": line}
-                yield from first_places(place, of, tasks)
+                first_places(place, of, sending)
+                if sending.full():
+                    yield from sending.rows()
+        yield from sending.rows()
 
     def decide(batches):
         """Lines that are copies of an earlier one, and the first lines of nodes that can be in a pair."""
@@ -184,15 +187,14 @@ def same_as_before(place: dict[str, np.ndarray], columns: tuple[str, ...]) -> np
     return np.r_[False, np.logical_and.reduce([place[c][1:] == place[c][:-1] for c in columns])][: len(place["id"])]
 
 
-def first_places(place: dict[str, np.ndarray], node: np.ndarray, tasks: int):
-    """The first place of each node as a PLACE, the others as copies; repeated rows have one place."""
+def first_places(place: dict[str, np.ndarray], node: np.ndarray, sending: Outgoing) -> None:
+    """Send the first place of each node as a PLACE, the others as copies; repeated rows have one place."""
     order = np.lexsort((place["line"], place["mark"], place["id"], place["none"], node))
     place = {c: v[order] for c, v in place.items()} | {"node": node[order]}
     first = ~same_as_before(place, ("node",))
     other = ~first & ~same_as_before(place, ("node", "none", "id", "mark", "line"))
-    yield by_task(PLACE, place["lo"][first], tasks, **{c: place[c][first] for c in ("lo", "hi", "none", "id", "mark", "line")})
-    if other.any():
-        yield by_task(COPY, place["mark"][other], tasks, **{c: place[c][other] for c in ("none", "id", "mark", "line")})
+    sending.add(PLACE, place["lo"][first], **{c: place[c][first] for c in ("lo", "hi", "none", "id", "mark", "line")})
+    sending.add(COPY, place["mark"][other], **{c: place[c][other] for c in ("none", "id", "mark", "line")})
 
 
 def digests(cleaned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -280,6 +280,10 @@ def least_shared() -> Column:
 GRAM, SEVERAL, HELD, NODE, PLACE, COPY = range(6)
 MET = {"h": "<u4", "g": "u1", "lo": "<i8", "hi": "<i8", "n": "<u4", "held": "<u4", "none": "u1", "id": "<i8", "mark": "<i8", "line": "<u4"}
 MET_ROW = "task int, kind int, " + ", ".join(f"{c} binary" for c in MET)
+#: Values that a travelling row should have on average, and values that wait for that at most.
+ROW_VALUES, MOST_WAITING = 64, 1_000_000
+#: N-grams of a task that are compared at a time.
+GRAMS_AT_ONCE = 250_000
 
 
 def task_of(h: np.ndarray, tasks: int) -> np.ndarray:
@@ -293,17 +297,41 @@ def by_task(kind: int, h: np.ndarray, tasks: int, **columns: np.ndarray) -> pa.R
     return packed(t[o], kind, MET, **{c: v[o] for c, v in columns.items()})
 
 
+class Outgoing:
+    """What slices send to tasks. It waits until there is enough for all tasks: rows grow with what is sent, not with slices times tasks."""
+
+    def __init__(self, tasks: int):
+        self.tasks, self.size = tasks, 0
+        self.waiting: dict[int, list[tuple[np.ndarray, dict[str, np.ndarray]]]] = {}
+
+    def add(self, kind: int, by: np.ndarray, /, **columns: np.ndarray) -> None:
+        """by: hashes by which the tasks go."""
+        if len(by):
+            self.waiting.setdefault(kind, []).append((task_of(by, self.tasks), {c: v.astype(MET[c]) for c, v in columns.items()}))
+            self.size += len(by)
+
+    def full(self) -> bool:
+        return self.size >= min(ROW_VALUES * self.tasks, MOST_WAITING)
+
+    def rows(self):
+        """A row for each task and kind."""
+        for kind, parts in self.waiting.items():
+            t = np.concatenate([x[0] for x in parts])
+            o = np.argsort(t, kind="stable")
+            yield packed(t[o], kind, MET, **{c: np.concatenate([x[1][c] for x in parts])[o] for c in parts[0][1]})
+        self.waiting, self.size = {}, 0
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """n-grams have their length in the high bits; tasks go by evenly spread ones."""
     return h * np.uint64(0x9E3779B97F4A7C15)
 
 
-def emit_grams(units: list[bytes], size: int, tasks: int):
-    """The first part of each unit's n-grams, and the nodes, as rows that travel; the units' keys."""
+def emit_grams(units: list[bytes], size: int, out: Outgoing) -> list[bytes | None]:
+    """Send the first part of each unit's n-grams, and the nodes; the units' keys."""
     keys, n, h = gram_sets(units, size)
     seen: set[bytes | None] = {None}
     new = np.array([not (k in seen or seen.add(k)) for k in keys], bool)  # units that differ in white space or case only are one node
-    rows = []
     if new.any():
         take = np.repeat(new, n) & head_of(n, h, first_part)
         own = np.repeat(np.cumsum(new) - 1, n)[take]
@@ -315,11 +343,10 @@ def emit_grams(units: list[bytes], size: int, tasks: int):
         many = same | np.r_[same[1:], False]
         for kind, some in ((GRAM, ~many), (SEVERAL, many & ~same)):
             x = h[some]
-            if len(x):
-                more = {"lo": lo[own[some]]} if kind == GRAM else {}
-                rows.append(packed(task_of(x, tasks), kind, MET, h=x & np.uint64(0xFFFFFFFF), g=x >> np.uint64(32) & np.uint64(255), **more))
-        rows.append(by_task(NODE, lo, tasks, lo=lo, hi=hi, n=n, held=np.bincount(own[many], minlength=len(n))))
-    return rows, keys
+            more = {"lo": lo[own[some]]} if kind == GRAM else {}
+            out.add(kind, x, h=x & np.uint64(0xFFFFFFFF), g=x >> np.uint64(32) & np.uint64(255), **more)
+        out.add(NODE, lo, lo=lo, hi=hi, n=n, held=np.bincount(own[many], minlength=len(n)))
+    return keys
 
 
 def count_shared(batches, tasks: int):
@@ -335,20 +362,24 @@ def count_shared(batches, tasks: int):
         part, hot = (b.filter(pa.array(kinds == kind)) for kind in (GRAM, SEVERAL))
         if not part.num_rows:
             continue
-        h, x = [], None
-        for some in (part, hot):
-            v = values(some, MET)
-            x = v if x is None else x
-            place = np.repeat(some.column(0).to_numpy().astype(np.uint64), v.get("rows", np.zeros(0, np.int64)))
-            h.append(place << np.uint64(40) | v["g"].astype(np.uint64) << np.uint64(32) | v["h"])
-        order = np.argsort(h[0])
-        g, lo = h[0][order], x["lo"][order]
-        new = np.r_[True, g[1:] != g[:-1]]
-        start = np.flatnonzero(new)
-        shared = np.minimum.reduceat(lo, start) < np.maximum.reduceat(lo, start)
-        if len(h[1]):
-            shared |= np.isin(g[start], h[1])
-        lo, n = np.unique(lo[shared[np.cumsum(new) - 1]], return_counts=True)
+        grams, others = values(part, MET), values(hot, MET)
+        place, hot_place = (np.repeat(some.column(0).to_numpy(), v.get("rows", np.zeros(0, np.int64))) for some, v in ((part, grams), (hot, others)))
+        slots = np.uint32(1 + len(place) // GRAMS_AT_ONCE)
+        held = []
+        for slot in range(slots):
+            at, hot_at = (np.flatnonzero(v["h"] % slots == slot) for v in (grams, others))
+            h, hot_h = (p[k].astype(np.uint64) << np.uint64(40) | v["g"][k].astype(np.uint64) << np.uint64(32) | v["h"][k] for p, v, k in ((place, grams, at), (hot_place, others, hot_at)))
+            if not len(h):
+                continue
+            order = np.argsort(h)
+            g, lo = h[order], grams["lo"][at[order]]
+            new = np.r_[True, g[1:] != g[:-1]]
+            start = np.flatnonzero(new)
+            shared = np.minimum.reduceat(lo, start) < np.maximum.reduceat(lo, start)
+            if len(hot_h):
+                shared |= np.isin(g[start], hot_h)
+            held.append(lo[shared[np.cumsum(new) - 1]])
+        lo, n = np.unique(np.concatenate(held), return_counts=True)
         if len(lo):
             yield by_task(HELD, lo, tasks, lo=lo, held=n)
 
@@ -368,11 +399,15 @@ def settle_nodes(part: dict[str, np.ndarray], held: dict[str, np.ndarray]) -> tu
     return lo, hi, n, total
 
 
+def tasks_of(df: DataFrame) -> int:
+    return min(1 << 16, partitions(df.sparkSession))
+
+
 def travelled(rows: DataFrame) -> DataFrame:
-    """Rows of emit_grams() after both shuffles: by n-gram, then by node."""
-    tasks = min(1 << 16, partitions(rows.sparkSession))
-    met = rows.repartition("task").sortWithinPartitions("task").mapInArrow(lean(lambda batches: count_shared(batches, tasks)), MET_ROW)
-    return met.repartition("task").sortWithinPartitions("task")
+    """Rows of emit_grams() after both shuffles: by n-gram, then by node. A task is a partition."""
+    tasks = tasks_of(rows)
+    met = rows.repartitionById(tasks, F.col("task")).sortWithinPartitions("task").mapInArrow(lean(lambda batches: count_shared(batches, tasks)), MET_ROW)
+    return met.repartitionById(tasks, F.col("task")).sortWithinPartitions("task")
 
 
 def meeting(texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -383,13 +418,16 @@ def meeting(texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
     bits of hash and their task: what falls together can only keep a node that might go.
     """
     check_similarity(num, den)
-    tasks = min(1 << 16, 8 * partitions(texts.sparkSession))
+    tasks = tasks_of(texts)
 
     def emit(batches):
+        out = Outgoing(tasks)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                units = list({(t or "").encode() for t in batch.column(0).slice(at, SLICE).to_pylist()})
-                yield from emit_grams(units, size, tasks)[0]
+                emit_grams(list({(t or "").encode() for t in batch.column(0).slice(at, SLICE).to_pylist()}), size, out)
+                if out.full():
+                    yield from out.rows()
+        yield from out.rows()
 
     def decide(batches):
         for b in whole_tasks(batches):

@@ -674,6 +674,30 @@ def test_tree_links_grow_gently():
     assert took[1] < 8 * max(took[0], 0.1)
 
 
+def test_rows_that_travel_dont_grow_with_the_tasks(spark, monkeypatch):
+    """Rows of line dedup and of the n-gram join hold several values each, however many tasks there are."""
+    sent = []
+
+    def caught(rows):
+        sizes = [F.octet_length(c) / np.dtype(t).itemsize for c, t in shingle_join.MET.items()]
+        sent.append(rows.agg(F.count("*"), F.sum(F.greatest(*sizes))).first())
+        raise InterruptedError
+
+    rng = np.random.default_rng(8)
+    texts = ["\n".join(" ".join(f"w{x}" for x in rng.integers(0, 10**6, 10)) for _ in range(3)) for _ in range(4096)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        for module, work in ((line_dedup, line_dedup.dedup_lines), (shingle_join, shingle_join.shingle_components)):
+            monkeypatch.setattr(module, "travelled", caught)
+            with pytest.raises(InterruptedError):
+                work(docs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(sent) == 2 and all(values > 4 * rows for rows, values in sent)
+
+
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     """Each stage on its own input; rows of repeated and null ids."""
     rows = [(i, t, "en", "s", len(t or "")) for i, t in [*corpus(), (3, "another text of id three that is long enough"), (None, "tha on"), (None, "tha on")]]
