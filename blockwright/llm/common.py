@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import sys
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockwright.operators.memory import lean as lean  # the operators take it from here
+
 #: A-Z to a-z on UTF-8 bytes; all other bytes stay.
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Rows of some 60 bytes that are few enough to send to every task.
@@ -73,18 +73,6 @@ def discard(*tables: DataFrame) -> None:
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def lean(work):
-    """A function of Arrow batches that gives its memory back when a task ends: workers stay for later tasks, and what they hold unused is missing there."""
-
-    def run(batches):
-        yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
-
-    return run
-
-
 def groups(batches, key: int = 0):
     """Runs of equal keys in Arrow batches that are sorted by the key column: (key, list of rows as tuples). Lists come as arrays."""
     now, rows = None, []

@@ -10,6 +10,7 @@ inside one task. Only windows that reach into the next strip need rows from ther
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,12 @@ from pyspark.sql import functions as F
 from blockwright.functions import scalars as S
 from blockwright.operators import codec
 from blockwright.operators.frames import PLANES, halves
+from blockwright.operators.memory import lean
 from blockwright.operators.quality import C1, C2, WINDOW
 
 ROWS = 16
+#: Strips that a task has in hand at a time, and rows that it gives back at a time.
+AT_ONCE, ROWS_OUT = 64, 512
 LAYOUT = "w int, h int, top int, data binary, mask binary"
 
 
@@ -83,20 +87,30 @@ def pixels_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def in_strips(df: DataFrame, out: str, work: Callable[[dict], Iterator[dict]]) -> DataFrame:
-    """work on each row; its results as rows of the layout out, a few strips at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                found = [r for row in batch.slice(at, 64).to_pylist() for r in work(row)]
-                if found:
-                    yield pa.RecordBatch.from_pydict({f.name: pa.array([r[f.name] for r in found], f.type) for f in schema}, schema=schema)
+    """work on each row; its results as rows of the layout out, a few strips at a time.
 
+    What is done to the result of another in_strips() is done in the same worker, strip by
+    strip: a chain of steps has one worker a task, and nothing between steps is kept.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    source, before = getattr(df, "strip_steps", (df, ()))
+    steps = (*before, work)
     schema = to_arrow_schema(StructType.fromDDL(out))
-    return df.mapInArrow(run, out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                rows = iter(batch.slice(at, AT_ONCE).to_pylist())
+                for step in steps:
+                    rows = chain.from_iterable(map(step, rows))
+                while found := list(islice(rows, ROWS_OUT)):
+                    yield pa.RecordBatch.from_pydict({f.name: pa.array([r[f.name] for r in found], f.type) for f in schema}, schema=schema)
+
+    made = source.mapInArrow(lean(run), out)
+    made.strip_steps = source, steps
+    return made
 
 
 def kinds(df: DataFrame, keys: list[str]) -> str:

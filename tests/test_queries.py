@@ -289,3 +289,10 @@ def test_tokens_back_without_maps(spark):
     got = codec.from_tokens(spark.createDataFrame(rows, "k int, seq int, zero_run int, value int, kind string"), ["k"])
     assert dict(map(tuple, got.collect())) == {1: [5] + [0] * 62 + [-3], 2: [5, 0, 0, 0, 7] + [0] * 59, 3: None, 4: None, 5: None}
     assert "map_concat" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_steps_on_strips_share_a_worker(spark):
+    """From vectors to pixels or levels and back a task has one Python worker, not one for each step."""
+    for name in ("t8_blocks_to_rgb", "t33_compress_matrix_444", "t34_decompress_rdct_420", "t1_luma_blocks"):
+        plan = block_queries.QUERIES[name](spark, SOURCE)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1, name
