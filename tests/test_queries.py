@@ -296,3 +296,42 @@ def test_steps_on_strips_share_a_worker(spark):
     for name in ("t8_blocks_to_rgb", "t33_compress_matrix_444", "t34_decompress_rdct_420", "t1_luma_blocks"):
         plan = block_queries.QUERIES[name](spark, SOURCE)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInArrow") == 1, name
+
+
+def test_strips_are_made_once_and_compared_once(spark):
+    """What makes the records isn't run again for their sizes, their rows below and their distortion: one step makes them, one the rasters, one compares."""
+    for name, steps in (("j1_raster_reference", 3), ("a3_windowed_ssim", 2), ("w1_box_sums", 2), ("x4_image_round_trip", 2)):
+        plan = QUERIES[name](spark, SOURCE)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == steps, name
+
+
+@pytest.mark.parametrize("subsampling", ["444", "422", "420"])
+def test_strips_of_all_sizes_in_one_lot(spark, subsampling):
+    """Strips side by side are what each is alone: pixels by decompress, bytes by the run lengths of its blocks; one is wider than a lot."""
+    sizes = [(1, 1), (8, 8), (23, 17), (9, 40), (31, 5), (4200, 3), (16, 25)]
+    rows = [(i, w, h, raster(w, h)) for i, (w, h) in enumerate(sizes)]
+    f = strips.from_rasters(spark.createDataFrame(rows, "i int, w int, h int, data binary").coalesce(1), ["i"])
+    f = f.withColumn("mask", F.when(F.col("i") == 2, F.expr("cast(concat(repeat('\\u0001', length(data) div 3 - 5), repeat('\\u0000', 5)) AS binary)")))
+    got = strips.round_trips(f, ["i"], [("loeffler", 1, 0.2), ("identity", 9, 1.0), ("silveira_j7", 3, 0.8)], subsampling).collect()
+    for method, k in (("loeffler", 0.2), ("identity", 1.0), ("silveira_j7", 0.8)):
+        there = strips.compress(f, ["i"], method, k, subsampling)
+        pixels = {(r.i, r.top): bytes(r.data) for r in strips.decompress(there, ["i"], method, k, subsampling).collect()}
+        assert {(r.i, r.top): bytes(r.other) for r in got if r.method == method} == pixels
+        b = strips.level_blocks(there, ["i"], subsampling).groupBy("i").agg(F.sum(codec.rle_bytes(codec.scan(F.col("q")))).alias("n"))
+        total = {i: sum(r.stream_bytes for r in got if (r.i, r.method) == (i, method)) for i in range(len(sizes))}
+        assert {r.i: r.n for r in b.collect()} == total
+
+
+def test_parts_of_a_raster(spark):
+    """A raw raster without its lower strip is compared where it is; a mask of the lower strip alone holds for windows from above; a null k_idx is a key."""
+    w, h = 9, 20
+    f = strips.from_rasters(spark.createDataFrame([(1, w, h, raster(w, h))], "run int, w int, h int, data binary"), ["run"])
+    records = strips.round_trips(f, ["run"], [("rdct", 0, 0.1)]).drop("data").withColumnRenamed("other", "data").withColumn("k_idx", F.lit(None).cast("int"))
+    whole, part = (strips.against_raw(records, raw, "run", ["method", "k_idx"]).first() for raw in (f, f.where("top = 0")))
+    assert whole.raw_bytes == 3 * w * h and part.raw_bytes == 3 * w * 16 and part.stream_bytes == whole.stream_bytes
+    both = strips.round_trips(f, ["run"], [("rdct", 0, 0.1)])
+    alone = strips.distortion(both.where("top = 0").withColumn("h", F.lit(16)), ["run"]).first()
+    assert math.isclose(part.psnr, alone.psnr) and math.isclose(part.ssim, alone.ssim) and whole.psnr and whole.ssim != part.ssim
+    masked = both.withColumn("mask", F.when(F.col("top") == 16, F.lit(bytes([0] * 4 * w))))
+    got = strips.distortion(masked, ["run"]).first()
+    assert got.sse == alone.sse and math.isclose(got.ssim, alone.ssim)
